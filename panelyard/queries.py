@@ -1,0 +1,9 @@
+"""Adapter from the driver's tables to the panel operators."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
