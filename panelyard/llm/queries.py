@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm.decontamination import benchmark_matches
+from panelyard.llm.mixing import mixed_copies
+from panelyard.llm.sharding import sharded
 from panelyard.llm.token_counts import count_tokens
 from panelyard.llm.warc import round_trip
 
@@ -33,6 +35,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def as_law(shards: DataFrame) -> DataFrame:
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_law(sharded(table(spark, sf_dir, "documents"), n_shards=40, overhead=16))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -63,6 +77,8 @@ def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
         "op4_token_counts": op4_token_counts,
+        "op7_mixing": op7_mixing,
+        "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
     }
 
