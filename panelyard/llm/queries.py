@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm.decontamination import benchmark_matches
+from panelyard.llm.minhash_join import similar_documents
 from panelyard.llm.mixing import mixed_copies
 from panelyard.llm.sharding import sharded
 from panelyard.llm.token_counts import count_tokens
@@ -51,6 +52,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+
+
 SQL_3 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
+        "op10_minhash": op10_minhash,
     }
 
 
