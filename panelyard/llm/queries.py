@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm.decontamination import benchmark_matches
+from panelyard.llm.embedding_join import near_vectors
 from panelyard.llm.minhash_join import similar_documents
 from panelyard.llm.mixing import mixed_copies
 from panelyard.llm.sharding import sharded
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -56,6 +61,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+SQL_1 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE label IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) n_links, least(e.vec_id, coalesce(m, e.vec_id)) component_id, e.vec_id <= coalesce(m, e.vec_id) kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) n FROM l GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT a, min(b) m FROM r GROUP BY a) m ON m.a = e.vec_id
+"""
+
 SQL_3 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
@@ -80,6 +93,7 @@ FROM p LEFT JOIN f USING (h)
 
 def queries() -> dict:
     return {
+        "op1_embedding_neardup": op1_embedding_neardup,
         "op3_decontamination": op3_decontamination,
         "op4_token_counts": op4_token_counts,
         "op7_mixing": op7_mixing,
@@ -90,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": SQL_3, "op9_warc": SQL_9}
+    return {"op1_embedding_neardup": SQL_1, "op3_decontamination": SQL_3, "op9_warc": SQL_9}
