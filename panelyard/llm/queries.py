@@ -10,6 +10,7 @@ from panelyard.llm.decontamination import benchmark_matches
 from panelyard.llm.embedding_join import near_vectors
 from panelyard.llm.minhash_join import similar_documents
 from panelyard.llm.mixing import mixed_copies
+from panelyard.llm.secrets import joined, secret_spans
 from panelyard.llm.sharding import sharded
 from panelyard.llm.token_counts import count_tokens
 from panelyard.llm.warc import round_trip
@@ -41,6 +42,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -96,6 +103,7 @@ def queries() -> dict:
         "op1_embedding_neardup": op1_embedding_neardup,
         "op3_decontamination": op3_decontamination,
         "op4_token_counts": op4_token_counts,
+        "op6_secrets": op6_secrets,
         "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
