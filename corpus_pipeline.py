@@ -1,8 +1,67 @@
-"""Language ID, near-duplicates, benchmark decontamination, source mixing and sharding over documents."""
+"""Language ID, near-duplicates, benchmark decontamination, source mixing and sharding over documents.
 
+STAGES lists the stages in order. Each takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
+Parquet and reads again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelyard.llm.decontamination import decontaminated
+from panelyard.llm.language import UNKNOWN, identified, train
+from panelyard.llm.minhash_join import similar_documents
+from panelyard.llm.mixing import mixed
+from panelyard.llm.shared import written
+from panelyard.llm.sharding import sharded
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language is not recognised; all others stay, whatever their language."""
+    found = identified(docs.select(*COLUMNS), train(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five-word shingles, similarity of 0.8 or more; the smallest id stays."""
+    found = similar_documents(docs, shingle=5, threshold=0.8)
+    gone = written(found.where(~F.col("kept")).select("doc_id"), "copies")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources reach their target weights; a row per copy taken."""
+    return mixed(docs).select(*COLUMNS)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy: doc_id, size, text_crc32, shard, slot."""
+    return sharded(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: The classifier, the join's trees and the mix's random choices have no SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.decontamination import benchmark_matches
 from panelyard.llm.embedding_join import near_vectors
+from panelyard.llm.html_text import extracted
+from panelyard.llm.language import held_out, identified, train
 from panelyard.llm.minhash_join import similar_documents
 from panelyard.llm.mixing import mixed_copies
 from panelyard.llm.secrets import joined, secret_spans
@@ -24,6 +26,10 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -42,6 +48,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    test = held_out(F.col("doc_id"))
+    model = train(docs.where(~test))
+    found = identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
@@ -101,8 +115,10 @@ FROM p LEFT JOIN f USING (h)
 def queries() -> dict:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
+        "op2_html": op2_html,
         "op3_decontamination": op3_decontamination,
         "op4_token_counts": op4_token_counts,
+        "op5_language": op5_language,
         "op6_secrets": op6_secrets,
         "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
