@@ -206,6 +206,8 @@ def labelled_pages() -> list[str]:
                 f"{links(4)}<article>{p(n)}{links(0)}</article>{links(3)}<main>{p(m)}<nav>{links(2)}</nav>{p(n)}<form>{p(m, False)}{p(n, False)}</form></main>",
                 f"<nav>{links(4)}</nav>{main}<div class='ad'>{other}</div>{p(n)}<aside>{p(n, False)}{p(m, False)}</aside>{p(m)}<form>{other}</form><footer>{links(2)}{p(n, False)}</footer>",
                 f"<header>{other}<nav>{links(4)}</nav></header>{main}<div class='comments'>{p(n, False)}{other}</div><footer>{p(n, False)}</footer>",
+                f"<nav>{links(4)}</nav><article><h1><a href='/'>{KEEP}{'head ' * n}</a></h1>{p(m)}<p><a href='/'>{KEEP}{'word ' * m}</a></p>{p(n)}</article>",
+                f"<main>{p(n)}<ul><li><a href='/'>{KEEP}{'word ' * n}</a></li></ul>{p(m)}<p><a href='/'>{KEEP}{'word ' * n}</a></p></main>",
                 f"<form class='search'>{p(n, False)}</form><main><article>{main}<aside>{other}</aside>{p(n)}</article></main><div class='newsletter'>{p(m, False)}</div>",
             ]
             if min(n, m) >= 12:
