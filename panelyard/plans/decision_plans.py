@@ -19,8 +19,8 @@ def sensitivity_names() -> list[str]:
 
 
 def with_reliability(pool: DataFrame) -> DataFrame:
-    """pool with prior_minutes and rate where a table has none of its own: from price and projection."""
-    return pool.withColumns({"prior_minutes": (F.col("price") - 90) * 45, "rate": F.col("projection")})
+    """pool with prior_minutes and rate where a table has none of its own: from id and projection."""
+    return pool.withColumns({"prior_minutes": F.col("id") * 7 % 12 * 45, "rate": F.col("projection")})
 
 
 def pool_views(pool: DataFrame) -> DataFrame:

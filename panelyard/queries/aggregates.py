@@ -132,7 +132,7 @@ def topn_summary(s, d):
 CANDIDATES = """, seen AS (SELECT e.entity, t.target, p.period, CAST(sum(p.minutes) AS DOUBLE) m FROM (SELECT DISTINCT entity FROM panel) e CROSS JOIN targets t JOIN panel p ON p.entity = e.entity AND p.period < t.target AND p.period >= t.target - 5 AND p.ts < t.deadline GROUP BY 1, 2, 3),
 wide AS (SELECT entity, target, max(m) FILTER (WHERE target - period = 1) M0, avg(m) FILTER (WHERE target - period <= 3) M1, avg(m) M2, sum(m * CASE target - period WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.3 WHEN 3 THEN 0.1 END) / sum(CASE target - period WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.3 WHEN 3 THEN 0.1 END) M3 FROM seen GROUP BY 1, 2),
 long AS (SELECT e.entity, t.target, candidate, CASE candidate WHEN 'M0' THEN M0 WHEN 'M1' THEN M1 WHEN 'M2' THEN M2 ELSE M3 END x FROM (SELECT DISTINCT entity FROM panel) e CROSS JOIN targets t CROSS JOIN (VALUES ('M0'), ('M1'), ('M2'), ('M3')) c(candidate) LEFT JOIN wide w ON w.entity = e.entity AND w.target = t.target),
-exp AS (SELECT l.entity, l.target, candidate, CASE WHEN x IS NOT NULL THEN greatest(0.0, least(90.0, x)) END predicted, least(90.0, CAST(p.minutes AS DOUBLE)) actual FROM long l LEFT JOIN periods p ON p.entity = l.entity AND p.period = l.target)"""
+exp AS (SELECT l.entity, l.target, candidate, CASE WHEN x IS NOT NULL THEN greatest(0.0, least(90.0, x)) END predicted, CASE WHEN p.minutes IS NOT NULL THEN least(90.0, CAST(p.minutes AS DOUBLE)) END actual FROM long l LEFT JOIN periods p ON p.entity = l.entity AND p.period = l.target)"""
 
 
 def minutes_experiment(s, d) -> DataFrame:

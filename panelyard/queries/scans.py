@@ -30,6 +30,16 @@ def scan_json_fixtures(s, d):
     return rows.join(names, "customer", "left").select("id", "customer", "customer_name", "total")
 
 
+@query("SELECT user_id file_id, event_id, value, TRUE AS file_id_matches FROM events", "value")
+def scan_json_histories(s, d):
+    """A file of history rows per user; the folder of each file names the user."""
+    path = scratch(s, "histories")
+    e = t(s, d, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("user_id").alias("element"), "event_id", "value")).alias("history"))
+    e.select("history", F.col("user_id").alias("part")).repartition("part").write.partitionBy("part").json(path)
+    schema = "history array<struct<element: bigint, event_id: bigint, value: double>>"
+    return readers.scan_json_histories(s, path, schema, file_id=r"part=([0-9]+)/").select("file_id", "event_id", "value", "file_id_matches")
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, TRUE AS numbered FROM customer", "c_acctbal")
 def scan_csv_rownum(s, d):
     path = scratch(s, "csv")

@@ -34,11 +34,14 @@ def scan_json_fixtures(spark: SparkSession, path: str | Sequence[str], schema: S
     return rows
 
 
-def scan_json_histories(spark: SparkSession, path: str, schema: StructType | str, array: str = "history", id_field: str = "element") -> DataFrame:
-    """Rows of per-entity files <id>.json with the id of the file name; file_id_matches says that a row's own id agrees."""
+def scan_json_histories(spark: SparkSession, path: str, schema: StructType | str, array: str = "history", id_field: str = "element", file_id: str = r"([0-9]+)\.json$") -> DataFrame:
+    """Rows of per-entity files <id>.json with the id of the file name; file_id_matches says that a row's own id agrees.
+
+    file_id finds the id in a file's path, for other layouts than <id>.json.
+    """
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    file_id = F.regexp_extract("_metadata.file_path", r"([0-9]+)\.json$", 1).try_cast("bigint")
-    rows = doc.select(file_id.alias("file_id"), F.explode(array).alias("_r")).select("file_id", "_r.*")
+    own = F.regexp_extract("_metadata.file_path", file_id, 1).try_cast("bigint")
+    rows = doc.select(own.alias("file_id"), F.explode(array).alias("_r")).select("file_id", "_r.*")
     return rows.withColumn("file_id_matches", F.col("file_id").eqNullSafe(F.col(id_field)))
 
 
