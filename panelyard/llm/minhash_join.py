@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import connected_components, written
 
-COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 200, 200, 16
+COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 250, 250, 16
 _RNG = np.random.default_rng(20240521)
 SPREAD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASK = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
@@ -83,13 +83,27 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, f"id {kind}, n_shingles bigint, set_key binary, sketch array<int>")
 
 
-def branch(nodes: DataFrame, threshold: float, path: Column) -> DataFrame:
-    """nodes(set_key, sketch, ...) a level deeper: path, set_key. The coordinates depend on the path alone."""
-    at = lambda salt: F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(COORDINATES)).cast("int")
+def branch(nodes: DataFrame, threshold: float) -> DataFrame:
+    """nodes(path, used, sketch, ...) a level deeper: new path and used, the bits of the coordinates a path has taken.
+
+    A node's coordinates depend on its path alone and are ones that it hasn't taken yet (its first choice, where eight
+    are all taken).
+    """
+    path, used = F.col("path"), F.col("used")
+    one = F.lit(1).cast("long")
+
+    def choice(salt: str, taken: Column) -> Column:
+        tries = [F.pmod(F.xxhash64(path, F.lit(f"{salt}{j}")), F.lit(COORDINATES)).cast("int") for j in range(8)]
+        bit = lambda i: F.call_function("shiftleft", one, i)
+        return F.coalesce(*[F.when(taken.bitwiseAND(bit(i)) == 0, i) for i in tries], tries[0])
+
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    nodes = nodes.withColumn("_a", choice("a", used)).withColumn("_b", choice("b", used.bitwiseOR(bit(F.col("_a")))))
     second = F.pmod(F.xxhash64(path, F.lit("second")), F.lit(10_000)) < int(10_000 * (1 / threshold - 1))
-    child = lambda i: F.xxhash64(path, i, F.get("sketch", i))
-    both = F.when(second & (at("a") != at("b")), F.array(child(at("a")), child(at("b")))).otherwise(F.array(child(at("a"))))
-    return nodes.withColumn("path", F.explode(both))
+    child = lambda i: F.struct(F.xxhash64(path, i, F.get("sketch", i)).alias("path"), used.bitwiseOR(bit(i)).alias("used"))
+    both = F.when(second, F.array(child(F.col("_a")), child(F.col("_b")))).otherwise(F.array(child(F.col("_a"))))
+    others = [c for c in nodes.columns if c not in ("path", "used", "_a", "_b")]
+    return nodes.withColumn("_child", F.explode(both)).select("_child.*", *others)
 
 
 def agreement_floor(threshold: float) -> int:
@@ -213,8 +227,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     sets = written(sets, "sets")
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit("root")) for t in range(trees)])
-    state = branch(sets.withColumn("path", F.explode(roots)), threshold, F.col("path"))
-    state = branch(state, threshold, F.col("path")).select("path", "set_key", F.lit(0).cast("long").alias("before"))
+    state = branch(branch(sets.withColumns({"path": F.explode(roots), "used": F.lit(0).cast("long")}), threshold), threshold)
+    state = state.select("path", "used", "set_key", F.lit(0).cast("long").alias("before"))
     groups, dense = [], []
     for depth in range(2, MAX_DEPTH + 1):
         sizes = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -227,8 +241,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
         large = large.where(~still)
         if large.isEmpty():
             break
-        state = branch(large.join(sets.select("set_key", "sketch"), "set_key"), threshold, F.col("path"))
-        state = state.select("path", "set_key", F.col("n").alias("before"))
+        state = branch(large.join(sets.select("set_key", "sketch"), "set_key"), threshold)
+        state = state.select("path", "used", "set_key", F.col("n").alias("before"))
     groups = [*groups, *[block_pairs(d) for d in dense]]
     union = groups[0]
     for g in groups[1:]:
