@@ -62,18 +62,19 @@ def samples(spark: SparkSession, n: int = 400) -> DataFrame:
     return random_samples(spark, n).unionByName(words)
 
 
-def bigram_ratios(labelled: DataFrame, weight: float = 0.5) -> list[float]:
+def bigram_ratios(labelled: DataFrame, weights: tuple[float, float] = (0.5, 0.05)) -> list[float]:
     """log P(next | char) under the random model less that under the identifier model, for every pair of ALPHABET.
 
     labelled: text, random. Bigrams are counted by Spark; what comes to the driver has a row per pair and label, at
-    most twice the alphabet squared. Identifier counts are smoothed towards letter-class counts by weight per cell.
+    most twice the alphabet squared. weights are added to the counts of the random and of the identifier model; the
+    second is small, so that pairs which identifiers don't have speak for a random string.
     """
     k = len(ALPHABET)
     pairs = labelled.where(F.length("text") > 1).select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring("text", i, F.lit(2)))).alias("g"))
     counts = {(r.random, r.g): r["count"] for r in pairs.groupBy("random", "g").count().collect()}
     out = []
     for a in ALPHABET:
-        row = [[counts.get((kind, a + b), 0) + weight for b in ALPHABET] for kind in (True, False)]
+        row = [[counts.get((kind, a + b), 0) + w for b in ALPHABET] for kind, w in zip((True, False), weights, strict=True)]
         total = [sum(r) for r in row]
         out += [math.log(row[0][j] / total[0]) - math.log(row[1][j] / total[1]) for j in range(k)]
     return out
@@ -121,7 +122,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, labelled: DataFrame | None = None) -> DataFrame:
+def secret_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.1, labelled: DataFrame | None = None) -> DataFrame:
     """docs with base and spans: arrays of start, kind, end, value in the order of start, then kind.
 
     base holds the fixed patterns' matches; spans holds these and the random strings outside them whose mean
@@ -134,6 +135,6 @@ def secret_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.9
     assign = F.filter(places(text, ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= 8)
     base = F.array_sort(F.concat(assign, places(text, ACCESS, "access"), places(text, HEX, "hex")))
     likely = F.filter(places(text, CANDIDATE, "random"), lambda x: ~F.regexp_like(x["value"], F.lit(f"^{HEX}$")) & (score(x["value"], ratios) >= threshold))
-    out = docs.withColumns({"base": base, "likely": likely})
-    clear = F.filter("likely", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", clear))).drop("likely")
+    out = docs.withColumns({"base": base, "_likely_spans": likely})
+    clear = F.filter("_likely_spans", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    return out.withColumn("spans", F.array_sort(F.concat("base", clear))).drop("_likely_spans")

