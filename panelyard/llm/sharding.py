@@ -1,8 +1,9 @@
 """Shards of near-equal bytes by Karmarkar-Karp differencing.
 
 Documents of equal text are one indivisible group. A partial partition holds k sums; the two with the largest spread
-are combined again and again, the larger sums of one with the smaller ones of the other, until one is left. Buckets of
-groups do this side by side, and what they leave is combined in the same way by a tree of fixed fan-in.
+are combined again and again, the larger sums of one with the smaller ones of the other, until one is left. The few
+groups that are large beside a shard are differenced together; buckets of the others do it side by side, each with the
+large groups' loads, scaled to its share, as one more partial partition, which it so evens out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import written
 
-BUCKET_GROUPS, FAN_IN, SLOT_ROWS = 4096, 64, 50_000
+BUCKET_GROUPS, LARGE, SLOT_ROWS = 4096, 64, 50_000
 
 
 def difference(sums: np.ndarray) -> np.ndarray:
@@ -50,6 +51,30 @@ def difference(sums: np.ndarray) -> np.ndarray:
     return out
 
 
+def balanced(n_shards: int, loads: np.ndarray | None, rest: int):
+    """Gives a bucket's groups (key, bytes) their shards.
+
+    loads, the bytes that the shards have from large groups, joins the differencing as one more partial partition,
+    scaled to the bucket's share of the rest: so a bucket makes up for its part of them. The subset in which load j
+    ends is shard j; without loads, subsets are dealt to shards at random, so that buckets' remainders don't add up.
+    """
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
+        sums = np.zeros((len(pdf) + 1, n_shards), np.int64)
+        sums[1:, 0] = pdf["bytes"]
+        if loads is not None and loads.any():
+            sums[0] = loads * (int(pdf["bytes"].sum()) / rest)
+        part = difference(sums)
+        if sums[0].any():
+            shard = np.argsort(part[0])
+        else:
+            shard = np.random.default_rng(int(pdf["bytes"].sum())).permutation(n_shards)
+        return pdf.assign(shard=shard[part[1:, 0]].astype("int32"))[["key", "bytes", "shard"]]
+
+    return place
+
+
 def sharded(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard, slot per row of docs: sizes are UTF-8 bytes plus overhead, equal texts stay together.
 
@@ -67,42 +92,16 @@ def sharded(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str
     )
     rows = written(rows, "sizes")
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
-    n_rows, n_groups = rows.count(), groups.count()
+    n_rows, (n_groups, total) = rows.count(), groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # No more than n_shards * LARGE groups can be large: these are balanced first, in one task.
+    large = F.col("bytes") * n_shards * LARGE >= total
+    first = written(groups.where(large).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(balanced(n_shards, None, 1), "key binary, bytes bigint, shard int"), "large")
+    load = dict(first.groupBy("shard").agg(F.sum("bytes")).collect())  # a row per shard
+    loads = np.array([load.get(j, 0) for j in range(n_shards)], np.int64)
     n_buckets = max(1, math.ceil(n_groups / BUCKET_GROUPS))
-
-    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
-        sums = np.zeros((len(pdf), n_shards), np.int64)
-        sums[:, 0] = pdf["bytes"]
-        return pdf.assign(part=difference(sums)[:, 0].astype("int32"))[["key", "bytes", "bucket", "part"]]
-
-    base = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)))
-    base = written(base.groupBy("bucket").applyInPandas(leaves, "key binary, bytes bigint, bucket bigint, part int"), "parts")
-    sums = base.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
-    maps = []
-    while n_buckets > 1:
-
-        def combined(pdf: pd.DataFrame) -> pd.DataFrame:
-            at = np.sort(pdf["bucket"].unique())
-            table = np.zeros((len(at), n_shards), np.int64)
-            table[np.searchsorted(at, pdf["bucket"]), pdf["part"]] = pdf["bytes"]
-            to = difference(table)
-            return pd.DataFrame({"bucket": np.repeat(at, n_shards), "part": np.tile(np.arange(n_shards, dtype="int32"), len(at)), "up": pdf["up"].iloc[0], "up_part": to.ravel().astype("int32"), "bytes": table.ravel()})
-
-        step = sums.withColumn("up", F.floor(F.col("bucket") / FAN_IN)).groupBy("up")
-        step = written(step.applyInPandas(combined, "bucket bigint, part int, up bigint, up_part int, bytes bigint"), "combined")
-        maps.append(step.select("bucket", "part", "up", "up_part"))
-        sums = step.groupBy(F.col("up").alias("bucket"), F.col("up_part").alias("part")).agg(F.sum("bytes").alias("bytes"))
-        n_buckets = math.ceil(n_buckets / FAN_IN)
-    shard_of = base.select("key", "bucket", "part")
-    if maps:
-        way = maps.pop().select("bucket", "part", F.col("up_part").alias("shard"))
-        while maps:
-            lower = maps.pop()
-            way = lower.join(way.withColumnsRenamed({"bucket": "up", "part": "up_part"}), ["up", "up_part"]).select("bucket", "part", "shard")
-        shard_of = shard_of.join(way, ["bucket", "part"])
-    else:
-        shard_of = shard_of.withColumn("shard", F.col("part"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(n_buckets))
+    rest = groups.where(~large).groupBy(bucket).applyInPandas(balanced(n_shards, loads, max(1, total - int(loads.sum()))), "key binary, bytes bigint, shard int")
+    shard_of = first.unionByName(rest)
     placed = rows.join(shard_of.select("key", "shard"), "key")
     n_parts = max(1, math.ceil(n_rows / (n_shards * SLOT_ROWS)))
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_parts)))
