@@ -57,8 +57,11 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), max_ratio: floa
     return stats.select("source", "n_docs", "source_size", F.least(max_ratio * F.col("source_size"), F.col("weight") * level).alias("target"))
 
 
-def pivot(p: list[float], size: list[int], u: list[float], last: bool) -> list[float]:
-    """Rounds all but one of p to 0 or 1, keeping every p's mean and, pair by pair, the sum of p * size."""
+def pivot(p: list[float], size: list[int], u: list[float], last: list[float] | None = None) -> list[float]:
+    """Rounds all but one of p to 0 or 1, keeping every p's mean and, pair by pair, the sum of p * size.
+
+    u: a random number per document, which decides its pair. last: another, which rounds the one that is left.
+    """
     out, c = list(p), None
     for i, q in enumerate(p):
         if not 0.0 < q < 1.0:
@@ -77,8 +80,8 @@ def pivot(p: list[float], size: list[int], u: list[float], last: bool) -> list[f
             out[i], out[c] = float(round(b)), min(1.0, max(0.0, a))
         if min(out[c], 1.0 - out[c]) < 1e-12:
             out[c], c = float(round(out[c])), None
-    if last and c is not None:
-        out[c] = 1.0 if u[c] < out[c] else 0.0
+    if last is not None and c is not None:
+        out[c] = 1.0 if last[c] < out[c] else 0.0
     return out
 
 
@@ -86,7 +89,7 @@ def rounding(fields: list[str], last: bool):
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         # Largest first, so that what is left over at the end is a small document.
         pdf = pdf.sort_values(["size", "o", "id"], ascending=[False, True, True], kind="stable")
-        pdf["p"] = pivot(pdf["p"].tolist(), pdf["size"].tolist(), pdf["u"].tolist(), last)
+        pdf["p"] = pivot(pdf["p"].tolist(), pdf["size"].tolist(), pdf["u"].tolist(), pdf["v"].tolist() if last else None)
         return pdf[fields]
 
     return rounded
@@ -116,7 +119,7 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     levels = max(0, math.ceil(math.log(largest, FAN_IN) - 1e-9)) if largest > 1 else 0
     for level in range(levels + 1):
         last = level == levels
-        step = rest.withColumns({"u": chance(f"u{level}"), "o": chance(f"o{level}")})
+        step = rest.withColumns({"u": chance(f"u{level}"), "o": chance(f"o{level}"), "v": chance(f"v{level}")})
         if level:
             step = step.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
 
