@@ -357,9 +357,9 @@ def topk_query(s, d):
     return panel_plans.scored_entities(panel(s, d), TARGET).select("entity", "class", "total").orderBy(F.round("total", 6).desc_nulls_last(), "entity").limit(10)
 
 
-@query(sql("SELECT entity, period, minutes FROM periods ORDER BY minutes DESC NULLS LAST, entity, period LIMIT 100"))
+@query(sql("SELECT entity, period, minutes FROM periods ORDER BY minutes DESC NULLS LAST, entity, period"))
 def sort_deterministic(s, d):
-    return periods(s, d).select("entity", "period", "minutes").orderBy(F.desc_nulls_last("minutes"), "entity", "period").limit(100)
+    return periods(s, d).select("entity", "period", "minutes").orderBy(F.desc_nulls_last("minutes"), "entity", "period")
 
 
 @query(sql("SELECT entity, period, event_id, copies, variants FROM (SELECT entity, period, event_id, row_number() OVER (PARTITION BY entity, period ORDER BY event_id) r, count(*) OVER (PARTITION BY entity, period) copies FROM panel) JOIN (SELECT entity, period, count(DISTINCT minutes) variants FROM panel GROUP BY 1, 2) USING (entity, period) WHERE r = 1"))

@@ -25,9 +25,8 @@ def scan_json_entities(s, d):
 def scan_json_fixtures(s, d):
     path = scratch(s, "fixtures")
     t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("total")).write.json(path)
-    rows = s.read.schema("id bigint, customer bigint, total double").json(path)
-    names = t(s, d, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_name").alias("customer_name"))
-    return rows.join(names, "customer", "left").select("id", "customer", "customer_name", "total")
+    lookup = (t(s, d, "customer"), "c_custkey", "customer", {"c_name": "customer_name"})
+    return readers.scan_json_fixtures(s, path, "id bigint, customer bigint, total double", [lookup], lines=True).select("id", "customer", "customer_name", "total")
 
 
 @query("SELECT user_id file_id, event_id, value, TRUE AS file_id_matches FROM events", "value")

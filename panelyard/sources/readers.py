@@ -26,9 +26,9 @@ def scan_json_entities(spark: SparkSession, path: str | Sequence[str], schema: S
     return rows.drop("_file")
 
 
-def scan_json_fixtures(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, lookups: Sequence[tuple[DataFrame, str, str, dict[str, str]]] = ()) -> DataFrame:
-    """Rows of a top-level array. lookups: (table, its id, id column of the rows, {its column: new name})."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+def scan_json_fixtures(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, lookups: Sequence[tuple[DataFrame, str, str, dict[str, str]]] = (), lines: bool = False) -> DataFrame:
+    """Rows of a top-level array, or of one object per line. lookups: (table, its id, id column of the rows, {its column: new name})."""
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     for dim, their_id, own_id, fields in lookups:
         rows = rows.join(dim.select(F.col(their_id).alias(own_id), *[F.col(f).alias(n) for f, n in fields.items()]), own_id, "left")
     return rows
