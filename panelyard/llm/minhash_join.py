@@ -29,7 +29,7 @@ FACTOR = _RNG.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2)
 _WORDS: dict[bytes, int] = {}
 
 
-def word_hashes(text: str | None, max_kept: int = 500_000) -> np.ndarray:
+def word_hashes(text: str | None, max_kept: int = 150_000) -> np.ndarray:
     """64-bit hashes of the words of text: A-Z as a-z, parted by ASCII white space."""
     if len(_WORDS) > max_kept:
         _WORDS.clear()
@@ -241,8 +241,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
         large = large.where(~still)
         if large.isEmpty():
             break
-        state = branch(large.join(sets.select("set_key", "sketch"), "set_key"), threshold)
-        state = state.select("path", "used", "set_key", F.col("n").alias("before"))
+        if depth == 2:  # from here on the few documents in large nodes carry their sketches along
+            large = large.join(sets.select("set_key", "sketch"), "set_key")
+        state = branch(large, threshold).select("path", "used", "set_key", "sketch", F.col("n").alias("before"))
     groups = [*groups, *[block_pairs(d) for d in dense]]
     union = groups[0]
     for g in groups[1:]:
