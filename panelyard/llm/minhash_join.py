@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import connected_components, written
 
-COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 250, 250, 16
+COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 1000, 1000, 16
+#: Shingles of a cluster whose texts travel together; a larger one is cut into pairs of blocks.
+CLUSTER_SHINGLES = 2_000_000
 _RNG = np.random.default_rng(20240521)
 SPREAD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASK = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
@@ -144,18 +146,27 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     col = np.cumsum(np.r_[0, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-    shared = np.bincount(col) > 1
-    keep = shared[col]
-    rows, col = rows[keep], np.cumsum(shared)[col[keep]] - 1
-    both = np.zeros((n, n), np.float32)
+    count = np.bincount(col) if len(col) else np.zeros(0, np.int64)
+    inter = np.zeros(n * n, np.int64)
+    # Shingles of many documents by a product of 0/1 matrices, those of few by pairs at each distance in their lists.
+    many = count > max(16, n // 16)
+    heavy = many[col]
     width = max(64, 2_000_000 // n)
-    edges = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else -1) + 1 + width, width))
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi > lo:
-            part = np.zeros((n, width), np.float32)
-            part[rows[lo:hi], col[lo:hi] % width] = 1
-            both += part @ part.T
-    inter = np.rint(both).astype(np.int64)
+    place = (np.cumsum(many) - 1)[col[heavy]]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(many.sum()), width):
+        inside = (place >= lo) & (place < lo + width)
+        part = np.zeros((n, min(width, int(many.sum()) - lo)), np.float32)
+        part[rows[heavy][inside], place[inside] - lo] = 1
+        both += part @ part.T
+    few, few_col = rows[~heavy], col[~heavy]
+    for gap in range(1, int(count[~many].max(initial=0))):
+        pair = few_col[gap:] == few_col[:-gap]
+        if not pair.any():
+            break
+        inter += np.bincount(few[:-gap][pair] * n + few[gap:][pair], minlength=n * n)
+    inter = inter.reshape(n, n)
+    inter = inter + inter.T + np.rint(both).astype(np.int64)
     percent = round(threshold * 100)
     out = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
     np.fill_diagonal(out, False)
@@ -224,7 +235,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     """
     spark = docs.sparkSession
     all_docs = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
+    sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     sets = written(sets, "sets")
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit("root")) for t in range(trees)])
     state = branch(branch(sets.withColumns({"path": F.explode(roots), "used": F.lit(0).cast("long")}), threshold), threshold)
@@ -251,12 +262,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     # Nodes of the same documents, as other trees have them, are compared once.
     nodes = union.groupBy("path").agg(F.array_sort(F.collect_set("set_key")).alias("keys")).where(F.size("keys") > 1)
     nodes = nodes.groupBy(F.xxhash64("keys").alias("h"), F.col("keys")).agg(F.first("path").alias("path"))
-    gathered = nodes.select("path", F.explode("keys").alias("set_key")).join(sets, "set_key")
+    gathered = nodes.select("path", F.explode("keys").alias("set_key")).join(sets.select("set_key", "sketch"), "set_key")
     gathered = gathered.groupBy("path").agg(F.collect_list(F.struct("set_key", "sketch")).alias("members")).select("members")
     clusters = candidate_clusters(gathered, threshold)
     clusters = written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("times")).select(F.monotonically_increasing_id().alias("c"), "cluster"), "clusters")
     wanted = clusters.select("c", F.explode("cluster").alias("set_key"))
-    ids = wanted.select("set_key").distinct().join(sets.select("set_key", "rep"), "set_key")
+    ids = written(wanted.select("set_key").distinct().join(sets.select("set_key", "rep", "n_shingles"), "set_key"), "wanted")
+    wanted = cut_to_size(wanted.join(ids.select("set_key", "n_shingles"), "set_key"))
     texts = texts_of(docs, ids, shingle, id_col, text_col)
     gathered = wanted.join(texts, "set_key").groupBy("c").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("texts")
     edges = written(confirmed_edges(gathered, shingle, threshold).distinct(), "links")
@@ -283,6 +295,15 @@ def texts_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str
     return found.join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
+def cut_to_size(wanted: DataFrame) -> DataFrame:
+    """c, set_key: clusters of up to CLUSTER_SHINGLES as they are, larger ones as pairs of blocks that hold every pair."""
+    total = wanted.groupBy("c").agg(F.sum("n_shingles").alias("total"))
+    blocks = F.when(F.col("total") > CLUSTER_SHINGLES, F.ceil(2 * F.col("total") / CLUSTER_SHINGLES)).otherwise(F.lit(1).cast("long"))
+    rows = wanted.join(total, "c").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
+    return rows.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("c"), "set_key")
+
+
 def block_pairs(dense: DataFrame) -> DataFrame:
     """path, set_key of groups of two blocks each, which together hold every pair of a node's documents.
 
@@ -290,5 +311,5 @@ def block_pairs(dense: DataFrame) -> DataFrame:
     """
     blocks = F.ceil(2 * F.col("n") / BLOCK)
     rows = dense.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
     return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "set_key")
