@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +92,32 @@ def _probes(s, d) -> DataFrame:
     return panel(s, d).select(F.concat(F.lit("user"), F.col("entity").cast("string")).alias("target"), F.col("ts").cast("timestamp").alias("observed_at"), (F.col("event_type") != "error").alias("ready"), digest.alias("digest"))
 
 
-def _streamed(s, df: DataFrame) -> DataFrame:
-    path = scratch(s, "stream")
-    df.coalesce(1).write.parquet(path)
-    return s.readStream.schema(df.schema).parquet(path)
+#: Batches in which a table arrives.
+BATCHES = 4
+
+
+def _arrivals(df: DataFrame, time: str) -> list[DataFrame]:
+    """df cut into BATCHES spans of time, earliest first; each row is in one of them, a null time in the first."""
+    first, last = df.agg(F.min(time), F.max(time)).first()
+    if first is None:
+        return [df]
+    cuts = [F.lit(first + (last - first) * i / BATCHES).cast(df.schema[time].dataType) for i in range(1, BATCHES)]
+    at = F.col(time)
+    spans = [at.isNull() | (at < cuts[0]), *[(at >= a) & (at < b) for a, b in itertools.pairwise(cuts)], at >= cuts[-1]]
+    return [df.where(span) for span in spans]
 
 
-def _finished(s, stream: DataFrame, mode: str = "append") -> DataFrame:
-    out = scratch(s, "streamed")
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", scratch(s, "progress")).trigger(availableNow=True).start().awaitTermination()
+def _finished(s, df: DataFrame, time: str, run: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """run's rows for a stream of df that arrives in order of time: files of its own partitioning for each span.
+
+    The stream runs to the end of a span's files before those of the next come, and resumes from its checkpoint, so
+    state passes from batch to batch.
+    """
+    path, out, progress = scratch(s, "stream"), scratch(s, "streamed"), scratch(s, "progress")
+    for part in _arrivals(df, time):
+        part.write.mode("append").parquet(path)
+        stream = run(s.readStream.schema(df.schema).parquet(path))
+        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(out)
 
 
@@ -108,7 +128,7 @@ SELECT target, arg_min(first_seen, observed_at) first_seen, min(observed_at) fin
 
 @query(sql(PROBES + RUNS))
 def stream_finalization(s, d):
-    out = _finished(s, monitors.stream_finalization(_streamed(s, _probes(s, d))))
+    out = _finished(s, _probes(s, d), "observed_at", monitors.stream_finalization)
     return out.select("target", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("final_at").cast("timestamp_ntz").alias("final_at"), "digest")
 
 
@@ -130,15 +150,17 @@ def stream_snapshot_ingest(s, d):
 
 @query(sql("SELECT event_id, target, ts < deadline usable FROM panel JOIN targets ON target = period + 1"))
 def stream_late_guard(s, d):
-    stream = _streamed(s, panel(s, d).select("event_id", "period", "ts"))
-    guarded = monitors.stream_late_guard(stream.join(F.broadcast(targets(s)), F.col("target") == F.col("period") + 1), "ts", "deadline")  # six targets
-    return _finished(s, guarded.select("event_id", "target", "usable"))
+    def guarded(stream: DataFrame) -> DataFrame:
+        due = stream.join(F.broadcast(targets(s)), F.col("target") == F.col("period") + 1)  # six targets
+        return monitors.stream_late_guard(due, "ts", "deadline").select("event_id", "target", "usable")
+
+    return _finished(s, panel(s, d).select("event_id", "period", "ts"), "ts", guarded)
 
 
 @query(sql("SELECT DISTINCT entity, period, event_type digest FROM panel"))
 def stream_dedup(s, d):
     rows = panel(s, d).select("entity", "period", F.col("event_type").alias("digest"), F.col("ts").cast("timestamp").alias("at"))
-    out = _finished(s, monitors.stream_dedup(_streamed(s, rows), ["entity", "period"], "digest", "at", "40 days"))
+    out = _finished(s, rows, "at", lambda stream: monitors.stream_dedup(stream, ["entity", "period"], "digest", "at", "40 days"))
     return out.select("entity", "period", "digest")
 
 

@@ -32,14 +32,15 @@ def finalized(observations: pd.DataFrame, first: tuple | None, minutes: int = ST
 def stream_finalization(stream: DataFrame, key: str = "target", minutes: int = STABLE_MINUTES) -> DataFrame:
     """key, first_seen, final_at, digest: emitted once per key when the same digest has stayed ready for minutes.
 
-    stream: key (string), observed_at, ready, digest.
+    stream: key (string), observed_at, ready, digest. A key's observations come in order of time from batch to batch;
+    inside a batch they are put in the order of batch_finalization, since files have none.
     """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = state.get if state.exists else None
         done = bool(kept and kept[2])
         first = (kept[0], kept[1]) if kept and kept[1] is not None else None
-        rows = pd.concat(list(batches)).sort_values("observed_at", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["observed_at", "digest"], kind="stable")
         if not done:
             first, final = finalized(rows, first, minutes)
             state.update((first[0] if first else None, first[1] if first else None, final is not None))
