@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.queries.base import query, scratch, t
 from panelyard.sources import readers, sinks
 
+#: The most rows of a document that is written to be read back.
+DOCUMENT_ROWS = 20_000
+
+
+def _documents(df: DataFrame, key: str, row_id: str) -> DataFrame:
+    """df with doc, the name of a document of its key: at most DOCUMENT_ROWS rows have the same key and doc.
+
+    A key of more rows is dealt to half full buckets by row_id, and the rows of a bucket are numbered, so that equal
+    ids can't fill a document either.
+    """
+    n = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = F.when(F.col("_n") <= DOCUMENT_ROWS, 1).otherwise(F.ceil(2 * F.col("_n") / DOCUMENT_ROWS))
+    dealt = df.join(n, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_bucket", F.pmod(F.xxhash64(row_id), buckets))
+    place = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(row_id)) - 1
+    return dealt.withColumn("doc", F.concat_ws("-", "_bucket", F.floor(place / DOCUMENT_ROWS))).drop("_key", "_n", "_bucket")
+
 
 @query("SELECT c_custkey id, c_name AS name, c_nationkey team, n_name team_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def scan_json_entities(s, d):
-    """One document per nation with its customers and its own lookup array."""
+    """Documents of a nation's customers, each with its own lookup array."""
     c = t(s, d, "customer").join(t(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    docs = c.groupBy("n_nationkey", "n_name").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("team"))).alias("elements"))
-    docs = docs.select("elements", F.array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("teams"), F.col("n_nationkey").alias("part"))
+    docs = _documents(c, "n_nationkey", "c_custkey").groupBy("n_nationkey", "n_name", "doc").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("team"))).alias("elements"))
+    docs = docs.select("elements", F.array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("teams"), F.col("n_nationkey").alias("part"), "doc")
     path = scratch(s, "entities")
     # A document per file, as captures have it.
-    docs.write.partitionBy("part").json(path)
+    docs.write.partitionBy("part", "doc").json(path)
     schema = "elements array<struct<id: bigint, name: string, team: int>>, teams array<struct<id: int, name: string>>"
     return readers.scan_json_entities(s, path, schema, "elements", [("teams", "id", "team", {"name": "team_name"})])
 
@@ -31,10 +48,10 @@ def scan_json_fixtures(s, d):
 
 @query("SELECT user_id file_id, event_id, value, TRUE AS file_id_matches FROM events", "value")
 def scan_json_histories(s, d):
-    """A file of history rows per user; the folder of each file names the user."""
+    """Files of a user's history rows; the folder of each file names the user."""
     path = scratch(s, "histories")
-    e = t(s, d, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("user_id").alias("element"), "event_id", "value")).alias("history"))
-    e.select("history", F.col("user_id").alias("part")).repartition("part").write.partitionBy("part").json(path)
+    e = _documents(t(s, d, "events"), "user_id", "event_id").groupBy("user_id", "doc").agg(F.collect_list(F.struct(F.col("user_id").alias("element"), "event_id", "value")).alias("history"))
+    e.select("history", F.col("user_id").alias("part"), "doc").write.partitionBy("part", "doc").json(path)
     schema = "history array<struct<element: bigint, event_id: bigint, value: double>>"
     return readers.scan_json_histories(s, path, schema, file_id=r"part=([0-9]+)/").select("file_id", "event_id", "value", "file_id_matches")
 

@@ -1,12 +1,13 @@
 """Queries do the whole job whatever the table's size: streams in several batches, documents of bounded size."""
 
+import json
 import uuid
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.queries import flows
+from panelyard.queries import flows, scans
 
 
 @pytest.fixture
@@ -45,3 +46,22 @@ def test_finalization_waits_across_batches(spark, events, folder):
     d = events([(1, "2024-01-01 00:00:00", 1, "view", 1.0), (1, "2024-01-20 00:00:00", 2, "click", 1.0), (2, "2024-01-02 00:00:00", 3, "view", 1.0), (2, "2024-01-12 00:00:00", 4, "error", 1.0), (2, "2024-01-30 00:00:00", 5, "view", 1.0)])
     got = [(r.target, str(r.first_seen), str(r.final_at), r.digest) for r in flows.stream_finalization(spark, d).collect()]
     assert got == [("user1", "2024-01-01 00:00:00", "2024-01-20 00:00:00", "a")]
+
+
+@pytest.mark.parametrize("most", [1, 7, 20_000])
+def test_json_documents_are_bounded(spark, events, folder, monkeypatch, most):
+    where = folder(scans)
+    monkeypatch.setattr(scans, "DOCUMENT_ROWS", most, raising=False)
+    # A hot user, copies of one id, and a row without a user.
+    rows = [(1 if i % 3 else i, "2024-01-01 00:00:00", i, "view", 1.0 * i) for i in range(90)] + [(5, "2024-01-01 00:00:00", 7, "view", 1.0)] * 30 + [(None, "2024-01-01 00:00:00", 99, "view", 1.0)]
+    got = sorted((r.file_id or -1, r.event_id, r.value, r.file_id_matches) for r in scans.scan_json_histories(spark, events(rows)).collect())
+    assert got == sorted((u or -1, i, v, True) for u, _, i, _, v in rows)
+    sizes = [len(json.loads(line)["history"]) for p in Path(where).glob("histories-*/**/*.json") for line in p.read_text().splitlines()]
+    assert sum(sizes) == len(rows) and max(sizes) <= most
+
+    spark.createDataFrame([(i, f"c{i}", i % 2) for i in range(40)], "c_custkey long, c_name string, c_nationkey int").write.parquet(str(where / "d" / "customer.parquet"))
+    spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey int, n_name string").write.parquet(str(where / "d" / "nation.parquet"))
+    got = sorted((r.id, r.name, r.team, r.team_name) for r in scans.scan_json_entities(spark, str(where / "d")).collect())
+    assert got == [(i, f"c{i}", i % 2, "AB"[i % 2]) for i in range(40)]
+    sizes = [len(json.loads(line)["elements"]) for p in Path(where).glob("entities-*/**/*.json") for line in p.read_text().splitlines()]
+    assert sum(sizes) == 40 and max(sizes) <= most
