@@ -24,7 +24,8 @@ TAG = re.compile(
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""",
     re.S,
 )
-NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute's name and value, or a quoted value without a name; what stands in a value is never a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -43,6 +44,11 @@ HARD_WORDS = frozenset(
     comments comment commentlist respond disqus reply replies widget widgets pagination pager complementary contentinfo
     search dialog alertdialog status warning disclaimer copyright toolbar skip""".split()
 )
+#: Those that layouts and states of whole pages and articles are named for, too.
+WEAK_WORDS = frozenset("status sidebar rail widget widgets search notice notices alert alerts warning share sharing social login overlay toolbar skip".split())
+WRAPPERS = frozenset("layout wrapper wrap container page site columns row grid".split())
+#: First words of an article's classes for its state and subjects.
+SUBJECTS = frozenset("status type format category tag comments".split())
 SOFT_WORDS = frozenset("form side modal tags meta".split())
 #: Words that name a page's head, which inside main content is the article's own.
 HEAD_WORDS = frozenset("header head banner".split())
@@ -53,29 +59,43 @@ NOT_OWN = frozenset("has with without no".split())
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "hard", "soft", "heading", "page_has_main")
 
 
-def standing(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
-    """Whether an element opens main content, a part that is none for sure, a likely one, and a page's head."""
+def standing(name: str, attrs: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether an element opens main content, a part that is none for sure, a likely one, a page's head, and a part that is none unless an article or main element stands in it.
+
+    Names are judged token by token. Beside a token of content, or on an article or main element, weak words don't
+    count, nor do tokens for a post's state and subjects; beside a wrapper's token, weak words inside longer tokens don't.
+    """
     hard, soft, main, head = name in HARD, name in SOFT, name in MAIN, name == "header"
     if not attrs or name in ("html", "body"):
-        return main, hard, soft, head
-    for key, a, b, c in NAMED.findall(attrs):
+        return main, hard, soft, head, False
+    tokens = []
+    for key, a, b, c in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("hidden", "aria-hidden"):
             hard |= value.lower() != "false"
         elif key == "style":
             hard |= "display:none" in value.replace(" ", "").lower()
-        else:
-            words = set(PARTS.split(CAMEL.sub("-", value).lower()))
-            if words & NOT_OWN:
-                continue
-            hard |= bool(words & HARD_WORDS)
-            soft |= bool(words & SOFT_WORDS) and not words & CONTENT_WORDS
-            head |= bool(words & HEAD_WORDS) and not words & CONTENT_WORDS
-            main |= bool(words & MAIN_WORDS) and name not in INLINE and not words & (HARD_WORDS | SOFT_WORDS | HEAD_WORDS)
-    return main and not hard, hard, soft, head
-
-
-NOWHERE = ("", False, False, False, False)
+        elif key in ("class", "id", "role"):
+            split = [PARTS.split(CAMEL.sub("-", token).lower().strip("-_")) for token in value.split()]
+            tokens += [(key, token) for token in split if not NOT_OWN & set(token)]
+    content = name in MAIN or any(CONTENT_WORDS & set(token) and not (HARD_WORDS | SOFT_WORDS | HEAD_WORDS) & set(token) for _, token in tokens)
+    if content:
+        tokens = [(key, token) for key, token in tokens if len(token) == 1 or token[0] not in SUBJECTS]
+    wrapper = any(WRAPPERS & set(token) and not HARD_WORDS & set(token) for _, token in tokens)
+    weak = named = False
+    words = {key: {word for k, token in tokens if k == key for word in token} for key in ("class", "id", "role")}
+    for key, token in tokens:
+        own = set(token)
+        hard |= bool(own & (HARD_WORDS if key == "role" else HARD_WORDS - WEAK_WORDS))
+        weak |= bool(own & WEAK_WORDS) and not content and not (wrapper and len(token) > 1)
+    for own in words.values():
+        soft |= bool(own & SOFT_WORDS) and not own & CONTENT_WORDS
+        head |= bool(own & HEAD_WORDS) and not own & CONTENT_WORDS
+        named |= bool(own & MAIN_WORDS) and name not in INLINE and not own & (HARD_WORDS | SOFT_WORDS | HEAD_WORDS)
+    return (main or named) and not hard and not weak, hard, soft, head, weak
+
+
+NOWHERE = ("", False, False, False, False, False)
 
 
 class Blocks:
@@ -84,7 +104,7 @@ class Blocks:
     def __init__(self, page: str):
         self.texts: list[str] = []
         self.rows: list[list[float]] = []
-        self.stack: list[tuple[str, bool, bool, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, bool, bool, bool]] = []
         self.pieces: list[str] = []
         self.linked: list[str] = []
         self.in_link = False
@@ -95,14 +115,15 @@ class Blocks:
         self.look_around()
 
     def place(self) -> None:
-        """Where text stands now; main content undoes softer parts around it, never the hard ones."""
-        main = hard = soft = False
-        for _, m, h, s, head in [*self.stack, self.own]:
+        """Where text stands now; main content undoes softer parts around it, an article or main element weak ones, nothing the hard ones."""
+        main = hard = soft = weak = False
+        for name, m, h, s, head, w in [*self.stack, self.own]:
             hard |= h
+            weak = w or weak and not (m and name in MAIN)
             s |= head and not main
-            soft = (soft or s) if not m or hard else s
-            main |= m and not hard
-        self.flags = (main, hard, soft)
+            soft = (soft or s) if not m or hard or weak else s
+            main |= m and not hard and not weak
+        self.flags = (main, hard or weak, soft)
 
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.pieces)).split()) if self.pieces else ""
@@ -209,6 +230,8 @@ def labelled_pages() -> list[str]:
                 f"<nav>{links(4)}</nav><article><h1><a href='/'>{KEEP}{'head ' * n}</a></h1>{p(m)}<p><a href='/'>{KEEP}{'word ' * m}</a></p>{p(n)}</article>",
                 f"<main>{p(n)}<ul><li><a href='/'>{KEEP}{'word ' * n}</a></li></ul>{p(m)}<p><a href='/'>{KEEP}{'word ' * n}</a></p></main>",
                 f"<form class='search'>{p(n, False)}</form><main><article>{main}<aside>{other}</aside>{p(n)}</article></main><div class='newsletter'>{p(m, False)}</div>",
+                f"<div class='layout right-sidebar'>{links(4)}<article class='post type-post status-publish hentry'>{main}</article><div class='sidebar'>{other}</div></div><footer>{other}</footer>",
+                f"<div class='left-sidebar'><main title='The hidden valley'>{main}<div class='widget'>{p(m, False)}</div>{p(n)}</main><div class='widget'>{other}</div></div>",
             ]
             if min(n, m) >= 12:
                 out.append(f"<div>{links(7)}</div><div>{p(3, False)}</div><div><h1>{KEEP}{'head ' * 6}</h1>{p(n)}{p(m)}{p(n)}</div><div>{links(4)}</div><div>{p(2, False)}</div>")

@@ -34,6 +34,21 @@ def test_main_text(tree):
     assert got == ["Title & so", "First para here.", "Second link text more.", "item one", "item two", "quote" if "quote" in got else "a b", "1 < 2 é"]
 
 
+@pytest.mark.parametrize("opening", [
+    '<article title="The hidden valley">', '<article aria-label="Hidden costs">', '<article data-hidden-count="3">', "<article data-x='a hidden b' data-style=\"display:none\">",
+    '<article class="post type-post status-publish hentry category-advertising tag-cookies comments-open">', '<article class="post widget">', '<div class="layout right-sidebar"><article>', '<div class="right-sidebar"><main>',
+    '<div id="wrapper" class="search-results"><article>', '<div class="post status-publish">', '<div class="post no-sidebar">',
+])
+def test_wrappers_keep_the_article(tree, opening):
+    ends = "".join(f"</{n}>" for n in reversed(re.findall(r"<(\w+)", opening)))
+    assert html_text.main_text(f"<nav><a href=x>Home</a></nav>{opening}<h1>The head</h1><p>Some text of it.</p>{ends}<footer>foot</footer>", tree) == "The head\n\nSome text of it."
+
+
+@pytest.mark.parametrize("opening", ['<div class="sidebar">', '<div class="right-sidebar">', '<div class="sidebar container">', '<div class="search-widget">', "<p hidden>", "<p title=x hidden=''>", '<p aria-hidden="true">', '<p style="display: none">', '<div role="search">', '<div class="post-navigation">', '<div class="content ad">', '<article class="comment status-publish">', '<aside><article class="post">'])
+def test_other_parts_stay_out(tree, opening):
+    assert html_text.main_text(f"<main><p>Some text of it.</p></main>{opening}other words are here", tree) == "Some text of it."
+
+
 def test_held_out_labels(tree):
     """Every fifth labelled page is left out of the training; its blocks are classified right."""
     pages = html_text.labelled_pages()
