@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and strings that a character Markov model of random strings explains better.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples by counting bigrams. A candidate is a long run of key characters; where the log-likelihood ratio of the models
-per character passes a threshold, it is reported. All of it is column expressions: matches and the text between them
-give the places, and a candidate's score is summed over an array that holds the log ratio of every pair of characters.
+samples by counting bigrams. A candidate is a long run of key characters outside the fixed patterns' matches. In it,
+the stretches of words (between separators) with the highest log-likelihood ratio of the models are looked for, so that
+the text around a secret doesn't hide it; where the ratio per character passes a threshold, a stretch is reported. All
+of it is column expressions: matches and the text between them give the places, and scores are summed over an array
+that holds the log ratio of every pair of characters.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of candidates, in the order of their codes in the models.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Words of a candidate, with the signs that pad base64 or set a value apart.
+WORD = "[A-Za-z0-9]+=*"
+#: Words after its first that a stretch is looked for in; LEAST characters have at most half as many words.
+REACH = 24
 
 #: Labelled sample of ordinary identifiers, paths and words.
 IDENTIFIERS = """
@@ -109,12 +116,95 @@ def places(text: Column, pattern: str, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.flatten(F.transform(steps, spans))).otherwise(none)
 
 
-def score(value: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio per step of a run of ALPHABET's characters."""
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def gains(value: Column, ratios: list[float], threshold: float) -> Column:
+    """The log-likelihood ratio less threshold of every pair of neighbours in a run of ALPHABET's characters."""
     table = F.expr("cast(split('" + ",".join(f"{x:.4f}" for x in ratios) + "', ',') as array<double>)")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i) * len(ALPHABET) + code(i + 1)))
-    return total / (F.length(value) - 1)
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return let(codes, lambda c: F.transform(F.sequence(F.lit(0), F.length(value) - 2), lambda i: F.get(table, F.get(c, i) * len(ALPHABET) + F.get(c, i + 1)) - threshold))
+
+
+def gain(pairs: Column, start: Column, end: Column) -> Column:
+    """The sum of gains inside the characters from start to end, exclusive."""
+    return F.aggregate(F.slice(pairs, start + 1, end - start - 1), F.lit(0.0), lambda n, x: n + x)
+
+
+STRETCHES = "array<struct<start: int, end: int>>"
+
+
+def stretches(value: Column, ratios: list[float], threshold: float) -> Column:
+    """Start and end of what in a run of ALPHABET's characters looks random: array, in order and apart.
+
+    From every word on, the stretch of LEAST or more characters and whole words with the highest gain is taken, up to
+    where its gain becomes negative. One that a later, better one overlaps began with ordinary words and is left out;
+    the others are joined where they overlap. Where there is none, the run as a whole is judged.
+    """
+    none = F.lit(-1e9)
+
+    def words(pairs: Column) -> Column:
+        between = lambda p, x, i: F.when(i > 0, gain(pairs, F.get(p, i - 1)["end"] - 1, x["start"] + 1)).otherwise(0.0)
+        one = lambda p, x, i: F.struct(x["start"], x["end"], gain(pairs, x["start"], x["end"]).alias("own"), between(p, x, i).alias("gap"))
+        return let(places(value, WORD, "random"), lambda p: F.transform(p, lambda x, i: one(p, x, i)))
+
+    def best_from(w: Column, x: Column, i: Column) -> Column:
+        def add(acc: Column, y: Column) -> Column:
+            def take(now: Column) -> Column:
+                enough = y["end"] - acc["start"] >= LEAST
+                done = acc["done"] | (enough & (now < 0))
+                better = ~done & enough & (now > acc["best"])
+                return F.struct(acc["start"], F.when(better, y["end"]).otherwise(acc["end"]).alias("end"), now.alias("now"), F.when(better, now).otherwise(acc["best"]).alias("best"), done.alias("done"))
+
+            return let(acc["now"] + y["gap"] + y["own"], take)
+
+        alone = F.when(x["end"] - x["start"] >= LEAST, x["own"]).otherwise(none)
+        first = F.struct(x["start"], x["end"], x["own"].alias("now"), alone.alias("best"), F.lit(False).alias("done"))
+        return F.aggregate(F.slice(w, i + 2, F.lit(REACH)), first, add)
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(F.coalesce(last["end"] > x["start"], F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(x["start"], x["end"]))))
+
+    def apart(hits: Column) -> Column:
+        beaten = lambda x, i: F.exists(F.slice(hits, i + 2, F.lit(REACH)), lambda y: (y["start"] < x["end"]) & (y["best"] > x["best"]))
+        return F.aggregate(F.filter(hits, lambda x, i: ~beaten(x, i)), F.array().cast(STRETCHES), join)
+
+    def found(pairs: Column) -> Column:
+        hits = let(words(pairs), lambda w: F.filter(F.transform(w, lambda x, i: best_from(w, x, i)), lambda x: x["best"] >= 0))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
+        judged = F.when(gain(pairs, F.lit(0), F.length(value)) >= 0, whole).otherwise(F.array().cast(STRETCHES))
+        return let(let(hits, apart), lambda out: F.when(F.size(out) > 0, out).otherwise(judged))
+
+    return let(gains(value, ratios, threshold), found)
+
+
+def outside(run: Column, base: Column) -> Column:
+    """The parts of run, LEAST or more characters long, between the spans of base: array of start, end, value."""
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    ends = F.array(F.struct(run["end"].alias("start"), run["end"].alias("end")))
+
+    def cut(acc: Column, b: Column) -> Column:
+        part = F.struct(acc["at"].alias("start"), b["start"].alias("end"))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] - acc["at"] >= LEAST, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"]).alias("parts"))
+
+    spans = F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    parts = F.aggregate(F.concat(spans, ends), F.struct(run["start"].alias("at"), F.array().cast(STRETCHES).alias("parts")), cut)["parts"]
+    return F.transform(parts, lambda p: F.struct(p["start"], p["end"], F.substring(run["value"], p["start"] - run["start"] + 1, p["end"] - p["start"]).alias("value")))
+
+
+def random_spans(runs: Column, base: Column, ratios: list[float], threshold: float) -> Column:
+    """Spans of the stretches of runs that look random, outside base."""
+
+    def span(part: Column, x: Column) -> Column:
+        start, end = part["start"] + x["start"], part["start"] + x["end"]
+        return F.struct(start.alias("start"), F.lit(KINDS.index("random")).alias("kind"), end.alias("end"), F.substring(part["value"], x["start"] + 1, x["end"] - x["start"]).alias("value"))
+
+    parts = F.flatten(F.transform(runs, lambda run: outside(run, base)))
+    return F.flatten(F.transform(parts, lambda part: F.transform(stretches(part["value"], ratios, threshold), lambda x: span(part, x))))
 
 
 def joined(spans: Column) -> Column:
@@ -125,8 +215,8 @@ def joined(spans: Column) -> Column:
 def secret_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.1, labelled: DataFrame | None = None) -> DataFrame:
     """docs with base and spans: arrays of start, kind, end, value in the order of start, then kind.
 
-    base holds the fixed patterns' matches; spans holds these and the random strings outside them whose mean
-    log-likelihood ratio per character is at least threshold (nats). kind counts in KINDS. Null and empty texts have
+    base holds the fixed patterns' matches; spans holds these and the random strings outside them, of LEAST or more
+    characters, whose mean log-likelihood ratio per character is at least threshold (nats). kind counts in KINDS. Null and empty texts have
     none; repeated rows are scanned alike; columns of docs named base or spans are replaced. One pass over the texts
     without a shuffle; labelled (text, random) replaces the built-in training table.
     """
@@ -134,7 +224,5 @@ def secret_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.1
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assign = F.filter(places(text, ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= 8)
     base = F.array_sort(F.concat(assign, places(text, ACCESS, "access"), places(text, HEX, "hex")))
-    likely = F.filter(places(text, CANDIDATE, "random"), lambda x: ~F.regexp_like(x["value"], F.lit(f"^{HEX}$")) & (score(x["value"], ratios) >= threshold))
-    out = docs.withColumns({"base": base, "_likely_spans": likely})
-    clear = F.filter("_likely_spans", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", clear))).drop("_likely_spans")
+    out = docs.withColumns({"base": base, "_runs": places(text, CANDIDATE, "random")})
+    return out.withColumn("spans", F.array_sort(F.concat("base", random_spans(F.col("_runs"), F.col("base"), ratios, threshold)))).drop("_runs")
