@@ -4,7 +4,7 @@ A record's payload becomes rows (record, chunk number, bytes) of bounded size. T
 the others are the standard's continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID), so a payload of any
 size crosses the writer in pieces. A record is one line of a text file whose line end is the standard's record end;
 reading splits at a record end that a version line follows, so that one archive can be read by many tasks. Chunks are
-cut so that no chunk holds that mark. Payloads of one chunk are digested by a column expression; those of more are
+cut so that no chunk holds that mark, nor makes it with the header's end before it or the record end behind it. Payloads of one chunk are digested by a column expression; those of more are
 digested incrementally over their rows in chunk order.
 """
 
@@ -21,9 +21,9 @@ from panelyard.llm.shared import scratch_path, written
 
 VERSION = "WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
-#: A payload is cut inside this mark, after its first 6 characters.
+#: A chunk is cut inside this mark, after its first 6 characters; its line ends may be those around the chunk.
 MARK = RECORD_END + VERSION
-CUT = r"(?<=\r\n\r\nWA)(?=RC/1\.1\r\n)"
+CUT = r"(?<=(?:\r\n\r\n|\A\r\n|\A)WA)(?=RC/1\.1(?:\r\n|\z))"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -43,10 +43,10 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     first = written(first.where("_n > 1 and _first is not null").drop("_n"), "payloads")
     rows = rows.join(first, "payload_digest", "left").withColumn("_row", F.monotonically_increasing_id())
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    # Cut at the mark, then to size; a revisit has one empty chunk.
+    # Cut to size, then at the mark, which the ends of a chunk can make; a character is a byte there. A revisit has one empty chunk.
     pieces = F.expr(f"""
-        flatten(transform(split(decode(_payload, 'UTF-8'), {_sql(CUT)}, -1), p ->
-            transform(sequence(0, greatest(octet_length(p) - 1, 0) div {chunk_bytes}), i -> substring(encode(p, 'UTF-8'), cast(i * {chunk_bytes} + 1 as int), {chunk_bytes}))))
+        flatten(transform(sequence(0, greatest(octet_length(_payload) - 1, 0) div {chunk_bytes}), i ->
+            transform(split(decode(substring(_payload, cast(i * {chunk_bytes} + 1 as int), {chunk_bytes}), 'ISO-8859-1'), {_sql(CUT)}, -1), p -> encode(p, 'ISO-8859-1'))))
     """)
     rows = rows.select(
         "page_id",

@@ -128,6 +128,16 @@ def test_archives_round_trip(spark, tmp_path, chunk_bytes):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk_bytes", [7, 64, 1 << 18])
+def test_payloads_may_be_archives(spark, chunk_bytes):
+    version = warc.VERSION
+    dump = version + "WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    texts = [version, version + "x", dump * 3, "\r\n" + dump, "q" * 64 + version + "é", "q" * 62 + "\r\n" + dump, "x\r\n\r\nWARC/1.1", "WARC/1.1", "\r\nWARC/1.1", "WARC/1.1\r", "q" * 64 + "WARC/1.1", "é" * 32 + dump, "a", "\r\n\r\n" + dump]
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    out = warc.round_trip(df, chunk_bytes=chunk_bytes).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.intact) for r in out) == [(i, len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), True) for i, t in enumerate(texts)]
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on sf0.001 against what it should keep."""
     d = "/root/testdata/sf0.001"
