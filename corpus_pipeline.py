@@ -27,10 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity of 0.8 or more; the smallest id stays."""
-    found = similar_documents(docs, shingle=5, threshold=0.8)
-    gone = written(found.where(~F.col("kept")).select("doc_id"), "copies")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies: five-word shingles, similarity of 0.8 or more.
+
+    The row of the smallest id stays, one without an id only where all are, and of equal ids the first in the table.
+    docs is read several times and its rows are matched by their place, as in mixed().
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    found = similar_documents(placed.select(key.alias("key"), "text"), shingle=5, threshold=0.8, id_col="key")
+    gone = written(found.where(~F.col("kept")).select(F.col("key.row").alias("_row")), "copies")
+    return placed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

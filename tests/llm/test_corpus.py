@@ -138,6 +138,14 @@ def test_payloads_may_be_archives(spark, chunk_bytes):
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.intact) for r in out) == [(i, len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), True) for i, t in enumerate(texts)]
 
 
+def test_near_duplicates_decide_row_by_row(spark, tmp_path):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a") + " end"), (None, text("a")), (3, text("b")), (4, text("b")), (4, text("c")), (None, text("d")), (None, text("d")), (None, text("e")), (5, text("e")), (6, ""), (6, ""), (None, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(1, text("a")), (3, text("b")), (4, text("c")), (None, text("d")), (5, text("e")), (6, ""), (6, ""), (None, None)])
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on sf0.001 against what it should keep."""
     d = "/root/testdata/sf0.001"
