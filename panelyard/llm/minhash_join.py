@@ -3,14 +3,20 @@
 Every document's shingle set is sketched by minwise values, one per coordinate; documents with equal sets are one from
 there on. Independent trees branch the sketches: a node picks a coordinate by a hash of its path, now and then a
 second one (1/threshold on average, so that a pair at the threshold keeps one common child), and parts its documents by
-their value there. Nodes small enough are compared exhaustively; larger ones branch again. Nodes that no longer shrink
-hold near copies of one text and are compared in blocks, block against block. Sketches choose the documents that need
-their texts, and links are confirmed on full shingle sets. Only a spanning forest of a node's links leaves its task.
+their value there. Nodes small enough are compared exhaustively; larger ones branch again. Sketches choose the documents
+that need their texts, and links are confirmed on full shingle sets.
+
+Only components are wanted, so large groups of near copies are linked to a pivot each first, by confirmed links. What is
+left inside such a group is found by differences from the pivot: a document that doesn't link to the pivot can only
+link to one with which it shares a good part of that one's difference. Trees then need no comparison inside a group: in
+a large node whose commonest group leaves few others, these are compared with blocks of that group. So rows grow with
+documents, not with pairs. What is still large and mixed in the deepest level is compared exactly, block against block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import connected_components, written
-
-COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 1000, 1000, 16
-#: Shingles of a cluster whose texts travel together; a larger one is cut into pairs of blocks.
-CLUSTER_SHINGLES = 2_000_000
+from panelyard.llm.shared import connected_components, dropped, keyed_join, lowest, tidied, written
+
+COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 250, 1000, 16
+#: Coordinates of a band and bands of a sketch that show groups of near copies, and how often pivots are looked for.
+BAND, BANDS, PIVOT_ROUNDS = 4, 8, 3
+#: Least similarity to its pivot at which a document counts as one of the pivot's group, and the differences that it is looked up by.
+GROUP_SIMILARITY, PROBES = 0.5, 16
+#: Size of a cluster whose texts travel together, in shingles or 8 characters of text; a larger one is cut into pairs of blocks.
+CLUSTER_SIZE = 2_000_000
+#: Chance that a pair right at the threshold is lost, for the trees and for the sketches' agreement each.
+MISS = 1e-4
 _RNG = np.random.default_rng(20240521)
 SPREAD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASK = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
@@ -66,23 +78,25 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (digest of the shingle set), sketch per row of docs; one map over the texts."""
+    """id, n_shingles, set_key (digest of the shingle set), weight (shingles, or characters / 8 if more), sketch per row of docs; one map over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, low = [], [], []
+            sizes, weights, keys, low = [], [], [], []
             for x in batch.column(1):
-                s = shingle_set(x.as_py(), k)
+                text = x.as_py() or ""
+                s = shingle_set(text, k)
                 sizes.append(len(s))
+                weights.append(max(len(s), len(text) // 8))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 low.append(minwise(s) if len(s) else np.zeros(COORDINATES, np.uint32))
             flat = pa.array(np.concatenate(low).view(np.int32) if low else np.zeros(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * COORDINATES), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["id", "n_shingles", "set_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(weights, pa.int64()), lists], names=["id", "n_shingles", "set_key", "weight", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, n_shingles bigint, set_key binary, sketch array<int>")
+    return picked.mapInArrow(run, f"id {kind}, n_shingles bigint, set_key binary, weight bigint, sketch array<int>")
 
 
 def branch(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -109,8 +123,21 @@ def branch(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def agreement_floor(threshold: float) -> int:
-    """Least number of equal coordinates that a pair at the threshold falls short of with a chance under 1e-5."""
-    return int(np.floor(COORDINATES * threshold - 4.3 * np.sqrt(COORDINATES * threshold * (1 - threshold))))
+    """Greatest number of equal coordinates that a pair at the threshold falls short of with a chance of MISS / 10 at most."""
+    below, floor = 0.0, 0
+    while True:
+        below += math.comb(COORDINATES, floor) * threshold**floor * (1 - threshold) ** (COORDINATES - floor)
+        if below > MISS / 10:
+            return floor
+        floor += 1
+
+
+def trees_for(depth: int, threshold: float) -> int:
+    """How many trees lose a pair right at the threshold with a chance of MISS at most, when it is parted depth times."""
+    alive, second = 1.0, 1.0 / threshold - 1.0
+    for _ in range(depth):
+        alive = 1.0 - (1.0 - threshold * alive) * (1.0 - second * threshold * alive)
+    return math.ceil(math.log(MISS) / math.log(1.0 - alive))
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -127,14 +154,13 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(low[i])) for i in range(n) if low[i] != i]
 
 
-def agreeing(sketch: np.ndarray, floor: int) -> np.ndarray:
-    """Pairs of rows that agree in floor coordinates or more."""
-    n = len(sketch)
-    if n <= 40:
-        return (sketch[:, None, :] == sketch[None, :, :]).sum(axis=2) >= floor
-    same = np.zeros((n, n), np.uint8)
-    for c in range(sketch.shape[1]):
-        same += sketch[:, c, None] == sketch[None, :, c]
+def agreeing(left: np.ndarray, right: np.ndarray, floor: int) -> np.ndarray:
+    """Pairs of a row of left and one of right that agree in floor coordinates or more."""
+    if len(left) * len(right) <= 1600:
+        return (left[:, None, :] == right[None, :, :]).sum(axis=2) >= floor
+    same = np.zeros((len(left), len(right)), np.uint8)
+    for c in range(left.shape[1]):
+        same += left[:, c, None] == right[None, :, c]
     return same >= floor
 
 
@@ -178,33 +204,52 @@ def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def candidate_clusters(groups: DataFrame, threshold: float) -> DataFrame:
-    """cluster: sorted set keys that their sketches hold together, for groups(members: array of set_key, sketch)."""
+    """cluster: sorted set keys that their sketches hold together, for groups(members: array of set_key, sketch, cls).
+
+    Documents of one class are linked already and not compared.
+    """
     floor = agreement_floor(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = lists(batch.column(0))
-            keys, low = values.field("set_key"), values.field("sketch")
+            keys, low, classes = values.field("set_key"), values.field("sketch"), values.field("cls").to_numpy(zero_copy_only=False)
             out = []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                part = low.slice(a, b - a)
-                own = part.flatten().to_numpy(zero_copy_only=False).reshape(b - a, COORDINATES)
+                own = low.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, COORDINATES)
+                cls = classes[a:b]
                 names = keys.slice(a, b - a).to_pylist()
-                close = agreeing(own, floor)
-                np.fill_diagonal(close, False)
+                # The commonest class comes last and is only compared with the others.
+                kinds, which, count = np.unique(cls, return_inverse=True, return_counts=True)
+                order = np.argsort(which == count.argmax(), kind="stable")
+                own, cls = own[order], cls[order]
+                few = max(1, int(b - a - count.max()))
+                close = agreeing(own[:few], own, floor) & (cls[:few, None] != cls[None, :])
                 if not close.any():
                     continue
-                root = np.arange(b - a)
-                for i, j in forest(close):
-                    root[i] = j
-                for r in np.unique(root):
-                    if (members := np.flatnonzero(root == r)).size > 1:
-                        out.append(sorted(names[i] for i in members))
+                for members in held_together(close):
+                    out.append(sorted(names[order[i]] for i in members))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], names=["cluster"])
 
     return groups.mapInArrow(run, "cluster array<binary>")
 
 
+def held_together(close: np.ndarray) -> list[np.ndarray]:
+    """Groups of two or more rows that close holds together, for a matrix of the first rows against all rows."""
+    few, n = close.shape
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        new[:few] = np.minimum(low[:few], np.where(close, low[None, :], n).min(axis=1))
+        new = np.minimum(new, np.where(close, new[:few, None], n).min(axis=0))
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    order = np.argsort(low, kind="stable")
+    return [g for g in np.split(order, np.flatnonzero(np.diff(low[order])) + 1) if len(g) > 1]
+
+
 def confirmed_edges(clusters: DataFrame, k: int, threshold: float) -> DataFrame:
     """a, b: a spanning forest of each cluster's links, for clusters(texts: array of set_key, text)."""
 
@@ -223,87 +268,207 @@ def confirmed_edges(clusters: DataFrame, k: int, threshold: float) -> DataFrame:
     return clusters.mapInArrow(run, "a binary, b binary")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
-    """id, n_shingles, component_id, kept per row of docs.
+def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """set_key, pivot, link, token, whole for parts(pivot, texts: array of set_key, text).
 
-    Links join documents whose sets of `shingle`-word shingles have a Jaccard similarity of threshold or more
-    (taken in whole hundredths). component_id is the smallest id reachable by links, kept says that it is the
-    document's own. Documents without words have an empty set, link with nothing and are their own component; so is
-    a document with a null id, unless it has links. Rows with equal sets are linked, repeated rows too. An empty
-    table gives an empty result. Links are found with a chance of at least 0.999 for a pair right at the threshold
-    (12 trees; see the module's tests), and each link is confirmed on full sets.
+    Rows with a link are a spanning forest of a part's links. The others are differences (shingles in only one of the two
+    sets) of the documents that are of the pivot's group: all of those of a document that doesn't link to the pivot
+    (whole), the PROBES smallest ones by hash of one that does. For x without a link to the pivot, a link of x and y calls
+    for common differences: threshold / (1 + threshold) of y's at least, so a probe meets x with that chance each.
     """
-    spark = docs.sparkSession
-    all_docs = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-    sets = written(sets, "sets")
-    roots = F.array(*[F.xxhash64(F.lit(t), F.lit("root")) for t in range(trees)])
-    state = branch(branch(sets.withColumns({"path": F.explode(roots), "used": F.lit(0).cast("long")}), threshold), threshold)
-    state = state.select("path", "used", "set_key", F.lit(0).cast("long").alias("before"))
-    groups, dense = [], []
-    for depth in range(2, MAX_DEPTH + 1):
-        sizes = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        state = written(state.join(sizes, "path"), "nodes")
-        groups.append(state.where(F.col("n") <= LEAF).select("path", "set_key"))
-        large = state.where(F.col("n") > LEAF)
-        # A node that keeps nearly all of its parent's documents is one of near copies.
-        still = (F.col("before") > 0) & (F.col("n") > 0.95 * F.col("before")) | F.lit(depth == MAX_DEPTH)
-        dense.append(large.where(still).select("path", "set_key", "n"))
-        large = large.where(~still)
-        if large.isEmpty():
-            break
-        if depth == 2:  # from here on the few documents in large nodes carry their sketches along
-            large = large.join(sets.select("set_key", "sketch"), "set_key")
-        state = branch(large, threshold).select("path", "used", "set_key", "sketch", F.col("n").alias("before"))
-    groups = [*groups, *[block_pairs(d) for d in dense]]
-    union = groups[0]
-    for g in groups[1:]:
-        union = union.union(g)
-    # Nodes of the same documents, as other trees have them, are compared once.
-    nodes = union.groupBy("path").agg(F.array_sort(F.collect_set("set_key")).alias("keys")).where(F.size("keys") > 1)
-    nodes = nodes.groupBy(F.xxhash64("keys").alias("h"), F.col("keys")).agg(F.first("path").alias("path"))
-    gathered = nodes.select("path", F.explode("keys").alias("set_key")).join(sets.select("set_key", "sketch"), "set_key")
-    gathered = gathered.groupBy("path").agg(F.collect_list(F.struct("set_key", "sketch")).alias("members")).select("members")
-    clusters = candidate_clusters(gathered, threshold)
-    clusters = written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("times")).select(F.monotonically_increasing_id().alias("c"), "cluster"), "clusters")
-    wanted = clusters.select("c", F.explode("cluster").alias("set_key"))
-    ids = written(wanted.select("set_key").distinct().join(sets.select("set_key", "rep", "n_shingles"), "set_key"), "wanted")
-    wanted = cut_to_size(wanted.join(ids.select("set_key", "n_shingles"), "set_key"))
-    texts = texts_of(docs, ids, shingle, id_col, text_col)
-    gathered = wanted.join(texts, "set_key").groupBy("c").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("texts")
-    edges = written(confirmed_edges(gathered, shingle, threshold).distinct(), "links")
-    member = connected_components(edges).join(sets.select(F.col("set_key").alias("node"), "rep"), "node")
-    low = member.groupBy("component").agg(F.min("rep").alias("low"))
-    low = member.join(low, "component").select(F.col("node").alias("set_key"), "low")
-    low = sets.select("set_key", "rep").join(low, "set_key", "left").select("set_key", F.coalesce("low", "rep").alias("low"))
-    out = all_docs.select("id", "n_shingles", "set_key").join(low, "set_key", "left")
-    component = F.coalesce("low", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-
-
-def texts_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """set_key, text: one text for each set in ids(set_key, rep). Found by id; the text's own set decides, so ids may repeat or be null."""
+    names = ["set_key", "pivot", "link", "token", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s := shingle_set(x.as_py(), k)) else None for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["set_key", "text"])
-
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    picked = picked.join(ids.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    found = picked.select("text").mapInArrow(run, "set_key binary, text string")
-    return found.join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+            offsets, values = lists(batch.column(1))
+            keys, texts = values.field("set_key"), values.field("text")
+            for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                pivot = batch.column(0)[row].as_py()
+                own = keys.slice(a, b - a).to_pylist()
+                if pivot not in own:
+                    continue
+                order = sorted(range(b - a), key=lambda i: (own[i] != pivot, own[i]))
+                own = [own[i] for i in order]
+                sets = [shingle_set(texts[int(a + i)].as_py(), k) for i in order]
+                links = linked(sets, threshold)
+                edges = forest(links)
+                salt = np.uint64(xxhash.xxh3_64_intdigest(pivot))
+                tokens, counts, whole = [], [0], [False]
+                for i in range(1, len(sets)):
+                    apart = np.setxor1d(sets[i], sets[0], assume_unique=True)
+                    both = (len(sets[i]) + len(sets[0]) - len(apart)) / 2
+                    mixed = np.sort((apart ^ salt) * SPREAD[1]) if both >= GROUP_SIMILARITY * (both + len(apart)) else apart[:0]
+                    tokens.append(mixed[:PROBES] if links[i, 0] else mixed)
+                    counts.append(len(tokens[-1]))
+                    whole.append(not links[i, 0])
+                token = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
+                place = np.repeat(np.arange(len(sets)), counts)
+                n = len(edges)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([own[i] for i, _ in edges] + [own[i] for i in place], pa.binary()),
+                        pa.array([pivot] * (n + len(place)), pa.binary()),
+                        pa.array([own[j] for _, j in edges] + [None] * len(place), pa.binary()),
+                        pa.array([None] * n + token.tolist(), pa.int64()),
+                        pa.array([None] * n + np.array(whole)[place].tolist(), pa.bool_()),
+                    ],
+                    names=names,
+                )
+
+    return parts.mapInArrow(run, "set_key binary, pivot binary, link binary, token bigint, whole boolean")
+
+
+class Texts:
+    """The documents' table, from which a set's text is fetched when links are to be confirmed."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, k: int, threshold: float, id_col: str, text_col: str):
+        self.docs, self.sets, self.k, self.threshold, self.id_col, self.text_col = docs, sets, k, threshold, id_col, text_col
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """set_key, text: one text for each set in ids(set_key, rep). Found by id; the text's own set decides, so ids may repeat or be null."""
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s := shingle_set(x.as_py(), k)) else None for x in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["set_key", "text"])
+
+        picked = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).cast("string").alias("text"))
+        picked = picked.join(ids.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+        found = picked.select("text").mapInArrow(run, "set_key binary, text string")
+        return found.join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+
+    def wanted(self, clusters: DataFrame) -> DataFrame:
+        """set_key, rep, weight (written) of the sets in clusters(set_key, ...)."""
+        return written(clusters.select("set_key").distinct().join(self.sets.select("set_key", "rep", "weight"), "set_key"), "wanted")
+
+    def links(self, clusters: DataFrame) -> DataFrame:
+        """a, b (written): confirmed links inside clusters(c, set_key), a spanning forest of each."""
+        ids = self.wanted(clusters)
+        cut = cut_to_size(clusters.join(ids.select("set_key", "weight"), "set_key"))
+        gathered = cut.join(self.of(ids), "set_key").groupBy("c").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("texts")
+        links = written(confirmed_edges(gathered, self.k, self.threshold).distinct(), "links")
+        dropped(ids)
+        return links
+
+    def around(self, parts: DataFrame) -> DataFrame:
+        """set_key, pivot, link, token, whole (written) for parts(c, pivot, set_key), in which each part holds its pivot: see around_pivots()."""
+        ids = self.wanted(parts)
+        gathered = parts.join(self.of(ids), "set_key").groupBy("c", "pivot").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("pivot", "texts")
+        out = written(around_pivots(gathered, self.k, self.threshold), "around")
+        dropped(ids)
+        return out
 
 
 def cut_to_size(wanted: DataFrame) -> DataFrame:
-    """c, set_key: clusters of up to CLUSTER_SHINGLES as they are, larger ones as pairs of blocks that hold every pair."""
-    total = wanted.groupBy("c").agg(F.sum("n_shingles").alias("total"))
-    blocks = F.when(F.col("total") > CLUSTER_SHINGLES, F.ceil(2 * F.col("total") / CLUSTER_SHINGLES)).otherwise(F.lit(1).cast("long"))
+    """c, set_key: clusters of up to CLUSTER_SIZE as they are, larger ones as pairs of blocks that hold every pair.
+
+    Clusters have a bounded number of documents, so the blocks of one are bounded too.
+    """
+    total = wanted.groupBy("c").agg(F.sum("weight").alias("total"))
+    blocks = F.when(F.col("total") > CLUSTER_SIZE, F.ceil(2 * F.col("total") / CLUSTER_SIZE)).otherwise(F.lit(1).cast("long"))
     rows = wanted.join(total, "c").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
     return rows.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("c"), "set_key")
 
 
+def pivot_links(texts: Texts, sets: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables of confirmed links (set_key, link) in large groups of near copies, and the first one with differences, as in around_pivots().
+
+    The sets that agree in a band of the sketch show a group. Its pivot is the member found in the most and largest of
+    them, which is near the middle; a member takes the best pivot of its bands, and the members of a pivot are compared
+    with it, and with one another, in parts of LEAF or of bounded size. Members without a link look for other pivots in
+    the next round. A member is one row a round and band, however large its groups are.
+    """
+    links, first, rest = [], None, sets.select("set_key", "sketch", "weight")
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sketch", F.lit(b * BAND + i)) for i in range(BAND)]) for b in range(BANDS)])
+    for _ in range(PIVOT_ROUNDS):
+        rows = rest.select("set_key", "weight", F.explode(bands).alias("band"))
+        large = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF), "bands")
+        total = large.agg(F.sum("n")).first()[0]
+        if not total:
+            dropped(large)
+            break
+        member = written(keyed_join(rows, large, "band", "set_key", total), "members")
+        score = member.groupBy("set_key").agg(F.sum("n").alias("score"))
+        top = member.join(score, "set_key").groupBy("band").agg(F.max(F.struct("score", F.xxhash64("set_key").alias("h"), "set_key")).alias("top"), F.count(F.lit(1)).alias("n"))
+        best = keyed_join(member.drop("n"), top, "band", "set_key", total).groupBy("set_key").agg(F.max("top").alias("top"), F.first("weight").alias("weight"))
+        best = written(best.select("set_key", "weight", F.col("top.set_key").alias("pivot")), "pivots")
+        sizes = best.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("all"))
+        parts = F.greatest(F.ceil(F.col("n") / LEAF), F.ceil(2 * F.col("all") / CLUSTER_SIZE))
+        dealt = keyed_join(best, sizes, "pivot", "set_key", best.count())
+        dealt = dealt.select(F.xxhash64("pivot", F.pmod(F.xxhash64("set_key", F.lit("part")), parts)).alias("c"), "pivot", "set_key")
+        dealt = written(dealt.union(dealt.select("c", "pivot", F.col("pivot").alias("set_key"))).distinct(), "parts")
+        found = texts.around(dealt)
+        first = first or found
+        links.append(found.where("link is not null").select(F.col("set_key").alias("a"), F.col("link").alias("b")))
+        ends = links[-1].select(F.col("a").alias("set_key")).union(links[-1].select("b")).distinct()
+        rest = written(best.select("set_key", "weight").join(ends, "set_key", "left_anti").join(sets.select("set_key", "sketch"), "set_key"), "rest")
+        dropped(large, member, best, dealt)
+    return links, first
+
+
+def settled(state: DataFrame, by: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(small, groups, rest) of nodes state(path, set_key, by, ...): small ones, the groups for those where one value of by leaves few others, the rest.
+
+    Nodes with one value of by, which need no comparison, are left out.
+    """
+    mixed = state.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi").select("path", "n")
+    mixed = written(mixed, "paths")
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    state = written(keyed_join(state, mixed, "path", "set_key", total), "nodes")
+    dropped(mixed)
+    large = state.where(F.col("n") > LEAF)
+    sizes = large.groupBy("path", by).agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(by, "c").alias("most"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
+    sizes = written(sizes, "large")
+    large = keyed_join(large.drop("n"), sizes, "path", "set_key", total)
+    few = F.col("others") <= BLOCK
+    return state.where(F.col("n") <= LEAF).select("path", "set_key"), against_blocks(large.where(few), by), large.where(~few)
+
+
+def differing(found: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """Groups (path, set_key) of documents that share a difference from their pivot, one of them without a link to it."""
+    tokens = found.where("token is not null")
+    some = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("w")).where("n > 1 and w > 0").select("token", "n")
+    some = written(some, "tokens")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    rows = keyed_join(tokens.select("token", "set_key"), some, "token", "set_key", total).select(F.col("token").alias("path"), "set_key")
+    small, groups, rest = settled(rows.join(classes.select("set_key", "cls"), "set_key"), "cls")
+    return [small, groups, block_pairs(rest)]
+
+
+def grown(sets: DataFrame, trees: range, threshold: float) -> tuple[list[DataFrame], int, DataFrame | None]:
+    """Nodes to compare as tables of (path, set_key), the deepest level, and the sets that went below the second level.
+
+    sets: set_key, sketch, grp. Nodes of one document or one group are left out.
+    """
+    roots = F.array(*[F.xxhash64(F.lit(t), F.lit("root")) for t in trees])
+    state = branch(branch(sets.select("set_key", "sketch", "grp", F.explode(roots).alias("path"), F.lit(0).cast("long").alias("used")), threshold), threshold)
+    state, groups, deep, depth = state.select("path", "used", "set_key", "grp"), [], None, 2
+    while True:
+        small, few, rest = settled(state, "grp")
+        groups += [small, few]
+        if depth == MAX_DEPTH:
+            groups.append(block_pairs(rest))
+            return groups, depth, deep
+        rest = written(rest.select("path", "used", "set_key", "grp", *["sketch"] * (depth > 2)), "deep")
+        if rest.isEmpty():
+            return groups, depth, deep
+        if depth == 2:  # from here on the few documents in large nodes carry their sketches along
+            deep = rest.select("set_key").distinct()
+            rest = rest.join(sets.select("set_key", "sketch"), "set_key")
+        state, depth = branch(rest, threshold).select("path", "used", "set_key", "grp", "sketch"), depth + 1
+
+
+def against_blocks(large: DataFrame, by: str) -> DataFrame:
+    """path, set_key of groups of a block of a node's documents with its commonest value of by and all its others, BLOCK at most."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("set_key"), blocks)
+    all_blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    rows = large.withColumn("block", F.explode(F.when(F.col(by) == F.col("most"), F.array(own)).otherwise(all_blocks)))
+    return rows.select(F.xxhash64("path", "block").alias("path"), "set_key")
+
+
 def block_pairs(dense: DataFrame) -> DataFrame:
     """path, set_key of groups of two blocks each, which together hold every pair of a node's documents.
 
@@ -313,3 +478,59 @@ def block_pairs(dense: DataFrame) -> DataFrame:
     rows = dense.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
     return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "set_key")
+
+
+@tidied
+def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
+    """id, n_shingles, component_id, kept per row of docs.
+
+    Links join documents whose sets of `shingle`-word shingles have a Jaccard similarity of threshold or more
+    (taken in whole hundredths). component_id is the smallest id reachable by links, kept says that it is the
+    document's own. Documents without words have an empty set, link with nothing and are their own component; so is
+    a document with a null id, unless it has links. Rows with equal sets are linked, repeated rows too. An empty
+    table gives an empty result; other columns of docs aren't looked at. Each link is confirmed on full sets. A pair
+    right at the threshold is lost with a chance of about MISS: where trees grow deep, more of them are grown over the
+    documents that went there.
+    """
+    all_docs = written(sketches(docs, shingle, id_col, text_col), "sketches")
+    sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"), F.first("sketch").alias("sketch"))
+    sets = written(sets, "sets")
+    texts = Texts(docs, sets, shingle, threshold, id_col, text_col)
+    own = F.xxhash64("set_key")
+    edges, found = pivot_links(texts, sets)
+    ready, groups = sets.select("set_key", "sketch", own.alias("cls"), own.alias("grp")), []
+    if found is not None:
+        member = connected_components(union(edges)).select(F.col("node").alias("set_key"), F.xxhash64("component").alias("_cls"))
+        pivot = found.where("token is not null").groupBy("set_key").agg(F.xxhash64(F.first("pivot")).alias("_grp"))
+        pivot = pivot.union(found.select(F.col("pivot").alias("set_key"), F.xxhash64("pivot")).distinct()).groupBy("set_key").agg(F.min("_grp").alias("_grp"))
+        joined = sets.select("set_key", "sketch").join(member, "set_key", "left").join(pivot, "set_key", "left")
+        ready = written(joined.select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp")), "classes")
+        groups = differing(found, ready)
+    more, depth, deep = grown(ready, range(trees), threshold)
+    groups += more
+    if deep is not None and (wanted := trees_for(depth, threshold)) > trees:
+        groups += grown(ready.join(deep, "set_key", "left_semi"), range(trees, wanted), threshold)[0]
+    # Nodes of the same documents, as other trees have them, are compared once.
+    nodes = union(groups).groupBy("path").agg(F.array_sort(F.collect_set("set_key")).alias("keys")).where(F.size("keys") > 1)
+    nodes = nodes.groupBy(F.xxhash64("keys").alias("h"), F.col("keys")).agg(F.first("path").alias("path"))
+    gathered = nodes.select("path", F.explode("keys").alias("set_key")).join(ready, "set_key")
+    gathered = gathered.groupBy("path").agg(F.collect_list(F.struct("set_key", "sketch", "cls")).alias("members")).select("members")
+    clusters = candidate_clusters(gathered, threshold).groupBy("cluster").agg(F.count(F.lit(1)).alias("times"))
+    clusters = written(clusters.select(F.monotonically_increasing_id().alias("c"), "cluster"), "clusters")
+    edges.append(texts.links(clusters.select("c", F.explode("cluster").alias("set_key"))))
+    member = connected_components(union(edges).distinct()).join(sets.select(F.col("set_key").alias("node"), "rep"), "node")
+    low = lowest(member, "rep").withColumnRenamed("node", "set_key")
+    low = sets.select("set_key", "rep").join(low, "set_key", "left").select("set_key", F.coalesce("low", "rep").alias("low"))
+    copies = all_docs.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("n"))
+    some = all_docs.select("id", "n_shingles", "set_key").where("set_key is not null")
+    out = keyed_join(some, low.join(copies, "set_key"), "set_key", "id", all_docs.count()).select("id", "n_shingles", "low")
+    out = out.union(all_docs.where("set_key is null").select("id", "n_shingles", F.col("id").alias("low")))
+    component = F.col("low")
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out

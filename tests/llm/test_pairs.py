@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelyard.llm import minhash_join
@@ -139,3 +140,39 @@ def test_chosen_path_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (2, "q"), (None, None)], "doc_id long, text string")
     got = sorted((r.n_shingles, r.component_id or -1, r.kept) for r in minhash_join.similar_documents(df).collect())
     assert got == [(0, -1, True), (1, 2, True), (2, 2, False), (2, 2, False), (2, 2, True)]
+
+
+def test_a_large_group_of_near_copies_grows_in_line(spark, monkeypatch):
+    """Thousands of distinct near copies at a small LEAF: brute-force components, and no more rows than documents call for."""
+    monkeypatch.setattr(minhash_join, "LEAF", 30)
+    monkeypatch.setattr(minhash_join, "BLOCK", 250)
+    rng = random.Random(31)
+    hot = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(2000):
+        copy = list(hot)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6, 9])):
+            copy[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(hot)] + [" ".join(rng.choice(hot) for _ in range(80)) for _ in range(50)]
+    sent = []
+    pairs_to_compare = minhash_join.candidate_clusters
+    monkeypatch.setattr(minhash_join, "candidate_clusters", lambda groups, t: sent.append(groups.select(F.sum(F.size("members"))).first()[0] or 0) or pairs_to_compare(groups, t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_join.similar_documents(df, 3, 0.85).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    index = {s: i for i, s in enumerate(set().union(*sets))}
+    matrix = np.zeros((len(sets), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [index[x] for x in s]] = 1
+    inter, size = matrix @ matrix.T, matrix.sum(axis=1)
+    links = np.argwhere(np.triu(100 * inter >= 85 * (size[:, None] + size[None, :] - inter), 1))
+    low = union(range(len(sets)), links.tolist())
+    assert np.mean([got[i] == low[i] for i in low]) > 0.999
+    assert sent[0] < 60 * len(texts)
+
+
+def test_trees_keep_their_recall():
+    for t in (0.8, 0.85):
+        assert minhash_join.trees_for(2, t) <= minhash_join.TREES < minhash_join.trees_for(12, t)
+        assert 30 < minhash_join.agreement_floor(t) < 64 * t
