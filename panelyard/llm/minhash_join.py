@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import connected_components, dropped, keyed_join, lowest, tidied, written
 
-COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 12, 250, 1000, 16
+COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 9, 250, 1000, 16
 #: Coordinates of a band and bands of a sketch that show groups of near copies, and how often pivots are looked for.
 BAND, BANDS, PIVOT_ROUNDS = 4, 8, 3
 #: Least similarity to its pivot at which a document counts as one of the pivot's group, and the differences that it is looked up by.

@@ -4,8 +4,10 @@ Each source's target over its size is the number of copies wanted of each of its
 outright and the fraction is rounded dependently. Pairs of fractional documents pass mass between them at random,
 keeping the expected words of the pair, until one of them is 0 or 1; so a group of documents ends with one fraction.
 Groups of bounded size do that side by side, and the fractions left over are gathered by a reduction tree of fixed
-fan-in until one is left per source. Documents are paired
-in order of size, so the words a source gives miss its target by less than one of its small documents.
+fan-in until one is left per source, which is rounded by chance. In a pair the larger document stays, so that one is
+large, and what its rounding adds or takes is settled with small ones: a few, drawn by hash from each grade of sizes,
+are rounded the other way, largest first, until none is small enough. A document gets the copies wanted rounded down
+or up, and a source misses its target by less than its smallest documents that could still be turned.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import written
+from panelyard.llm.shared import tidied, written
 
 GROUP_ROWS, FAN_IN = 4096, 64
+#: Documents of a source and a grade of sizes that may be rounded the other way to settle the last one's rounding.
+SETTLERS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -88,33 +92,54 @@ def pivot(p: list[float], size: list[int], u: list[float], last: list[float] | N
 def rounding(fields: list[str], last: bool):
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         # Largest first, so that what is left over at the end is a small document.
-        pdf = pdf.sort_values(["size", "o", "id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "o", "_nth"], ascending=[False, True, True], kind="stable")
         pdf["p"] = pivot(pdf["p"].tolist(), pdf["size"].tolist(), pdf["u"].tolist(), pdf["v"].tolist() if last else None)
         return pdf[fields]
 
     return rounded
 
 
+def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """_key of the documents of one source that are rounded the other way, for rows (_key, size, draw, extra)."""
+    extra = float(pdf["extra"].iloc[0])
+    pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
+    left, out = abs(extra), []
+    for key, size in zip(pdf["_key"], pdf["size"], strict=True):
+        if size <= left:
+            out.append(key)
+            left -= size
+    # One more where that overshoots by less than is missing.
+    over = pdf[~pdf["_key"].isin(out) & (pdf["size"] < 2 * left)]
+    if len(over):
+        out.append(over.loc[(over["size"] - left).abs().idxmin(), "_key"])
+    return pd.DataFrame({"_key": pd.Series(out, dtype="int64")})
+
+
+@tidied
 def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), max_ratio: float = 3.0, seed: int = 17, keep: tuple = ()) -> DataFrame:
     """id, source, size, source_size, target, copies, taken (copies * size), and the columns of docs named in keep.
 
     Null texts and texts without a word have size 0; null sources are one source, the last. Empty documents follow
-    their source's fraction by chance. Random choices come from hashes of id and size, so reruns agree; repeated rows
-    are rounded one by one. An empty table gives an empty result. Only ids, sizes and keep are shuffled, never texts.
+    their source's fraction by chance. Random choices come from hashes of id, size, keep and a number for rows that
+    repeat, so reruns agree and repeated rows are rounded one by one. An empty table gives an empty result. Only ids,
+    sizes and keep are shuffled, never texts.
     """
+    own = ["id", "source", "size", *keep]
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c) for c in keep])
+    sizes = sizes.groupBy(*own).agg(F.count(F.lit(1)).alias("_times")).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_nth"))
     sizes = written(sizes, "sizes")
     stats = written(source_targets(sizes, weights, max_ratio), "targets")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    chance = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id", "size"), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    rows = sizes.join(stats.withColumn("_s", F.coalesce("source", F.lit(""))).withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.select("id", "source", "size", *keep, "source_size", "target", F.floor(want).alias("base"), (want - F.floor(want)).alias("p"), F.ceil(F.col("n_docs") / GROUP_ROWS).alias("_n"))
-    empty = F.col("size") == 0
-    rows = rows.withColumn("p", F.when(empty, F.when(chance("empty") < F.col("p"), 1.0).otherwise(0.0)).otherwise(F.col("p")))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("_n")))
+    chance = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id", "size", "_nth", *keep), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    rows = sizes.join(stats.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    p = want - F.floor(want)
+    p = F.when(F.col("size") == 0, F.when(chance("empty") < p, 1.0).otherwise(0.0)).otherwise(p)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "id", "size", "_nth", *keep), F.ceil(F.col("n_docs") / GROUP_ROWS))
+    fields = [*own, "_nth", "source_size", "target", "base", "bucket", "open", "p"]
+    rows = rows.withColumns({"base": F.floor(want), "p": p, "bucket": bucket})
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
-    fields = ["source", "bucket", "id", "size", *keep, "source_size", "target", "base", "p"]
-    done, rest = [rows.where(~open_).select(fields)], rows.where(open_).select(fields)
+    rows = rows.withColumn("open", open_).select(fields)
+    done, rest = [rows.where(~open_)], rows.where(open_)
     largest = stats.agg(F.max(F.ceil(F.col("n_docs") / GROUP_ROWS))).first()[0] or 1
     levels = max(0, math.ceil(math.log(largest, FAN_IN) - 1e-9)) if largest > 1 else 0
     for level in range(levels + 1):
@@ -122,14 +147,21 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         step = rest.withColumns({"u": chance(f"u{level}"), "o": chance(f"o{level}"), "v": chance(f"v{level}")})
         if level:
             step = step.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
-
-        out = written(step.groupBy("source", "bucket").applyInPandas(rounding(fields, last), rest.schema), f"rounded{level}")
+        out = written(step.groupBy("source", "bucket").applyInPandas(rounding(fields, last), rest.schema), "rounded")
         done.append(out if last else out.where(~open_))
         rest = out.where(open_)
     union = done[0]
     for df in done[1:]:
         union = union.unionByName(df)
-    copies = (F.col("base") + F.col("p")).cast("long")
+    union = written(union.withColumn("_key", F.monotonically_increasing_id()), "copies")
+    extra = union.groupBy("source").agg((F.sum((F.col("base") + F.col("p")) * F.col("size")) - F.first("target")).alias("extra"))
+    extra = written(extra.where("extra <> 0").withColumnRenamed("source", "_source"), "extra")
+    turned = union.where("open and size > 0").join(extra, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("p") == F.when(F.col("extra") > 0, 1.0).otherwise(0.0))
+    turned = turned.select("source", "_key", "size", chance("settle").alias("draw"), "extra", F.length(F.bin("size")).alias("grade"))
+    turned = turned.withColumn("_nr", F.row_number().over(Window.partitionBy("source", "grade").orderBy("draw", "_key"))).where(F.col("_nr") <= SETTLERS)
+    turned = written(turned.groupBy("source").applyInPandas(settled, "_key bigint"), "turned").withColumn("_turned", F.lit(True))
+    union = union.join(turned, "_key", "left")
+    copies = (F.col("base") + F.when(F.col("_turned"), 1 - F.col("p")).otherwise(F.col("p"))).cast("long")
     return union.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", *keep, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -139,7 +171,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     docs is read twice and its rows are matched by their place, so it has to be a table that reads alike each time,
     as a Parquet folder does.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    copies = mixed_copies(placed, keep=("_row",), **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    placed = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
+    columns = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: options.pop(k) for k in list(options) if k.endswith("_col")}
+    own = {k: names[docs.columns.index(c)] for k, c in columns.items()}
+    copies = mixed_copies(placed, keep=("_row",), **own, **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
     out = placed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(names).toDF(*docs.columns)

@@ -1,6 +1,7 @@
 """Mixing, sharding, archives and the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -44,6 +45,23 @@ def corpus(seed, n=700):
 DOCS = "doc_id long, text string, source string, size string, id int"
 
 
+def turnable(rows, target):
+    """Sizes of the documents of one source that rounding the other way would bring nearer to the target."""
+    ratio = target / max(1, sum(r["size"] for r in rows))
+    less = sum(r.taken for r in rows) > target
+    return [r["size"] for r in rows if r["size"] and ratio % 1 and r.copies == int(ratio) + less]
+
+
+def test_mixing_meets_targets_of_documents(spark):
+    """sf0.01: every source within half of its median document."""
+    got = mixing.mixed_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for rows in by.values():
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= sorted(r["size"] for r in rows)[len(rows) // 2] / 2
+
+
 @pytest.mark.parametrize("group_rows", [4096, 16])
 def test_mixing(spark, monkeypatch, group_rows):
     monkeypatch.setattr(mixing, "GROUP_ROWS", group_rows)
@@ -53,7 +71,7 @@ def test_mixing(spark, monkeypatch, group_rows):
     got = mixing.mixed_copies(df).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_copies(df).collect()))
     assert len(got) == len(rows)
-    sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+    sizes, taken = defaultdict(int), defaultdict(int)
     for _, text, source, *_ in rows:
         sizes[source] += len((text or "").encode().split())
     want = brute_targets(sizes)
@@ -61,8 +79,11 @@ def test_mixing(spark, monkeypatch, group_rows):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         assert 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-        largest[r.source] = max(largest[r.source], r.size)
-    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    for s in sizes:
+        ratio = want[s] / sizes[s] if sizes[s] else 0.0
+        assert all(r.copies in (int(ratio), math.ceil(ratio)) for r in got if r.source == s)
+        small = turnable([r for r in got if r.source == s], want[s])
+        assert abs(taken[s] - want[s]) <= min(small, default=max(r["size"] for r in got if r.source == s)) + 1e-6
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
     assert mixing.mixed_copies(df.limit(0)).count() == 0
 
