@@ -6,7 +6,7 @@ keeping the expected words of the pair, until one of them is 0 or 1; so a group
 Groups of bounded size do that side by side, and the fractions left over are gathered by a reduction tree of fixed
 fan-in until one is left per source, which is rounded by chance. In a pair the larger document stays, so that one is
 large, and what its rounding adds or takes is settled with small ones: a few, drawn by hash from each grade of sizes,
-are rounded the other way, largest first, until none is small enough. A document gets the copies wanted rounded down
+are rounded the other way, largest first, until none brings the source nearer. A document gets the copies wanted rounded down
 or up, and a source misses its target by less than its smallest documents that could still be turned.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from panelyard.llm.shared import tidied, written
 
 GROUP_ROWS, FAN_IN = 4096, 64
-#: Documents of a source and a grade of sizes that may be rounded the other way to settle the last one's rounding.
+#: Documents of a source, a grade of sizes and a direction that may be rounded the other way to settle the last one's rounding.
 SETTLERS = 64
 
 
@@ -100,18 +100,27 @@ def rounding(fields: list[str], last: bool):
 
 
 def settled(pdf: pd.DataFrame) -> pd.DataFrame:
-    """_key of the documents of one source that are rounded the other way, for rows (_key, size, draw, extra)."""
-    extra = float(pdf["extra"].iloc[0])
-    pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
-    left, out = abs(extra), []
-    for key, size in zip(pdf["_key"], pdf["size"], strict=True):
-        if size <= left:
-            out.append(key)
-            left -= size
-    # One more where that overshoots by less than is missing.
-    over = pdf[~pdf["_key"].isin(out) & (pdf["size"] < 2 * left)]
-    if len(over):
-        out.append(over.loc[(over["size"] - left).abs().idxmin(), "_key"])
+    """_key of the documents of one source that are rounded the other way, for rows (_key, size, draw, p, extra): words beyond the target."""
+    left = float(pdf["extra"].iloc[0])
+    free = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
+    out = []
+    while len(free):
+        # Those that bring it nearer without passing the target, then one that passes it by less than is missing.
+        mine = free[free["p"] == (1.0 if left > 0 else 0.0)]
+        took = []
+        for key, size in zip(mine["_key"], mine["size"], strict=True):
+            if size <= abs(left):
+                took.append(key)
+                left -= size if left > 0 else -size
+        over = mine[~mine["_key"].isin(took) & (mine["size"] < 2 * abs(left))]
+        if len(over):
+            best = over.loc[(over["size"] - abs(left)).abs().idxmin()]
+            took.append(int(best["_key"]))
+            left -= best["size"] if left > 0 else -best["size"]
+        if not took:
+            break
+        out += took
+        free = free[~free["_key"].isin(took)]
     return pd.DataFrame({"_key": pd.Series(out, dtype="int64")})
 
 
@@ -156,9 +165,9 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     union = written(union.withColumn("_key", F.monotonically_increasing_id()), "copies")
     extra = union.groupBy("source").agg((F.sum((F.col("base") + F.col("p")) * F.col("size")) - F.first("target")).alias("extra"))
     extra = written(extra.where("extra <> 0").withColumnRenamed("source", "_source"), "extra")
-    turned = union.where("open and size > 0").join(extra, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("p") == F.when(F.col("extra") > 0, 1.0).otherwise(0.0))
-    turned = turned.select("source", "_key", "size", chance("settle").alias("draw"), "extra", F.length(F.bin("size")).alias("grade"))
-    turned = turned.withColumn("_nr", F.row_number().over(Window.partitionBy("source", "grade").orderBy("draw", "_key"))).where(F.col("_nr") <= SETTLERS)
+    turned = union.where("open and size > 0").join(extra, F.col("source").eqNullSafe(F.col("_source")))
+    turned = turned.select("source", "_key", "size", "p", chance("settle").alias("draw"), "extra", F.length(F.bin("size")).alias("grade"))
+    turned = turned.withColumn("_nr", F.row_number().over(Window.partitionBy("source", "grade", "p").orderBy("draw", "_key"))).where(F.col("_nr") <= SETTLERS)
     turned = written(turned.groupBy("source").applyInPandas(settled, "_key bigint"), "turned").withColumn("_turned", F.lit(True))
     union = union.join(turned, "_key", "left")
     copies = (F.col("base") + F.when(F.col("_turned"), 1 - F.col("p")).otherwise(F.col("p"))).cast("long")
