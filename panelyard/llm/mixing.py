@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,26 +103,23 @@ def rounding(fields: list[str], last: bool):
 def settled(pdf: pd.DataFrame) -> pd.DataFrame:
     """_key of the documents of one source that are rounded the other way, for rows (_key, size, draw, p, extra): words beyond the target."""
     left = float(pdf["extra"].iloc[0])
-    free = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
-    out = []
-    while len(free):
-        # Those that bring it nearer without passing the target, then one that passes it by less than is missing.
-        mine = free[free["p"] == (1.0 if left > 0 else 0.0)]
-        took = []
-        for key, size in zip(mine["_key"], mine["size"], strict=True):
-            if size <= abs(left):
-                took.append(key)
-                left -= size if left > 0 else -size
-        over = mine[~mine["_key"].isin(took) & (mine["size"] < 2 * abs(left))]
+    pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
+    key, size, up = pdf["_key"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy() == 1.0
+    now = up.copy()
+    while True:
+        # Those that bring it nearer without passing the target, then one that passes it by less than is missing; every turn brings it nearer.
+        before = left
+        for i in np.flatnonzero(now == (left > 0)):
+            if size[i] <= abs(left) and left:
+                left -= size[i] if now[i] else -size[i]
+                now[i] = not now[i]
+        over = np.flatnonzero((now == (left > 0)) & (size < 2 * abs(left)))
         if len(over):
-            best = over.loc[(over["size"] - abs(left)).abs().idxmin()]
-            took.append(int(best["_key"]))
-            left -= best["size"] if left > 0 else -best["size"]
-        if not took:
-            break
-        out += took
-        free = free[~free["_key"].isin(took)]
-    return pd.DataFrame({"_key": pd.Series(out, dtype="int64")})
+            i = over[np.abs(size[over] - abs(left)).argmin()]
+            left -= size[i] if now[i] else -size[i]
+            now[i] = not now[i]
+        if left == before:
+            return pd.DataFrame({"_key": pd.Series(key[now != up], dtype="int64")})
 
 
 @tidied
