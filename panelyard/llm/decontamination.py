@@ -11,7 +11,6 @@ bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelyard.llm.shared import written
+
 #: Bytes that stand in words: digits, letters (A-Z as a-z) and everything beyond ASCII; all others part words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -169,7 +170,29 @@ class Shard:
 
 
 ITEM = [("item_id", pa.string()), ("longest", pa.int64()), ("item_word", pa.int64()), ("doc_word", pa.int64())]
-STATE = "n_words bigint, hit_at array<bigint>, matches array<struct<item_id: string, longest: bigint, item_word: bigint, doc_word: bigint>>"
+MATCHES = "array<struct<item_id: string, longest: bigint, item_word: bigint, doc_word: bigint>>"
+
+
+def looked_up(docs: DataFrame, probe, text_col: str, shard_words: int, only_hits: bool = False) -> DataFrame:
+    """docs with _words, _hits (places of hit words) and _matches added; one map, shard by shard, for a broadcast Probe. only_hits: no other rows."""
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"_words bigint, _hits array<bigint>, _matches {MATCHES}").fields])
+    own, out_type = docs.columns.index(text_col), pa.list_(pa.struct(ITEM))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, shard = 0, Shard(probe.value)
+            for i, x in enumerate(batch.column(own)):
+                shard.add(x.as_py())
+                if shard.n < shard_words and i + 1 < batch.num_rows:
+                    continue
+                hits, found = shard.look_up()
+                found = [[dict(zip([n for n, _ in ITEM], m, strict=True)) for m in ms] for ms in found]
+                added = [pa.array(shard.counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, out_type)]
+                out = pa.RecordBatch.from_arrays([*[c.slice(begin, len(hits)) for c in batch.columns], *added], names=schema.names)
+                yield out.filter(pa.array([bool(h) for h in hits])) if only_hits else out
+                begin, shard = i + 1, Shard(probe.value)
+
+    return docs.mapInArrow(run, schema)
 
 
 def benchmark_matches(
@@ -184,50 +207,46 @@ def benchmark_matches(
 ) -> DataFrame:
     """docs with n_words, n_hit (longs) and matches (item_id as text, longest match in words, its places) added.
 
-    A window is `window` consecutive words of an item, or the whole item where it is shorter. The benchmark reaches
-    the tasks in blocks of about block_bytes of text, so what is broadcast doesn't grow with it; each block is one
-    more map over the documents, without a shuffle, and one block is the rule. Null or wordless documents have 0
-    words and no match; null or wordless items match nothing; repeated documents each get their row; items with equal
-    texts all match; a null item_id is reported as null. Columns of docs named as those added are replaced. An empty
-    benchmark gives n_hit 0 everywhere, empty documents an empty table.
+    A window is `window` consecutive words of an item, or the whole item where it is shorter. The benchmark is taken
+    in blocks of about block_bytes of text, an item standing whole in one of them. One block is the rule: then this is
+    one map over the documents, without a shuffle. With more, each block is a job of its own, which writes the rows of
+    the documents that it hits, so that the driver and the tasks hold one block at a time however large the benchmark
+    is; the few rows are merged by the documents' places in a copy of docs written first.
+    Null or wordless documents have 0 words and no match; null or wordless items match nothing; repeated documents
+    each get their row; items with equal texts all match; a null item_id is reported as null. Columns of docs named as
+    those added are replaced. An empty benchmark gives n_hit 0 everywhere, empty documents an empty table.
     """
     spark = docs.sparkSession
     total = benchmark.select(F.sum(F.octet_length(item_text_col))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    own = ("n_words", "hit_at", "n_hit", "matches")
-    others = [c for c in docs.columns if c not in own]
-    state = T.StructType.fromDDL(STATE)
-    schema = T.StructType([*(docs.schema[c] for c in others), *state.fields])
-    out_type = pa.list_(pa.struct(ITEM))
+    others = [c for c in docs.columns if c not in ("n_words", "n_hit", "matches")]
+    names = [f"c{i}" for i in range(len(others))]
+    ready = docs.select(*[F.col(f"`{c}`") for c in others]).toDF(*names)
+    text = names[others.index(text_col)]
 
-    def with_block(df: DataFrame, b: int) -> DataFrame:
+    def probe(b: int):
         mine = benchmark.where(F.col(item_text_col).isNotNull() & (F.pmod(F.xxhash64(item_col, item_text_col), F.lit(n_blocks)) == b))
-        rows = mine.select(F.col(item_col).cast("string"), F.col(item_text_col)).collect()
-        probe = spark.sparkContext.broadcast(Probe(sorted(map(tuple, rows), key=lambda r: (r[0] or "", r[1])), window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-                begin, shard = 0, Shard(probe.value)
-                for i, x in enumerate(col[text_col]):
-                    shard.add(x.as_py())
-                    if shard.n < shard_words and i + 1 < batch.num_rows:
-                        continue
-                    hits, found = shard.look_up()
-                    found = [[dict(zip([n for n, _ in ITEM], m, strict=True)) for m in ms] for ms in found]
-                    if "hit_at" in col:  # an earlier block's
-                        hits = [sorted({*h, *x.as_py()}) for h, x in zip(hits, col["hit_at"].slice(begin, len(hits)), strict=True)]
-                        found = [x.as_py() + f for f, x in zip(found, col["matches"].slice(begin, len(found)), strict=True)]
-                    cut = [col[c].slice(begin, len(hits)) for c in others]
-                    yield pa.RecordBatch.from_arrays([*cut, pa.array(shard.counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, out_type)], names=schema.names)
-                    begin, shard = i + 1, Shard(probe.value)
-
-        return df.mapInArrow(run, schema)
-
-    out = reduce(with_block, range(n_blocks), docs.select(*[F.col(f"`{c}`") for c in others]))
-    return out.select(*[F.col(f"`{c}`") for c in others], "n_words", F.size("hit_at").cast("long").alias("n_hit"), "matches")
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a benchmark window, with docs' own columns. Options as for benchmark_matches()."""
-    return benchmark_matches(docs, benchmark, **options).where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows = mine.select(F.col(item_col).cast("string"), F.col(item_text_col)).collect()  # block_bytes
+        return spark.sparkContext.broadcast(Probe(sorted(map(tuple, rows), key=lambda r: (r[0] or "", r[1])), window))
+
+    if n_blocks == 1:
+        out = looked_up(ready, probe(0), text, shard_words)
+    else:
+        placed, found = written(ready.withColumn("_row", F.monotonically_increasing_id()), "documents"), None
+        for b in range(n_blocks):
+            block = probe(b)
+            hit = written(looked_up(placed.select("_row", text), block, text, shard_words, only_hits=True).select("_row", "_hits", "_matches"), "matches")
+            block.unpersist()
+            found = hit if found is None else found.union(hit)
+        found = found.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_hits"), F.flatten(F.collect_list("_matches")).alias("_matches"))
+        words = looked_up(placed, spark.sparkContext.broadcast(Probe([], window)), text, shard_words).drop("_hits", "_matches")
+        none = F.array().cast("array<bigint>")
+        out = words.join(found, "_row", "left").select(*names, "_words", F.coalesce("_hits", none).alias("_hits"), F.coalesce("_matches", F.array().cast(MATCHES)).alias("_matches"))
+    return out.select(*names, "_words", F.size("_hits").cast("long"), "_matches").toDF(*others, "n_words", "n_hit", "matches")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents without a benchmark window, with docs' own columns, whatever they are named. Options as for benchmark_matches()."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = benchmark_matches(docs.toDF(*names), benchmark, text_col=names[docs.columns.index(text_col)], **options)
+    return found.where("n_hit = 0").select(*names).toDF(*docs.columns)

@@ -4,8 +4,9 @@ Vectors of a label are laid out by the grid cells, of side epsilon, of their lea
 the distance between unit vectors at the wanted cosine. The sequence is cut into blocks of bounded size, blocks lie in
 partitions and partitions in runs. Pairs of intervals are joined recursively from runs to partitions to blocks, and a
 pair is skipped as soon as its bounding boxes in the leading components are farther apart than epsilon, which no pair
-of vectors inside can undo. The surviving block pairs are compared in double precision; a task gives counts and a
-spanning forest of its links, never the pairs.
+of vectors inside can undo. The surviving block pairs are gathered by pairs of tiles of neighbouring blocks, so that a
+block travels once per tile and not once per block, and compared in double precision; a task gives counts and a spanning
+forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.minhash_join import forest
-from panelyard.llm.shared import connected_components, written
+from panelyard.llm.shared import connected_components, keyed_join, lowest, tidied, written
 
-BLOCK_ROWS, RUN_PARTITIONS = 512, 64
+BLOCK_ROWS, TILE_BLOCKS, RUN_PARTITIONS = 512, 8, 64
 GROUP = ["label", "length"]
 
 
@@ -89,46 +90,50 @@ def near_pairs(left: DataFrame, right: DataFrame, on, eps: float, dims: int, spi
     return joined.where((F.col("a.key") <= F.col("b.key")) & (apart <= eps * eps + 1e-9)).select(*spine)
 
 
-def compare(rows: DataFrame, threshold: float, id_type: str) -> DataFrame:
-    """node, links, other: weighted counts (other null) and forest edges (links null) of block pairs."""
+def compare(rows: DataFrame, threshold: float) -> DataFrame:
+    """node, links, other: weighted counts (other null) and forest edges (links null) for rows(left, right, pairs): two tiles and their block pairs."""
 
-    def block(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tile(x: pa.Scalar) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
         items = x.values
-        node = items.field("node").to_numpy(zero_copy_only=False)
-        copies = items.field("copies").to_numpy(zero_copy_only=False)
+        node, block, copies = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "block", "copies"))
         v = items.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(node), -1)
         v /= np.abs(v).max(axis=1, keepdims=True)
-        return node, copies, v / np.linalg.norm(v, axis=1, keepdims=True)
+        return {b: np.flatnonzero(block == b) for b in np.unique(block).tolist()}, node, copies, v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def pair(left: tuple, right: tuple, x: int, y: int) -> tuple[list, list]:
+        a, b = left[0][x], right[0][y]
+        hit = left[3][a] @ right[3][b].T >= threshold
+        if x == y:
+            np.fill_diagonal(hit, False)
+        if not hit.any():
+            return [], []
+        if x == y:
+            node, square, links = left[1][a], hit, hit @ left[2][a]
+        else:
+            node = np.concatenate([left[1][a], right[1][b]])
+            square = np.zeros((len(node), len(node)), bool)
+            square[: len(a), len(a) :] = hit
+            square[len(a) :, : len(a)] = hit.T
+            links = np.concatenate([hit @ right[2][b], hit.T @ left[2][a]])
+        some = np.flatnonzero(links)
+        edges = forest(square[np.ix_(some, some)])
+        return list(zip(node[some].tolist(), links[some].tolist(), strict=True)), [(int(node[some[i]]), int(node[some[j]])) for i, j in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = batch.column(2)[i].as_py()
-                a = block(batch.column(0)[i])
-                b = a if own else block(batch.column(1)[i])
-                hit = a[2] @ b[2].T >= threshold
-                if own:
-                    np.fill_diagonal(hit, False)
-                if not hit.any():
-                    continue
-                if own:
-                    node, square = a[0], hit
-                    links = hit @ a[1]
-                else:
-                    node = np.concatenate([a[0], b[0]])
-                    square = np.zeros((len(node), len(node)), bool)
-                    square[: len(a[0]), len(a[0]) :] = hit
-                    square[len(a[0]) :, : len(a[0])] = hit.T
-                    links = np.concatenate([hit @ b[1], hit.T @ a[1]])
-                some = np.flatnonzero(links)
-                edges = forest(square[np.ix_(some, some)])
-                left = [int(node[some[x]]) for x, _ in edges]
-                right = [int(node[some[y]]) for _, y in edges]
+                left, right = tile(batch.column(0)[i]), tile(batch.column(1)[i])
+                count, edges = {}, []
+                for p in batch.column(2)[i].as_py():
+                    found, links = pair(left, right, p["x"], p["y"])
+                    edges += links
+                    for node, n in found:
+                        count[node] = count.get(node, 0) + n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*node[some].tolist(), *left], pa.int64()),
-                        pa.array([*links[some].tolist(), *[None] * len(left)], pa.int64()),
-                        pa.array([*[None] * len(some), *right], pa.int64()),
+                        pa.array([*count, *[a for a, _ in edges]], pa.int64()),
+                        pa.array([*count.values(), *[None] * len(edges)], pa.int64()),
+                        pa.array([*[None] * len(count), *[b for _, b in edges]], pa.int64()),
                     ],
                     names=["node", "links", "other"],
                 )
@@ -136,6 +141,7 @@ def compare(rows: DataFrame, threshold: float, id_type: str) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, links bigint, other bigint")
 
 
+@tidied
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, n_links, component_id, kept per row of vectors; links join equal labels at a cosine of threshold or more.
 
@@ -162,28 +168,31 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, id_
     runs = boxes(parts.select("*", F.col("up").alias("run")).drop("up"), "run", dims, False)
     level = lambda df, key: df.withColumnRenamed(key, "key")
     group = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in GROUP]
-    pairs = near_pairs(level(runs, "run"), level(runs, "run"), group, eps, dims, [*[f"a.{c}" for c in GROUP], F.col("a.key").alias("x"), F.col("b.key").alias("y")])
+    # All runs of a label meet; the left ones are dealt over tasks, the right ones, 1 / RUN_PARTITIONS of the partitions, are copied to them.
+    dealt = level(runs, "run").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(16)))
+    copied = level(runs, "run").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    pairs = near_pairs(dealt, copied, [*group, F.col("a._part") == F.col("b._part")], eps, dims, [*[f"a.{c}" for c in GROUP], F.col("a.key").alias("x"), F.col("b.key").alias("y")])
     for table, key in ((parts, "part"), (block, "block")):
         child = level(table, key)
         left = pairs.join(child.withColumnRenamed("up", "x"), [*GROUP, "x"])
         on = [*group, F.col("a.y") == F.col("b.up")]
         pairs = near_pairs(left, child, on, eps, dims, [*[f"a.{c}" for c in GROUP], F.col("a.key").alias("x"), F.col("b.key").alias("y")])
     pairs = written(pairs.distinct(), "pairs")
-    items = nodes.groupBy(*GROUP, "block").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("items"))
-    items = written(items, "items")
-    here = lambda key, name: items.select(*GROUP, F.col("block").alias(key), F.col("items").alias(name))
-    work = pairs.join(here("x", "left"), [*GROUP, "x"]).join(here("y", "right"), [*GROUP, "y"])
-    work = work.select("left", F.when(F.col("x") != F.col("y"), F.col("right")).alias("right"), (F.col("x") == F.col("y")).alias("own"))
-    found = written(compare(work, threshold, "bigint"), "found")
+    of = lambda c: F.floor(F.col(c) / TILE_BLOCKS)
+    tiles = written(nodes.groupBy(*GROUP, of("block").alias("tile")).agg(F.collect_list(F.struct("node", "block", "copies", "vec")).alias("items")), "tiles")
+    work = pairs.groupBy(*GROUP, of("x").alias("tx"), of("y").alias("ty")).agg(F.collect_list(F.struct("x", "y")).alias("pairs"))
+    here = lambda key, name: tiles.select(*GROUP, F.col("tile").alias(key), F.col("items").alias(name))
+    work = work.join(here("tx", "left"), [*GROUP, "tx"]).join(here("ty", "right"), [*GROUP, "ty"])
+    found = written(compare(work.select("left", "right", "pairs"), threshold), "found")
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     member = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     ids = nodes.select("node", *GROUP, "vec", "rep", "copies")
-    low = member.join(ids.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
-    ids = ids.join(links, "node", "left").join(member.join(low, "component").select("node", "low"), "node", "left")
-    ids = ids.select(*GROUP, "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("low", "rep").alias("low"))
-    # Rows that cannot link get no partner: their key is null.
-    keyed = rows.withColumn("key", F.when(usable(), F.xxhash64("label", "vec")))
-    ids = ids.select(F.xxhash64("label", "vec").alias("key"), F.col("label").alias("_label"), F.col("vec").alias("_vec"), "n", "low")
-    out = keyed.join(ids, (keyed["key"] == ids["key"]) & (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")), "left")
+    low = lowest(member.join(ids.select("node", "rep"), "node"), "rep")
+    ids = ids.join(links, "node", "left").join(low, "node", "left")
+    ids = ids.select(F.xxhash64("label", "vec").alias("key"), F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("low", "rep").alias("low"), F.col("copies").alias("n"))
+    able = rows.where(usable()).withColumn("key", F.xxhash64("label", "vec"))
+    total = reps.agg(F.sum("copies")).first()[0] or 0
+    out = keyed_join(able, ids, "key", "id", total).where((F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec"))).select("id", "links", "low")
+    out = out.union(rows.where(~usable()).select("id", F.lit(0).cast("long"), "id"))
     component = F.coalesce("low", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("links").cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

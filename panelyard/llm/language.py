@@ -9,8 +9,11 @@ calibrates its probabilities. Prediction is one map over the texts.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,17 @@ from pyspark.sql import functions as F
 BITS = 15
 FEATURES = 1 << BITS
 UNKNOWN = "und"
+
+
+def not_letters() -> re.Pattern:
+    """Runs of characters that Unicode doesn't class as letters (L), digits, marks and enclosed or superscript numbers among them."""
+    letter = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(letter), lambda x: x[1] - x[0])]
+    return re.compile("[^" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]+")
+
+
 #: Everything but letters becomes one space before n-grams are taken.
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = not_letters()
 MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -141,16 +153,20 @@ def fitted_temperature(model: Model, rows: list[tuple]) -> float:
     return float(min(grid, key=loss))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 2400, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.0005, seed: int = 7) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 2400, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.0005, seed: int = 7, max_labels: int = 500) -> Model:
     """A model of the languages that label_col names.
 
     sample_rows bounds the rows that the classifier is fitted on: about sample_rows divided by the number of labels
     are drawn of each label by a hash of the id, whole texts, and travel to the driver as sparse counts. Every fifth
     of them is held back for the temperature. Document frequencies are those of all rows of docs with a label and a
-    letter. Null labels and null texts teach nothing. Without labelled rows the model predicts nothing but "und".
+    letter. Null labels and null texts teach nothing. More than max_labels labels are refused, as the weights are an
+    array of features x labels in every task. Repeated rows count as often as they stand there; other columns aren't
+    looked at. Without labelled rows the model predicts nothing but "und".
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    counts = {label: n for label, n in rows.groupBy("label").count().collect()}  # a row per label
+    counts = {label: n for label, n in rows.groupBy("label").count().limit(max_labels + 1).collect()}  # a row per label
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels: the model's weights would not fit a task")
     if not counts:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)))
     labels = sorted(counts)
@@ -168,7 +184,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     picked = rows.where(draw < rate).select("text", "label", "id")
     sample = picked.select("text", "label").mapInArrow(counted, "label string, at array<int>, n array<int>")
     index = {label: i for i, label in enumerate(labels)}
-    got = sorted(((np.array(r.at), np.array(r.n), index[r.label]) for r in sample.toLocalIterator()), key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
+    got = sorted(((np.array(r.at, np.uint16), np.array(r.n, np.float32), index[r.label]) for r in sample.toLocalIterator()), key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
     fit, kept = [r for i, r in enumerate(got) if i % 5], got[::5]
     model = Model(labels, idf, ftrl(fit or kept, len(labels), idf, epochs, alpha, beta, l1, l2, seed))
     model.temperature = fitted_temperature(model, kept)

@@ -43,22 +43,22 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     first = written(first.where("_n > 1 and _first is not null").drop("_n"), "payloads")
     rows = rows.join(first, "payload_digest", "left").withColumn("_row", F.monotonically_increasing_id())
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    # Cut to size, then at the mark, which the ends of a chunk can make; a character is a byte there. A revisit has one empty chunk.
+    record = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_row").cast("string"), F.lit(">"))
+    kind, refers = F.when(again, "revisit").otherwise("response"), F.when(again, F.col("_first"))
+    rows = rows.withColumns({"record_type": kind, "refers_to": refers, "record_id": record, "_payload": F.when(again, F.lit(b"")).otherwise(F.col("_payload"))})
+    head = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"]
+    # Places come before bytes: a task holds one chunk of a payload beside it, never all of them.
+    marked = F.contains("_payload", F.lit(VERSION[:8].encode()))
+    n = F.greatest(F.ceil(F.octet_length("_payload") / chunk_bytes), F.lit(1)).cast("int")
+    plain = rows.where(~marked).select(*head, n.alias("n_chunks"), "_payload", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    plain = plain.select(*head, "n_chunks", "chunk_no", F.substring("_payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
+    # Payloads that hold a version line are cut at the mark too, which the ends of a chunk can make; a character is a byte there.
     pieces = F.expr(f"""
         flatten(transform(sequence(0, greatest(octet_length(_payload) - 1, 0) div {chunk_bytes}), i ->
             transform(split(decode(substring(_payload, cast(i * {chunk_bytes} + 1 as int), {chunk_bytes}), 'ISO-8859-1'), {_sql(CUT)}, -1), p -> encode(p, 'ISO-8859-1'))))
     """)
-    rows = rows.select(
-        "page_id",
-        "url",
-        "payload_bytes",
-        "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("_first")).alias("refers_to"),
-        F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_row").cast("string"), F.lit(">")).alias("record_id"),
-        F.when(again, F.array(F.lit(b""))).otherwise(pieces).alias("_chunks"),
-    )
-    return rows.select("*", F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_no", "chunk")).drop("_chunks")
+    cut = rows.where(marked).select(*head, pieces.alias("_chunks"))
+    return plain.unionByName(cut.select(*head, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_no", "chunk")))
 
 
 def _sql(pattern: str) -> str:

@@ -1,6 +1,7 @@
 """Text operators: extraction, decontamination, token counts, language, secrets."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -103,6 +104,10 @@ def test_decontamination(spark, block_bytes):
         assert (r.n_words, r.n_hit) == (n, hit)
         assert sorted(int(m.item_id) for m in r.matches) == found
         assert {int(m.item_id): m.longest for m in r.matches} == longest
+    clash = df.selectExpr("doc_id", "text", "n_words", "matches", "7 AS n_hit", "'h' AS hit_at", "1 AS _row", "doc_id AS c0")
+    for bytes_ in (16_000_000, 120):
+        own = decontamination.decontaminated(clash, bench, block_bytes=bytes_)
+        assert own.columns == clash.columns and all((r.n_words, r.n_hit, r.matches, r.hit_at, r.c0) == (1, 7, "x", "h", r.doc_id) for r in own.collect())
     kept = {r.doc_id for r in decontamination.decontaminated(df, bench).collect()}
     assert kept == {i for i, r in got.items() if not r.n_hit}
     assert decontamination.benchmark_matches(df, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -139,7 +144,7 @@ def test_language(spark):
     got = language.identified(docs.where(test), model).select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "12 !? 34", "c"), (4, "the and that " * 50_000, "d")], "doc_id long, text string, score string")
+    odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "12 !? 34 ½ ² ① Ⅷ ٣", "c"), (4, "the and that " * 50_000, "d")], "doc_id long, text string, score string")
     found = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(odd, model).collect()}
     assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] == "en"
     assert language.identified(odd.limit(0), model).count() == 0
@@ -147,6 +152,39 @@ def test_language(spark):
     assert [r.lang_pred for r in language.identified(odd.where("doc_id = 4"), empty).collect()] == ["und"]
 
 
+def test_language_against_brute_force(spark):
+    """Document frequencies, weights and calibrated scores of a small table, n-gram by n-gram."""
+    rng = random.Random(3)
+    vocab = {"en": "the house is on a small hill near town".split(), "de": "das Haus steht auf einem kleinen Hügel bei uns".split(), "fr": "la maison est près de l'été à côté".split()}
+    rows = [(i, None if i == 7 else " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(1, 30))) + rng.choice(["", " 12 ½", "!?"]), None if i == 9 else lang) for i, lang in enumerate(rng.choices(list(vocab), k=90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, sample_rows=60)
+
+    def grams(text):
+        kept = " " + " ".join("".join(c if c.isalpha() else " " for c in text).split()).lower() + " "
+        out = {}
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                h = 0
+                for j, c in enumerate(kept[i : i + n]):
+                    h = (((h ^ (h >> 13)) * int(language.MIX[j]) + ord(c)) if j else ord(c) * int(language.MIX[0])) & 0xFFFFFFFF
+                h = ((h ^ (h >> 16)) * 0x45D9F3B & 0xFFFFFFFF) >> (32 - language.BITS)
+                out[h] = out.get(h, 0) + 1
+        return out
+
+    taught = [grams(t) for _, t, lang in rows if t and lang]
+    for f in {f for g in taught for f in g}:
+        assert model.idf[f] == pytest.approx(math.log((1 + len(taught)) / (1 + sum(f in g for g in taught))) + 1)
+    for r in language.identified(df, model).where("text is not null").collect():
+        x = {f: (1 + math.log(n)) * model.idf[f] for f, n in grams(r.text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(v / norm * float(model.weights[f, k]) for f, v in x.items()) / model.temperature for k in range(3)]
+        p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+        assert r.score == pytest.approx(max(p), abs=1e-5) and (r.lang_pred == model.labels[p.index(max(p))] or max(p) - sorted(p)[1] < 1e-5)
+    with pytest.raises(ValueError, match="labels"):
+        language.train(df, max_labels=2)
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 
 
