@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -30,9 +31,13 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARTS = re.compile(r"[^a-z0-9]+")
 
 #: Element names by what they mean for the text.
-SKIPPED = frozenset("script style noscript template iframe textarea title svg math object embed noembed noframes canvas audio video select datalist xmp".split())
+SKIPPED = frozenset("script style noscript template iframe textarea title svg math object noembed noframes canvas audio video select datalist xmp".split())
+#: Of these, those whose content is raw text, which an end of page ends where no end tag does; another one left open hides nothing.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label input button picture source output meter progress".split())
+#: Inline elements that are judged by their attributes, as block elements are: all but those for code, where names are the code's.
+JUDGED = INLINE - frozenset("code kbd samp var data".split())
 MAIN = frozenset(("article", "main"))
 HARD = frozenset("nav footer aside menu dialog".split())
 SOFT = frozenset("form fieldset button label".split())
@@ -42,10 +47,14 @@ HARD_WORDS = frozenset(
     nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert
     alerts popup overlay newsletter subscribe subscription signup login share sharing social related recommended
     comments comment commentlist respond disqus reply replies widget widgets pagination pager complementary contentinfo
-    search dialog alertdialog status warning disclaimer copyright toolbar skip""".split()
+    search dialog alertdialog disclaimer copyright toolbar skip""".split()
 )
+#: In a role, these too.
+ROLE_WORDS = HARD_WORDS | frozenset(("status", "warning"))
 #: Those that layouts and states of whole pages and articles are named for, too.
-WEAK_WORDS = frozenset("status sidebar rail widget widgets search notice notices alert alerts warning share sharing social login overlay toolbar skip".split())
+WEAK_WORDS = frozenset("sidebar rail widget widgets search notice notices alert alerts share sharing social login overlay toolbar skip".split())
+#: Words that beside one of the weak ones in a token name a part of a page; with others (social-history) it is a subject.
+PARTS_OF_PAGES = frozenset("left right top bottom first second primary secondary bar box area block list item items links link icons icon button buttons panel section form field input results message messages text title wrap inner outer main side widget".split())
 WRAPPERS = frozenset("layout wrapper wrap container page site columns row grid".split())
 #: First words of an article's classes for its state and subjects.
 SUBJECTS = frozenset("status type format category tag comments".split())
@@ -56,9 +65,10 @@ CONTENT_WORDS = frozenset("article post entry story content body main text".spli
 MAIN_WORDS = frozenset("article articlebody maincontent storybody postbody entry main content story post".split())
 NOT_OWN = frozenset("has with without no".split())
 
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "hard", "soft", "heading", "page_has_main")
+FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "hard", "soft", "heading", "page_has_main", "paragraph")
 
 
+@lru_cache(maxsize=20_000)
 def standing(name: str, attrs: str) -> tuple[bool, bool, bool, bool, bool]:
     """Whether an element opens main content, a part that is none for sure, a likely one, a page's head, and a part that is none unless an article or main element stands in it.
 
@@ -86,8 +96,9 @@ def standing(name: str, attrs: str) -> tuple[bool, bool, bool, bool, bool]:
     words = {key: {word for k, token in tokens if k == key for word in token} for key in ("class", "id", "role")}
     for key, token in tokens:
         own = set(token)
-        hard |= bool(own & (HARD_WORDS if key == "role" else HARD_WORDS - WEAK_WORDS))
-        weak |= bool(own & WEAK_WORDS) and not content and not (wrapper and len(token) > 1)
+        hard |= bool(own & (ROLE_WORDS if key == "role" else HARD_WORDS - WEAK_WORDS))
+        part = own <= WEAK_WORDS | HARD_WORDS | HEAD_WORDS | WRAPPERS | PARTS_OF_PAGES or any(word.isdigit() for word in own)
+        weak |= bool(own & WEAK_WORDS) and part and not content and not (wrapper and len(token) > 1)
     for own in words.values():
         soft |= bool(own & SOFT_WORDS) and not own & CONTENT_WORDS
         head |= bool(own & HEAD_WORDS) and not own & CONTENT_WORDS
@@ -108,6 +119,8 @@ class Blocks:
         self.pieces: list[str] = []
         self.linked: list[str] = []
         self.in_link = False
+        self.muted: list[tuple[str, int]] = []
+        self.open: set[str] = set()
         self.own = NOWHERE
         self.flags = (False, False, False)
         self.read(page)
@@ -132,11 +145,11 @@ class Blocks:
             linked = len(html.unescape(" ".join(self.linked)).split())
             main, hard, soft = self.flags
             self.texts.append(text)
-            self.rows.append([words, min(1.0, linked / words), 0, 0, 0, 0, main, hard, soft, self.own[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), 0])
+            self.rows.append([words, min(1.0, linked / words), 0, 0, 0, 0, main, hard, soft, self.own[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), 0, self.own[0] == "p"])
         self.pieces, self.linked = [], []
 
     def add(self, text: str) -> None:
-        if text:
+        if text and not self.muted:
             self.pieces.append(text)
             if self.in_link:
                 self.linked.append(text)
@@ -157,24 +170,39 @@ class Blocks:
                 continue
             name, end = name.lower(), tag["end"] or tag["end2"]
             if name in SKIPPED:
-                if not end and not tag[0].endswith("/>"):
+                if not end and name not in self.open and (name in RAW or not tag[0].endswith("/>")):
                     close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                    at = close.end() if close else size
+                    at = close.end() if close else size if name in RAW else at
+                    if not close:
+                        self.open.add(name)  # nor is there one further on
                 continue
             if name == "a":
                 self.in_link = not end
             if name in INLINE:
+                attrs = tag["attrs"] or tag["attrs2"] or ""
                 if name in ("button", "label"):
-                    self.turn(name, end, tag["attrs"] or tag["attrs2"] or "")
+                    self.turn(name, end, attrs)
+                elif name not in VOID:
+                    self.mute(name, end, attrs)
                 continue
             if name == "br":
                 self.add(" ")
                 continue
             self.turn(name, end, tag["attrs"] or tag["attrs2"] or "")
 
+    def mute(self, name: str, end: str, attrs: str) -> None:
+        """An inline element begins or ends: one that is hidden or named for something else holds no text of the page."""
+        if not end:
+            if self.muted and self.muted[-1][0] == name or name in JUDGED and attrs and standing(name, attrs)[1]:
+                self.muted.append((name, len(self.stack)))
+        elif self.muted and self.muted[-1][0] == name:
+            self.muted.pop()
+
     def turn(self, name: str, end: str, attrs: str) -> None:
         """A block element begins or ends."""
         self.flush()
+        if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # these end what was left open in them
+            self.muted = [m for m in self.muted if m[1] < len(self.stack)]
         self.in_link = self.in_link and name == "a"
         if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "hr"):
             self.own = NOWHERE if end else (name, *standing(name, attrs))
@@ -187,6 +215,7 @@ class Blocks:
                 for i in range(len(self.stack) - 1, -1, -1):
                     if self.stack[i][0] == name:
                         del self.stack[i:]
+                        self.muted = [m for m in self.muted if m[1] <= i]
                         break
         self.place()
 
@@ -233,6 +262,10 @@ def labelled_pages() -> list[str]:
                 f"<div class='layout right-sidebar'>{links(4)}<article class='post type-post status-publish hentry'>{main}</article><div class='sidebar'>{other}</div></div><footer>{other}</footer>",
                 f"<div class='left-sidebar'><main title='The hidden valley'>{main}<div class='widget'>{p(m, False)}</div>{p(n)}</main><div class='widget'>{other}</div></div>",
             ]
+            out += [
+                f"<div>{links(6)}</div><div>{p(min(m, 6), False, 'span')}</div><div><h1>{KEEP}{'head ' * (1 + n % 9)}</h1>{p(n)}{p(m)}{p(2 * n)}</div><div>{links(4)}</div>",
+                f"<div><a href='/'>{'link ' * 3}</a></div><div><h2>{KEEP}{'head ' * (1 + m % 9)}</h2>{p(m)}{p(n)}</div><div>{links(3)}{'word ' * min(n, 5)}</div>",
+            ]
             if min(n, m) >= 12:
                 out.append(f"<div>{links(7)}</div><div>{p(3, False)}</div><div><h1>{KEEP}{'head ' * 6}</h1>{p(n)}{p(m)}{p(n)}</div><div>{links(4)}</div><div>{p(2, False)}</div>")
     out += [f"{p(n)}{p(2 * n)}{p(n)}" for n in (12, 25, 60)] + [p(40), p(15)]
@@ -240,8 +273,9 @@ def labelled_pages() -> list[str]:
 
 
 def labelled_blocks() -> list[tuple[list[float], float]]:
+    """Features and labels of the labelled table's blocks; every fifth page is held out."""
     rows = []
-    for page in labelled_pages():
+    for page in (page for i, page in enumerate(labelled_pages()) if i % 5):
         blocks = Blocks(page)
         marked = [t.startswith(KEEP.strip()) for t in blocks.texts]
         words = [r[0] - k for r, k in zip(blocks.rows, marked, strict=True)]
