@@ -23,7 +23,7 @@ from panelyard.llm.shared import tidied, written
 
 GROUP_ROWS, FAN_IN = 4096, 64
 #: Documents of a source, a grade of sizes and a direction that may be rounded the other way to settle the last one's rounding.
-SETTLERS = 4096
+SETTLERS = 256
 
 
 def word_count(text: Column) -> Column:
