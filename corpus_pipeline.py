@@ -1,7 +1,9 @@
 """Language ID, near-duplicates, benchmark decontamination, source mixing and sharding over documents.
 
 STAGES lists the stages in order. Each takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
-Parquet and reads again as the next one's docs. All but the last return the columns of documents.
+Parquet and reads again as the next one's docs. All but the last return the columns of documents; other columns of
+docs, whatever they are named, are left out. Every stage decides row by row: rows that repeat are rows of their own, and
+rows without an id are not mixed up. Very long texts are read whole. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from panelyard.llm.decontamination import decontaminated
 from panelyard.llm.language import UNKNOWN, identified, train
 from panelyard.llm.minhash_join import similar_documents
 from panelyard.llm.mixing import mixed
-from panelyard.llm.shared import written
+from panelyard.llm.shared import dropped, written
 from panelyard.llm.sharding import sharded
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +23,13 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is not recognised; all others stay, whatever their language."""
-    found = identified(docs.select(*COLUMNS), train(docs))
+    """Drops documents without a letter and those whose language is not recognised; all others stay, whatever their language.
+
+    Null and empty texts have no letter and go. Documents without a lang teach nothing but are judged as all others;
+    where none has one, there is no language to recognise and all go. Rows with equal texts share their fate.
+    """
+    docs = docs.select(*COLUMNS)
+    found = identified(docs, train(docs))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
@@ -30,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
     The row of the smallest id stays, one without an id only where all are, and of equal ids the first in the table.
-    docs is read several times and its rows are matched by their place, as in mixed().
+    Null texts and texts without a word are no copies of anything and stay. docs is read several times and its rows are matched by their place, as in mixed().
     """
     placed = docs.withColumn("_row", F.monotonically_increasing_id())
     key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
@@ -40,17 +47,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item.
+
+    Null, empty and wordless texts hold none and stay; null and wordless items are in no document; an empty benchmark
+    drops nothing. Rows with equal texts share their fate.
+    """
+    return decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources reach their target weights; a row per copy taken."""
-    return mixed(docs).select(*COLUMNS)
+    """Repeats or drops documents so that sources reach their target weights; a row per copy taken.
+
+    A null source is a source. Texts without a word have no size and follow their source's fraction by chance. Rows that
+    repeat are rounded one by one. The targets are those of mixed_copies().
+    """
+    return mixed(docs.select(*COLUMNS))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy: doc_id, size, text_crc32, shard, slot."""
+    """A row per copy: doc_id, size, text_crc32, shard, slot. Null texts are empty; equal texts, null ids or not, share a shard."""
     return sharded(docs)
 
 
@@ -67,7 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
