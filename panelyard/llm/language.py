@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,36 +22,41 @@ from pyspark.sql import functions as F
 BITS = 15
 FEATURES = 1 << BITS
 UNKNOWN = "und"
+PIECE = 1 << 18
+#: Everything but letters becomes one space before n-grams are taken: marks, digits and signs here, numbers like ½ in numbers().
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def not_letters() -> re.Pattern:
-    """Runs of characters that Unicode doesn't class as letters (L), digits, marks and enclosed or superscript numbers among them."""
-    letter = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
-    runs = [[c for _, c in g] for _, g in groupby(enumerate(letter), lambda x: x[1] - x[0])]
-    return re.compile("[^" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]+")
+@cache
+def numbers() -> re.Pattern:
+    """Runs of what counts as alphanumeric but isn't a letter (Unicode category L)."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()) + "]+")
 
 
-#: Everything but letters becomes one space before n-grams are taken.
-NOT_LETTERS = not_letters()
 MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
 def letters(text: str | None) -> str:
     """The text's letters in lower case, words parted and surrounded by a space; empty where there is none."""
-    kept = NOT_LETTERS.sub(" ", text or "").strip().lower()
+    kept = NOT_LETTERS.sub(" ", text or "")
+    if not kept.isascii() and not kept.replace(" ", "").isalpha():
+        kept = numbers().sub(" ", kept)
+    kept = " ".join(kept.split()).lower()
     return f" {kept} " if kept else ""
 
 
 def term_counts(kept: str) -> tuple[np.ndarray, np.ndarray]:
     """Features of the n-grams of letters() and how often each occurs."""
-    c = np.frombuffer(kept.encode("utf-32-le"), np.uint32)
     total = np.zeros(FEATURES, np.int64)
-    h = c * MIX[0]
-    for n in range(3):
-        if n:
-            h = (h[:-1] ^ (h[:-1] >> np.uint32(13))) * MIX[n] + c[n:]
-        g = (h ^ (h >> np.uint32(16))) * np.uint32(0x45D9F3B)
-        total += np.bincount(g >> np.uint32(32 - BITS), minlength=FEATURES)
+    for begin in range(0, len(kept), PIECE):
+        # The n-grams that begin in a piece; very long texts take no more memory than that.
+        c = np.frombuffer(kept[begin : begin + PIECE + 2].encode("utf-32-le"), np.uint32)
+        h = c * MIX[0]
+        for n in range(3):
+            if n:
+                h = (h[:-1] ^ (h[:-1] >> np.uint32(13))) * MIX[n] + c[n:]
+            g = (h[:PIECE] ^ (h[:PIECE] >> np.uint32(16))) * np.uint32(0x45D9F3B)
+            total += np.bincount(g >> np.uint32(32 - BITS), minlength=FEATURES)
     at = np.flatnonzero(total)
     return at, total[at]
 

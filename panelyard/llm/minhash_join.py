@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import connected_components, dropped, keyed_join, lowest, tidied, written
 
-COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 9, 250, 1000, 16
+COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 9, 250, 500, 16
 #: Coordinates of a band and bands of a sketch that show groups of near copies, and how often pivots are looked for.
 BAND, BANDS, PIVOT_ROUNDS = 4, 8, 3
 #: Least similarity to its pivot at which a document counts as one of the pivot's group, and the differences that it is looked up by.
@@ -143,10 +143,10 @@ def trees_for(depth: int, threshold: float) -> int:
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
     """Edges to each linked row's smallest reachable row, for a symmetric boolean matrix."""
     n = len(links)
-    low = np.arange(n)
+    low = np.arange(n, dtype=np.int32)
     links = links | np.eye(n, dtype=bool)
     while True:
-        new = np.where(links, low, n).min(axis=1)
+        new = np.where(links, low, np.int32(n)).min(axis=1)
         new = new[new]
         if (new == low).all():
             break
@@ -192,9 +192,11 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
             break
         inter += np.bincount(few[:-gap][pair] * n + few[gap:][pair], minlength=n * n)
     inter = inter.reshape(n, n)
-    inter = inter + inter.T + np.rint(both).astype(np.int64)
     percent = round(threshold * 100)
-    out = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
+    out = np.empty((n, n), bool)
+    for i in range(n):  # row by row: no more than a few arrays of n x n at once
+        own = inter[i] + inter[:, i] + np.rint(both[i]).astype(np.int64)
+        out[i] = 100 * own >= percent * (size[i] + size - own)
     np.fill_diagonal(out, False)
     return out
 
@@ -403,7 +405,8 @@ def pivot_links(texts: Texts, sets: DataFrame) -> tuple[list[DataFrame], DataFra
         first = first or found
         links.append(found.where("link is not null").select(F.col("set_key").alias("a"), F.col("link").alias("b")))
         ends = links[-1].select(F.col("a").alias("set_key")).union(links[-1].select("b")).distinct()
-        rest = written(best.select("set_key", "weight").join(ends, "set_key", "left_anti").join(sets.select("set_key", "sketch"), "set_key"), "rest")
+        # Keys are written first: Spark knows how few they are and needn't shuffle all sketches.
+        rest = written(best.select("set_key", "weight").join(ends, "set_key", "left_anti"), "rest").join(sets.select("set_key", "sketch"), "set_key")
         dropped(large, member, best, dealt)
     return links, first
 
@@ -503,8 +506,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
         member = connected_components(union(edges)).select(F.col("node").alias("set_key"), F.xxhash64("component").alias("_cls"))
         pivot = found.where("token is not null").groupBy("set_key").agg(F.xxhash64(F.first("pivot")).alias("_grp"))
         pivot = pivot.union(found.select(F.col("pivot").alias("set_key"), F.xxhash64("pivot")).distinct()).groupBy("set_key").agg(F.min("_grp").alias("_grp"))
-        joined = sets.select("set_key", "sketch").join(member, "set_key", "left").join(pivot, "set_key", "left")
-        ready = written(joined.select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp")), "classes")
+        classes = written(member.join(pivot, "set_key", "full"), "classes")
+        ready = sets.select("set_key", "sketch").join(classes, "set_key", "left").select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp"))
         groups = differing(found, ready)
     more, depth, deep = grown(ready, range(trees), threshold)
     groups += more
