@@ -103,6 +103,15 @@ def strict_sum(x: Column) -> Column:
     return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))
 
 
+#: Bands of opponent factors; the first and the last are the bounds themselves.
+FACTOR_BANDS = ("0.70", ">0.70-<0.85", "0.85-<0.95", "0.95-<1.05", "1.05-<1.15", "1.15-<1.30", "1.30")
+
+
+def factor_band(x: Column) -> Column:
+    inner = bands(x, tuple(zip((0.85, 0.95, 1.05, 1.15, 1.3), FACTOR_BANDS[1:-1], strict=True)), FACTOR_BANDS[-1], "unknown")
+    return F.when(x == 0.7, FACTOR_BANDS[0]).otherwise(inner)
+
+
 def bands(x: Column, edges: Sequence[tuple[float, str]], last: str, unknown: str) -> Column:
     """Label of the first edge that x lies under; last beyond all edges, unknown for null."""
     out = F.when(x.isNull(), unknown)
@@ -111,7 +120,12 @@ def bands(x: Column, edges: Sequence[tuple[float, str]], last: str, unknown: str
     return out.otherwise(last)
 
 
-MINUTE_BANDS = ((0.5, "0"), (30, "1-29"), (60, "30-59"), (90, "60-89"))
+#: Upper edges and names of the bands of expected minutes; "0" holds nothing but 0.
+MINUTE_BANDS = ((30, "1-29"), (60, "30-59"), (90, "60-89"))
+
+
+def minute_band(x: Column) -> Column:
+    return F.when(x == 0, "0").otherwise(bands(x, MINUTE_BANDS, "90", "unknown"))
 
 
 def named_rows(conditions: Mapping[str, Column]) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lower edges of calibration bins.
-BIN_EDGES = (0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
+#: Lower edges of calibration bins; a forecast below the first is in none.
+BIN_EDGES = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 7.0)
 
 
 def forecast_metrics(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = ()) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from panelyard.operators import lineup
 
 #: Prior minutes asked of incoming members, and the percentiles of the rate screens.
-MINIMUM_MINUTES = (90, 180, 270, 360)
+MINIMUM_MINUTES = (30, 60, 90, 91)
 PERCENTILES = (90, 95, 99)
+NO_CAPTAIN = "xi_only_without_captain_amplification"
 
 
 def sensitivity_names() -> list[str]:
-    return [*[f"minimum_prior_minutes_{m}" for m in MINIMUM_MINUTES], *[f"rate_exclusion_p{p}" for p in PERCENTILES], *[f"rate_cap_p{p}" for p in PERCENTILES], "no_captain"]
+    return [*[f"minimum_prior_minutes_{m}" for m in MINIMUM_MINUTES], *[f"exclude_rates_above_position_p{p}" for p in PERCENTILES], *[f"cap_rates_at_position_p{p}" for p in PERCENTILES], NO_CAPTAIN]
 
 
 def with_reliability(pool: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def pool_views(pool: DataFrame) -> DataFrame:
     views = [F.struct(F.lit(f"minimum_prior_minutes_{m}").alias("view"), (F.col("prior_minutes") >= m).alias("ok"), F.col("projection").alias("v")) for m in MINIMUM_MINUTES]
     for i, p in enumerate(PERCENTILES):
         limit = F.get("_p", i)
-        views.append(F.struct(F.lit(f"rate_exclusion_p{p}").alias("view"), (F.col("rate") <= limit).alias("ok"), F.col("projection").alias("v")))
-        views.append(F.struct(F.lit(f"rate_cap_p{p}").alias("view"), F.lit(True).alias("ok"), (F.col("projection") - F.greatest(F.lit(0.0), F.col("rate") - limit)).alias("v")))
-    views.append(F.struct(F.lit("no_captain").alias("view"), F.lit(True).alias("ok"), F.col("projection").alias("v")))
+        views.append(F.struct(F.lit(f"exclude_rates_above_position_p{p}").alias("view"), (F.col("rate") <= limit).alias("ok"), F.col("projection").alias("v")))
+        views.append(F.struct(F.lit(f"cap_rates_at_position_p{p}").alias("view"), F.lit(True).alias("ok"), (F.col("projection") - F.greatest(F.lit(0.0), F.col("rate") - limit)).alias("v")))
+    views.append(F.struct(F.lit(NO_CAPTAIN).alias("view"), F.lit(True).alias("ok"), F.col("projection").alias("v")))
     rows = rows.withColumn("_w", F.explode(F.array(*views)))
     return rows.where(F.coalesce(F.col("_w.ok"), F.lit(False))).select(F.col("_w.view").alias("view"), "id", "class", "club", "price", F.col("_w.v").alias("projection"))
 
@@ -46,10 +47,10 @@ def sensitivity_views(squads: DataFrame, pool: DataFrame, heads: DataFrame) -> D
     Owned members keep their place whatever a view asks of newcomers; rate caps move their projections too.
     """
     views = pool_views(pool)
-    capped = views.where(F.startswith("view", F.lit("rate_cap"))).select("view", "id", F.col("projection").alias("_v"))
+    capped = views.where(F.startswith("view", F.lit("cap_rates"))).select("view", "id", F.col("projection").alias("_v"))
     every = F.explode(F.array(*[F.lit(v) for v in sensitivity_names()])).alias("view")
     own = squads.select("*", every).join(capped, ["view", "id"], "left").withColumn("projection", F.coalesce("_v", "projection")).drop("_v")
-    captain = F.when(F.col("view") == "no_captain", 0.0).otherwise(1.0)
+    captain = F.when(F.col("view") == NO_CAPTAIN, 0.0).otherwise(1.0)
     found = lineup.swap_search(own, views, heads.select("*", every), also=("view",), captain=captain)
     return found.where("rank = 1").select("view", "squad_id", "out_id", "in_id", "gain", "act")
 

@@ -87,7 +87,7 @@ def pearson_by_group(s, d):
     return metrics.pearson_by_group(forecast_pairs(s, d), "predicted", "actual", ["class"])
 
 
-BIN = "CASE WHEN predicted < 1 THEN 0 WHEN predicted < 2 THEN 1 WHEN predicted < 3 THEN 2 WHEN predicted < 4 THEN 3 WHEN predicted < 6 THEN 4 WHEN predicted < 8 THEN 5 ELSE 6 END"
+BIN = "CASE WHEN predicted < 0 THEN NULL WHEN predicted < 1 THEN 0 WHEN predicted < 2 THEN 1 WHEN predicted < 3 THEN 2 WHEN predicted < 4 THEN 3 WHEN predicted < 5 THEN 4 WHEN predicted < 7 THEN 5 ELSE 6 END"
 
 
 @query(sql(f"SELECT CAST(b.bin AS INTEGER) bin, count(p.predicted) n, avg(p.predicted) mean_predicted, avg(p.actual) mean_actual, avg(p.predicted - p.actual) bias, avg(abs(p.predicted - p.actual)) mae, sqrt(avg((p.predicted - p.actual) ** 2)) rmse FROM range(0, 7) b(bin) LEFT JOIN (SELECT *, {BIN} bin FROM (SELECT predicted / 20 predicted, actual / 20 actual FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL)) p ON p.bin = b.bin GROUP BY 1"), "mean_predicted mean_actual bias mae rmse")
@@ -300,20 +300,22 @@ def factor_correlation(s, d):
 
 def _residuals(s, d) -> DataFrame:
     """Forecast pairs with a factor by entity, for the confound tables."""
-    f = F.lit(0.7) + (F.col("entity") * 7 + F.col("period") * 13) % 61 / 100.0
+    f = (70 + (F.col("entity") * 7 + F.col("period") * 13) % 61) / 100.0
     return forecast_pairs(s, d).where("predicted is not null and actual is not null").withColumn("factor", f).withColumn("residual", F.col("predicted") - F.col("actual"))
 
 
-RES = ", res AS (SELECT *, 0.7 + (entity * 7 + period * 13) % 61 / 100.0 factor, predicted - actual residual FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL), resd AS (SELECT entity, period, class, predicted, actual, CAST(factor AS DOUBLE) factor, residual FROM res)"
+RES = ", res AS (SELECT *, (70 + (entity * 7 + period * 13) % 61) / 100.0 factor, predicted - actual residual FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL), resd AS (SELECT entity, period, class, predicted, actual, CAST(factor AS DOUBLE) factor, residual FROM res)"
 
 
-@query(sql(f"{RES} SELECT b.band, count(r.residual) n, avg(residual) control_bias, avg(abs(residual)) control_mae, avg(predicted * factor - actual) bias, sqrt(avg((predicted * factor - actual) ** 2)) rmse FROM (VALUES ('low', 0.0, 0.85), ('middle', 0.85, 1.15), ('high', 1.15, 1.5), ('beyond', 1.5, 9.0)) b(band, lo, hi) LEFT JOIN resd r ON r.factor >= lo + 1e-9 AND r.factor < hi + 1e-9 GROUP BY 1"), "control_bias control_mae bias rmse")
+FACTOR_BAND = "CASE WHEN factor = 0.7 THEN '0.70' WHEN factor < 0.85 THEN '>0.70-<0.85' WHEN factor < 0.95 THEN '0.85-<0.95' WHEN factor < 1.05 THEN '0.95-<1.05' WHEN factor < 1.15 THEN '1.05-<1.15' WHEN factor < 1.3 THEN '1.15-<1.30' ELSE '1.30' END"
+BAND_NAMES = ", ".join(f"('{b}')" for b in X.FACTOR_BANDS)
+
+
+@query(sql(f"{RES} SELECT b.band, count(r.residual) n, avg(residual) control_bias, avg(abs(residual)) control_mae, avg(predicted * factor - actual) bias, sqrt(avg((predicted * factor - actual) ** 2)) rmse FROM (VALUES {BAND_NAMES}) b(band) LEFT JOIN (SELECT *, {FACTOR_BAND} band FROM resd) r ON r.band = b.band GROUP BY 1"), "control_bias control_mae bias rmse")
 def factor_band_residuals(s, d):
-    f = F.col("factor") - 1e-9
-    band = F.when(f < 0.85, "low").when(f < 1.15, "middle").when(f < 1.5, "high").otherwise("beyond")
     e = F.col("predicted") * F.col("factor") - F.col("actual")
-    found = _residuals(s, d).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("control_bias"), F.avg(F.abs("residual")).alias("control_mae"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    spine = s.range(1).select(F.explode(F.array(*[F.lit(b) for b in ("low", "middle", "high", "beyond")])).alias("band"))
+    found = _residuals(s, d).groupBy(X.factor_band(F.col("factor")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("control_bias"), F.avg(F.abs("residual")).alias("control_mae"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    spine = s.range(1).select(F.explode(F.array(*[F.lit(b) for b in X.FACTOR_BANDS])).alias("band"))
     return spine.join(found, "band", "left").na.fill(0, ["n"])
 
 

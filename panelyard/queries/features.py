@@ -99,12 +99,12 @@ def per_90_rate(s, d):
     return periods(s, d).select("entity", "period", X.per_90(F.col("xg"), F.col("minutes")).alias("xg_90"), X.per_90(F.col("xa"), F.col("minutes")).alias("xa_90"))
 
 
-BANDS = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} < 0.5 THEN '0' WHEN {0} < 30 THEN '1-29' WHEN {0} < 60 THEN '30-59' WHEN {0} < 90 THEN '60-89' ELSE '90' END"
+BANDS = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} = 0 THEN '0' WHEN {0} < 30 THEN '1-29' WHEN {0} < 60 THEN '30-59' WHEN {0} < 90 THEN '60-89' ELSE '90' END"
 
 
 @query(sql(f"SELECT {BANDS.format('predicted')} AS band, count(*) n FROM pairs GROUP BY 1"))
 def band_labels(s, d):
-    return forecast_pairs(s, d).groupBy(X.bands(F.col("predicted"), X.MINUTE_BANDS, "90", "unknown").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return forecast_pairs(s, d).groupBy(X.minute_band(F.col("predicted")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("SELECT entity, period, CASE WHEN actual IS NULL AND predicted IS NULL THEN 'both_missing' WHEN actual IS NULL THEN 'missing_actual' WHEN predicted IS NULL THEN 'missing_prediction' WHEN actual = 0 THEN 'actual_zero' ELSE 'valid' END state FROM pairs"))

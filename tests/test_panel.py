@@ -160,7 +160,7 @@ def test_lineup_and_swaps_against_brute_force(spark, seed):
     ranks = sorted(legal, key=lambda k: (-round(legal[k], 8), k))
     assert [found[k]["rank"] for k in ranks] == list(range(1, len(ranks) + 1))
     views = decision_plans.sensitivity_views(s, decision_plans.with_reliability(p), h)
-    plain = {r.view: r for r in views.collect()}["no_captain"]
+    plain = {r.view: r for r in views.collect()}["xi_only_without_captain_amplification"]
     single = lineup.swap_search(s, p, h, captain=0.0).where("rank = 1").collect()[0]
     assert (plain.out_id, plain.in_id, plain.gain) == (single.out_id, single.in_id, single.gain)
 
@@ -230,3 +230,19 @@ def test_finalization_rules():
     assert run([(at(0), True, "a"), (at(14), True, "a")]) is None
     assert run([(at(0), True, "a"), (at(10), True, "b"), (at(20), True, "b")]) is None
     assert run([(at(0), True, "a"), (at(5), False, "a"), (at(18), True, "a")]) is None
+
+
+def test_fixed_bins_and_bands(spark):
+    """Edges by hand: what each bin and band holds, and what none does."""
+    from panelyard.operators import metrics
+    from panelyard.plans import decision_plans
+
+    rows = spark.createDataFrame([(-0.5, 0.0), (0.0, 1.0), (0.99, 1.0), (4.99, 5.0), (5.0, 5.0), (6.99, 7.0), (7.0, 7.0), (50.0, 1.0)], "p double, a double")
+    assert {r.bin: r.n for r in metrics.calibration_bins(rows, "p", "a").collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 2}
+    minutes = spark.createDataFrame([(0.0,), (0.3,), (29.9,), (30.0,), (60.0,), (89.9,), (90.0,), (None,)], "x double")
+    assert [r[0] for r in minutes.select(X.minute_band(F.col("x"))).collect()] == ["0", "1-29", "1-29", "30-59", "60-89", "60-89", "90", "unknown"]
+    factors = spark.createDataFrame([(0.7,), (0.71,), (0.85,), (0.95,), (1.05,), (1.15,), (1.29,), (1.3,)], "x double")
+    assert [r[0] for r in factors.select(X.factor_band(F.col("x"))).collect()] == [*X.FACTOR_BANDS[:6], X.FACTOR_BANDS[5], X.FACTOR_BANDS[6]]
+    assert decision_plans.sensitivity_names() == [
+        *[f"minimum_prior_minutes_{m}" for m in (30, 60, 90, 91)], *[f"exclude_rates_above_position_p{p}" for p in (90, 95, 99)], *[f"cap_rates_at_position_p{p}" for p in (90, 95, 99)], "xi_only_without_captain_amplification",
+    ]
