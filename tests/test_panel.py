@@ -246,3 +246,10 @@ def test_fixed_bins_and_bands(spark):
     assert decision_plans.sensitivity_names() == [
         *[f"minimum_prior_minutes_{m}" for m in (30, 60, 90, 91)], *[f"exclude_rates_above_position_p{p}" for p in (90, 95, 99)], *[f"cap_rates_at_position_p{p}" for p in (90, 95, 99)], "xi_only_without_captain_amplification",
     ]
+
+
+def test_csv_of_many_columns_and_quoted_headers(spark, tmp_path):
+    names = [f"c{i}" for i in range(90)] + ['"a, b"']
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(str(i) for i in range(90)) + ',"x, y"\n')
+    row = readers.scan_csv_rownum(spark, str(tmp_path / "wide.csv"), "c0 int, c89 int, `a, b` string").first()
+    assert (row.source_row_number, row.c0, row.c89, row["a, b"]) == (1, 0, 89, "x, y")
