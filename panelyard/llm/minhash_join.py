@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import connected_components, dropped, keyed_join, lowest, tidied, written
 
-COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 9, 250, 500, 16
+COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 8, 250, 1000, 16
 #: Coordinates of a band and bands of a sketch that show groups of near copies, and how often pivots are looked for.
 BAND, BANDS, PIVOT_ROUNDS = 4, 8, 3
 #: Least similarity to its pivot at which a document counts as one of the pivot's group, and the differences that it is looked up by.
@@ -425,7 +425,7 @@ def settled(state: DataFrame, by: str) -> tuple[DataFrame, list[DataFrame], Data
     sizes = large.groupBy("path", by).agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(by, "c").alias("most"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
     sizes = written(sizes, "large")
     large = keyed_join(large.drop("n"), sizes, "path", "set_key", total)
-    few = F.col("others") <= BLOCK
+    few = F.col("others") <= BLOCK // 2
     return state.where(F.col("n") <= LEAF).select("path", "set_key"), against_blocks(large.where(few), by), large.where(~few)
 
 
@@ -464,7 +464,7 @@ def grown(sets: DataFrame, trees: range, threshold: float) -> tuple[list[DataFra
 
 
 def against_blocks(large: DataFrame, by: str) -> DataFrame:
-    """path, set_key of groups of a block of a node's documents with its commonest value of by and all its others, BLOCK at most."""
+    """path, set_key of groups of a block of a node's documents with its commonest value of by and all its others, BLOCK / 2 at most."""
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("set_key"), blocks)
     all_blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)
@@ -508,6 +508,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
         pivot = pivot.union(found.select(F.col("pivot").alias("set_key"), F.xxhash64("pivot")).distinct()).groupBy("set_key").agg(F.min("_grp").alias("_grp"))
         classes = written(member.join(pivot, "set_key", "full"), "classes")
         ready = sets.select("set_key", "sketch").join(classes, "set_key", "left").select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp"))
+        ready = written(ready, "ready")
         groups = differing(found, ready)
     more, depth, deep = grown(ready, range(trees), threshold)
     groups += more
