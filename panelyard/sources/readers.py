@@ -59,12 +59,10 @@ def scan_csv_rownum(spark: SparkSession, path: str, schema: StructType | str) ->
     header = numbered.where("source_row_number = 0").select("source_path", F.col("raw_record").alias("_header"))
     rows = numbered.where("source_row_number > 0").join(header, "source_path")
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    # Columns are found by the header's names, whatever their order. No line has more cells than commas and one.
-    width = (lines.agg(F.max(F.regexp_count("raw_record", F.lit(",")))).first()[0] or 0) + 1
-    cells = "`" + "` string, `".join(f"_{i}" for i in range(width)) + "` string"
-    rows = rows.select("source_path", "source_row_number", "raw_record", F.from_csv("_header", cells).alias("_h"), F.from_csv("raw_record", cells).alias("_c"))
-    values = lambda c: F.array(*[F.col(f"{c}._{i}") for i in range(width)])
-    rows = rows.withColumns({"_names": F.transform(values("_h"), F.trim), "_v": values("_c")})
+    # Columns are found by the header's names, whatever their order and number. A comma parts cells where the quotes before it are closed.
+    bare = lambda x: F.replace(F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('\\"'), F.lit('"')), F.lit('""'), F.lit('"'))
+    cells = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.nullif(bare(x), F.lit("")))
+    rows = rows.select("source_path", "source_row_number", "raw_record", cells("_header").alias("_names"), cells("raw_record").alias("_v"))
     at = lambda n: F.get("_v", (F.array_position("_names", n) - 1).cast("int"))
     return rows.select("source_path", "source_row_number", "raw_record", *[F.when(F.array_contains("_names", f.name), at(f.name)).try_cast(f.dataType).alias(f.name) for f in fields])
 
