@@ -8,7 +8,7 @@ that need their texts, and links are confirmed on full shingle sets.
 
 Only components are wanted, so large groups of near copies are linked to a pivot each first, by confirmed links. What is
 left inside such a group is found by differences from the pivot: a document that doesn't link to the pivot can only
-link to one with which it shares a good part of that one's difference. Trees then need no comparison inside a group: in
+link to one with which it shares a good part of that one's difference, so the rarest differences find them all. Trees then need no comparison inside a group: in
 a large node whose commonest group leaves few others, these are compared with blocks of that group. So rows grow with
 documents, not with pairs. What is still large and mixed in the deepest level is compared exactly, block against block.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.shared import connected_components, dropped, keyed_join, lowest, tidied, written
@@ -30,8 +30,8 @@ from panelyard.llm.shared import connected_components, dropped, keyed_join, lowe
 COORDINATES, TREES, LEAF, BLOCK, MAX_DEPTH = 64, 8, 250, 1000, 16
 #: Coordinates of a band and bands of a sketch that show groups of near copies, and how often pivots are looked for.
 BAND, BANDS, PIVOT_ROUNDS = 4, 8, 3
-#: Least similarity to its pivot at which a document counts as one of the pivot's group, and the differences that it is looked up by.
-GROUP_SIMILARITY, PROBES = 0.5, 16
+#: Least similarity to its pivot at which a document counts as one of the pivot's group.
+GROUP_SIMILARITY = 0.5
 #: Size of a cluster whose texts travel together, in shingles or 8 characters of text; a larger one is cut into pairs of blocks.
 CLUSTER_SIZE = 2_000_000
 #: Chance that a pair right at the threshold is lost, for the trees and for the sketches' agreement each.
@@ -271,14 +271,13 @@ def confirmed_edges(clusters: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """set_key, pivot, link, token, whole for parts(pivot, texts: array of set_key, text).
+    """set_key, pivot, link, token, whole, apart for parts(pivot, texts: array of set_key, text).
 
     Rows with a link are a spanning forest of a part's links. The others are differences (shingles in only one of the two
-    sets) of the documents that are of the pivot's group: all of those of a document that doesn't link to the pivot
-    (whole), the PROBES smallest ones by hash of one that does. For x without a link to the pivot, a link of x and y calls
-    for common differences: threshold / (1 + threshold) of y's at least, so a probe meets x with that chance each.
+    sets) of the documents that are of the pivot's group, how many the document has (apart), and whether it has no link to
+    the pivot (whole).
     """
-    names = ["set_key", "pivot", "link", "token", "whole"]
+    names = ["set_key", "pivot", "link", "token", "whole", "apart"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +299,7 @@ def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
                     apart = np.setxor1d(sets[i], sets[0], assume_unique=True)
                     both = (len(sets[i]) + len(sets[0]) - len(apart)) / 2
                     mixed = np.sort((apart ^ salt) * SPREAD[1]) if both >= GROUP_SIMILARITY * (both + len(apart)) else apart[:0]
-                    tokens.append(mixed[:PROBES] if links[i, 0] else mixed)
+                    tokens.append(mixed)
                     counts.append(len(tokens[-1]))
                     whole.append(not links[i, 0])
                 token = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
@@ -313,11 +312,12 @@ def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
                         pa.array([own[j] for _, j in edges] + [None] * len(place), pa.binary()),
                         pa.array([None] * n + token.tolist(), pa.int64()),
                         pa.array([None] * n + np.array(whole)[place].tolist(), pa.bool_()),
+                        pa.array([None] * n + np.array(counts)[place].tolist(), pa.int64()),
                     ],
                     names=names,
                 )
 
-    return parts.mapInArrow(run, "set_key binary, pivot binary, link binary, token bigint, whole boolean")
+    return parts.mapInArrow(run, "set_key binary, pivot binary, link binary, token bigint, whole boolean, apart bigint")
 
 
 class Texts:
@@ -354,7 +354,7 @@ class Texts:
         return links
 
     def around(self, parts: DataFrame) -> DataFrame:
-        """set_key, pivot, link, token, whole (written) for parts(c, pivot, set_key), in which each part holds its pivot: see around_pivots()."""
+        """set_key, pivot, link, token, whole, apart (written) for parts(c, pivot, set_key), in which each part holds its pivot: see around_pivots()."""
         ids = self.wanted(parts)
         gathered = parts.join(self.of(ids), "set_key").groupBy("c", "pivot").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("pivot", "texts")
         out = written(around_pivots(gathered, self.k, self.threshold), "around")
@@ -429,13 +429,27 @@ def settled(state: DataFrame, by: str) -> tuple[DataFrame, list[DataFrame], Data
     return state.where(F.col("n") <= LEAF).select("path", "set_key"), against_blocks(large.where(few), by), large.where(~few)
 
 
-def differing(found: DataFrame, classes: DataFrame) -> list[DataFrame]:
-    """Groups (path, set_key) of documents that share a difference from their pivot, one of them without a link to it."""
-    tokens = found.where("token is not null")
+def differing(found: DataFrame, classes: DataFrame, threshold: float) -> list[DataFrame]:
+    """Groups (path, set_key) of documents that share a difference from their pivot, which hold every link between two of its group.
+
+    Let x have no link to the pivot and y link to x. Then at least threshold / (1 + threshold) of y's differences are x's
+    as well. So with the commonest differences last, one of those before y's last that many, less one, is among them: its
+    prefix. Where y has no link to the pivot either, x and y share one of both prefixes. So a difference needs the
+    documents that have it in their prefix, and all without a link to the pivot if one of these has such a link.
+    """
+    percent = round(threshold * 100)
+    tokens = found.where("token is not null").select("token", "set_key", "whole", "apart")
     some = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("w")).where("n > 1 and w > 0").select("token", "n")
     some = written(some, "tokens")
     total = some.agg(F.sum("n")).first()[0] or 0
-    rows = keyed_join(tokens.select("token", "set_key"), some, "token", "set_key", total).select(F.col("token").alias("path"), "set_key")
+    rows = keyed_join(tokens, some, "token", "set_key", total)
+    last = F.row_number().over(Window.partitionBy("set_key").orderBy(F.desc("n"), "token"))
+    prefix = 100 * last + percent * last >= percent * F.col("apart")
+    rows = written(rows.select("token", "set_key", "whole", prefix.alias("prefix")), "differences")
+    some = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("prefix").alias("p"), F.count_if(F.expr("prefix and not whole")).alias("linked"))
+    some = written(some.where("p > 0 and n > 1 and (linked > 0 or p > 1)").select("token", "n", "linked"), "tokens")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    rows = keyed_join(rows, some, "token", "set_key", total).where("prefix or whole and linked > 0").select(F.col("token").alias("path"), "set_key")
     small, groups, rest = settled(rows.join(classes.select("set_key", "cls"), "set_key"), "cls")
     return [small, groups, block_pairs(rest)]
 
@@ -509,7 +523,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
         classes = written(member.join(pivot, "set_key", "full"), "classes")
         ready = sets.select("set_key", "sketch").join(classes, "set_key", "left").select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp"))
         ready = written(ready, "ready")
-        groups = differing(found, ready)
+        groups = differing(found, ready, threshold)
     more, depth, deep = grown(ready, range(trees), threshold)
     groups += more
     if deep is not None and (wanted := trees_for(depth, threshold)) > trees:
