@@ -164,8 +164,12 @@ def agreeing(left: np.ndarray, right: np.ndarray, floor: int) -> np.ndarray:
     return same >= floor
 
 
-def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Pairs with intersection >= threshold * union, exactly, over full sets; all pairs at once by a 0/1 product."""
+def linked(sets: list[np.ndarray], threshold: float, whole: np.ndarray | None = None) -> np.ndarray:
+    """Pairs with intersection >= threshold * union, exactly, over full sets; all pairs at once by a 0/1 product.
+
+    Where whole is given, sets are differences of sets of these sizes from one and the same set: two sets differ where
+    their differences do.
+    """
     n, size = len(sets), np.array([len(s) for s in sets])
     ids = np.concatenate(sets)
     rows = np.repeat(np.arange(n), size)
@@ -196,7 +200,10 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     out = np.empty((n, n), bool)
     for i in range(n):  # row by row: no more than a few arrays of n x n at once
         own = inter[i] + inter[:, i] + np.rint(both[i]).astype(np.int64)
-        out[i] = 100 * own >= percent * (size[i] + size - own)
+        total = size[i] + size
+        if whole is not None:
+            own, total = (whole[i] + whole - total + 2 * own) // 2, whole[i] + whole
+        out[i] = 100 * own >= percent * (total - own)
     np.fill_diagonal(out, False)
     return out
 
@@ -206,27 +213,29 @@ def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def candidate_clusters(groups: DataFrame, threshold: float) -> DataFrame:
-    """cluster: sorted set keys that their sketches hold together, for groups(members: array of set_key, sketch, cls).
+    """cluster: sorted set keys that their sketches hold together, for groups(members: array of set_key, sketch, cls, grp).
 
-    Documents of one class are linked already and not compared.
+    Documents of one class are linked already, and those of one group are compared by their differences; neither are
+    compared here.
     """
     floor = agreement_floor(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = lists(batch.column(0))
-            keys, low, classes = values.field("set_key"), values.field("sketch"), values.field("cls").to_numpy(zero_copy_only=False)
+            keys, low = values.field("set_key"), values.field("sketch")
+            classes, near = (values.field(f).to_numpy(zero_copy_only=False) for f in ("cls", "grp"))
             out = []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 own = low.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, COORDINATES)
-                cls = classes[a:b]
+                cls, grp = classes[a:b], near[a:b]
                 names = keys.slice(a, b - a).to_pylist()
-                # The commonest class comes last and is only compared with the others.
-                kinds, which, count = np.unique(cls, return_inverse=True, return_counts=True)
+                # The commonest group comes last and is only compared with the others.
+                kinds, which, count = np.unique(grp, return_inverse=True, return_counts=True)
                 order = np.argsort(which == count.argmax(), kind="stable")
-                own, cls = own[order], cls[order]
+                own, cls, grp = own[order], cls[order], grp[order]
                 few = max(1, int(b - a - count.max()))
-                close = agreeing(own[:few], own, floor) & (cls[:few, None] != cls[None, :])
+                close = agreeing(own[:few], own, floor) & (cls[:few, None] != cls[None, :]) & (grp[:few, None] != grp[None, :])
                 if not close.any():
                     continue
                 for members in held_together(close):
@@ -271,13 +280,13 @@ def confirmed_edges(clusters: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """set_key, pivot, link, token, whole, apart for parts(pivot, texts: array of set_key, text).
+    """set_key, pivot, link, whole, size, apart for parts(pivot, texts: array of set_key, text).
 
-    Rows with a link are a spanning forest of a part's links. The others are differences (shingles in only one of the two
-    sets) of the documents that are of the pivot's group, how many the document has (apart), and whether it has no link to
-    the pivot (whole).
+    Rows with a link are a spanning forest of a part's links. The others are the documents of the pivot's group, one row
+    each: its differences (apart, the shingles in only one of the two sets), the size of its set, and whether it has no
+    link to the pivot (whole).
     """
-    names = ["set_key", "pivot", "link", "token", "whole", "apart"]
+    kind = "set_key binary, pivot binary, link binary, whole boolean, size bigint, apart array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,32 +301,44 @@ def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
                 own = [own[i] for i in order]
                 sets = [shingle_set(texts[int(a + i)].as_py(), k) for i in order]
                 links = linked(sets, threshold)
-                edges = forest(links)
                 salt = np.uint64(xxhash.xxh3_64_intdigest(pivot))
-                tokens, counts, whole = [], [0], [False]
+                rows = [(own[i], own[j], None, None, None) for i, j in forest(links)]
                 for i in range(1, len(sets)):
                     apart = np.setxor1d(sets[i], sets[0], assume_unique=True)
                     both = (len(sets[i]) + len(sets[0]) - len(apart)) / 2
-                    mixed = np.sort((apart ^ salt) * SPREAD[1]) if both >= GROUP_SIMILARITY * (both + len(apart)) else apart[:0]
-                    tokens.append(mixed)
-                    counts.append(len(tokens[-1]))
-                    whole.append(not links[i, 0])
-                token = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
-                place = np.repeat(np.arange(len(sets)), counts)
-                n = len(edges)
+                    if both >= GROUP_SIMILARITY * (both + len(apart)):
+                        mixed = np.sort((apart ^ salt) * SPREAD[1]).view(np.int64)
+                        rows.append((own[i], None, not links[i, 0], len(sets[i]), mixed))
+                found, link, whole, size, apart = zip(*rows, strict=True) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([own[i] for i, _ in edges] + [own[i] for i in place], pa.binary()),
-                        pa.array([pivot] * (n + len(place)), pa.binary()),
-                        pa.array([own[j] for _, j in edges] + [None] * len(place), pa.binary()),
-                        pa.array([None] * n + token.tolist(), pa.int64()),
-                        pa.array([None] * n + np.array(whole)[place].tolist(), pa.bool_()),
-                        pa.array([None] * n + np.array(counts)[place].tolist(), pa.int64()),
-                    ],
-                    names=names,
+                    [pa.array(found, pa.binary()), pa.array([pivot] * len(rows), pa.binary()), pa.array(link, pa.binary()), pa.array(whole, pa.bool_()), pa.array(size, pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+                    names=["set_key", "pivot", "link", "whole", "size", "apart"],
                 )
 
-    return parts.mapInArrow(run, "set_key binary, pivot binary, link binary, token bigint, whole boolean, apart bigint")
+    return parts.mapInArrow(run, kind)
+
+
+def linked_by_differences(groups: DataFrame, threshold: float) -> DataFrame:
+    """a, b: a spanning forest of the links between classes, for groups(members: array of set_key, cls, size, apart) of one pivot each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, values = lists(batch.column(0))
+            keys, apart = values.field("set_key"), values.field("apart")
+            classes, sizes = (values.field(f).to_numpy(zero_copy_only=False) for f in ("cls", "size"))
+            left, right = [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                own, cls = apart.slice(a, b - a), classes[a:b]
+                if (cls == cls[0]).all():
+                    continue
+                ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))
+                sets = np.split(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
+                for i, j in forest(linked(sets, threshold, sizes[a:b]) & (cls[:, None] != cls[None, :])):
+                    left.append(keys[int(a + i)].as_py())
+                    right.append(keys[int(a + j)].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a binary, b binary")
 
 
 class Texts:
@@ -354,7 +375,7 @@ class Texts:
         return links
 
     def around(self, parts: DataFrame) -> DataFrame:
-        """set_key, pivot, link, token, whole, apart (written) for parts(c, pivot, set_key), in which each part holds its pivot: see around_pivots()."""
+        """set_key, pivot, link, whole, size, apart (written) for parts(c, pivot, set_key), in which each part holds its pivot: see around_pivots()."""
         ids = self.wanted(parts)
         gathered = parts.join(self.of(ids), "set_key").groupBy("c", "pivot").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("pivot", "texts")
         out = written(around_pivots(gathered, self.k, self.threshold), "around")
@@ -363,7 +384,7 @@ class Texts:
 
 
 def cut_to_size(wanted: DataFrame) -> DataFrame:
-    """c, set_key: clusters of up to CLUSTER_SIZE as they are, larger ones as pairs of blocks that hold every pair.
+    """c, set_key and wanted's other columns but weight: clusters of up to CLUSTER_SIZE as they are, larger ones as pairs of blocks that hold every pair.
 
     Clusters have a bounded number of documents, so the blocks of one are bounded too.
     """
@@ -371,7 +392,8 @@ def cut_to_size(wanted: DataFrame) -> DataFrame:
     blocks = F.when(F.col("total") > CLUSTER_SIZE, F.ceil(2 * F.col("total") / CLUSTER_SIZE)).otherwise(F.lit(1).cast("long"))
     rows = wanted.join(total, "c").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
-    return rows.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("c"), "set_key")
+    others = [c for c in wanted.columns if c not in ("c", "weight")]
+    return rows.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("c"), *others)
 
 
 def pivot_links(texts: Texts, sets: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
@@ -429,29 +451,44 @@ def settled(state: DataFrame, by: str) -> tuple[DataFrame, list[DataFrame], Data
     return state.where(F.col("n") <= LEAF).select("path", "set_key"), against_blocks(large.where(few), by), large.where(~few)
 
 
-def differing(found: DataFrame, classes: DataFrame, threshold: float) -> list[DataFrame]:
-    """Groups (path, set_key) of documents that share a difference from their pivot, which hold every link between two of its group.
+def differing(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b (written): links between documents of one pivot's group, which join all that its links join, for found as around_pivots() gives it.
 
     Let x have no link to the pivot and y link to x. Then at least threshold / (1 + threshold) of y's differences are x's
     as well. So with the commonest differences last, one of those before y's last that many, less one, is among them: its
     prefix. Where y has no link to the pivot either, x and y share one of both prefixes. So a difference needs the
-    documents that have it in their prefix, and all without a link to the pivot if one of these has such a link.
+    documents that have it in their prefix, and all without a link to the pivot if one of these has such a link. Those
+    are compared by their differences, which are as exact as their sets and much smaller.
     """
     percent = round(threshold * 100)
-    tokens = found.where("token is not null").select("token", "set_key", "whole", "apart")
+    docs = found.where("apart is not null").select("set_key", "whole", "size", "apart")
+    docs = written(docs.join(classes.select("set_key", "cls"), "set_key"), "docs")
+    tokens = docs.select("set_key", "cls", "whole", F.size("apart").alias("apart"), F.explode("apart").alias("token"))
     some = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("w")).where("n > 1 and w > 0").select("token", "n")
     some = written(some, "tokens")
     total = some.agg(F.sum("n")).first()[0] or 0
     rows = keyed_join(tokens, some, "token", "set_key", total)
     last = F.row_number().over(Window.partitionBy("set_key").orderBy(F.desc("n"), "token"))
     prefix = 100 * last + percent * last >= percent * F.col("apart")
-    rows = written(rows.select("token", "set_key", "whole", prefix.alias("prefix")), "differences")
+    rows = written(rows.select("token", "set_key", "cls", "whole", prefix.alias("prefix")), "differences")
     some = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("prefix").alias("p"), F.count_if(F.expr("prefix and not whole")).alias("linked"))
     some = written(some.where("p > 0 and n > 1 and (linked > 0 or p > 1)").select("token", "n", "linked"), "tokens")
     total = some.agg(F.sum("n")).first()[0] or 0
-    rows = keyed_join(rows, some, "token", "set_key", total).where("prefix or whole and linked > 0").select(F.col("token").alias("path"), "set_key")
-    small, groups, rest = settled(rows.join(classes.select("set_key", "cls"), "set_key"), "cls")
-    return [small, groups, block_pairs(rest)]
+    rows = keyed_join(rows, some, "token", "set_key", total).where("prefix or whole and linked > 0").select(F.col("token").alias("path"), "set_key", "cls")
+    small, groups, rest = settled(rows, "cls")
+    nodes = distinct_nodes([small, groups, block_pairs(rest)]).withColumnRenamed("path", "c")
+    nodes = written(nodes.join(docs.withColumn("weight", F.size("apart").cast("long")).drop("whole"), "set_key"), "compared")
+    gathered = cut_to_size(nodes).groupBy("c").agg(F.collect_list(F.struct("set_key", "cls", "size", "apart")).alias("members")).select("members")
+    links = written(linked_by_differences(gathered, threshold).distinct(), "links")
+    dropped(nodes, docs)
+    return links
+
+
+def distinct_nodes(groups: list[DataFrame]) -> DataFrame:
+    """path, set_key of the nodes of two documents or more; of nodes with the same documents, as other trees have them, one."""
+    nodes = union(groups).groupBy("path").agg(F.array_sort(F.collect_set("set_key")).alias("keys")).where(F.size("keys") > 1)
+    nodes = nodes.groupBy(F.xxhash64("keys").alias("h"), F.col("keys")).agg(F.first("path").alias("path"))
+    return nodes.select("path", F.explode("keys").alias("set_key"))
 
 
 def grown(sets: DataFrame, trees: range, threshold: float) -> tuple[list[DataFrame], int, DataFrame | None]:
@@ -515,24 +552,20 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     texts = Texts(docs, sets, shingle, threshold, id_col, text_col)
     own = F.xxhash64("set_key")
     edges, found = pivot_links(texts, sets)
-    ready, groups = sets.select("set_key", "sketch", own.alias("cls"), own.alias("grp")), []
+    ready = sets.select("set_key", "sketch", own.alias("cls"), own.alias("grp"))
     if found is not None:
         member = connected_components(union(edges)).select(F.col("node").alias("set_key"), F.xxhash64("component").alias("_cls"))
-        pivot = found.where("token is not null").groupBy("set_key").agg(F.xxhash64(F.first("pivot")).alias("_grp"))
+        pivot = found.where("apart is not null").select("set_key", F.xxhash64("pivot").alias("_grp"))
         pivot = pivot.union(found.select(F.col("pivot").alias("set_key"), F.xxhash64("pivot")).distinct()).groupBy("set_key").agg(F.min("_grp").alias("_grp"))
         classes = written(member.join(pivot, "set_key", "full"), "classes")
         ready = sets.select("set_key", "sketch").join(classes, "set_key", "left").select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp"))
         ready = written(ready, "ready")
-        groups = differing(found, ready, threshold)
-    more, depth, deep = grown(ready, range(trees), threshold)
-    groups += more
+        edges.append(differing(found, ready, threshold))
+    groups, depth, deep = grown(ready, range(trees), threshold)
     if deep is not None and (wanted := trees_for(depth, threshold)) > trees:
         groups += grown(ready.join(deep, "set_key", "left_semi"), range(trees, wanted), threshold)[0]
-    # Nodes of the same documents, as other trees have them, are compared once.
-    nodes = union(groups).groupBy("path").agg(F.array_sort(F.collect_set("set_key")).alias("keys")).where(F.size("keys") > 1)
-    nodes = nodes.groupBy(F.xxhash64("keys").alias("h"), F.col("keys")).agg(F.first("path").alias("path"))
-    gathered = nodes.select("path", F.explode("keys").alias("set_key")).join(ready, "set_key")
-    gathered = gathered.groupBy("path").agg(F.collect_list(F.struct("set_key", "sketch", "cls")).alias("members")).select("members")
+    gathered = distinct_nodes(groups).join(ready, "set_key")
+    gathered = gathered.groupBy("path").agg(F.collect_list(F.struct("set_key", "sketch", "cls", "grp")).alias("members")).select("members")
     clusters = candidate_clusters(gathered, threshold).groupBy("cluster").agg(F.count(F.lit(1)).alias("times"))
     clusters = written(clusters.select(F.monotonically_increasing_id().alias("c"), "cluster"), "clusters")
     edges.append(texts.links(clusters.select("c", F.explode("cluster").alias("set_key"))))

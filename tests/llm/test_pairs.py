@@ -158,6 +158,8 @@ def test_a_large_group_of_near_copies_grows_in_line(spark, monkeypatch):
     sent = []
     pairs_to_compare = minhash_join.candidate_clusters
     monkeypatch.setattr(minhash_join, "candidate_clusters", lambda groups, t: sent.append(groups.select(F.sum(F.size("members"))).first()[0] or 0) or pairs_to_compare(groups, t))
+    by_differences = minhash_join.linked_by_differences
+    monkeypatch.setattr(minhash_join, "linked_by_differences", lambda groups, t: sent.append(groups.select(F.sum(F.size("members"))).first()[0] or 0) or by_differences(groups, t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash_join.similar_documents(df, 3, 0.85).collect()}
     sets = [shingles(t, 3) for t in texts]
@@ -169,7 +171,7 @@ def test_a_large_group_of_near_copies_grows_in_line(spark, monkeypatch):
     links = np.argwhere(np.triu(100 * inter >= 85 * (size[:, None] + size[None, :] - inter), 1))
     low = union(range(len(sets)), links.tolist())
     assert np.mean([got[i] == low[i] for i in low]) > 0.999
-    assert sent[0] < 100 * len(texts), sent
+    assert len(sent) == 2 and sum(sent) < 100 * len(texts), sent
 
 
 def test_trees_keep_their_recall():
