@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.decontamination import benchmark_matches
 from panelyard.llm.embedding_join import near_vectors
+from panelyard.llm.filter_audit import audited
 from panelyard.llm.html_text import extracted
 from panelyard.llm.language import held_out, identified, train
+from panelyard.llm.merkle import manifest
 from panelyard.llm.minhash_join import similar_documents
 from panelyard.llm.mixing import mixed_copies
 from panelyard.llm.secrets import joined, secret_spans
@@ -82,6 +84,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 SQL_1 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE label IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0),
 l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -111,6 +121,46 @@ SELECT page_id, n AS payload_bytes, sha256(p.h) payload_digest, CASE WHEN f <> p
 FROM p LEFT JOIN f USING (h)
 """
 
+SQL_12 = r"""
+WITH RECURSIVE marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') w FROM documents),
+f AS (SELECT d.doc_id, part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END) AS mask, coalesce(good, 0) good, coalesce(toxic, 0) toxic FROM d LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, CAST(mask AS INTEGER) mask, count(*) n, sum(good) good, sum(toxic) toxic FROM f GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(l) WHERE length(o) < 5 AND NOT contains(o, l)),
+steps AS (SELECT o, CAST(s AS INTEGER) step, o[s] l, CAST(list_sum(list_transform(string_split(o[1 : s], ''), lambda c: 1 << (ascii(c) - 65))) AS INTEGER) b, CAST(1 << (ascii(o[s]) - 65) AS INTEGER) f
+  FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+t AS (SELECT part, o, step, l, sum(CASE WHEN mask & b = 0 THEN n ELSE 0 END) kept, sum(CASE WHEN mask & (b - f) = 0 AND mask & f > 0 THEN n ELSE 0 END) removed,
+  sum(CASE WHEN mask & (b - f) > 0 AND mask & f > 0 THEN n ELSE 0 END) redundant, sum(CASE WHEN mask = f THEN n ELSE 0 END) unique_fails,
+  sum(CASE WHEN mask & (b - f) = 0 AND mask & f > 0 THEN good ELSE 0 END) good_lost, sum(CASE WHEN mask & (b - f) = 0 AND mask & f > 0 THEN toxic ELSE 0 END) toxic_lost
+  FROM cells, steps GROUP BY part, o, step, l)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) kept, CAST(removed AS BIGINT) removed, CAST(redundant AS BIGINT) redundant, CAST(unique_fails AS BIGINT) unique_fails,
+  CAST(good_lost AS BIGINT) good_lost, CAST(toxic_lost AS BIGINT) toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) shapley FROM t
+"""
+
+SQL_13 = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) t FROM range(256) r(i)),
+d AS (SELECT doc_id, source, 'x' || source AS named, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+  strlen(text) || ':' || text AS body, strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda v: CAST(ascii(v) AS BIGINT)), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) % 5 = 0 AS tampered FROM documents, crc),
+l AS (SELECT doc_id, coalesce(named, '') s, sha256(head || coalesce(body, '-')) leaf, CASE WHEN tampered THEN sha256(head || coalesce(low, '-')) ELSE sha256(head || coalesce(body, '-')) END AS used FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+tree(k, s, i, h) AS (SELECT 0, s, i, leaf FROM p UNION ALL SELECT any_value(k) + 1, s, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY s) n FROM tree) WHERE n > 1 GROUP BY s, i // 16),
+height AS (SELECT s, max(k) top FROM tree GROUP BY s),
+sub AS (SELECT s, h subroot, row_number() OVER (ORDER BY s) - 1 AS i FROM tree JOIN height USING (s) WHERE k = top),
+upper(k, i, h) AS (SELECT 0, i, subroot FROM sub UNION ALL SELECT any_value(k) + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () n FROM upper) WHERE n > 1 GROUP BY i // 16),
+runs AS (SELECT k, s, i // 16 AS i, list(h ORDER BY i) r FROM tree JOIN height USING (s) WHERE k < top GROUP BY k, s, i // 16),
+upper_runs AS (SELECT k, i // 16 AS i, list(h ORDER BY i) r FROM upper WHERE k < (SELECT max(k) FROM upper) GROUP BY k, i // 16),
+fold(doc_id, s, i, k, h, proof, leaf) AS (SELECT doc_id, s, i, 0, used, '', leaf FROM p
+  UNION ALL SELECT doc_id, f.s, f.i // 16, f.k + 1, sha256(array_to_string(r[: f.i % 16], '') || h || array_to_string(r[f.i % 16 + 2 :], '')), proof || array_to_string(r[: f.i % 16], '') || array_to_string(r[f.i % 16 + 2 :], ''), leaf
+  FROM fold f JOIN runs u ON u.k = f.k AND u.s = f.s AND u.i = f.i // 16),
+up(doc_id, s, i, k, h, proof, leaf, subroot) AS (SELECT doc_id, f.s, b.i, 0, h, proof, leaf, subroot FROM fold f JOIN height g ON g.s = f.s AND g.top = f.k JOIN sub b ON b.s = f.s
+  UNION ALL SELECT doc_id, s, f.i // 16, f.k + 1, sha256(array_to_string(r[: f.i % 16], '') || h || array_to_string(r[f.i % 16 + 2 :], '')), proof || array_to_string(r[: f.i % 16], '') || array_to_string(r[f.i % 16 + 2 :], ''), leaf, subroot
+  FROM up f JOIN upper_runs u ON u.k = f.k AND u.i = f.i // 16)
+SELECT doc_id, leaf, subroot, root, sha256(proof) proof_sha256, h AS folded_root, h = root AS verified FROM up, (SELECT h AS root FROM upper WHERE k = (SELECT max(k) FROM upper)) WHERE k = (SELECT max(k) FROM upper)
+"""
+
 
 def queries() -> dict:
     return {
@@ -124,8 +174,10 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neardup": SQL_1, "op3_decontamination": SQL_3, "op9_warc": SQL_9}
+    return {"op1_embedding_neardup": SQL_1, "op3_decontamination": SQL_3, "op9_warc": SQL_9, "op12_filter_audit": SQL_12, "op13_merkle": SQL_13}
