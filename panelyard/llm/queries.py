@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.llm import quality
 from panelyard.llm.decontamination import benchmark_matches
 from panelyard.llm.embedding_join import near_vectors
 from panelyard.llm.filter_audit import audited
@@ -84,6 +85,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    test = quality.held_out(F.col("doc_id"))
+    model = quality.train(docs, labels.where(~test))
+    return quality.scored(docs.select("doc_id", "text"), model, least=0.7).select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -174,6 +182,7 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
+        "op11_quality": op11_quality,
         "op12_filter_audit": op12_filter_audit,
         "op13_merkle": op13_merkle,
     }
