@@ -73,15 +73,15 @@ def reduced(nodes: list[str], levels: int | None) -> list[list[str]]:
     return out
 
 
-def _height(total: int) -> int | None:
-    return LEVELS if total > ARITY**LEVELS else None
+def local_levels(rows: pd.DataFrame, height: int) -> list[list[str]]:
+    """The levels of a superblock's rows, which are in order: height more, fewer where the whole tree is lower."""
+    return reduced(rows["leaf"].tolist(), height if rows["total"].iloc[0] > ARITY**height else None)
 
 
-def _top(rows: pd.DataFrame) -> pd.DataFrame:
-    """The top of one superblock (ARITY ** LEVELS rows at most)."""
+def _top(rows: pd.DataFrame, height: int) -> pd.DataFrame:
+    """The top of one superblock (ARITY ** height rows at most)."""
     rows = rows.sort_values("place")
-    tree, block, total = rows["tree"].iloc[0], rows["block"].iloc[0], int(rows["total"].iloc[0])
-    return pd.DataFrame({"tree": [tree], "idx": [block], "total": [-(-total // ARITY**LEVELS)], "node": [reduced(rows["leaf"].tolist(), _height(total))[-1][0]]})
+    return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "idx": [rows["block"].iloc[0]], "total": [-(-int(rows["total"].iloc[0]) // ARITY**height)], "node": [local_levels(rows, height)[-1][0]]})
 
 
 def raised(tops: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -131,14 +131,14 @@ def siblings(run: list[str], slot: int) -> tuple[str, str]:
     return "".join(run[:slot]), "".join(run[slot + 1 :])
 
 
-def _prove(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _prove(rows: pd.DataFrame, outer: pd.DataFrame, height: int) -> pd.DataFrame:
     """Proofs of the leaves of one superblock: local runs first, then the outer ones that all its leaves share."""
     rows = rows.sort_values("place")
     out = {"id": rows["id"], "leaf": rows["leaf"]}
     if rows.empty:
         return pd.DataFrame(out).assign(subroot="", root="", proof_sha256="", folded_root="", verified=False)
     top = outer.iloc[0]
-    levels = reduced(rows["leaf"].tolist(), _height(int(rows["total"].iloc[0])))
+    levels = local_levels(rows, height)
     shared = [siblings(list(x["run"]), x["slot"]) for x in top["outer"]]
     beyond = "".join(a + b for a, b in shared)
     proofs, folded = [], []
@@ -156,19 +156,19 @@ def _prove(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
 
 
 @tidied
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """A proof for each row of docs(doc_id, source, lang, n_chars, text) under one root.
 
     doc_id, leaf, subroot, root, proof_sha256, folded_root, verified. Leaves stand in the order of doc_id, null ids
     first, rows of one id in the order of their digests; rows that are equal in every field have places of their own. A null
     source is a source, and the first; null fields are told apart from empty ones. Rows without an id aren't tampered with.
     Very long texts are hashed where they are read and don't travel. Other columns are not part of a leaf. An
-    empty table has no root and no rows.
+    empty table has no root and no rows. levels is the height of a superblock, and changes no result.
     """
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     own = written(leaves(docs).withColumn("tree", key).drop("source"), "digests")
-    rows = written(placed(own, "tree", ["doc_id", "leaf"], "leaves").withColumn("block", F.floor(F.col("place") / ARITY**LEVELS)), "places")
-    tops = written(rows.select("tree", "block", "total", "place", "leaf").groupBy("tree", "block").applyInPandas(_top, "tree string, idx long, total long, node string"), "tops")
+    rows = written(placed(own, "tree", ["doc_id", "leaf"], "leaves").withColumn("block", F.floor(F.col("place") / ARITY**levels)), "places")
+    tops = written(rows.select("tree", "block", "total", "place", "leaf").groupBy("tree", "block").applyInPandas(lambda rows: _top(rows, levels), "tree string, idx long, total long, node string"), "tops")
     above, subroots = raised(tops)
     # The sources are the leaves of one more tree; its levels are reduced from the sources themselves.
     named = written(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("node").alias("leaf"), "level"), "subroots")
@@ -178,5 +178,5 @@ def manifest(docs: DataFrame) -> DataFrame:
     by_source = handed_down(source_levels, start).select(F.col("idx").alias("place"), "root", "outer")
     sources = written(ranked.join(by_source, "place").select(F.col("name").alias("tree"), "level", F.col("leaf").alias("subroot"), "root", "outer"), "paths")
     outer = written(handed_down(above, sources), "outer").withColumnRenamed("idx", "block")
-    proved = rows.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id").groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(_prove, PROVED)
+    proved = rows.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id").groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(lambda rows, above: _prove(rows, above, levels), PROVED)
     return proved.select(F.col("id").cast(rows.schema["doc_id"].dataType).alias("doc_id"), *proved.columns[1:])
