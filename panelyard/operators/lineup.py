@@ -11,6 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators import ranks
+from panelyard.operators.ranks import empirical_percentile  # noqa: F401
+
 #: Squad size by class, club limit, and the legal formations (DEF, MID, FWD) beside one GK.
 SQUAD = {"GK": 2, "DEF": 5, "MID": 5, "FWD": 3}
 CLUB_LIMIT = 3
@@ -107,17 +110,13 @@ def swap_search(squads: DataFrame, pool: DataFrame, heads: DataFrame, also: Sequ
 
 
 def rank_within_class(pool: DataFrame, by: Sequence[str] = ("class",), score: str = "projection") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc(score), "id")
-    return pool.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(w))
-
-
-def empirical_percentile(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """Rank from the top and the share of peers at or below, in per cent."""
-    known = df.where(F.col(x).isNotNull())
-    return known.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(x), "id")), "percentile": F.cume_dist().over(Window.partitionBy(*by).orderBy(x)) * 100.0})
+    """Rows of known score with rank, from the top, ties by id."""
+    return ranks.row_numbers(pool.where(F.col(score).isNotNull()), by, [F.desc(score), F.col("id")], "rank")
 
 
 def rate_reference(df: DataFrame, by: Sequence[str], x: str, complete: Column, qs: Sequence[float] = (0.90, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles of x over complete rows, and how many rows were used and left out."""
-    used = F.when(complete, F.col(x))
-    return df.groupBy(*by).agg(F.percentile(used, F.array(*[F.lit(q) for q in qs])).alias("_p"), F.count(used).alias("used"), F.count_if(used.isNull()).alias("excluded")).select(*by, *[F.get("_p", i).alias(f"p{round(q * 100)}") for i, q in enumerate(qs)], "used", "excluded")
+    used = df.select(*by, F.when(complete, F.col(x)).alias("_used"))
+    counts = used.groupBy(*by).agg(F.count("_used").alias("used"), F.count_if(F.col("_used").isNull()).alias("excluded"))
+    names = {f"p{round(q * 100)}": q for q in qs}
+    return ranks.matched(counts, ranks.exact_quantiles(used, by, "_used", names), by, "left").select(*by, *names, "used", "excluded")

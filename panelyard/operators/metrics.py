@@ -1,12 +1,14 @@
-"""Forecast metrics, rank statistics and calibration tables. All are aggregates; constant input gives null, never NaN."""
+"""Forecast metrics, correlations and calibration tables. All are aggregates; constant input gives null, never NaN."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators.ranks import average_rank, spearman_by_group, top_n_lists, top_n_overlap  # noqa: F401
+
 #: Lower edges of calibration bins; a forecast below the first is in none.
 BIN_EDGES = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 7.0)
 
@@ -41,14 +43,6 @@ def metrics_by_scope(df: DataFrame, predicted: str, actual: str, scopes: Mapping
     return forecast_metrics(scoped(df, scopes), predicted, actual, ["scope", "group"])
 
 
-def average_rank(df: DataFrame, x: str, by: Sequence[str], name: str) -> DataFrame:
-    """Rank of x inside by, ties sharing their mean rank."""
-    group = [F.col(b) for b in by]
-    rank = F.rank().over(Window.partitionBy(*group).orderBy(x))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, F.col(x)))
-    return df.withColumn(name, rank + (ties - 1) / 2.0)
-
-
 def pearson_by_group(df: DataFrame, x: str, y: str, by: Sequence[str], name: str = "pearson") -> DataFrame:
     """Pearson correlation of known pairs; null for fewer than two or where a side is constant."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -58,13 +52,6 @@ def pearson_by_group(df: DataFrame, x: str, y: str, by: Sequence[str], name: str
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), value.alias(name))
 
 
-def spearman_by_group(df: DataFrame, x: str, y: str, by: Sequence[str], name: str = "spearman") -> DataFrame:
-    """Pearson correlation of tie-averaged ranks, ranks taken inside each group."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(both, x, by, "_rx"), y, by, "_ry")
-    return pearson_by_group(ranked, "_rx", "_ry", by, name)
-
-
 def calibration_bins(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = (), edges: Sequence[float] = BIN_EDGES) -> DataFrame:
     """Fixed bins with counts, means and bias; empty bins stay, with a count of 0."""
     p = F.col(predicted)
@@ -76,26 +63,3 @@ def calibration_bins(df: DataFrame, predicted: str, actual: str, by: Sequence[st
     groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     spine = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 1))))
     return spine.join(found, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-
-
-def top_n_overlap(df: DataFrame, predicted: str, actual: str, key: str, by: Sequence[str], ns: Sequence[int] = (10, 25, 50), strict: bool = True) -> DataFrame:
-    """How many of the N highest predicted are among the N highest actual rows; ties by key.
-
-    strict: null where a group has fewer than N pairs, and the share is of N; else the share is of least(N, pairs).
-    """
-    group = [F.col(b) for b in by]
-    both = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
-    order = lambda c: Window.partitionBy(*group).orderBy(F.desc(c), F.col(key))
-    ranked = both.select(*by, F.row_number().over(order(predicted)).alias("_p"), F.row_number().over(order(actual)).alias("_a"))
-    rows = ranked.withColumn("n", F.explode(F.array(*[F.lit(n) for n in ns])))
-    out = rows.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("pairs"), F.count_if((F.col("_p") <= F.col("n")) & (F.col("_a") <= F.col("n"))).alias("overlap"))
-    enough = F.col("pairs") >= F.col("n") if strict else F.lit(True)
-    base = F.col("n") if strict else F.least("n", F.col("pairs"))
-    return out.withColumns({"overlap": F.when(enough, F.col("overlap")), "overlap_pct": F.when(enough, F.try_divide(F.col("overlap") * 100.0, base))})
-
-
-def top_n_lists(df: DataFrame, score: str, key: str, by: Sequence[str], n: int) -> DataFrame:
-    """The keys of each group's n highest rows, in order."""
-    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(F.desc(score), F.col(key))
-    top = df.where(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return top.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", key))), lambda x: x[key]).alias("keys"))

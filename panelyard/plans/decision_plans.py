@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.operators import lineup
+from panelyard.operators import lineup, ranks
 
 #: Prior minutes asked of incoming members, and the percentiles of the rate screens.
 MINIMUM_MINUTES = (30, 60, 90, 91)
@@ -29,11 +29,11 @@ def pool_views(pool: DataFrame) -> DataFrame:
 
     Percentiles of rate are exact and per class; capped rates move the projection by the difference.
     """
-    limits = pool.groupBy("class").agg(F.percentile("rate", F.array(*[F.lit(p / 100.0) for p in PERCENTILES])).alias("_p"))
-    rows = pool.join(limits, "class")
+    limits = ranks.exact_quantiles(pool, ["class"], "rate", {f"_p{p}": p / 100.0 for p in PERCENTILES})
+    rows = pool.join(limits, "class", "left")
     views = [F.struct(F.lit(f"minimum_prior_minutes_{m}").alias("view"), (F.col("prior_minutes") >= m).alias("ok"), F.col("projection").alias("v")) for m in MINIMUM_MINUTES]
-    for i, p in enumerate(PERCENTILES):
-        limit = F.get("_p", i)
+    for p in PERCENTILES:
+        limit = F.col(f"_p{p}")
         views.append(F.struct(F.lit(f"exclude_rates_above_position_p{p}").alias("view"), (F.col("rate") <= limit).alias("ok"), F.col("projection").alias("v")))
         views.append(F.struct(F.lit(f"cap_rates_at_position_p{p}").alias("view"), F.lit(True).alias("ok"), (F.col("projection") - F.greatest(F.lit(0.0), F.col("rate") - limit)).alias("v")))
     views.append(F.struct(F.lit(NO_CAPTAIN).alias("view"), F.lit(True).alias("ok"), F.col("projection").alias("v")))

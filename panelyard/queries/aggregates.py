@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import expressions as X
 from panelyard.operators import experiments as E
-from panelyard.operators import lineup, metrics
+from panelyard.operators import lineup, metrics, ranks
 from panelyard.plans import panel_plans
 from panelyard.queries.base import TARGET, entities, forecast_pairs, panel, periods, query, sql, t, targets
 from panelyard.queries.features import FIXTURES, SEASONS, fixtures, seasons
@@ -79,7 +79,7 @@ RANKS = """SELECT *, rank() OVER (PARTITION BY {0} ORDER BY predicted) + (count(
 
 @query(sql(f"SELECT period, count(*) pairs, CASE WHEN count(*) > 1 AND max(rx) > min(rx) AND max(ry) > min(ry) THEN covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) END spearman FROM ({RANKS.format('period')}) GROUP BY 1"), "spearman")
 def spearman_by_group(s, d):
-    return metrics.spearman_by_group(forecast_pairs(s, d), "predicted", "actual", ["period"])
+    return ranks.spearman_by_group(forecast_pairs(s, d), "predicted", "actual", ["period"])
 
 
 @query(sql("SELECT class, count(*) pairs, CASE WHEN count(*) > 1 AND max(predicted) > min(predicted) AND max(actual) > min(actual) THEN covar_pop(predicted, actual) / sqrt(var_pop(predicted) * var_pop(actual)) END pearson FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL GROUP BY 1"), "pearson")
@@ -110,17 +110,17 @@ def keyed(s, d) -> DataFrame:
 
 @query(sql(f"{TOP} SELECT class, n, pairs, CASE WHEN pairs >= n THEN overlap END overlap, CASE WHEN pairs >= n THEN overlap * 100.0 / n END overlap_pct FROM o"), "overlap_pct")
 def topn_overlap(s, d):
-    return metrics.top_n_overlap(keyed(s, d), "predicted", "actual", "k", ["class"])
+    return ranks.top_n_overlap(keyed(s, d), "predicted", "actual", "k", ["class"])
 
 
 @query(sql(f"{TOP} SELECT class, n, pairs, overlap, overlap * 100.0 / least(n, pairs) overlap_pct FROM o"), "overlap_pct", name="topn_overlap_least")
 def topn_overlap_least(s, d):
-    return metrics.top_n_overlap(keyed(s, d), "predicted", "actual", "k", ["class"], strict=False)
+    return ranks.top_n_overlap(keyed(s, d), "predicted", "actual", "k", ["class"], strict=False)
 
 
 @query(sql(", k AS (SELECT *, entity * 100 + period k FROM pairs WHERE predicted IS NOT NULL), r AS (SELECT class, k, row_number() OVER (PARTITION BY class ORDER BY predicted DESC, k) r FROM k) SELECT class, string_agg(CAST(k AS VARCHAR), ',' ORDER BY r) top FROM r WHERE r <= 10 GROUP BY 1"))
 def topn_overlap_lists(s, d):
-    lists = metrics.top_n_lists(keyed(s, d), "predicted", "k", ["class"], 10)
+    lists = ranks.top_n_lists(keyed(s, d), "predicted", "k", ["class"], 10)
     return lists.select("class", F.array_join(F.transform("keys", lambda x: x.cast("string")), ",").alias("top"))
 
 
@@ -171,7 +171,7 @@ def common_pair_metrics(s, d):
 @query(sql(f"{COMMON}, r AS (SELECT candidate, row_number() OVER (PARTITION BY candidate ORDER BY predicted DESC, k) p, row_number() OVER (PARTITION BY candidate ORDER BY actual DESC, k) a FROM (SELECT a.candidate, a.predicted, a.actual, a.entity * 100 + a.target k FROM exp a JOIN exp b ON a.entity = b.entity AND a.target = b.target AND b.candidate = 'M0' AND b.predicted IS NOT NULL WHERE a.candidate <> 'M0' AND a.predicted IS NOT NULL AND a.actual IS NOT NULL)) SELECT candidate, 25 AS n, count(*) pairs, count(*) FILTER (WHERE p <= 25 AND a <= 25) overlap, count(*) FILTER (WHERE p <= 25 AND a <= 25) * 100.0 / 25 overlap_pct FROM r GROUP BY 1"), "overlap_pct")
 def topn_common_pairs(s, d):
     pairs = E.common_pairs(minutes_experiment(s, d), ["entity", "target"], "candidate", "M0", "predicted", "actual").withColumn("k", F.col("entity") * 100 + F.col("target"))
-    return metrics.top_n_overlap(pairs, "predicted", "actual", "k", ["candidate"], ns=(25,))
+    return ranks.top_n_overlap(pairs, "predicted", "actual", "k", ["candidate"], ns=(25,))
 
 
 GATES = {"mae": ("mae_reduction_pct", ">=", 5.0), "rmse": ("rmse_reduction_pct", ">=", 3.0)}
@@ -283,9 +283,9 @@ def opponent_factor(s, d):
 
 @query(f"{FACTORS} SELECT min(factor) AS low, quantile_cont(factor, 0.05) p05, quantile_cont(factor, 0.5) p50, quantile_cont(factor, 0.95) p95, max(factor) high, count(*) FILTER (WHERE factor <> raw AND reason IS NULL) * 100.0 / count(*) clipped_pct, count(*) FILTER (WHERE reason IS NOT NULL) * 100.0 / count(*) neutral_pct FROM factors", "low p05 p50 p95 high clipped_pct neutral_pct")
 def factor_distribution(s, d):
-    q = F.percentile("factor", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = factors(s, d).agg(F.min("factor").alias("low"), q.alias("q"), F.max("factor").alias("high"), (F.count_if((F.col("factor") != F.col("raw")) & F.col("reason").isNull()) * 100.0 / F.count(F.lit(1))).alias("clipped_pct"), (F.count_if(F.col("reason").isNotNull()) * 100.0 / F.count(F.lit(1))).alias("neutral_pct"))
-    return out.select("low", *[F.get("q", i).alias(n) for i, n in enumerate(("p05", "p50", "p95"))], "high", "clipped_pct", "neutral_pct")
+    f = factors(s, d)
+    out = f.agg(F.min("factor").alias("low"), F.max("factor").alias("high"), (F.count_if((F.col("factor") != F.col("raw")) & F.col("reason").isNull()) * 100.0 / F.count(F.lit(1))).alias("clipped_pct"), (F.count_if(F.col("reason").isNotNull()) * 100.0 / F.count(F.lit(1))).alias("neutral_pct"))
+    return ranks.matched(out, ranks.exact_quantiles(f, [], "factor", {"p05": 0.05, "p50": 0.5, "p95": 0.95}), [], "left")
 
 
 @query(f"{FACTORS} SELECT team, count(*) contexts, count(*) FILTER (WHERE reason IS NOT NULL) neutral, avg(raw) mean_raw, avg(factor) mean_factor, min(factor) low, max(factor) high FROM factors GROUP BY 1", "mean_raw mean_factor low high")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import wraps
@@ -11,6 +9,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.scratch import scratch_path as scratch  # noqa: F401
+
 TARGET, DIGITS = 20, 6
 MEASURES = ("minutes", "starts", "points", "xg", "xa")
 
@@ -50,15 +50,6 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; a local one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Events as history: a user is an entity, a day of the month is a period."""
     e = t(spark, d, "events")

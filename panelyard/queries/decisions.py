@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import diff, lineup
+from panelyard.operators import diff, lineup, ranks
 from panelyard.plans import decision_plans
 from panelyard.queries.base import POOL, panel, pool, query, sql, squads, t
 
@@ -124,12 +124,12 @@ def set_diff_columns(s, d):
 
 @query(f"{P} SELECT id, class, CAST(row_number() OVER (PARTITION BY class ORDER BY projection DESC, id) AS INTEGER) AS rank FROM pool WHERE projection IS NOT NULL")
 def rank_within_class(s, d):
-    return lineup.rank_within_class(pool(s, d)).select("id", "class", "rank")
+    return lineup.rank_within_class(pool(s, d)).select("id", "class", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"{P} SELECT id, class, CAST(row_number() OVER (PARTITION BY class ORDER BY projection DESC, id) AS INTEGER) AS rank, cume_dist() OVER (PARTITION BY class ORDER BY projection) * 100 percentile FROM pool WHERE projection IS NOT NULL", "percentile")
 def empirical_percentile(s, d):
-    return lineup.empirical_percentile(pool(s, d), ["class"], "projection").select("id", "class", "rank", "percentile")
+    return ranks.empirical_percentile(pool(s, d), ["class"], "projection").select("id", "class", F.col("rank").cast("int").alias("rank"), "percentile")
 
 
 @query(f"{P} SELECT id, class, price, projection, CASE WHEN projection IS NULL THEN 'missing' WHEN projection = 0 THEN 'zero' ELSE 'valid' END state FROM pool JOIN (SELECT DISTINCT l_partkey FROM lineitem) ON l_partkey = id", "projection")

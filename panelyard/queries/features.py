@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions import expressions as X
-from panelyard.operators import asof, joins
+from panelyard.operators import asof, joins, ranks
 from panelyard.plans import panel_plans
 from panelyard.queries.base import MEASURES, TARGET, entities, forecast_pairs, panel, periods, query, sql, t, targets
 
@@ -315,9 +315,7 @@ def win_fixture_count(s, d):
 
 @query(sql("SELECT entity, period, rank() OVER (PARTITION BY period ORDER BY minutes) + (count(*) OVER (PARTITION BY period, minutes) - 1) / 2.0 average_rank FROM periods"), "average_rank")
 def win_average_rank(s, d):
-    from panelyard.operators.metrics import average_rank
-
-    return average_rank(periods(s, d), "minutes", ["period"], "average_rank").select("entity", "period", "average_rank")
+    return ranks.average_rank(periods(s, d), "minutes", ["period"], "average_rank").select("entity", "period", "average_rank")
 
 
 LAST6 = "SELECT entity, event_id, ts, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) AS rank FROM panel WHERE ts < TIMESTAMP '2024-01-19 18:00:00'"
