@@ -7,6 +7,7 @@ any formation that takes k, so a formation's score is a sum of class prefixes; t
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,24 +85,23 @@ def _objective(lists: Mapping[str, Column], captain: Column) -> Column:
     return F.round(F.greatest(*totals) + captain * best, PLACES)
 
 
-def swap_search(squads: DataFrame, pool: DataFrame, heads: DataFrame, also: Sequence[str] = (), captain: Column | float = 1.0, tolerance: float = 1e-8) -> DataFrame:
-    """Each swap with its objective, gain over holding, rank (1 is best; ties by out_id, in_id) and whether to act on it.
+def scored_swaps(pairs: DataFrame, squads: DataFrame, by: Sequence[str], captain: Column | float, tolerance: float) -> DataFrame:
+    """pairs(by, out_id, in_id, class, projection, bank_after) with hold, objective, gain, rank and act.
 
     A swap changes one class's list, so a squad travels as four short lists and each swap is scored on them in place.
     The captain's projection counts captain times more.
     """
-    by = ["squad_id", *also]
     captain = F.lit(captain) if isinstance(captain, float) else captain
-    member = F.struct(F.col("projection").alias("v"), F.col("id").alias("id"))
+    member = F.struct(F.round("projection", PLACES).alias("v"), F.col("id").alias("id"))
     known = squads.where(F.col("projection").isNotNull())
     lists = known.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(F.col("class") == c, member)), False).alias(f"_{c}") for c in SQUAD])
     plain = {c: F.transform(f"_{c}", lambda x: x["v"]) for c in SQUAD}
     lists = lists.withColumn("hold", _objective(plain, captain))
-    rows = swap_candidates(squads, pool, heads, also).join(lists, by)
+    rows = pairs.join(lists, list(by))
     changed = {}
     for c in SQUAD:
         stay = F.transform(F.filter(f"_{c}", lambda x: x["id"] != F.col("out_id")), lambda x: x["v"])
-        changed[c] = F.when(F.col("class") == c, F.sort_array(F.concat(stay, F.array("projection")), False)).otherwise(plain[c])
+        changed[c] = F.when(F.col("class") == c, F.sort_array(F.concat(stay, F.array(F.round("projection", PLACES))), False)).otherwise(plain[c])
     rows = rows.select(*by, "out_id", "in_id", "bank_after", "hold", *[v.alias(c) for c, v in changed.items()])
     rows = rows.select(*by, "out_id", "in_id", "bank_after", "hold", _objective({c: F.col(c) for c in SQUAD}, captain).alias("objective")).where("objective is not null")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("objective"), "out_id", "in_id"))
@@ -109,6 +109,110 @@ def swap_search(squads: DataFrame, pool: DataFrame, heads: DataFrame, also: Sequ
     return out.withColumn("act", (F.col("rank") == 1) & (F.col("gain") > tolerance))
 
 
+def swap_search(squads: DataFrame, pool: DataFrame, heads: DataFrame, also: Sequence[str] = (), captain: Column | float = 1.0, tolerance: float = 1e-8) -> DataFrame:
+    """Every swap with its objective, gain over holding, rank (1 is best; ties by out_id, in_id) and whether to act on it.
+
+    All pairs of a class are scored; best_swaps() finds the best ones without them.
+    """
+    by = ["squad_id", *also]
+    return scored_swaps(swap_candidates(squads, pool, heads, also), squads, by, captain, tolerance)
+
+
+@dataclass
+class NewcomerIndex:
+    """Lists of newcomers by class and node of a price tree, in two orders, and what they were made for.
+
+    A newcomer of cost c stands at level j in node c >> j; the newcomers of cost p and less are those of a few nodes, one
+    for each bit of p + 1. Two lists are enough to find the best keep swaps of a member: an objective rises with the
+    newcomer's projection from where he makes the line-up, and is level below. best has the highest projections, first the
+    smallest ids, which decide among those who only sit on the bench. Of a club no more are listed than survive
+    owned members, and of a node no more than survive blocked clubs; both bounds are those of the squads, not of the pool.
+    """
+
+    lists: DataFrame
+    levels: int
+    dearest: int
+    keep: int
+
+
+def newcomer_index(pool: DataFrame, squads: DataFrame, keep: int, also: Sequence[str] = ()) -> NewcomerIndex:
+    """pool: id, class, club, price (whole, from 0), projection; rows without projection aren't newcomers."""
+    by = ["squad_id", *also]
+    blocked = squads.groupBy(*by, "club").count().groupBy(*by).agg(F.count_if(F.col("count") >= CLUB_LIMIT).alias("n")).agg(F.max("n"))
+    owned = squads.groupBy(*by, "class").count().agg(F.max("count"))
+    n_blocked, n_owned, dearest = [df.first()[0] or 0 for df in (blocked, owned, pool.agg(F.max("price")))]
+    levels = int(dearest + 1).bit_length()
+    known = pool.where("projection is not null and price >= 0").select(*also, "id", "class", "club", F.col("price").cast("int").alias("cost"), F.round("projection", PLACES).alias("v"))
+    rows = known.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(cost, level)"))
+    node, lists = [*also, "class", "level", "node"], None
+    for name, order, most in (("best", [F.desc("v"), F.col("id")], keep), ("first", [F.col("id")], 2 * keep)):
+        of_club = most + n_owned
+        some = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*node, "club").orderBy(*order))).where(F.col("_r") <= of_club)
+        some = some.withColumn("_r", F.row_number().over(Window.partitionBy(*node).orderBy(*order))).where(F.col("_r") <= (n_blocked + 1) * of_club)
+        own = some.groupBy(*node).agg(F.collect_list(F.struct("id", "club", "cost", "v")).alias(name))
+        lists = own if lists is None else lists.join(own, node)
+    return NewcomerIndex(lists, levels, int(dearest), keep)
+
+
+def _askers(squads: DataFrame, heads: DataFrame, by: Sequence[str], levels: int, dearest: int) -> DataFrame:
+    """A row per member and price node that his money reaches: by, out_id, class, _money, _owned, _blocked, level, node.
+
+    _owned and _blocked, the clubs that may send nobody, are of a squad's size.
+    """
+    squad = squads.groupBy(*by).agg(F.collect_list("id").alias("_owned"), F.collect_list("club").alias("_clubs"))
+    own = squads.select(*by, F.col("id").alias("out_id"), "class", F.col("club").alias("_out_club"), F.col("price").alias("_sale")).join(heads.select(*by, "bank"), by).join(squad, by)
+    rest = lambda c: F.size(F.filter("_clubs", lambda x: x == c)) - F.when(c == F.col("_out_club"), 1).otherwise(0)
+    own = own.withColumns({"_blocked": F.filter(F.array_distinct("_clubs"), lambda c: rest(c) >= CLUB_LIMIT), "_money": F.col("_sale") + F.col("bank"), "_m": (F.least(F.col("_sale") + F.col("bank"), F.lit(dearest)) + 1).cast("int")})
+    nodes = F.expr(f"filter(transform(sequence(0, {levels}), j -> named_struct('level', j, 'node', shiftright(_m, j) - 1, 'on', shiftright(_m, j) & 1)), x -> x.on = 1)")
+    return own.where("_m > 0").withColumn("_n", F.explode(nodes)).select(*by, "out_id", "class", "_money", "_owned", "_blocked", "_n.level", "_n.node")
+
+
+def _short_lists(asked: DataFrame, index: NewcomerIndex, by: Sequence[str], also: Sequence[str]) -> DataFrame:
+    """by, out_id, class, _money, and the member's own best and first newcomers, in order; what is owned or blocked is gone."""
+    holds = lambda array, v: F.coalesce(F.array_contains(array, v), F.lit(False))
+    free = lambda c: F.filter(c, lambda x: ~holds("_owned", x["id"]) & ~holds("_blocked", x["club"]))
+    brief = lambda c, key: F.array_sort(F.transform(c, lambda x: F.struct(key(x).alias("k"), x["id"].alias("id"), x["v"].alias("v"), x["cost"].alias("cost"))))
+    keys = {"best": (lambda x: -x["v"], index.keep), "first": (lambda x: F.lit(0.0), 2 * index.keep)}
+    found = asked.join(index.lists, ["class", *also, "level", "node"]).select(*by, "out_id", "class", "_money", *[F.slice(brief(free(c), k), 1, n).alias(c) for c, (k, n) in keys.items()])
+    # A member's nodes are as many as its money has bits.
+    return found.groupBy(*by, "out_id", "class", "_money").agg(*[F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, n).alias(c) for c, (_, n) in keys.items()])
+
+
+def best_swaps(squads: DataFrame, pool: DataFrame, heads: DataFrame, keep: int = 10, also: Sequence[str] = (), captain: Column | float = 1.0, tolerance: float = 1e-8, index: NewcomerIndex | None = None) -> DataFrame:
+    """The keep best swaps of each squad, as swap_search() ranks them, from an index of the pool in place of all pairs.
+
+    A squad's member meets the lists of a few price nodes; what is owned or blocked drops out in place, and at most
+    3 * keep newcomers of each member are scored. index must have been made for these squads, this pool and keep.
+    """
+    by = ["squad_id", *also]
+    index = index or newcomer_index(pool, squads, keep, also)
+    merged = _short_lists(_askers(squads, heads, by, index.levels, index.dearest), index, by, also)
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["id"].alias("id"), x["v"].alias("v"), x["cost"].alias("cost")))
+    pairs = merged.withColumn("_x", F.explode(F.array_union(plain("best"), plain("first")))).select(*by, "out_id", F.col("_x.id").alias("in_id"), "class", F.col("_x.v").alias("projection"), (F.col("_money") - F.col("_x.cost")).alias("bank_after"))
+    return scored_swaps(pairs, squads, by, captain, tolerance).where(F.col("rank") <= keep)
+
+
+def swap_counts(squads: DataFrame, pool: DataFrame, heads: DataFrame) -> DataFrame:
+    """squad_id, out_id, class, swaps, first_in, bank: how many legal swaps a member has, the smallest newcomer's id, their banks' sum.
+
+    The same as counting swap_candidates(), without the pairs: sums of price nodes, less those of blocked clubs and of owned members.
+    """
+    by, key = ["squad_id"], ["squad_id", "out_id"]
+    index = newcomer_index(pool, squads, 1)
+    asked = _askers(squads, heads, by, index.levels, index.dearest)
+    known = pool.where("projection is not null and price >= 0").select("id", "class", "club", F.col("price").cast("bigint").alias("cost"))
+    rows = known.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(index.levels)))).withColumn("node", F.expr("shiftright(cast(cost as int), level)"))
+    sums = lambda *more: rows.groupBy("class", *more, "level", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    every = asked.join(sums(), ["class", "level", "node"]).select(*key, "class", "_money", "n", "cost")
+    barred = asked.withColumn("club", F.explode("_blocked")).join(sums("club"), ["class", "club", "level", "node"]).select(*key, "class", "_money", -F.col("n"), -F.col("cost"))
+    # A member's nodes share no newcomer, so an owned one is met in one of them at most.
+    mine = asked.withColumn("id", F.explode("_owned")).join(rows.select("id", F.col("class").alias("_c"), "club", "level", "node", "cost"), ["id", "level", "node"])
+    mine = mine.where((F.col("class") == F.col("_c")) & ~F.coalesce(F.array_contains("_blocked", F.col("club")), F.lit(False))).select(*key, "class", "_money", F.lit(-1).cast("bigint"), -F.col("cost"))
+    total = every.union(barred).union(mine).groupBy(*key, "class", "_money").agg(F.sum("n").alias("swaps"), F.sum("cost").alias("cost")).where("swaps > 0")
+    first = _short_lists(asked, index, by, ()).select(*key, F.get("first", F.lit(0))["id"].alias("first_in"))
+    return total.join(first, key).select(*key, "class", "swaps", "first_in", (F.col("_money") * F.col("swaps") - F.col("cost")).alias("bank"))
+
+
 def rank_within_class(pool: DataFrame, by: Sequence[str] = ("class",), score: str = "projection") -> DataFrame:
     """Rows of known score with rank, from the top, ties by id."""
     return ranks.row_numbers(pool.where(F.col(score).isNotNull()), by, [F.desc(score), F.col("id")], "rank")

@@ -51,8 +51,8 @@ def sensitivity_views(squads: DataFrame, pool: DataFrame, heads: DataFrame) -> D
     every = F.explode(F.array(*[F.lit(v) for v in sensitivity_names()])).alias("view")
     own = squads.select("*", every).join(capped, ["view", "id"], "left").withColumn("projection", F.coalesce("_v", "projection")).drop("_v")
     captain = F.when(F.col("view") == NO_CAPTAIN, 0.0).otherwise(1.0)
-    found = lineup.swap_search(own, views, heads.select("*", every), also=("view",), captain=captain)
-    return found.where("rank = 1").select("view", "squad_id", "out_id", "in_id", "gain", "act")
+    found = lineup.best_swaps(own, views, heads.select("*", every), keep=1, also=("view",), captain=captain)
+    return found.select("view", "squad_id", "out_id", "in_id", "gain", "act")
 
 
 def stability_summary(views: DataFrame) -> DataFrame:

@@ -44,26 +44,57 @@ def _heads(s, d) -> tuple[DataFrame, DataFrame]:
 
 @query(f"{P}, {SWAPS} SELECT squad_id, out_id, class, count(*) swaps, min(in_id) first_in, CAST(sum(bank_after) AS BIGINT) bank FROM sw GROUP BY 1, 2, 3")
 def swap_candidates(s, d):
+    """Each member's legal swaps, counted without their pairs; tests hold the counts to the pairs."""
     own, heads = _heads(s, d)
-    found = lineup.swap_candidates(own, pool(s, d), heads)
-    return found.groupBy("squad_id", "out_id", "class").agg(F.count(F.lit(1)).alias("swaps"), F.min("in_id").alias("first_in"), F.sum("bank_after").alias("bank"))
+    return lineup.swap_counts(own, pool(s, d), heads)
 
 
-@query(None)
+def _scored(by: str, captain: str) -> str:
+    """SQL of every swap of sw(squad_id, ..., out_id, in_id, class, bank_after, v) for the members mem: lists by class, the best formation of each."""
+    own = "".join(f", list(struct_pack(id := id, v := projection) ORDER BY projection DESC) FILTER (WHERE class = '{c}' AND projection IS NOT NULL) {c}" for c in lineup.SQUAD)
+    new = "".join(f", CASE WHEN s.class = '{c}' THEN list_sort(list_append(list_transform(list_filter(coalesce(l.{c}, []), lambda x: x.id <> s.out_id), lambda x: x.v), s.v), 'DESC') ELSE list_transform(coalesce(l.{c}, []), lambda x: x.v) END n{c}" for c in lineup.SQUAD)
+    total = lambda p: "greatest(" + ", ".join("CASE WHEN len({0}GK) >= 1 AND len({0}DEF) >= {1} AND len({0}MID) >= {2} AND len({0}FWD) >= {3} THEN {0}GK[1] + list_sum({0}DEF[1:{1}]) + list_sum({0}MID[1:{2}]) + list_sum({0}FWD[1:{3}]) END".format(p, *f) for f in lineup.FORMATIONS) + f") + {captain} * greatest({', '.join(f'{p}{c}[1]' for c in lineup.SQUAD)})"
+    keys = ", ".join(by.split())
+    return f"""li AS (SELECT {keys}{own} FROM mem GROUP BY {keys}),
+hl AS (SELECT *, round({total('h')}, 8) hold FROM (SELECT *{"".join(f", list_transform(coalesce({c}, []), lambda x: x.v) h{c}" for c in lineup.SQUAD)} FROM li)),
+sc AS (SELECT {keys}, out_id, in_id, bank_after, hold, round({total('n')}, 8) objective FROM (SELECT s.*, l.hold{new} FROM sw s JOIN hl l USING ({keys}))),
+rk AS (SELECT *, round(objective - hold, 8) gain, row_number() OVER (PARTITION BY {keys} ORDER BY objective DESC, out_id, in_id) AS rank FROM sc WHERE objective IS NOT NULL)"""
+
+
+@query(f"{P}, {SWAPS.replace('p.id in_id,', 'p.id in_id, p.projection v,')}, mem AS (SELECT * FROM squads), {_scored('squad_id', '1.0')} SELECT squad_id, out_id, in_id, bank_after, hold, objective, gain, CAST(rank AS INTEGER) AS rank, rank = 1 AND gain > 1e-8 act FROM rk WHERE rank <= 10", "hold objective gain")
 def swap_search(s, d):
-    """The ten best swaps of each squad; every swap is scored. Held to a brute force over line-ups in tests."""
+    """The ten best swaps of each squad. Tests hold them to a brute force over line-ups too."""
     own, heads = _heads(s, d)
-    return lineup.swap_search(own, pool(s, d), heads).where("rank <= 10")
+    return lineup.best_swaps(own, pool(s, d), heads, keep=10)
+
+
+LIMITS = ", ".join(f"quantile_cont(rate, {p / 100}) p{p}" for p in decision_plans.PERCENTILES)
+POOL_VIEWS = " UNION ALL ".join(
+    [f"SELECT 'minimum_prior_minutes_{m}' AS view, id, class, club, price, projection FROM rl WHERE prior_minutes >= {m}" for m in decision_plans.MINIMUM_MINUTES]
+    + [f"SELECT 'exclude_rates_above_position_p{p}', id, class, club, price, projection FROM rl WHERE rate <= p{p}" for p in decision_plans.PERCENTILES]
+    + [f"SELECT 'cap_rates_at_position_p{p}', id, class, club, price, projection - greatest(0.0, rate - p{p}) FROM rl WHERE rate IS NOT NULL" for p in decision_plans.PERCENTILES]
+    + [f"SELECT '{decision_plans.NO_CAPTAIN}', id, class, club, price, projection FROM rl"]
+)
+# A view's best swap of a member is one of his two newcomers of highest projection and of smallest id, since the objective rises with the projection or is level.
+VIEWS = f"""{P}, rl AS (SELECT p.*, id * 7 % 12 * 45 prior_minutes, projection rate, l.* FROM pool p LEFT JOIN (SELECT class lc, {LIMITS} FROM (SELECT class, projection rate FROM pool) GROUP BY 1) l ON l.lc = p.class),
+pv AS MATERIALIZED ({POOL_VIEWS}), names AS (SELECT unnest({decision_plans.sensitivity_names()}) AS view),
+mem AS MATERIALIZED (SELECT n.view, s.squad_id, s.id, s.class, s.club, s.price, round(coalesce(c.projection, s.projection), 8) projection FROM squads s CROSS JOIN names n LEFT JOIN pv c ON c.view = n.view AND c.id = s.id AND n.view LIKE 'cap_rates%'),
+cand AS (SELECT o.view, o.squad_id, o.id out_id, p.id in_id, round(p.projection, 8) v, o.class, o.price - p.price bank_after FROM mem o JOIN pv p ON p.view = o.view AND p.class = o.class AND p.projection IS NOT NULL AND p.price <= o.price
+LEFT JOIN squads q ON q.squad_id = o.squad_id AND q.id = p.id LEFT JOIN (SELECT squad_id, club, count(*) n FROM squads GROUP BY 1, 2) c ON c.squad_id = o.squad_id AND c.club = p.club
+WHERE q.id IS NULL AND coalesce(c.n, 0) - CASE WHEN o.club = p.club THEN 1 ELSE 0 END < 3),
+tops AS (SELECT view, squad_id, out_id, class, min(in_id) low, arg_min(in_id, {{'v': -v, 'i': in_id}}) high FROM cand GROUP BY 1, 2, 3, 4),
+sw AS (SELECT c.* FROM cand c JOIN tops t ON t.view = c.view AND t.squad_id = c.squad_id AND t.out_id = c.out_id AND (c.in_id = t.low OR c.in_id = t.high)),
+{_scored('view squad_id', f"CASE WHEN view = '{decision_plans.NO_CAPTAIN}' THEN 0.0 ELSE 1.0 END")}, best AS (SELECT view, squad_id, out_id, in_id, gain, gain > 1e-8 act FROM rk WHERE rank = 1)"""
 
 
-@query(None)
+@query(f"{VIEWS} SELECT * FROM best", "gain")
 def sensitivity_views(s, d):
     """Eleven what-if views of the swap search in one search; held to single searches in tests."""
     own, heads = _heads(s, d)
     return decision_plans.sensitivity_views(own, decision_plans.with_reliability(pool(s, d)), heads)
 
 
-@query(None)
+@query(f"{VIEWS} SELECT squad_id, count(*) AS views, count(*) FILTER (WHERE act) acting, count(DISTINCT (out_id, in_id)) distinct_swaps, min(gain) least_gain, max(gain) most_gain FROM best GROUP BY 1", "least_gain most_gain")
 def stability_summary(s, d):
     return decision_plans.stability_summary(sensitivity_views(s, d))
 
