@@ -218,25 +218,53 @@ def rate_change_summary(s, d):
 OLS = ", o AS (SELECT count(*) n, covar_pop(predicted, actual) / var_pop(predicted) slope, avg(predicted) mx, avg(actual) my FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL)"
 
 
-@query(sql(f"{OLS} SELECT n, slope, my - slope * mx AS intercept FROM o"), "slope intercept")
+# The fit at point i is the greatest, over first points j up to i, of the least mean of j to k from i on. A block ends where no
+# mean of points up to i lies above one of points from i + 1 on.
+ISOTONIC = """, pt AS MATERIALIZED (SELECT x, total, w, row_number() OVER (ORDER BY x) i, sum(total) OVER (ORDER BY x) st, sum(w) OVER (ORDER BY x) sw FROM (SELECT predicted x, sum(actual) total, count(*) w FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL GROUP BY 1)),
+means AS MATERIALIZED (SELECT a.i j, b.i k, (b.st - a.st + a.total) / (b.sw - a.sw + a.w) m FROM pt a JOIN pt b ON b.i >= a.i),
+least_mean AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) m FROM means),
+fit AS (SELECT k i, max(m) y FROM least_mean GROUP BY 1),
+up AS (SELECT k i, max(m) m FROM means GROUP BY 1), down AS (SELECT j i, min(m) m FROM means GROUP BY 1),
+piece AS (SELECT pt.*, y, sum(CASE WHEN u.m <= d.m OR pt.i = 1 THEN 1 ELSE 0 END) OVER (ORDER BY pt.i) - 1 AS block FROM pt JOIN fit USING (i) LEFT JOIN up u ON u.i = pt.i - 1 LEFT JOIN down d ON d.i = pt.i),
+blocks AS MATERIALIZED (SELECT CAST(block AS BIGINT) block, min(x) lower_x, max(x) upper_x, max(y) fitted_y, CAST(sum(w) AS BIGINT) weight FROM piece GROUP BY 1),
+steps AS MATERIALIZED (SELECT *, coalesce((lag(upper_x) OVER (ORDER BY block) + lower_x) / 2, CAST('-infinity' AS DOUBLE)) from_x FROM blocks)"""
+
+
+def _calibration(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forecast pairs, the line and the isotonic blocks fitted to them."""
+    pairs = forecast_pairs(s, d)
+    return pairs, E.linear_calibration(pairs, "predicted", "actual"), E.isotonic_blocks(pairs, "predicted", "actual")
+
+
+@query(sql(f"{OLS}{ISOTONIC} SELECT candidate, method, n development_n, CASE candidate WHEN 'C0' THEN 0.0 WHEN 'C1' THEN my - slope * mx END intercept, CASE candidate WHEN 'C0' THEN 1.0 WHEN 'C1' THEN slope END slope, CASE candidate WHEN 'C2' THEN (SELECT count(*) FROM blocks) END isotonic_blocks FROM o, (VALUES {', '.join(map(str, E.CALIBRATIONS.items()))}) c(candidate, method)"), "intercept slope")
 def calibration_tables(s, d):
-    return E.linear_calibration(forecast_pairs(s, d), "predicted", "actual")
+    _, line, blocks = _calibration(s, d)
+    return E.calibration_parameters(line, blocks)
+
+
+@query(sql(f"{ISOTONIC} SELECT block, lower_x, upper_x, fitted_y, weight, CASE WHEN block > 0 THEN from_x END from_x FROM steps"), "lower_x upper_x fitted_y from_x")
+def calibration_blocks(s, d):
+    """The isotonic blocks; the first one's step begins nowhere."""
+    return _calibration(s, d)[2].withColumn("from_x", F.when(F.col("block") > 0, F.col("from_x")))
 
 
-@query(sql(f"{OLS}, c AS (SELECT 'C0' candidate, predicted, actual FROM pairs UNION ALL SELECT 'C1', my + slope * (predicted - mx), actual FROM pairs, o) SELECT candidate, {METRICS} FROM (SELECT *, predicted - actual e FROM c) GROUP BY 1"), METRIC_COLUMNS)
+@query(sql(f"{OLS}{ISOTONIC}, raw AS (SELECT CAST(unnest({list(E.EXAMPLES)}) AS DOUBLE) AS raw), applied AS (SELECT raw, fitted_y FROM raw ASOF JOIN steps ON raw >= from_x) SELECT candidate, raw, CASE candidate WHEN 'C0' THEN raw WHEN 'C1' THEN my + slope * (raw - mx) ELSE fitted_y END calibrated FROM applied, o, (VALUES ('C0'), ('C1'), ('C2')) c(candidate)"), "raw calibrated")
+def calibration_examples(s, d):
+    _, line, blocks = _calibration(s, d)
+    return E.calibration_examples(line, blocks)
+
+
+@query(sql(f"{OLS}{ISOTONIC}, cal AS (SELECT p.*, fitted_y FROM pairs p ASOF LEFT JOIN steps ON p.predicted >= from_x), c AS (SELECT 'C0' candidate, predicted, actual FROM pairs UNION ALL SELECT 'C1', my + slope * (predicted - mx), actual FROM pairs, o UNION ALL SELECT 'C2', fitted_y, actual FROM cal) SELECT candidate, {METRICS} FROM (SELECT *, predicted - actual e FROM c) GROUP BY 1"), METRIC_COLUMNS)
 def exp_calibration(s, d):
-    pairs = forecast_pairs(s, d)
-    fit = E.linear_calibration(pairs, "predicted", "actual").select("slope", "intercept")
-    both = pairs.join(F.broadcast(fit), F.lit(True)).withColumn("line", F.col("intercept") + F.col("slope") * F.col("predicted"))  # one row
-    long = both.select("actual", F.explode(F.array(F.struct(F.lit("C0").alias("candidate"), F.col("predicted").alias("predicted")), F.struct(F.lit("C1").alias("candidate"), F.col("line").alias("predicted")))).alias("c")).select("c.*", "actual")
-    return E.candidate_metrics(long, "candidate", "predicted", "actual")
+    """Identity, the line and the isotonic steps over the same pairs; a missing forecast stays missing in each."""
+    pairs, line, blocks = _calibration(s, d)
+    return E.candidate_metrics(E.calibrated(pairs, "predicted", line, blocks), "candidate", "calibrated", "actual")
 
 
-@query(None)
+@query(sql(f"{ISOTONIC} SELECT entity, period, predicted, fitted_y calibrated FROM pairs p ASOF LEFT JOIN steps ON p.predicted >= from_x"), "predicted calibrated")
 def isotonic_step_apply(s, d):
-    """Isotonic blocks of the forecast, applied as steps: no SQL; held to a pool-adjacent-violators brute force in tests."""
-    pairs = forecast_pairs(s, d)
-    blocks = E.isotonic_blocks(pairs, "predicted", "actual")
+    """Isotonic blocks of the forecast, applied as steps."""
+    pairs, _, blocks = _calibration(s, d)
     return E.isotonic_step_apply(pairs, blocks, "predicted").select("entity", "period", "predicted", "calibrated")
 
 
