@@ -56,12 +56,20 @@ def scan_json_histories(s, d):
     return readers.scan_json_histories(s, path, schema, file_id=r"part=([0-9]+)/").select("file_id", "event_id", "value", "file_id_matches")
 
 
-@query("SELECT c_custkey, c_name, c_acctbal, TRUE AS numbered FROM customer", "c_acctbal")
+#: So many ids in a row stand in one file.
+CSV_IDS = 5000
+
+
+@query(f"""SELECT c_custkey, c_acctbal, ' ' || c_name || ', "' || c_mktsegment || '"' || chr(10) || 'x' note, row_number() OVER (PARTITION BY c_custkey // {CSV_IDS} ORDER BY c_custkey) source_row_number FROM customer""", "c_acctbal")
 def scan_csv_rownum(s, d):
+    """Files in the order of their ids, with commas, quotes and line breaks in a cell; a row is numbered in its file."""
     path = scratch(s, "csv")
-    t(s, d, "customer").select("c_acctbal", "c_name", "c_custkey").write.option("header", True).csv(path)
-    rows = readers.scan_csv_rownum(s, path, "c_custkey bigint, c_name string, c_acctbal double")
-    return rows.select("c_custkey", "c_name", "c_acctbal", (F.col("source_row_number") >= 1).alias("numbered"))
+    note = F.concat(F.lit(" "), "c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nx'))
+    rows = t(s, d, "customer").select("c_acctbal", note.alias("note"), "c_custkey", F.floor(F.col("c_custkey") / CSV_IDS).alias("part"))
+    keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.repartition("part").sortWithinPartitions("part", "c_custkey").write.partitionBy("part").options(**keep).csv(path)
+    found = readers.scan_csv_rownum(s, path, "c_custkey bigint, note string, c_acctbal double")
+    return found.select("c_custkey", "c_acctbal", "note", "source_row_number")
 
 
 @query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_quantity > 40", "l_quantity")

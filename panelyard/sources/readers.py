@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import lzma
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,26 +49,119 @@ def scan_json_histories(spark: SparkSession, path: str, schema: StructType | str
     return rows.withColumn("file_id_matches", F.col("file_id").eqNullSafe(F.col(id_field)))
 
 
-def scan_csv_rownum(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def quote_ends(line: str) -> tuple[bool, bool]:
+    """Whether a line ends inside a quoted cell, if it begins outside one and if it begins inside one. One walk each, quote by quote."""
+
+    def walk(inside: bool) -> bool:
+        i, opening = 0, not inside
+        while True:
+            if inside:
+                at = line.find('"', i)
+                if at < 0:
+                    return True
+                if line.startswith('"', at + 1):  # two quotes in a quoted cell are one of its characters
+                    i = at + 2
+                    continue
+                inside, i = False, at + 1
+            elif opening and line.startswith('"', i):
+                inside, i = True, i + 1
+                continue
+            at = line.find(",", i)
+            if at < 0:
+                return False
+            i, opening = at + 1, True
+
+    return (walk(False), walk(True)) if '"' in line else (False, True)
+
+
+def _quote_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with effect: 0 leaves the state as it is, 1 turns it over, 2 ends outside, 3 ends inside, whatever it was."""
+    effect = {(False, True): 0, (True, False): 1, (False, False): 2, (True, True): 3}
+    for batch in batches:
+        found = [effect[quote_ends(x.as_py() or "")] for x in batch.column("line")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "effect"])
+
+
+def _csv_cells(wanted: Sequence[str]):
+    """rows with cells, the wanted columns' texts found by the names in _header; empty cells are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        header, at = None, []
+        for batch in batches:
+            out = []
+            for head, record in zip(batch.column("_header"), batch.column("raw_record"), strict=True):
+                if head.as_py() != header:
+                    header = head.as_py()
+                    names = next(csv.reader(io.StringIO(header, newline="")), [])
+                    at = [names.index(w) if w in names else -1 for w in wanted]
+                cells = next(csv.reader(io.StringIO(record.as_py(), newline="")), [])
+                out.append([cells[i] or None if 0 <= i < len(cells) else None for i in at])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in CSV_COLUMNS], pa.array(out, pa.list_(pa.string()))], names=[*CSV_COLUMNS, "cells"])
+
+    return run
+
+
+CSV_COLUMNS = ("source_path", "source_row_number", "raw_record")
+
+
+def csv_records(spark: SparkSession, path: str, max_lines: int = 100_000) -> DataFrame:
+    """source_path, record (0 is the header) and raw_record of CSV files whose quoted cells may hold commas, quotes and line breaks.
+
+    A line is a function of whether a quoted cell is open before it: it keeps that, turns it over or settles it. These
+    functions are composed along a range of the file, and the ranges of a file then among themselves, so that no file is
+    read in one task. Blank lines between records aren't records. A record of more than max_lines lines, such as after a
+    quote that is never closed, is an error, as is one that does not fit a cell.
+    """
+    mark = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), mark.alias("line"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields)
+    known = lines.mapInArrow(_quote_effects, kinds + ", effect int")
+    here = Window.partitionBy("source_path", "_block").orderBy("_at")
+    past = here.rowsBetween(Window.unboundedPreceding, -1)
+    # Before a line: the last settled state, if any, and how often it was turned over since.
+    turns = known.withColumn("_turns", F.sum((F.col("effect") == 1).cast("bigint")).over(here))
+    settled = F.when(F.col("effect") >= 2, F.struct((F.col("effect") == 3).alias("inside"), F.col("_turns").alias("turns")))
+    local = turns.withColumns({"_n": F.row_number().over(here), "_set": F.last(settled, True).over(past), "_before": F.coalesce(F.lag("_turns").over(here), F.lit(0))})
+    odd = lambda n: F.pmod(n, F.lit(2)) == 1
+    # What a range does as a whole: its last settled state, and its turns since or, if none is settled, all of them.
+    whole = turns.groupBy("source_path", "_block").agg(F.max_by(settled, F.when(F.col("effect") >= 2, F.col("_at"))).alias("s"), F.max("_turns").alias("t"))
+    whole = whole.select("source_path", "_block", F.col("s.inside").alias("to"), odd(F.col("t") - F.coalesce("s.turns", F.lit(0))).cast("bigint").alias("turned"))
+    blocks = Window.partitionBy("source_path").orderBy("_block")  # a row per range of a file
+    whole = whole.withColumn("_all", F.sum("turned").over(blocks))
+    fixed = F.when(F.col("to").isNotNull(), F.struct((F.col("to") != (F.col("turned") == 1)).alias("inside"), F.col("_all").alias("turns")))
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    begun = whole.withColumns({"_f": F.last(fixed, True).over(before), "_t": F.coalesce(F.lag("_all").over(blocks), F.lit(0))})
+    begun = begun.select("source_path", "_block", (F.coalesce("_f.inside", F.lit(False)) != odd(F.col("_t") - F.coalesce("_f.turns", F.lit(0)))).alias("_open"))
+    state = local.join(begun, ["source_path", "_block"])
+    inside = F.when(F.col("_set").isNotNull(), F.col("_set.inside") != odd(F.col("_before") - F.col("_set.turns"))).otherwise(F.col("_open") != odd(F.col("_before")))
+    state = state.withColumn("_inside", inside)
+    state = state.where(F.col("_inside") | (F.regexp_replace("line", "\r$", "") != ""))
+    first = (~F.col("_inside")).cast("bigint")
+    to_here = here.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = state.withColumns({"_own": F.sum(first).over(to_here), "_lines": F.col("_n") - F.coalesce(F.max(F.when(~F.col("_inside"), F.col("_n"))).over(to_here), F.lit(0))})
+    counts = numbered.groupBy("source_path", "_block").agg(F.max("_own").alias("_size"))
+    counts = counts.select("source_path", "_block", (F.sum("_size").over(blocks) - F.col("_size")).alias("_earlier"))
+    numbered = numbered.join(counts, ["source_path", "_block"]).withColumn("record", F.col("_own") + F.col("_earlier") - 1)
+    fits = F.when(F.col("_lines") > max_lines, F.raise_error(F.concat(F.lit("a record of too many lines in "), F.col("source_path"))).cast("string")).otherwise(F.col("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_n", fits.alias("line")))), lambda x: x["line"]), "\n")
+    return numbered.groupBy("source_path", "record").agg(F.regexp_replace(text, "\r$", "").alias("raw_record"))
+
+
+def scan_csv_rownum(spark: SparkSession, path: str, schema: StructType | str, max_lines: int = 100_000) -> DataFrame:
     """CSV rows under a header with source_path, source_row_number (1 is the first data row) and raw_record.
 
-    A row keeps its place by its line's place in the file. A record is one line; the byte order mark is dropped.
-    Lines are numbered inside ranges of the file first, and ranges are added up, so no file is sorted in one task.
+    A row's number is its record's place in the file; a byte order mark is dropped. Columns are found by the header's
+    names, whatever their order and number; a column that the header lacks is null, as are empty cells. Cells keep their
+    spaces; cells that aren't of a column's type are null. Records are those of csv_records().
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "^﻿", "").alias("raw_record"))
-    inside = lines.withColumn("_n", F.row_number().over(Window.partitionBy("source_path", "_block").orderBy("_at")))
-    before = inside.groupBy("source_path", "_block").agg(F.max("_n").alias("_size"))
-    before = before.select("source_path", "_block", (F.sum("_size").over(Window.partitionBy("source_path").orderBy("_block")) - F.col("_size")).alias("_before"))
-    numbered = inside.join(before, ["source_path", "_block"]).withColumn("source_row_number", F.col("_n") + F.col("_before") - 1)
-    header = numbered.where("source_row_number = 0").select("source_path", F.col("raw_record").alias("_header"))
-    rows = numbered.where("source_row_number > 0").join(header, "source_path")
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    # Columns are found by the header's names, whatever their order and number. A comma parts cells where the quotes before it are closed.
-    bare = lambda x: F.replace(F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('\\"'), F.lit('"')), F.lit('""'), F.lit('"'))
-    cells = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.nullif(bare(x), F.lit("")))
-    rows = rows.select("source_path", "source_row_number", "raw_record", cells("_header").alias("_names"), cells("raw_record").alias("_v"))
-    at = lambda n: F.get("_v", (F.array_position("_names", n) - 1).cast("int"))
-    return rows.select("source_path", "source_row_number", "raw_record", *[F.when(F.array_contains("_names", f.name), at(f.name)).try_cast(f.dataType).alias(f.name) for f in fields])
+    records = csv_records(spark, path, max_lines)
+    header = records.where("record = 0").select("source_path", F.col("raw_record").alias("_header"))
+    rows = records.where("record > 0").withColumnRenamed("record", "source_row_number").join(header, "source_path").select(*CSV_COLUMNS, "_header")
+    kinds = "source_path string, source_row_number bigint, raw_record string, cells array<string>"
+    cells = rows.mapInArrow(_csv_cells([f.name for f in fields]), kinds)
+    return cells.select(*CSV_COLUMNS, *[F.get("cells", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def scan_xz_snapshots(spark: SparkSession, path: str, schema: StructType | str, array: str = "elements") -> DataFrame:
