@@ -182,6 +182,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     placed = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     columns = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: options.pop(k) for k in list(options) if k.endswith("_col")}
     own = {k: names[docs.columns.index(c)] for k, c in columns.items()}
-    copies = mixed_copies(placed, keep=("_row",), **own, **options).where("copies > 0").select("_row", F.col("copies").alias("_copies")).hint("merge")  # a row per document, never small
+    copies = mixed_copies(placed, keep=("_row",), **own, **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    # The texts stream past a hash table of their partition's copies, a few bytes a document, and needn't be sorted for it.
+    copies = copies.hint("shuffle_hash")
     out = placed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(names).toDF(*docs.columns)

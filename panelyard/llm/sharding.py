@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import written
+from panelyard.llm.shared import keyed_join, tidied, written
 
 BUCKET_GROUPS, LARGE, SLOT_ROWS = 4096, 64, 50_000
 
@@ -70,11 +70,12 @@ def balanced(n_shards: int, loads: np.ndarray | None, rest: int):
             shard = np.argsort(part[0])
         else:
             shard = np.random.default_rng(int(pdf["bytes"].sum())).permutation(n_shards)
-        return pdf.assign(shard=shard[part[1:, 0]].astype("int32"))[["key", "bytes", "shard"]]
+        return pdf.assign(shard=shard[part[1:, 0]].astype("int32"))[["key", "n", "bytes", "shard"]]
 
     return place
 
 
+@tidied
 def sharded(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard, slot per row of docs: sizes are UTF-8 bytes plus overhead, equal texts stay together.
 
@@ -85,24 +86,26 @@ def sharded(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.when(F.col(text_col).isNull(), F.lit(b"\0")).otherwise(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))).alias("key"),
     )
     rows = written(rows, "sizes")
-    groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     n_rows, (n_groups, total) = rows.count(), groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     # No more than n_shards * LARGE groups can be large: these are balanced first, in one task.
     large = F.col("bytes") * n_shards * LARGE >= total
-    first = written(groups.where(large).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(balanced(n_shards, None, 1), "key binary, bytes bigint, shard int"), "large")
+    first = written(groups.where(large).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(balanced(n_shards, None, 1), "key binary, n bigint, bytes bigint, shard int"), "large")
     load = dict(first.groupBy("shard").agg(F.sum("bytes")).collect())  # a row per shard
     loads = np.array([load.get(j, 0) for j in range(n_shards)], np.int64)
     n_buckets = max(1, math.ceil(n_groups / BUCKET_GROUPS))
     bucket = F.pmod(F.xxhash64("key"), F.lit(n_buckets))
-    rest = groups.where(~large).groupBy(bucket).applyInPandas(balanced(n_shards, loads, max(1, total - int(loads.sum()))), "key binary, bytes bigint, shard int")
+    rest = groups.where(~large).groupBy(bucket).applyInPandas(balanced(n_shards, loads, max(1, total - int(loads.sum()))), "key binary, n bigint, bytes bigint, shard int")
     shard_of = first.unionByName(rest)
-    placed = rows.join(shard_of.select("key", "shard"), "key")
+    # The copies of one text may be any share of the rows.
+    placed = keyed_join(rows, shard_of.select("key", "n", "shard"), "key", "row", n_rows).drop("n", "row")
     n_parts = max(1, math.ceil(n_rows / (n_shards * SLOT_ROWS)))
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_parts)))
     at = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("id", "text_crc32", "size")) - 1
