@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.queries.base import query, scratch, t
-from panelyard.sources import readers, sinks
+from panelyard.sources import captures, files, readers, sinks
 
 #: The most rows of a document that is written to be read back.
 DOCUMENT_ROWS = 20_000
@@ -99,22 +99,51 @@ def asof_safe_snapshot(s, d):
     return found.select("o_custkey", "deadline", "path", "stamp")
 
 
+@query("SELECT date_trunc('hour', ts) captured_at, event_id, value FROM events", "value")
+def scan_xz_snapshots(s, d):
+    """An hour's events as captures of bounded size, written by the tasks and read back."""
+    path = scratch(s, "captures")
+    e = t(s, d, "events").select("event_id", "value", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("captured_at"))
+    docs = _documents(e, "captured_at", "event_id").groupBy("captured_at", "doc").agg(F.to_json(F.struct(F.collect_list(F.struct("event_id", "value")).alias("elements"))).alias("document"))
+    captures.write_xz_snapshots(s, docs.select("captured_at", F.col("doc").alias("part"), "document"), path)
+    found = readers.scan_xz_snapshots(s, path, "event_id bigint, value double")
+    return found.select(F.col("captured_at").cast("timestamp_ntz").alias("captured_at"), "event_id", "value")
+
+
 def _published(s, d) -> str:
+    """Suppliers, a file for each nation, and orders, published together."""
     path = scratch(s, "published")
-    sinks.sink_immutable_parquet({"supplier": t(s, d, "supplier"), "orders": t(s, d, "orders")}, path, {"source": "driver tables"})
+    sinks.sink_immutable_parquet({"supplier": t(s, d, "supplier").repartition("s_nationkey"), "orders": t(s, d, "orders")}, path, {"source": "driver tables"}, {"supplier": ["s_nationkey"]})
     return path
 
 
-@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier", "s_acctbal")
+@query("SELECT 'supplier' AS \"table\", s_suppkey id, s_acctbal AS v, s_nationkey nation FROM supplier UNION ALL SELECT 'orders', o_orderkey, o_totalprice, NULL FROM orders", "v")
 def sink_immutable_parquet(s, d):
-    return sinks.read_published(s, _published(s, d), "supplier")
+    path = _published(s, d)
+    a = sinks.read_published(s, path, "supplier").select(F.lit("supplier").alias("table"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"), F.col("s_nationkey").cast("int").alias("nation"))
+    b = sinks.read_published(s, path, "orders").select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.lit(None).cast("int").alias("nation"))
+    return a.unionByName(b)
 
 
-@query("SELECT 'none' AS file, 'none' AS problem WHERE FALSE")
+@query("SELECT s_nationkey nation, CASE s_nationkey % 5 WHEN 1 THEN 'changed' WHEN 2 THEN 'missing' ELSE 'unlisted' END problem, count(DISTINCT s_nationkey) files FROM supplier WHERE s_nationkey % 5 IN (1, 2, 3) GROUP BY 1, 2")
 def content_hash_verify(s, d):
+    """Published files of which some nations' are then changed, removed or joined by one more."""
     path = _published(s, d)
+    listed = s.read.json(f"{path}/_manifest")
+    nation = F.regexp_extract("file", r"s_nationkey=(\d+)", 1).cast("int")
+    for row in listed.where("table = 'supplier'").select("file", nation.alias("nation")).collect():  # a row per nation
+        system, at = files.store(f"{path}/{row.file}")
+        if row.nation % 5 == 1:
+            with system.open_input_stream(at) as f:
+                body = f.read()
+            with system.open_output_stream(at) as f:
+                f.write(body[:-1] + b"?")
+        elif row.nation % 5 == 2:
+            system.delete_file(at)
+        elif row.nation % 5 == 3:
+            system.copy_file(at, f"{at}.copy.parquet")
     found = sinks.manifest_table(s, f"{path}/orders").unionByName(sinks.manifest_table(s, f"{path}/supplier"))
-    return sinks.content_hash_verify(found, s.read.json(f"{path}/_manifest"))
+    return sinks.content_hash_verify(found, listed).groupBy(nation.alias("nation"), "problem").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') id FROM customer""")
@@ -122,7 +151,11 @@ def content_addressed_id(s, d):
     return t(s, d, "customer").select("c_custkey", sinks.content_addressed_id(["c_name", "c_custkey", "c_mktsegment"]).alias("id"))
 
 
-@query("SELECT 'orders' AS \"table\", count(*) table_rows FROM orders UNION ALL SELECT 'supplier', count(*) FROM supplier")
+@query("SELECT s_nationkey nation, CAST(sum(strlen(s_name) + 1) AS BIGINT) bytes, sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) sha256 FROM supplier GROUP BY 1")
 def manifest_table(s, d):
-    manifest = s.read.json(f"{_published(s, d)}/_manifest").where("file like '%.parquet'")
-    return manifest.groupBy("table").agg(F.max("table_rows").alias("table_rows"))
+    """Sizes and digests of text files, one for each nation, whose content SQL can tell."""
+    path = scratch(s, "texts")
+    rows = t(s, d, "supplier").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    rows.select("s_name", F.col("s_nationkey").alias("nation")).write.partitionBy("nation").text(path)
+    found = sinks.manifest_table(s, path)
+    return found.select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("int").alias("nation"), "bytes", "sha256")

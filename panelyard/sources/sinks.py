@@ -1,14 +1,18 @@
-"""Write-once tables with manifests, and content identities."""
+"""Write-once tables with manifests, published by one rename, and content identities."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.sources.files import file_digests
+
 
 def canonical_json(columns: Sequence[str]) -> Column:
     """The columns as one JSON object in the order of their names, nulls left out."""
@@ -20,15 +24,24 @@ def content_addressed_id(columns: Sequence[str]) -> Column:
     return F.sha2(canonical_json(columns), 256)
 
 
+def content_digest(columns: Sequence[str]) -> Column:
+    """An aggregate: SHA-256 of how many rows there are and of the sum of 60 bits of each row's own digest.
+
+    Rows may come in any order and from any number of files; repeated rows count. Sums are made before the shuffle.
+    """
+    own = F.conv(F.substring(F.sha2(canonical_json(columns), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(own), F.lit(0).cast("decimal(20,0)")).cast("string")), 256)
+
+
 def content_id_of(payload: Mapping) -> str:
     """The same idea for a small driver-side record: SHA-256 of its sorted JSON."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
 def manifest_table(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes, sha256 of every file under path; digests are taken where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """file, bytes, sha256 of every file under path, file beginning with path's last name; files are read in chunks by tasks."""
+    name = re.escape(path.rstrip("/").rsplit("/", 1)[-1])
+    return file_digests(spark, path).select(F.regexp_extract("path", rf"^(?:.*/)?({name}/.*)$", 1).alias("file"), "bytes", "sha256")
 
 
 def content_hash_verify(found: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -38,25 +51,59 @@ def content_hash_verify(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("file", problem.alias("problem")).where("problem is not null")
 
 
-def sink_immutable_parquet(tables: Mapping[str, DataFrame], path: str, facts: Mapping | None = None) -> str:
-    """Writes tables under a new path, the manifest last; an existing path is refused. Readers ask for the manifest.
+def _store(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
+def unfinished(spark: SparkSession, path: str) -> list[str]:
+    """Stages that earlier runs of a sink left beside path: those of runs that failed, and of any that still goes on."""
+    target, system = _store(spark, path)
+    parent = target.getParent()
+    found = system.listStatus(parent) if system.exists(parent) else []
+    return sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith(f".{target.getName()}.stage-"))
+
+
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Removes what failed runs left and returns their names. Nothing published is touched; no other run may be going on."""
+    gone = unfinished(spark, path)
+    for stage in gone:
+        target, system = _store(spark, stage)
+        system.delete(target, True)
+    return gone
+
+
+def sink_immutable_parquet(tables: Mapping[str, DataFrame], path: str, facts: Mapping | None = None, partition_by: Mapping[str, Sequence[str]] | None = None) -> str:
+    """Writes tables and their manifest into a stage beside path and publishes them all by one rename; an existing path is refused.
+
+    A run that fails, at whatever point, publishes nothing; its stage is removed, or by recover() where the driver died.
+    Renames are atomic on HDFS and local file systems; of two runs that end together the second one fails.
     Returns the manifest's path.
     """
     spark = next(iter(tables.values())).sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    target, system = _store(spark, path)
+    if system.exists(target):
         raise FileExistsError(path)
-    for name, df in tables.items():
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
-    files = [manifest_table(spark, f"{path}/{name}").withColumn("table", F.lit(name)) for name in tables]
-    manifest = files[0]
-    for f in files[1:]:
-        manifest = manifest.unionByName(f)
-    counts = {name: spark.read.parquet(f"{path}/{name}").count() for name in tables}
-    rows = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, v)])
-    manifest = manifest.withColumns({"table_rows": F.element_at(rows, F.col("table")), "facts": F.lit(json.dumps(facts or {}, sort_keys=True, default=str))})
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/_manifest")
+    stage = f"{target.getParent()}/.{target.getName()}.stage-{uuid.uuid4().hex}"
+    try:
+        manifest = None
+        for name, df in tables.items():
+            df.write.mode("errorifexists").option("compression", "zstd").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{stage}/{name}")
+            rows = spark.read.parquet(f"{stage}/{name}").count()
+            own = manifest_table(spark, f"{stage}/{name}").withColumns({"table": F.lit(name), "table_rows": F.lit(rows).cast("bigint"), "facts": F.lit(json.dumps(facts or {}, sort_keys=True, default=str))})
+            manifest = own if manifest is None else manifest.unionByName(own)
+        manifest.write.mode("errorifexists").json(f"{stage}/_manifest")
+        jvm = spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(jvm.org.apache.hadoop.fs.Path(stage), target, none)
+        except Exception as e:
+            raise FileExistsError(path) if system.exists(target) else e
+    except BaseException:
+        staged, system = _store(spark, stage)
+        system.delete(staged, True)
+        raise
     return f"{path}/_manifest"
 
 
