@@ -75,6 +75,14 @@ def fixture_to_period(fixtures: DataFrame, keys: Sequence[str], measures: Sequen
     return fixtures.groupBy(*keys).agg(*cols)
 
 
+#: How the period before a target is called; of pairs the first is for a player with minutes.
+NO_PRIOR, NOT_IN_UNIVERSE, BLANK = "no_prior_gameweek_in_scope", "player_not_in_previous_predeadline_universe", "verified_team_blank"
+NOT_KICKED_OFF, NO_HISTORY = "fixture_not_kicked_off_before_target_deadline", "missing_history"
+MOVED = ("played_after_deadline_team_change", "zero_minutes_after_deadline_team_change")
+PARTIAL = ("partially_played_before_target_deadline", "partial_gameweek_zero_minutes_before_target_deadline")
+PLAYED = ("played", "fixture_existed_zero_minutes")
+
+
 def previous_context(states: DataFrame, fixtures: DataFrame, history: DataFrame) -> DataFrame:
     """status of the period before each target.
 
@@ -88,16 +96,11 @@ def previous_context(states: DataFrame, fixtures: DataFrame, history: DataFrame)
     rows = rows.join(games, ["entity", "target"]).join(history, ["entity", "target"], "left")
     moved = ~F.coalesce(F.array_distinct("teams").eqNullSafe(F.array("prior_team")), F.lit(False))
     some = F.col("minutes") > 0
+    named = lambda names: F.when(some, names[0]).otherwise(names[1])
     status = (
-        F.when(F.col("target") == 1, "no_prior_gameweek_in_scope")
-        .when(F.col("prior_team").isNull(), "player_not_in_previous_predeadline_universe")
-        .when(F.col("games") == 0, "verified_team_blank")
-        .when(F.col("early") == 0, "fixture_not_kicked_off_before_target_deadline")
-        .when(F.col("minutes").isNull(), "missing_history")
-        .when(moved, F.when(some, "played_after_deadline_team_change").otherwise("zero_minutes_after_deadline_team_change"))
-        .when(F.col("games") > F.col("early"), F.when(some, "partially_played_before_target_deadline").otherwise("partial_gameweek_zero_minutes_before_target_deadline"))
-        .otherwise(F.when(some, "played").otherwise("fixture_existed_zero_minutes"))
-    )
+        F.when(F.col("target") == 1, NO_PRIOR).when(F.col("prior_team").isNull(), NOT_IN_UNIVERSE).when(F.col("games") == 0, BLANK).when(F.col("early") == 0, NOT_KICKED_OFF)
+        .when(F.col("minutes").isNull(), NO_HISTORY).when(moved, named(MOVED)).when(F.col("games") > F.col("early"), named(PARTIAL)).otherwise(named(PLAYED))
+    )
     return rows.select("entity", "target", status.alias("status"), F.when(F.col("early") > 0, F.col("minutes")).alias("minutes"))
 
 

@@ -16,37 +16,40 @@ from panelyard.queries.features import SCORED, WINDOWS
 from panelyard.streaming import monitors
 
 
-@query(sql(f", w AS ({WINDOWS}) SELECT u.entity, class, prior_minutes, prior_avg_minutes, previous_minutes, last3_minutes, last5_minutes, last3_xg, CASE WHEN prior_minutes > 0 THEN prior_xg * 90 / prior_minutes END prior_xg_90, CASE WHEN last3_minutes > 0 THEN last3_xg * 90 / last3_minutes END last3_xg_90, previous_minutes IS NOT NULL previous_has_data, coalesce(prior_periods, 0) < 3 low_sample FROM (SELECT DISTINCT entity, class FROM panel) u LEFT JOIN w ON w.entity = u.entity"), "prior_avg_minutes last3_xg prior_xg_90 last3_xg_90")
-def build_features(s, d):
+@query(sql(f", w AS ({WINDOWS}) SELECT u.entity, class, prior_minutes, prior_avg_minutes, previous_minutes, last3_minutes, last5_minutes, last3_xg, CASE WHEN prior_minutes > 0 THEN prior_xg * 90 / prior_minutes END prior_xg_90, CASE WHEN last3_minutes > 0 THEN last3_xg * 90 / last3_minutes END last3_xg_90, previous_minutes IS NOT NULL previous_has_data, coalesce(prior_periods, 0) < 3 low_sample FROM (SELECT DISTINCT entity, class FROM panel) u LEFT JOIN w ON w.entity = u.entity"), "prior_avg_minutes last3_xg prior_xg_90 last3_xg_90", name="build_features_entities")
+def build_features_entities(s, d):
     out = panel_plans.build_features(panel(s, d), entities(s, d), TARGET)
     return out.select("entity", "class", "prior_minutes", "prior_avg_minutes", "previous_minutes", "last3_minutes", "last5_minutes", "last3_xg", "prior_xg_90", "last3_xg_90", "previous_has_data", "low_sample")
 
 
-@query(sql(f"{SCORED} SELECT class, count(*) n, count(appearance) complete, sum(appearance + coalesce(goal, 0.0) + coalesce(assist, 0.0)) total FROM scored GROUP BY 1"), "total")
-def predict_points(s, d):
+@query(sql(f"{SCORED} SELECT class, count(*) n, count(appearance) complete, sum(appearance + coalesce(goal, 0.0) + coalesce(assist, 0.0)) total FROM scored GROUP BY 1"), "total", name="predict_class_totals")
+def predict_class_totals(s, d):
     out = panel_plans.scored_entities(panel(s, d), TARGET)
     return out.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count("appearance").alias("complete"), F.sum("total").alias("total"))
 
 
-STATES = """, seen AS (SELECT o_custkey entity, CAST(year(o_orderdate) - 1994 AS INTEGER) target, max(o_orderkey) k FROM orders GROUP BY 1, 2), state AS (SELECT entity, target, CAST(k % 25 AS INTEGER) team, TIMESTAMP '1994-10-01' + to_years(target - 1) deadline FROM seen),
-games AS (SELECT DISTINCT CAST(l_suppkey % 25 AS INTEGER) team, CAST(year(l_shipdate) - 1994 AS INTEGER) period, date_trunc('month', l_shipdate) kickoff FROM lineitem WHERE l_quantity > 49),
-hist AS (SELECT s.entity, s.target, CAST(sum(floor(o_totalprice)) AS BIGINT) % 3 AS minutes FROM state s JOIN orders ON o_custkey = s.entity AND year(o_orderdate) - 1994 = s.target - 1 AND o_orderdate < s.deadline GROUP BY 1, 2),
+STATES = """, seen AS (SELECT o_custkey entity, CAST(year(o_orderdate) - 1994 AS INTEGER) target, max(o_orderkey) k FROM orders GROUP BY 1, 2), state AS (SELECT entity, target, CAST(k % 125 AS INTEGER) team, TIMESTAMP '1994-10-01' + to_years(target - 1) deadline FROM seen),
+games AS (SELECT DISTINCT CAST(l_suppkey % 150 AS INTEGER) team, CAST(year(l_shipdate) - 1994 AS INTEGER) period, date_trunc('month', l_shipdate) kickoff FROM lineitem),
+hist AS (SELECT s.entity, s.target, CAST(sum(floor(o_totalprice)) AS BIGINT) % 3 AS minutes, list_sort(list(DISTINCT CAST(o_orderkey % 125 AS INTEGER))) teams FROM state s JOIN orders ON o_custkey = s.entity AND year(o_orderdate) - 1994 = s.target - 1 AND o_orderdate < s.deadline GROUP BY 1, 2),
 prev AS (SELECT s.entity, s.target, s.deadline, p.team FROM state s LEFT JOIN state p ON p.entity = s.entity AND p.target = s.target - 1),
 cnt AS (SELECT v.entity, v.target, v.team, count(kickoff) games, count(kickoff) FILTER (WHERE kickoff < deadline) early FROM prev v LEFT JOIN games g ON g.team = v.team AND g.period = v.target - 1 GROUP BY 1, 2, 3)"""
 
+#: How the SQL tells what plans.panel_plans.previous_context() does.
+CONTEXT = f"""CASE WHEN c.target = 1 THEN '{panel_plans.NO_PRIOR}' WHEN team IS NULL THEN '{panel_plans.NOT_IN_UNIVERSE}' WHEN games = 0 THEN '{panel_plans.BLANK}' WHEN early = 0 THEN '{panel_plans.NOT_KICKED_OFF}' WHEN minutes IS NULL THEN '{panel_plans.NO_HISTORY}'
+WHEN teams <> [team] THEN CASE WHEN minutes > 0 THEN '{panel_plans.MOVED[0]}' ELSE '{panel_plans.MOVED[1]}' END WHEN games > early THEN CASE WHEN minutes > 0 THEN '{panel_plans.PARTIAL[0]}' ELSE '{panel_plans.PARTIAL[1]}' END ELSE CASE WHEN minutes > 0 THEN '{panel_plans.PLAYED[0]}' ELSE '{panel_plans.PLAYED[1]}' END END"""
 
-@query(sql(f"""{STATES} SELECT c.entity, c.target, CASE WHEN c.target = 1 THEN 'no_prior_gameweek_in_scope' WHEN team IS NULL THEN 'player_not_in_previous_predeadline_universe' WHEN games = 0 THEN 'verified_team_blank' WHEN early = 0 THEN 'fixture_not_kicked_off_before_target_deadline' WHEN minutes IS NULL THEN 'missing_history'
-WHEN games > early THEN CASE WHEN minutes > 0 THEN 'partially_played_before_target_deadline' ELSE 'partial_gameweek_zero_minutes_before_target_deadline' END ELSE CASE WHEN minutes > 0 THEN 'played' ELSE 'fixture_existed_zero_minutes' END END status, CASE WHEN early > 0 THEN minutes END AS minutes FROM cnt c LEFT JOIN hist h ON h.entity = c.entity AND h.target = c.target"""))
+
+@query(sql(f"""{STATES} SELECT c.entity, c.target, {CONTEXT} status, CASE WHEN early > 0 THEN minutes END AS minutes FROM cnt c LEFT JOIN hist h ON h.entity = c.entity AND h.target = c.target"""))
 def previous_context(s, d):
+    """Customers as players, whose last order of a year tells their team; the teams that they ordered for before the deadline may be others."""
     o = t(s, d, "orders")
     target = (F.year("o_orderdate") - 1994).cast("int")
-    seen = o.groupBy(F.col("o_custkey").alias("entity"), target.alias("target")).agg(F.max("o_orderkey").alias("k"))
-    states = seen.select("entity", "target", (F.col("k") % 25).cast("int").alias("team"), F.expr("timestamp_ntz'1994-10-01 00:00:00' + make_ym_interval(target - 1)").alias("deadline"))
-    li = t(s, d, "lineitem").where("l_quantity > 49")
-    games = li.select((F.col("l_suppkey") % 25).cast("int").alias("team"), (F.year("l_shipdate") - 1994).cast("int").alias("period"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("kickoff")).distinct()
-    own = o.select(F.col("o_custkey").alias("entity"), (target + 1).alias("target"), "o_orderdate", "o_totalprice").join(states, ["entity", "target"]).where("o_orderdate < deadline")
-    before = states.select("entity", (F.col("target") + 1).alias("target"), F.array("team").alias("teams"))
-    hist = own.groupBy("entity", "target").agg((F.sum(F.floor("o_totalprice")) % 3).cast("bigint").alias("minutes")).join(before, ["entity", "target"], "left")
+    team = (F.col("o_orderkey") % 125).cast("int")
+    seen = o.groupBy(F.col("o_custkey").alias("entity"), target.alias("target")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    states = seen.select("entity", "target", team.alias("team"), F.expr("timestamp_ntz'1994-10-01 00:00:00' + make_ym_interval(target - 1)").alias("deadline"))
+    games = t(s, d, "lineitem").select((F.col("l_suppkey") % 150).cast("int").alias("team"), (F.year("l_shipdate") - 1994).cast("int").alias("period"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("kickoff")).distinct()
+    own = o.select(F.col("o_custkey").alias("entity"), (target + 1).alias("target"), "o_orderdate", "o_totalprice", team.alias("for_team")).join(states, ["entity", "target"]).where("o_orderdate < deadline")
+    hist = own.groupBy("entity", "target").agg((F.sum(F.floor("o_totalprice")) % 3).cast("bigint").alias("minutes"), F.array_sort(F.collect_set("for_team")).alias("teams"))
     return panel_plans.previous_context(states, games, hist)
 
 
@@ -68,8 +71,8 @@ def chronology_audit(s, d):
     return late.groupBy("target").agg(F.count(F.lit(1)).alias("late_rows"), F.count_distinct("entity").alias("entities"), F.min("ts").alias("first_late"))
 
 
-@query(sql(f"""SELECT scope, "group", {METRICS} FROM (SELECT *, predicted - actual e FROM pairs), LATERAL (VALUES ('overall', 'all'), ('class', class), ('state', CASE WHEN predicted IS NULL OR actual IS NULL THEN 'missing' ELSE 'valid' END)) v(scope, "group") GROUP BY 1, 2"""), METRIC_COLUMNS)
-def evaluate_forecast(s, d):
+@query(sql(f"""SELECT scope, "group", {METRICS} FROM (SELECT *, predicted - actual e FROM pairs), LATERAL (VALUES ('overall', 'all'), ('class', class), ('state', CASE WHEN predicted IS NULL OR actual IS NULL THEN 'missing' ELSE 'valid' END)) v(scope, "group") GROUP BY 1, 2"""), METRIC_COLUMNS, name="evaluate_scopes")
+def evaluate_scopes(s, d):
     state = F.when(F.col("predicted").isNull() | F.col("actual").isNull(), "missing").otherwise("valid")
     return metrics.metrics_by_scope(forecast_pairs(s, d), "predicted", "actual", {"overall": F.lit("all"), "class": F.col("class"), "state": state})
 
@@ -107,17 +110,25 @@ def _arrivals(df: DataFrame, time: str) -> list[DataFrame]:
     return [df.where(span) for span in spans]
 
 
-def _finished(s, df: DataFrame, time: str, run: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _finished(s, df: DataFrame, time: str, run: Callable[[DataFrame], DataFrame], mode: str = "append", state: str | None = None) -> DataFrame:
     """run's rows for a stream of df that arrives in order of time: files of its own partitioning for each span.
 
     The stream runs to the end of a span's files before those of the next come, and resumes from its checkpoint, so
-    state passes from batch to batch.
+    state passes from batch to batch. state: the state store that run needs, where it isn't the session's own.
     """
     path, out, progress = scratch(s, "stream"), scratch(s, "streamed"), scratch(s, "progress")
-    for part in _arrivals(df, time):
-        part.write.mode("append").parquet(path)
-        stream = run(s.readStream.schema(df.schema).parquet(path))
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    before = s.conf.get(STATE_STORE)
+    s.conf.set(STATE_STORE, state or before)
+    try:
+        for part in _arrivals(df, time):
+            part.write.mode("append").parquet(path)
+            stream = run(s.readStream.schema(df.schema).parquet(path))
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(STATE_STORE, before)
     return s.read.schema(stream.schema).parquet(out)
 
 
@@ -128,7 +139,7 @@ SELECT target, arg_min(first_seen, observed_at) first_seen, min(observed_at) fin
 
 @query(sql(PROBES + RUNS))
 def stream_finalization(s, d):
-    out = _finished(s, _probes(s, d), "observed_at", monitors.stream_finalization)
+    out = _finished(s, _probes(s, d), "observed_at", monitors.stream_finalization, state=monitors.ROCKSDB)
     return out.select("target", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("final_at").cast("timestamp_ntz").alias("final_at"), "digest")
 
 

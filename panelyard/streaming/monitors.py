@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 STABLE_MINUTES = 15
@@ -29,25 +29,60 @@ def finalized(observations: pd.DataFrame, first: tuple | None, minutes: int = ST
     return first, None
 
 
-def stream_finalization(stream: DataFrame, key: str = "target", minutes: int = STABLE_MINUTES) -> DataFrame:
-    """key, first_seen, final_at, digest: emitted once per key when the same digest has stayed ready for minutes.
+#: What transformWithState keeps its state in.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    stream: key (string), observed_at, ready, digest. A key's observations come in order of time from batch to batch;
-    inside a batch they are put in the order of batch_finalization, since files have none.
-    """
 
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else None
-        done = bool(kept and kept[2])
-        first = (kept[0], kept[1]) if kept and kept[1] is not None else None
-        rows = pd.concat(list(batches)).sort_values(["observed_at", "digest"], kind="stable")
+class Finalizer(StatefulProcessor):
+    """One key's wait for a digest that stays ready; the key's state is gone once the watermark is retention past its last observation."""
+
+    def __init__(self, key: str, minutes: int, retention: pd.Timedelta) -> None:
+        self.key, self.minutes, self.retention = key, minutes, retention
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getValueState("wait", "first_at bigint, digest string, done boolean, last_at bigint")  # microseconds
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, done, last = None, False, 0
+        if self.wait.exists():
+            at, digest, done, last = self.wait.get()
+            first = (pd.Timestamp(at, unit="us"), digest) if digest is not None else None
+        own = pd.DataFrame([(r.at_us, r.ready, r.digest) for r in rows], columns=["at_us", "ready", "digest"])
+        own["observed_at"] = pd.to_datetime(own["at_us"], unit="us")
+        final = None
         if not done:
-            first, final = finalized(rows, first, minutes)
-            state.update((first[0] if first else None, first[1] if first else None, final is not None))
-            if final:
-                yield pd.DataFrame({key: [k[0]], "first_seen": [final[0]], "final_at": [final[1]], "digest": [final[2]]})
+            first, final = finalized(own.sort_values(["observed_at", "digest"], kind="stable"), first, self.minutes)
+        last = max(last, int(own["at_us"].max()))
+        micros = lambda t: t.value // 1000
+        self.wait.update((micros(first[0]) if first else None, first[1] if first else None, done or final is not None, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last // 1000 + self.retention // pd.Timedelta("1ms"))
+        if final:
+            yield Row(**{self.key: key[0], "first_us": micros(final[0]), "final_us": micros(final[1]), "digest": final[2]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.wait.clear()
+        return iter(())
 
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} string, first_seen timestamp, final_at timestamp, digest string", "first_at timestamp, digest string, done boolean", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_finalization(stream: DataFrame, key: str = "target", minutes: int = STABLE_MINUTES, retention: str = "60 days", delay: str = "1 hour") -> DataFrame:
+    """key, first_seen, final_at, digest: emitted once per key when the same digest has stayed ready for minutes.
+
+    stream: key (string), observed_at (timestamp), ready, digest; rows without a time are left out. A key's observations come in order of time from batch to batch;
+    inside a batch they are put in the order of batch_finalization, since files have none. Observations more than delay older than
+    the newest one of earlier batches are late and dropped. retention has to be longer than any two observations of a
+    key lie apart: that long after its last one a key leaves the state, finished or not, so the state holds
+    recent keys only. The session needs the state store ROCKSDB.
+    """
+    ready = stream.where("observed_at is not null").withColumn("at_us", F.unix_micros("observed_at")).withWatermark("observed_at", delay)
+    processor = Finalizer(key, minutes, pd.Timedelta(retention))
+    found = ready.groupBy(key).transformWithState(processor, f"{key} string, first_us bigint, final_us bigint, digest string", "Append", "EventTime")
+    return found.select(key, F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("final_us").alias("final_at"), "digest")
 
 
 def batch_finalization(df: DataFrame, key: str = "target", minutes: int = STABLE_MINUTES) -> DataFrame:
