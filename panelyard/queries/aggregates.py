@@ -69,9 +69,10 @@ def union_diagnostic_groups(s, d):
     return rows.groupBy(F.col("scope").alias("name"), "group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def except_universe(s, d):
-    return t(s, d, "customer").select("c_custkey").subtract(t(s, d, "orders").select("o_custkey"))
+    """Customers without a pending order."""
+    return t(s, d, "customer").select("c_custkey").subtract(t(s, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 RANKS = """SELECT *, rank() OVER (PARTITION BY {0} ORDER BY predicted) + (count(*) OVER (PARTITION BY {0}, predicted) - 1) / 2.0 rx, rank() OVER (PARTITION BY {0} ORDER BY actual) + (count(*) OVER (PARTITION BY {0}, actual) - 1) / 2.0 ry FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL"""
@@ -177,8 +178,8 @@ def topn_common_pairs(s, d):
 GATES = {"mae": ("mae_reduction_pct", ">=", 5.0), "rmse": ("rmse_reduction_pct", ">=", 3.0)}
 
 
-@query(sql(f"{COMMON}, g AS (SELECT candidate, gate, value, '>=' comparison, threshold FROM cr, LATERAL (VALUES ('mae', mae_reduction_pct, 5.0::DOUBLE), ('rmse', rmse_reduction_pct, 3.0)) v(gate, value, threshold)) SELECT *, coalesce(value >= threshold, FALSE) passed FROM g"), "value threshold")
-def gate_table(s, d):
+@query(sql(f"{COMMON}, g AS (SELECT candidate, gate, value, '>=' comparison, threshold FROM cr, LATERAL (VALUES ('mae', mae_reduction_pct, 5.0::DOUBLE), ('rmse', rmse_reduction_pct, 3.0)) v(gate, value, threshold)) SELECT *, coalesce(value >= threshold, FALSE) passed FROM g"), "value threshold", name="gate_table_minutes")
+def gate_table_minutes(s, d):
     return E.gate_table(_common(s, d).select("candidate", "mae_reduction_pct", "rmse_reduction_pct"), GATES)
 
 
@@ -390,13 +391,13 @@ def eligible(s, d) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-@query(sql(f"{ELIGIBLE} SELECT reason, count(*) n FROM el GROUP BY 1"))
-def eligibility_reasons(s, d):
+@query(sql(f"{ELIGIBLE} SELECT reason, count(*) n FROM el GROUP BY 1"), name="eligibility_customers")
+def eligibility_customers(s, d):
     return eligible(s, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(sql(f"{ELIGIBLE} SELECT candidate, count(*) n, sum(CASE WHEN candidate = 'C1' AND reason = 'eligible' THEN (minutes * minutes + prior * 450.0) / (minutes + 450.0) ELSE minutes END) total FROM el, (VALUES ('C0'), ('C1')) v(candidate) GROUP BY 1"), "total")
-def exp_season_prior(s, d):
+@query(sql(f"{ELIGIBLE} SELECT candidate, count(*) n, sum(CASE WHEN candidate = 'C1' AND reason = 'eligible' THEN (minutes * minutes + prior * 450.0) / (minutes + 450.0) ELSE minutes END) total FROM el, (VALUES ('C0'), ('C1')) v(candidate) GROUP BY 1"), "total", name="exp_season_prior_minutes")
+def exp_season_prior_minutes(s, d):
     m, p = F.col("minutes").cast("double"), F.col("prior_minutes").cast("double")
     c1 = F.when(F.col("reason") == "eligible", X.shrunk_rate(m, m, p, 450.0)).otherwise(m)
     rows = F.array(F.struct(F.lit("C0").alias("candidate"), m.alias("v")), F.struct(F.lit("C1").alias("candidate"), c1.alias("v")))
@@ -410,11 +411,14 @@ def season_reconciliation(s, d):
     return rows.where(F.abs("gap") > 0.001).withColumn("material", F.abs("gap") > 0.05)
 
 
-@query(sql("SELECT field, count(*) n FROM (SELECT p.entity, 'minutes' field FROM periods p JOIN (SELECT user_id, day(ts) d, sum(CAST(floor(value) AS BIGINT)) m FROM events GROUP BY 1, 2) e ON e.user_id = p.entity AND e.d = p.period WHERE e.m <> p.minutes) GROUP BY 1"))
+@query(sql("SELECT field, count(*) n, CAST(sum(difference) AS BIGINT) difference FROM (SELECT p.entity, unnest(['minutes', 'starts']) field, unnest([e.m - p.minutes, e.s - p.starts]) difference FROM periods p JOIN (SELECT user_id, day(ts) d, sum(CAST(floor(value) AS BIGINT)) + CASE WHEN user_id % 9 = 4 AND day(ts) = 5 THEN 1 ELSE 0 END m, count(*) FILTER (WHERE event_type = 'purchase' AND value < 240) s FROM events GROUP BY 1, 2, user_id % 9) e ON e.user_id = p.entity AND e.d = p.period) WHERE difference <> 0 GROUP BY 1"))
 def exact_reconciliation(s, d):
-    direct = t(s, d, "events").groupBy(F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("period")).agg(F.sum(F.floor("value")).alias("m"))
-    both = periods(s, d).join(direct, ["entity", "period"]).where(F.col("m") != F.col("minutes"))
-    return both.groupBy(F.lit("minutes").alias("field")).agg(F.count(F.lit(1)).alias("n"))
+    """Period sums against a source that says otherwise of some users' fifth day and misses dear purchases: fields, how many rows differ, by how much."""
+    e = t(s, d, "events")
+    direct = e.groupBy(F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("period")).agg(F.sum(F.floor("value")).alias("m"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") < 240)).alias("s"))
+    seeded = F.when((F.col("entity") % 9 == 4) & (F.col("period") == 5), 1).otherwise(0)
+    both = periods(s, d).join(direct, ["entity", "period"]).withColumns({"minutes": F.col("m") + seeded - F.col("minutes"), "starts": F.col("s") - F.col("starts")})
+    return both.unpivot(["entity", "period"], ["minutes", "starts"], "field", "difference").where("difference <> 0").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("difference").alias("difference"))
 
 
 @query(f"WITH {FIXTURES}, s AS (SELECT year(kickoff) period, home team FROM fixtures UNION ALL SELECT year(kickoff), away FROM fixtures), g AS (SELECT y.period, n_nationkey team, count(s.team) n FROM (SELECT DISTINCT period FROM s) y CROSS JOIN nation LEFT JOIN s ON s.period = y.period AND s.team = n_nationkey GROUP BY 1, 2) SELECT CAST(period AS INTEGER) period, count(*) FILTER (WHERE n = 0) blanks, count(*) FILTER (WHERE n > 1) doubles, string_agg(CAST(team AS VARCHAR), ',' ORDER BY team) FILTER (WHERE n > 1) double_teams FROM g GROUP BY 1")

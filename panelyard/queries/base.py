@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import wraps
 
@@ -109,12 +109,12 @@ def forecast_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("entity", "period", "class", actual.alias("actual")).join(before, ["entity", "period"], "left").select("entity", "period", "class", "predicted", "actual")
 
 
-def squads(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as squads: the 15 members are its parts of lowest key in each of four classes of part size."""
+def squads(spark: SparkSession, d: str, among: Callable[[DataFrame], DataFrame] = lambda ids: ids) -> DataFrame:
+    """Suppliers as squads: the 15 members are its parts (among those that among() leaves) of lowest key in each of four classes of part size."""
     from pyspark.sql import Window
 
     li = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("squad_id"), F.col("l_partkey").alias("id")).distinct()
-    rows = li.join(pool(spark, d), "id").withColumn("r", F.row_number().over(Window.partitionBy("squad_id", "class").orderBy("id")))
+    rows = among(li).join(pool(spark, d), "id").withColumn("r", F.row_number().over(Window.partitionBy("squad_id", "class").orderBy("id")))
     need = F.when(F.col("class") == "GK", 2).when(F.col("class") == "FWD", 3).otherwise(5)
     return rows.where(F.col("r") <= need).select("squad_id", "id", "class", "club", "price", "projection")
 
@@ -135,3 +135,9 @@ POOL = """pool AS (SELECT p_partkey id, CASE p_size % 4 WHEN 0 THEN 'GK' WHEN 1
 squads AS (SELECT squad_id, id, class, club, price, projection FROM (SELECT l.squad_id, p.*, row_number() OVER (PARTITION BY squad_id, class ORDER BY id) r
   FROM (SELECT DISTINCT l_suppkey squad_id, l_partkey id FROM lineitem) l JOIN pool p USING (id)) WHERE r <= CASE class WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END)
 """
+
+
+def digest_sql(columns: Sequence[str], table: str) -> str:
+    """The content digest (sources.sinks.content_digest) of whole-number columns of a table."""
+    row = "'{' || concat_ws(',', " + ", ".join(f"""'"{c}":' || {c}""" for c in sorted(columns)) + ") || '}'"
+    return f"(SELECT sha256(count(*) || ':' || coalesce(sum(CAST(CAST('0x' || substr(sha256({row}), 1, 15) AS BIGINT) AS DECIMAL(38, 0))), 0)) FROM {table})"
