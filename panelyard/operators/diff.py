@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,3 +33,38 @@ def set_diff(left: DataFrame, right: DataFrame, group: str, key: str) -> DataFra
     empty = F.array().cast(f"array<{left.schema[key].dataType.simpleString()}>")
     both = a.join(b, group, "full").select(group, F.coalesce("_l", empty).alias("l"), F.coalesce("_r", empty).alias("r"))
     return both.select(group, F.array_sort(F.array_except("r", "l")).alias("added"), F.array_sort(F.array_except("l", "r")).alias("removed"))
+
+
+def changed_values(left: DataFrame, right: DataFrame, keys: Sequence[str], item: Sequence[str], columns: Sequence[str], section: str) -> DataFrame:
+    """keys, section, item, field, before, after: a row for each value that differs, as text; a missing side is null.
+
+    item names what is compared inside keys, such as a member; a row that only one side has is a change of the field 'present'.
+    """
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in item])
+    def long(df: DataFrame, value: str) -> DataFrame:  # noqa: E306
+        values = [F.struct(F.lit("present").alias("field"), F.lit("yes").alias(value)), *[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(value)) for c in columns]]
+        return df.select(*keys, name.alias("item"), F.explode(F.array(*values)).alias("_v")).select(*keys, "item", "_v.*")
+
+    both = long(left, "before").join(long(right, "after"), [*keys, "item", "field"], "full")
+    # Of a row that one side lacks, its presence says everything.
+    whole = long(left, "_l").where("field = 'present'").join(long(right, "_r").where("field = 'present'"), [*keys, "item"], "inner").select(*keys, "item").withColumn("_both", F.lit(True))
+    both = both.join(whole, [*keys, "item"], "left").where((F.col("field") == "present") | F.col("_both"))
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(*keys, F.lit(section).alias("section"), "item", "field", "before", "after")
+
+
+def run_changes(left: Mapping[str, DataFrame], right: Mapping[str, DataFrame], keys: Sequence[str], sections: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """All that differs between two runs: keys, section, item, field, before, after.
+
+    sections: name -> (what an item is called by inside keys, value columns); left and right hold a table for each.
+    """
+    out = None
+    for name, (item, columns) in sections.items():
+        rows = changed_values(left[name], right[name], keys, item, columns, name)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def run_flags(changes: DataFrame, keys: Sequence[str], sections: Sequence[str]) -> DataFrame:
+    """A row per keys with changes: how many there are in each section, and whether anything but provenance moved."""
+    counts = [F.count_if(F.col("section") == s).alias(f"{s}_changes") for s in sections]
+    return changes.groupBy(*keys).agg(*counts).withColumn("changed", sum((F.col(f"{s}_changes") for s in sections if s != "provenance"), F.lit(0)) > 0)

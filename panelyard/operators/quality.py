@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.expressions import finite
 from panelyard.operators.joins import any_different
+from panelyard.sources.sinks import content_digest
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -98,3 +99,22 @@ def dq_totals(rows: DataFrame, heads: DataFrame, keys: Sequence[str], part: str,
     sums = rows.groupBy(*keys).agg(F.sum(part).alias("_sum"))
     both = heads.join(sums, list(keys), "left")
     return verdict(both.where(F.abs(F.coalesce("_sum", F.lit(0.0)) - F.col(total)) > tolerance), rule, keys)
+
+
+def snapshot_coherence(tables: Mapping[str, DataFrame], stated: DataFrame, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """table, digest, digest_matches, snapshot_agrees: tables of one snapshot against what their manifests state.
+
+    stated: table, snapshot, digest. A table's digest is one aggregate of its rows, summed up before it is shuffled.
+    A snapshot agrees if all tables state the same one. A table that states nothing, or that isn't there, matches nothing.
+    """
+    found = None
+    for name, df in tables.items():
+        own = df.agg(content_digest((columns or {}).get(name) or df.columns).alias("digest")).select(F.lit(name).alias("table"), "digest")
+        found = own if found is None else found.unionByName(own)
+    ids = stated.agg(F.count_distinct("snapshot").alias("_ids"), F.count_if(F.col("snapshot").isNull()).alias("_none"))  # one row
+    both = found.join(stated.select("table", F.col("digest").alias("_stated"), "snapshot"), "table", "full").join(F.broadcast(ids), F.lit(True))
+    return both.select("table", "digest", F.coalesce(F.col("digest") == F.col("_stated"), F.lit(False)).alias("digest_matches"), (F.col("snapshot").isNotNull() & (F.col("_ids") == 1) & (F.col("_none") == 0)).alias("snapshot_agrees"))
+
+
+def dq_snapshot_coherence(tables: Mapping[str, DataFrame], stated: DataFrame, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    return dq_predicate(snapshot_coherence(tables, stated, columns), "snapshot_coherence", F.col("digest_matches") & F.col("snapshot_agrees"), ["table"])

@@ -75,10 +75,62 @@ def squad_reconcile(members: DataFrame, universe: DataFrame) -> DataFrame:
     return rows.groupBy("squad_id").agg(F.count(F.lit(1)).alias("members"), F.count("projection").alias("known"), F.count_if(F.col("projection").isNull()).alias("missing"), (F.count("projection") * 100.0 / F.count(F.lit(1))).alias("coverage_pct"))
 
 
-def lineup_compare(chosen: DataFrame, best: DataFrame) -> DataFrame:
-    """chosen: squad_id, chosen (ids). Who comes in and who goes out for the best line-up, and its captain."""
-    both = chosen.join(best, "squad_id")
-    return both.select("squad_id", F.array_sort(F.array_except("starters", "chosen")).alias("came_in"), F.array_sort(F.array_except("chosen", "starters")).alias("went_out"), "captain")
+def lineup_compare(squads: DataFrame, chosen: DataFrame, best: DataFrame) -> DataFrame:
+    """A manager's own selection beside the best one.
+
+    chosen: squad_id, starters and bench (ids), captain, vice. Gives squad_id, started, benched, bench_added,
+    bench_removed (sorted ids), captain_changed, vice_changed, chosen_objective (null if a starter's projection is
+    unknown), difference, and changes: who comes in for whom, (in_id, out_id) of the same class first, in the order of
+    classes and ids, then what a new formation leaves over. All in place: lists are of a squad's size.
+    """
+    members = squads.groupBy("squad_id").agg(F.collect_list(F.struct("id", "class", "projection")).alias("_m"))
+    own = chosen.select("squad_id", F.col("starters").alias("_c"), F.col("bench").alias("_cb"), F.col("captain").alias("_cc"), F.col("vice").alias("_cv"))
+    both = members.join(own, "squad_id").join(best.select("squad_id", "objective", F.col("starters").alias("_b"), "captain", "vice"), "squad_id")
+    less = lambda a, b: F.array_sort(F.array_except(a, b))
+    both = both.withColumn("_bb", F.array_except(F.transform("_m", lambda m: m["id"]), "_b")).withColumns({"started": less("_b", "_c"), "benched": less("_c", "_b")})
+    pairs, rest_in, rest_out = [], [], []
+    zipped = lambda a, b: F.zip_with(a, b, lambda x, y: F.struct(x.alias("in_id"), y.alias("out_id")))
+    for c in lineup.SQUAD:
+        ids = F.transform(F.filter("_m", lambda m: m["class"] == c), lambda m: m["id"])  # noqa: B023
+        come, go = F.array_sort(F.array_intersect("started", ids)), F.array_sort(F.array_intersect("benched", ids))
+        n = F.least(F.size(come), F.size(go))
+        pairs.append(zipped(F.slice(come, F.lit(1), n), F.slice(go, F.lit(1), n)))
+        rest_in.append(F.slice(come, n + 1, F.size(come)))
+        rest_out.append(F.slice(go, n + 1, F.size(go)))
+    come, go = F.array_sort(F.concat(*rest_in)), F.array_sort(F.concat(*rest_out))
+    n = F.least(F.size(come), F.size(go))
+    known = F.filter("_m", lambda m: F.array_contains("_c", m["id"]) & m["projection"].isNotNull())
+    captain = F.get(F.transform(F.filter("_m", lambda m: m["id"] == F.col("_cc")), lambda m: m["projection"]), F.lit(0))
+    score = F.round(F.aggregate(known, F.lit(0.0), lambda total, m: total + m["projection"]) + captain, lineup.PLACES)
+    both = both.withColumn("chosen_objective", F.when(F.size(known) == F.size("_c"), score))
+    return both.select(
+        "squad_id", "started", "benched", less("_bb", "_cb").alias("bench_added"), less("_cb", "_bb").alias("bench_removed"), (F.col("captain") != F.col("_cc")).alias("captain_changed"), (F.col("vice") != F.col("_cv")).alias("vice_changed"),
+        "chosen_objective", F.round(F.col("objective") - F.col("chosen_objective"), lineup.PLACES).alias("difference"), F.concat(*pairs, zipped(F.slice(come, F.lit(1), n), F.slice(go, F.lit(1), n))).alias("changes"),
+    )
+
+
+def swap_roles(squads: DataFrame, pool: DataFrame, swaps: DataFrame) -> DataFrame:
+    """squad_id, id, role: what each player is to a squad's decision.
+
+    hold.* are the line-up without a swap; top_swap_<rank>.* the outgoing, the incoming and the line-up after each of the
+    squad's best swaps (lineup.best_swaps()); recommended.* those of the first, where it is acted on.
+    """
+    def of(lines: DataFrame, prefix: Column, extra: Sequence[str] = ()) -> DataFrame:  # noqa: E306
+        role = lambda name: F.concat(prefix, F.lit(f".{name}"))
+        who = F.concat(F.transform("starters", lambda i: F.struct(i.alias("id"), role("starting").alias("role"))), F.array(F.struct(F.col("captain").alias("id"), role("captain").alias("role")), F.struct(F.col("vice").alias("id"), role("vice").alias("role"))))
+        return lines.select("squad_id", *extra, F.explode(who).alias("_w")).select("squad_id", *extra, "_w.*")
+
+    asked = swaps.select("squad_id", "rank", "out_id", "in_id", "act")
+    # A squad's members once for each of its swaps, the outgoing one replaced.
+    stay = squads.join(asked, "squad_id").where("id <> out_id").select("squad_id", "rank", "id", "class", "club", "price", "projection")
+    come = asked.join(pool.withColumnRenamed("id", "in_id"), "in_id").select("squad_id", "rank", F.col("in_id").alias("id"), "class", "club", "price", "projection")
+    lines = lineup.best_lineup(stay.unionByName(come), by=("squad_id", "rank"))
+    moved = asked.select("squad_id", "rank", F.explode(F.array(F.struct(F.col("out_id").alias("id"), F.lit("outgoing").alias("part")), F.struct(F.col("in_id").alias("id"), F.lit("incoming").alias("part")))).alias("_p")).select("squad_id", "rank", "_p.*")
+    prefix = F.concat(F.lit("top_swap_"), F.col("rank").cast("string"))
+    top = of(lines, prefix, ["rank"]).unionByName(moved.select("squad_id", "rank", "id", F.concat(prefix, F.lit("."), "part").alias("role")))
+    acted = asked.where("rank = 1 and act").select("squad_id")
+    first = top.where("rank = 1").join(acted, "squad_id", "left_semi").withColumn("role", F.regexp_replace("role", "^top_swap_1", "recommended"))
+    return of(lineup.best_lineup(squads), F.lit("hold")).unionByName(top.drop("rank")).unionByName(first.drop("rank"))
 
 
 def projection_join(prices: DataFrame, projections: DataFrame) -> DataFrame:

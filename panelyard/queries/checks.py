@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import expressions as X
 from panelyard.operators import quality as Q
-from panelyard.queries.aggregates import minutes_experiment
-from panelyard.queries.base import forecast_pairs, panel, periods, query, sql, t
+from panelyard.queries.aggregates import CANDIDATES, minutes_experiment
+from panelyard.queries.base import digest_sql, forecast_pairs, panel, periods, query, sql, t, targets
 from panelyard.queries.features import fixtures
+from panelyard.sources.sinks import content_digest
 
 
 def verdict(rule: str, body: str, key: str) -> str:
@@ -80,10 +81,28 @@ def dq_provenance_single(s, d):
     return Q.dq_single_value(t(s, d, "events").select(F.month("ts").alias("month"), "event_type"), ["month", "event_type"])
 
 
-@query("SELECT 'snapshot_coherence' AS rule, count(*) violations, min(CAST(o_orderkey AS VARCHAR)) AS sample FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)")
+#: Three tables of a snapshot and what is digested of them.
+COHERENT = {"supplier": ["s_suppkey", "s_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "orders": ["o_orderkey", "o_custkey"]}
+
+
+@query(f"SELECT 'snapshot_coherence' AS rule, count(*) violations, min(t) AS sample FROM (SELECT 'supplier' t, {digest_sql(COHERENT['supplier'], 'supplier')} a, {digest_sql(COHERENT['supplier'], 'supplier')} b UNION ALL SELECT 'nation', {digest_sql(COHERENT['nation'], 'nation')}, {digest_sql(COHERENT['nation'], 'nation')} UNION ALL SELECT 'orders', {digest_sql(COHERENT['orders'], 'orders')}, {digest_sql(COHERENT['orders'], '(SELECT * FROM orders WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders))')}) WHERE a IS DISTINCT FROM b")
 def dq_snapshot_coherence(s, d):
+    """Three tables against the digests that their snapshot stated: orders have one row more than when they were digested."""
+    tables = {n: t(s, d, n) for n in COHERENT}
+    last = tables["orders"].agg(F.max("o_orderkey").alias("k"))  # one row
+    before = tables | {"orders": tables["orders"].join(F.broadcast(last), F.col("o_orderkey") == F.col("k"), "left_anti")}
+    stated = None
+    for n, df in before.items():
+        own = df.agg(content_digest(COHERENT[n]).alias("digest")).select(F.lit(n).alias("table"), F.lit("20240114").alias("snapshot"), "digest")
+        stated = own if stated is None else stated.unionByName(own)
+    return Q.dq_snapshot_coherence(tables, stated, COHERENT)
+
+
+@query("SELECT 'order_lines' AS rule, count(*) violations, min(CAST(o_orderkey AS VARCHAR)) AS sample FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)", name="dq_order_lines")
+def dq_order_lines(s, d):
+    """Orders that no line belongs to."""
     ids = t(s, d, "orders").select("o_orderkey").join(t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-    return Q.verdict(ids, "snapshot_coherence", ["o_orderkey"])
+    return Q.verdict(ids, "order_lines", ["o_orderkey"])
 
 
 @query("SELECT 'finalized_gate' AS rule, count(*) violations, min(CAST(o_orderkey AS VARCHAR)) AS sample FROM (SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus HAVING NOT (o_orderstatus = 'F' AND bool_and(l_linestatus = 'F')))")
@@ -99,12 +118,10 @@ def dq_prediction_grain_reconcile(s, d):
     return Q.dq_same_rows(a, periods(s, d), ["entity", "period"], ["minutes"], "prediction_grain")
 
 
-@query("SELECT 'control_reproduction' AS rule, CAST(0 AS BIGINT) violations, CAST(NULL AS VARCHAR) AS sample")
+@query(sql(f"{CANDIDATES}, ctl AS (SELECT entity, target, predicted FROM exp WHERE candidate = 'M0' AND predicted IS NOT NULL), base AS (SELECT entity, target, least(90.0, CAST(sum(minutes) AS DOUBLE)) predicted FROM panel JOIN targets ON period = target - 1 GROUP BY 1, 2) SELECT 'control_reproduction' AS rule, count(*) violations, min(coalesce(c.entity, b.entity) || '|' || coalesce(c.target, b.target)) AS sample FROM ctl c FULL JOIN base b ON c.entity = b.entity AND c.target = b.target WHERE c.predicted IS DISTINCT FROM b.predicted"))
 def dq_control_reproduction(s, d):
-    """The control candidate against the baseline made another way: the day before, capped, seen before the deadline."""
-    from panelyard.queries.base import targets
-
-    before = panel(s, d).join(F.broadcast(targets(s)), (F.col("period") == F.col("target") - 1) & (F.col("ts") < F.col("deadline")))  # six targets
+    """The control candidate against a baseline that forgot the deadline: what came after it makes the difference."""
+    before = panel(s, d).join(F.broadcast(targets(s)), F.col("period") == F.col("target") - 1)  # six targets
     base = before.groupBy("entity", "target").agg(F.least(F.lit(90.0), F.sum("minutes").cast("double")).alias("predicted"))
     control = minutes_experiment(s, d).where("candidate = 'M0' and predicted is not null").select("entity", "target", "predicted")
     return Q.dq_same_rows(control, base, ["entity", "target"], ["predicted"], "control_reproduction")

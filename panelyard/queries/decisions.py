@@ -99,8 +99,8 @@ def stability_summary(s, d):
     return decision_plans.stability_summary(sensitivity_views(s, d))
 
 
-@query(f"{P}, {LINE.format(k='', t='squads', c='max(projection)')}, x AS (SELECT squad_id, unnest(starters) id, captain FROM bl) SELECT id, count(*) starts, count(*) FILTER (WHERE id = captain) captaincies FROM x GROUP BY 1")
-def material_roles(s, d):
+@query(f"{P}, {LINE.format(k='', t='squads', c='max(projection)')}, x AS (SELECT squad_id, unnest(starters) id, captain FROM bl) SELECT id, count(*) starts, count(*) FILTER (WHERE id = captain) captaincies FROM x GROUP BY 1", name="lineup_role_counts")
+def lineup_role_counts(s, d):
     return decision_plans.material_roles(lineup.best_lineup(squads(s, d)))
 
 
@@ -115,23 +115,57 @@ def squad_reconcile(s, d):
     return decision_plans.squad_reconcile(squads(s, d).select("squad_id", "id"), pool(s, d))
 
 
-@query(f"{P}, {LINE.format(k='', t='squads', c='max(projection)')}, ch AS (SELECT squad_id, list_sort(list(id)) chosen FROM (SELECT squad_id, id, row_number() OVER (PARTITION BY squad_id ORDER BY id) r FROM squads) WHERE r <= 11 GROUP BY 1) SELECT squad_id, array_to_string(list_sort(list_filter(starters, lambda x: NOT list_contains(chosen, x))), ',') came_in, array_to_string(list_sort(list_filter(chosen, lambda x: NOT list_contains(starters, x))), ',') went_out FROM bl JOIN ch USING (squad_id)")
+#: Line-ups in their order of projection; {k} is what else than the squad tells them apart.
+ORDERED = """od AS (SELECT squad_id{k}, list(id ORDER BY projection DESC, id) ids FROM (SELECT b.squad_id{b}, unnest(b.starters) id FROM bl b) JOIN {t} USING (squad_id{k}, id) GROUP BY squad_id{k})"""
+CHOSEN = """ch AS (SELECT squad_id, list(id ORDER BY id) FILTER (WHERE r <= 11) starters, list(id ORDER BY id) FILTER (WHERE r > 11) bench, min(id) captain, min(id) FILTER (WHERE r = 2) vice, list(struct_pack(id := id, class := class, p := projection)) m FROM (SELECT *, row_number() OVER (PARTITION BY squad_id ORDER BY id) r FROM squads) GROUP BY 1)"""
+_IDS = "list_transform(list_filter(m, lambda x: x.class = '{0}'), lambda x: x.id)"
+_COME = {c: f"list_sort(list_intersect(started, {_IDS.format(c)}))" for c in lineup.SQUAD}
+_GO = {c: f"list_sort(list_intersect(benched, {_IDS.format(c)}))" for c in lineup.SQUAD}
+_SAME = " || ".join(f"[i{c}[k] || '>' || o{c}[k] for k in range(1, least(len(i{c}), len(o{c})) + 1)]" for c in lineup.SQUAD)
+_LEFT = {x: "list_sort(" + " || ".join(f"{x}{c}[least(len(i{c}), len(o{c})) + 1 :]" for c in lineup.SQUAD) + ")" for x in "io"}
+COMPARE = f"""WITH RECURSIVE {POOL}, {LINE.format(k='', t='squads', c='max(projection)')}, {ORDERED.format(k='', b='', t='squads')}, {CHOSEN},
+x AS (SELECT b.squad_id, b.objective, b.starters bs, d.ids[1] bc, d.ids[2] bv, c.starters cs, c.bench cb, c.captain cc, c.vice cv, m, list_filter(list_transform(m, lambda x: x.id), lambda x: NOT list_contains(b.starters, x)) bb FROM bl b JOIN od d USING (squad_id) JOIN ch c USING (squad_id)),
+y AS (SELECT *, list_sort(list_filter(bs, lambda x: NOT list_contains(cs, x))) started, list_sort(list_filter(cs, lambda x: NOT list_contains(bs, x))) benched, list_filter(m, lambda x: list_contains(cs, x.id) AND x.p IS NOT NULL) known FROM x),
+z AS (SELECT *, {', '.join(f'{_COME[c]} i{c}, {_GO[c]} o{c}' for c in lineup.SQUAD)}, CASE WHEN len(known) = len(cs) THEN round(list_sum(list_transform(known, lambda x: x.p)) + list_filter(m, lambda x: x.id = cc)[1].p, 8) END score FROM y),
+w AS (SELECT *, {_SAME} same, {_LEFT['i']} li, {_LEFT['o']} lo FROM z)"""
+_TEXT = lambda c: f"array_to_string({c}, ',')"
+
+
+@query(f"{COMPARE} SELECT squad_id, {_TEXT('started')} started, {_TEXT('benched')} benched, {_TEXT('list_sort(list_filter(bb, lambda x: NOT list_contains(cb, x)))')} bench_added, {_TEXT('list_sort(list_filter(cb, lambda x: NOT list_contains(bb, x)))')} bench_removed, bc <> cc captain_changed, bv <> cv vice_changed, score chosen_objective, round(objective - score, 8) difference, {_TEXT(f"same || [li[k] || '>' || lo[k] for k in range(1, least(len(li), len(lo)) + 1)]")} changes FROM w", "chosen_objective difference")
 def lineup_compare(s, d):
+    """The eleven members of lowest id as a manager's selection, beside the best line-up."""
     sq = squads(s, d)
-    first = sq.withColumn("r", F.row_number().over(Window.partitionBy("squad_id").orderBy("id"))).where("r <= 11")
-    chosen = first.groupBy("squad_id").agg(F.array_sort(F.collect_list("id")).alias("chosen"))
-    out = decision_plans.lineup_compare(chosen, lineup.best_lineup(sq))
+    placed = sq.withColumn("r", F.row_number().over(Window.partitionBy("squad_id").orderBy("id")))
+    some = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("id"))))
+    chosen = placed.groupBy("squad_id").agg(some(F.col("r") <= 11).alias("starters"), some(F.col("r") > 11).alias("bench"), F.min("id").alias("captain"), F.min(F.when(F.col("r") == 2, F.col("id"))).alias("vice"))
+    out = decision_plans.lineup_compare(sq, chosen, lineup.best_lineup(sq))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return out.select("squad_id", text("came_in"), text("went_out"))
+    pairs = F.array_join(F.transform("changes", lambda x: F.concat(x["in_id"].cast("string"), F.lit(">"), x["out_id"].cast("string"))), ",")
+    return out.select("squad_id", *[text(c) for c in ("started", "benched", "bench_added", "bench_removed")], "captain_changed", "vice_changed", "chosen_objective", "difference", pairs.alias("changes"))
 
 
-HALVES = "a AS (SELECT entity, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) n FROM periods WHERE period <= 3 GROUP BY 1), b AS (SELECT entity, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) n FROM periods WHERE period > 27 GROUP BY 1)"
+TOP_SWAPS = f"{SWAPS.replace('p.id in_id,', 'p.id in_id, p.projection v,')}, mem AS (SELECT * FROM squads), {_scored('squad_id', '1.0')}, top AS (SELECT squad_id, CAST(rank AS INTEGER) AS rank, out_id, in_id, rank = 1 AND gain > 1e-8 act FROM rk WHERE rank <= 10)"
+# Line-ups of rank 0 are those without a swap.
+ROLES = f"""{P}, {TOP_SWAPS}, after AS (SELECT squad_id, 0 AS rank, id, class, projection FROM squads UNION ALL SELECT t.squad_id, t.rank, s.id, s.class, s.projection FROM squads s JOIN top t ON t.squad_id = s.squad_id AND t.out_id <> s.id UNION ALL SELECT t.squad_id, t.rank, p.id, p.class, p.projection FROM top t JOIN pool p ON p.id = t.in_id),
+{LINE.format(k=', rank', t='after', c='max(projection)').replace('rk AS', 'rl AS').replace('FROM rk CROSS', 'FROM rl CROSS')}, {ORDERED.format(k=', rank', b=', b.rank', t='after')},
+r AS (SELECT squad_id, rank, unnest(ids) id, 'starting' part FROM od UNION ALL SELECT squad_id, rank, ids[1], 'captain' FROM od UNION ALL SELECT squad_id, rank, ids[2], 'vice' FROM od UNION ALL SELECT squad_id, rank, out_id, 'outgoing' FROM top UNION ALL SELECT squad_id, rank, in_id, 'incoming' FROM top)
+SELECT squad_id, id, CASE rank WHEN 0 THEN 'hold' ELSE 'top_swap_' || rank END || '.' || part AS role FROM r UNION ALL SELECT r.squad_id, id, 'recommended.' || part FROM r JOIN top t ON t.squad_id = r.squad_id AND t.rank = 1 AND t.act WHERE r.rank = 1"""
+
+
+@query(ROLES)
+def material_roles(s, d):
+    """What each player is to a squad: in its line-up, in those after its ten best swaps, in the swap that is recommended."""
+    own, heads = _heads(s, d)
+    return decision_plans.swap_roles(own, pool(s, d), lineup.best_swaps(own, pool(s, d), heads, keep=10))
+
+
+HALVES = "a AS (SELECT entity, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) n FROM periods WHERE period <= 15 GROUP BY 1), b AS (SELECT entity, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) n FROM periods WHERE period > 15 GROUP BY 1)"
 
 
 def _halves(s, d) -> tuple[DataFrame, DataFrame]:
     p = panel(s, d).groupBy("entity", "period").agg(F.sum("minutes").alias("minutes"))
     side = lambda x: x.groupBy("entity").agg(F.sum("minutes").alias("minutes"), F.count(F.lit(1)).alias("n"))
-    return side(p.where("period <= 3")), side(p.where("period > 27"))
+    return side(p.where("period <= 15")), side(p.where("period > 15"))
 
 
 @query(sql(f", {HALVES} SELECT coalesce(a.entity, b.entity) entity, CASE WHEN a.entity IS NULL THEN 'added' WHEN b.entity IS NULL THEN 'removed' ELSE 'changed' END status, CASE WHEN a.entity IS NULL OR b.entity IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.minutes <> b.minutes THEN 'minutes' END, CASE WHEN a.n <> b.n THEN 'n' END) END changed FROM a FULL JOIN b ON a.entity = b.entity WHERE a.entity IS NULL OR b.entity IS NULL OR a.minutes <> b.minutes OR a.n <> b.n"))
@@ -140,12 +174,47 @@ def snapshot_diff(s, d):
     return diff.snapshot_diff(a, b, "entity", ["minutes", "n"]).withColumn("changed", F.array_join("changed", ","))
 
 
-@query(sql(f", {HALVES}, l AS (SELECT entity, unnest(['minutes', 'n']) field, CAST(unnest([minutes, n]) AS DOUBLE) v FROM a), r AS (SELECT entity, unnest(['minutes', 'n']) field, CAST(unnest([minutes, n]) AS DOUBLE) v FROM b) SELECT coalesce(l.entity, r.entity) entity, coalesce(l.field, r.field) field, l.v AS before, r.v AS after, r.v - l.v AS delta FROM l FULL JOIN r ON l.entity = r.entity AND l.field = r.field WHERE l.v IS DISTINCT FROM r.v"), "before after delta")
-def run_diff(s, d):
+@query(sql(f", {HALVES}, l AS (SELECT entity, unnest(['minutes', 'n']) field, CAST(unnest([minutes, n]) AS DOUBLE) v FROM a), r AS (SELECT entity, unnest(['minutes', 'n']) field, CAST(unnest([minutes, n]) AS DOUBLE) v FROM b) SELECT coalesce(l.entity, r.entity) entity, coalesce(l.field, r.field) field, l.v AS before, r.v AS after, r.v - l.v AS delta FROM l FULL JOIN r ON l.entity = r.entity AND l.field = r.field WHERE l.v IS DISTINCT FROM r.v"), "before after delta", name="run_field_diff")
+def run_field_diff(s, d):
     a, b = _halves(s, d)
     return diff.run_diff(a, b, "entity", ["minutes", "n"])
 
 
+# Two runs over the same suppliers: in the second, some prices and projections have moved and some parts are gone from squads.
+RUNS = f"""WITH RECURSIVE {POOL.replace('squads AS (', 'first_squads AS (')}, second_squads AS (SELECT squad_id, id, class, club, price, projection FROM (SELECT l.squad_id, p.*, row_number() OVER (PARTITION BY squad_id, class ORDER BY id) r FROM (SELECT DISTINCT l_suppkey squad_id, l_partkey id FROM lineitem WHERE l_partkey % 19 <> 0) l JOIN pool p USING (id)) WHERE r <= CASE class WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END),
+squads AS (SELECT 1 run, * FROM first_squads UNION ALL SELECT 2, squad_id, id, class, club, CAST(price + CASE WHEN id % 17 = 0 THEN 1 ELSE 0 END AS INTEGER), projection + CASE WHEN id % 7 = 0 THEN 0.5 ELSE 0 END FROM second_squads),
+{LINE.format(k=', run', t='squads', c='max(projection)')}, {ORDERED.format(k=', run', b=', b.run', t='squads')},
+facts AS (SELECT run, squad_id, 'squad' section, CAST(id AS VARCHAR) item, unnest(['present', 'price']) field, unnest(['yes', CAST(price AS VARCHAR)]) v FROM squads
+UNION ALL SELECT run, squad_id, 'line_up', CAST(id AS VARCHAR), 'present', 'yes' FROM (SELECT run, squad_id, unnest(ids) id FROM od)
+UNION ALL SELECT b.run, b.squad_id, 'selection', 'best', unnest(['present', 'formation', 'captain', 'vice']), unnest(['yes', formation, CAST(ids[1] AS VARCHAR), CAST(ids[2] AS VARCHAR)]) FROM bl b JOIN od USING (squad_id, run)
+UNION ALL SELECT run, squad_id, 'manager', 'bank', unnest(['present', 'members', 'cost']), unnest(['yes', CAST(count(*) AS VARCHAR), CAST(sum(price) AS VARCHAR)]) FROM squads GROUP BY run, squad_id),
+sided AS (SELECT coalesce(a.squad_id, b.squad_id) squad_id, coalesce(a.section, b.section) section, coalesce(a.item, b.item) item, coalesce(a.field, b.field) field, a.v AS before, b.v AS after FROM (SELECT * FROM facts WHERE run = 1) a FULL JOIN (SELECT * FROM facts WHERE run = 2) b ON a.squad_id = b.squad_id AND a.section = b.section AND a.item = b.item AND a.field = b.field),
+changes AS (SELECT * FROM sided x WHERE before IS DISTINCT FROM after AND (field = 'present' OR (before IS NOT NULL AND after IS NOT NULL)))"""
+SECTIONS = {"squad": (["id"], ["price"]), "line_up": (["id"], []), "selection": (["item"], ["formation", "captain", "vice"]), "manager": (["item"], ["members", "cost"])}
+
+
+def _run(sq: DataFrame) -> dict[str, DataFrame]:
+    best = lineup.best_lineup(sq)
+    money = sq.groupBy("squad_id").agg(F.count(F.lit(1)).alias("members"), F.sum("price").alias("cost")).withColumn("item", F.lit("bank"))
+    return {"squad": sq, "line_up": best.select("squad_id", F.explode("starters").alias("id")), "selection": best.withColumn("item", F.lit("best")), "manager": money}
+
+
+def _run_changes(s, d) -> DataFrame:
+    later = squads(s, d, lambda ids: ids.where("id % 19 <> 0")).withColumns({"price": (F.col("price") + F.when(F.col("id") % 17 == 0, 1).otherwise(0)).cast("int"), "projection": F.col("projection") + F.when(F.col("id") % 7 == 0, 0.5).otherwise(0.0)})
+    return diff.run_changes(_run(squads(s, d)), _run(later), ["squad_id"], SECTIONS)
+
+
+@query(f"{RUNS} SELECT squad_id, section, item, field, before, after FROM changes")
+def run_diff(s, d):
+    """What differs between two runs of every squad: members and their prices, line-ups, formation and captains, money."""
+    return _run_changes(s, d)
+
+
+@query(f"{RUNS} SELECT squad_id, {', '.join(f"count(*) FILTER (WHERE section = '{x}') {x}_changes" for x in SECTIONS)}, TRUE AS changed FROM changes GROUP BY 1")
+def run_flags(s, d):
+    return diff.run_flags(_run_changes(s, d), ["squad_id"], list(SECTIONS))
+
+
 @query("WITH a AS (SELECT s_nationkey g, list(DISTINCT s_suppkey) l FROM supplier WHERE s_acctbal > 3000 GROUP BY 1), b AS (SELECT s_nationkey g, list(DISTINCT s_suppkey) l FROM supplier WHERE s_acctbal < 7000 GROUP BY 1) SELECT coalesce(a.g, b.g) s_nationkey, array_to_string(list_sort(list_filter(coalesce(b.l, []), lambda x: NOT list_contains(coalesce(a.l, []), x))), ',') added, array_to_string(list_sort(list_filter(coalesce(a.l, []), lambda x: NOT list_contains(coalesce(b.l, []), x))), ',') removed FROM a FULL JOIN b ON a.g = b.g")
 def set_diff_columns(s, d):
     x = t(s, d, "supplier")
