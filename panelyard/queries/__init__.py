@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelyard.queries import aggregates, checks, decisions, features, flows, players, scans, seasons
+from panelyard.queries import aggregates, checks, decisions, features, flows, opponents, players, scans, seasons
 from panelyard.queries.base import REGISTRY
 
-__all__ = ["aggregates", "checks", "decisions", "features", "flows", "oracle_sql", "players", "queries", "scans", "seasons"]
+__all__ = ["aggregates", "checks", "decisions", "features", "flows", "opponents", "oracle_sql", "players", "queries", "scans", "seasons"]
 
 
 def queries() -> dict:

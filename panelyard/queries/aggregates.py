@@ -149,8 +149,8 @@ def exp_minutes(s, d):
     return minutes_experiment(s, d).select("entity", "target", "candidate", "predicted", "actual")
 
 
-@query(sql(f"{CANDIDATES} SELECT candidate, {METRICS} FROM (SELECT *, predicted - actual e FROM exp) GROUP BY 1"), METRIC_COLUMNS)
-def agg_candidate_period(s, d):
+@query(sql(f"{CANDIDATES} SELECT candidate, {METRICS} FROM (SELECT *, predicted - actual e FROM exp) GROUP BY 1"), METRIC_COLUMNS, name="agg_candidate_target")
+def agg_candidate_target(s, d):
     return E.candidate_metrics(minutes_experiment(s, d), "candidate", "predicted", "actual")
 
 
@@ -322,8 +322,8 @@ def factor_by_opponent(s, d):
     return factors(s, d).groupBy("team").agg(F.count(F.lit(1)).alias("contexts"), F.count_if(F.col("reason").isNotNull()).alias("neutral"), F.avg("raw").alias("mean_raw"), F.avg("factor").alias("mean_factor"), F.min("factor").alias("low"), F.max("factor").alias("high"))
 
 
-@query(f"{FACTORS} SELECT count(*) pairs, covar_pop(raw, factor) / sqrt(var_pop(raw) * var_pop(factor)) pearson FROM factors", "pearson")
-def factor_correlation(s, d):
+@query(f"{FACTORS} SELECT count(*) pairs, covar_pop(raw, factor) / sqrt(var_pop(raw) * var_pop(factor)) pearson FROM factors", "pearson", name="factor_raw_correlation")
+def factor_raw_correlation(s, d):
     return metrics.pearson_by_group(factors(s, d), "raw", "factor", [])
 
 
@@ -340,8 +340,8 @@ FACTOR_BAND = "CASE WHEN factor = 0.7 THEN '0.70' WHEN factor < 0.85 THEN '>0.70
 BAND_NAMES = ", ".join(f"('{b}')" for b in X.FACTOR_BANDS)
 
 
-@query(sql(f"{RES} SELECT b.band, count(r.residual) n, avg(residual) control_bias, avg(abs(residual)) control_mae, avg(predicted * factor - actual) bias, sqrt(avg((predicted * factor - actual) ** 2)) rmse FROM (VALUES {BAND_NAMES}) b(band) LEFT JOIN (SELECT *, {FACTOR_BAND} band FROM resd) r ON r.band = b.band GROUP BY 1"), "control_bias control_mae bias rmse")
-def factor_band_residuals(s, d):
+@query(sql(f"{RES} SELECT b.band, count(r.residual) n, avg(residual) control_bias, avg(abs(residual)) control_mae, avg(predicted * factor - actual) bias, sqrt(avg((predicted * factor - actual) ** 2)) rmse FROM (VALUES {BAND_NAMES}) b(band) LEFT JOIN (SELECT *, {FACTOR_BAND} band FROM resd) r ON r.band = b.band GROUP BY 1"), "control_bias control_mae bias rmse", name="factor_band_residuals_minutes")
+def factor_band_residuals_minutes(s, d):
     e = F.col("predicted") * F.col("factor") - F.col("actual")
     found = _residuals(s, d).groupBy(X.factor_band(F.col("factor")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("control_bias"), F.avg(F.abs("residual")).alias("control_mae"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
     spine = s.range(1).select(F.explode(F.array(*[F.lit(b) for b in X.FACTOR_BANDS])).alias("band"))
@@ -361,8 +361,8 @@ def rate_tier_confound(s, d):
     return metrics.pearson_by_group(_residuals(s, d).withColumn("tier", tier), "factor", "residual", ["tier"])
 
 
-@query(f"{FACTORS}, b AS (SELECT f.team, f.deadline, candidate, CASE candidate WHEN 'F0' THEN 10.0 WHEN 'F1' THEN 10.0 * factor ELSE 10.0 * (1 + factor) / 2 END predicted FROM factors f, (VALUES ('F0'), ('F1'), ('F2')) c(candidate)) SELECT candidate, count(*) n, sum(predicted) total FROM b GROUP BY 1", "total")
-def exp_opponent(s, d):
+@query(f"{FACTORS}, b AS (SELECT f.team, f.deadline, candidate, CASE candidate WHEN 'F0' THEN 10.0 WHEN 'F1' THEN 10.0 * factor ELSE 10.0 * (1 + factor) / 2 END predicted FROM factors f, (VALUES ('F0'), ('F1'), ('F2')) c(candidate)) SELECT candidate, count(*) n, sum(predicted) total FROM b GROUP BY 1", "total", name="exp_opponent_totals")
+def exp_opponent_totals(s, d):
     f = F.col("factor")
     rows = F.array(*[F.struct(F.lit(c).alias("candidate"), v.alias("predicted")) for c, v in {"F0": F.lit(10.0), "F1": 10.0 * f, "F2": 10.0 * (1 + f) / 2}.items()])
     return factors(s, d).select(F.explode(rows).alias("r")).select("r.*").groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.sum("predicted").alias("total"))
