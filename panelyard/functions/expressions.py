@@ -128,6 +128,37 @@ def minute_band(x: Column) -> Column:
     return F.when(x == 0, "0").otherwise(bands(x, MINUTE_BANDS, "90", "unknown"))
 
 
+#: Bands of prior minutes (upper edges included), of periods behind a rate, of raw scores and of attacking rates.
+PRIOR_MINUTE_BANDS = ((1, "0"), (91, "1-90"), (271, "91-270"), (451, "271-450"), (901, "451-900"))
+RAW_SCORE_BANDS = ((1.0, "0-<1"), (2.0, "1-<2"), (3.0, "2-<3"), (4.0, "3-<4"), (5.0, "4-<5"), (7.0, "5-<7"))
+RATE_TIERS = ((0.25, "0-<0.25"), (0.50, "0.25-<0.50"), (0.75, "0.50-<0.75"))
+
+
+def prior_minutes_band(minutes: Column) -> Column:
+    return bands(minutes, PRIOR_MINUTE_BANDS, "901+", "missing")
+
+
+def raw_score_band(x: Column) -> Column:
+    return bands(x, RAW_SCORE_BANDS, "7+", "unknown")
+
+
+def rate_tier(x: Column) -> Column:
+    return bands(x, RATE_TIERS, "0.75+", "unknown")
+
+
+def prior_sample_band(has_rate: Column, periods: Column) -> Column:
+    """How many periods are behind a rate. The names."""
+    named = F.when(periods == 1, "1_prior_GW").when(periods.between(2, 3), "2-3_prior_GWs").when(periods.between(4, 5), "4-5_prior_GWs").otherwise("6+_prior_GWs")
+    return F.when(F.coalesce(has_rate, F.lit(False)), named).otherwise("no_usable_prior_attacking_sample")
+
+
+def availability_band(status: Column, chance: Column) -> Column:
+    """Status letters, chances and the names."""
+    s = F.lower(status)
+    out = F.when(s.isin("s", "u") | (chance == 0), "unavailable_or_suspended").when(s.isin("d", "i") | chance.isin(25, 50, 75), "doubtful_or_chance_limited")
+    return out.when(s == "a", "available").otherwise("unknown")
+
+
 def named_rows(conditions: Mapping[str, Column]) -> Column:
     """An array of the names whose condition holds; exploded, one pass serves many populations."""
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import expressions as X
 from panelyard.operators import ranks
-from panelyard.plans.player_features import POSITIONS
+from panelyard.plans.player_features import POSITIONS, period_predictions
 
 #: What is forecast, and who forecasts it: (target, predictor, its column, the actual's column).
 INPUTS = (
@@ -19,9 +19,9 @@ INPUTS = (
 PARTS = ("minutes", "appearance_points", "goals", "goal_points", "assists", "assist_points", "modeled_points", "total_points")
 
 
-def outcomes(history: DataFrame) -> DataFrame:
-    """player_id and sums over the fixtures that he played in the target period. history: player_id, minutes, goals, assists, total_points."""
-    return history.groupBy("player_id").agg(
+def outcomes(history: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """player_id (and also, where history has several targets) and sums over the fixtures that he played. history: player_id, minutes, goals, assists, total_points."""
+    return history.groupBy("player_id", *also).agg(
         F.count(F.lit(1)).alias("realized_fixture_count"), F.sum("minutes").alias("minutes"), F.sum(X.appearance_points(F.col("minutes").cast("double"))).alias("appearance_points"),
         F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), F.sum("total_points").alias("total_points"),
     )
@@ -95,3 +95,32 @@ def ranking(inputs: DataFrame, top_n: int) -> DataFrame:
     for name, score in (("predicted_top", "prediction"), ("actual_top", "actual")):
         out = out.join(ranks.top_n_lists(both, score, "player_id", by, top_n).withColumnRenamed("keys", name), list(by), "left")
     return out.join(ranks.top_n_overlap(both, "prediction", "actual", "player_id", by, (top_n,), strict=False).drop("n", "pairs"), list(by), "left")
+
+
+def observations(fixtures: DataFrame, actual: DataFrame) -> DataFrame:
+    """A backtest's row per player and target: projection, actuals, the states of both, bands and errors.
+
+    fixtures: what fixture_predictions() gives, of any number of targets; actual: season, target_gameweek, player_id and what
+    outcomes() has. A blank's actuals are 0; of a player with a fixture but no outcome they are unknown.
+    """
+    has = F.col("target_has_fixture")
+    n, minutes = F.count_if(has), F.when(has, F.col("expected_minutes"))
+    keys = ["season", "target_gameweek", "player_id"]
+    more = fixtures.groupBy(*keys).agg(F.when(n == 0, 0.0).when(F.count(minutes) == n, F.sum(minutes)).alias("known_expected_minutes"), F.min("availability_status").alias("availability_status"), F.min("chance_of_playing_next_round").alias("chance_of_playing_next_round"))
+    found = actual.select(*keys, "realized_fixture_count", *[F.col(c).cast("double").alias(f"_{c}") for c in ("minutes", "appearance_points", "goals", "assists", "total_points")])
+    rows = period_predictions(fixtures).join(more, keys).join(found, keys, "left")
+    kind = F.lit(None).cast("string")
+    for position, own in POSITIONS.items():
+        kind = F.when(F.col("position") == position, own).otherwise(kind)
+    blank, known = F.col("fixture_count") == 0, F.col("realized_fixture_count").isNotNull()
+    values = {"minutes": F.col("_minutes"), "appearance_points": F.col("_appearance_points"), "goal_points": F.col("_goals") * X.class_points(kind), "assist_points": F.col("_assists") * X.ASSIST_POINTS}
+    values |= {"modeled_points": values["appearance_points"] + values["goal_points"] + values["assist_points"], "total_points": F.col("_total_points")}
+    rows = rows.withColumns({f"actual_{c}": F.when(blank, 0.0).otherwise(v) for c, v in values.items()})
+    points, band = F.col("gameweek_points"), X.minute_band(F.col("known_expected_minutes"))
+    return rows.select(
+        *keys, "position", "team_id", "fixture_count", F.when(blank, 0).otherwise(F.col("realized_fixture_count")).cast("bigint").alias("actual_fixture_count"), "known_expected_minutes", points, *[f"actual_{c}" for c in values],
+        F.when(blank, "verified_blank").when(~known, "missing_or_corrupt_actual").when(F.col("_minutes") == 0, "actual_zero_minutes").otherwise("actual_available").alias("actual_state"),
+        F.when(blank, "verified_blank").when(points.isNull(), "missing_expected_minutes").when(~F.col("prediction_complete"), "incomplete_attacking_rate").otherwise("valid_prediction").alias("prediction_state"),
+        F.when(F.col("known_expected_minutes").isNotNull() & blank, "0").otherwise(band).alias("expected_minutes_band"), X.prior_sample_band(F.col("attacking_rate_available"), F.col("prior_gameweeks_with_data")).alias("prior_sample_band"),
+        X.availability_band(F.col("availability_status"), F.col("chance_of_playing_next_round")).alias("availability_band"), (points - F.col("actual_modeled_points")).alias("modeled_error"), (points - F.col("actual_total_points")).alias("total_error"),
+    )

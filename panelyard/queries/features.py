@@ -102,8 +102,8 @@ def per_90_rate(s, d):
 BANDS = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} = 0 THEN '0' WHEN {0} < 30 THEN '1-29' WHEN {0} < 60 THEN '30-59' WHEN {0} < 90 THEN '60-89' ELSE '90' END"
 
 
-@query(sql(f"SELECT {BANDS.format('predicted')} AS band, count(*) n FROM pairs GROUP BY 1"))
-def band_labels(s, d):
+@query(sql(f"SELECT {BANDS.format('predicted')} AS band, count(*) n FROM pairs GROUP BY 1"), name="band_labels_minutes")
+def band_labels_minutes(s, d):
     return forecast_pairs(s, d).groupBy(X.minute_band(F.col("predicted")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -77,8 +77,8 @@ def evaluate_scopes(s, d):
     return metrics.metrics_by_scope(forecast_pairs(s, d), "predicted", "actual", {"overall": F.lit("all"), "class": F.col("class"), "state": state})
 
 
-@query(sql("SELECT entity, period, predicted, actual, predicted - actual AS error, CASE WHEN actual IS NULL AND predicted IS NULL THEN 'both_missing' WHEN actual IS NULL THEN 'missing_actual' WHEN predicted IS NULL THEN 'missing_prediction' WHEN actual = 0 THEN 'actual_zero' ELSE 'valid' END state, CASE WHEN predicted IS NULL THEN 'unknown' WHEN predicted = 0 THEN '0' WHEN predicted < 30 THEN '1-29' WHEN predicted < 60 THEN '30-59' WHEN predicted < 90 THEN '60-89' ELSE '90' END band FROM pairs"), "predicted actual error")
-def backtest_scored(s, d):
+@query(sql("SELECT entity, period, predicted, actual, predicted - actual AS error, CASE WHEN actual IS NULL AND predicted IS NULL THEN 'both_missing' WHEN actual IS NULL THEN 'missing_actual' WHEN predicted IS NULL THEN 'missing_prediction' WHEN actual = 0 THEN 'actual_zero' ELSE 'valid' END state, CASE WHEN predicted IS NULL THEN 'unknown' WHEN predicted = 0 THEN '0' WHEN predicted < 30 THEN '1-29' WHEN predicted < 60 THEN '30-59' WHEN predicted < 90 THEN '60-89' ELSE '90' END band FROM pairs"), "predicted actual error", name="backtest_pairs")
+def backtest_pairs(s, d):
     from panelyard.functions import expressions as X
 
     p = forecast_pairs(s, d)

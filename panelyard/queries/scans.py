@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.queries.base import query, scratch, t
@@ -10,6 +10,7 @@ from panelyard.sources import captures, files, readers, sinks
 
 #: The most rows of a document that is written to be read back.
 DOCUMENT_ROWS = 20_000
+FOLDERS = 64
 
 
 def _documents(df: DataFrame, key: str, row_id: str) -> DataFrame:
@@ -25,15 +26,19 @@ def _documents(df: DataFrame, key: str, row_id: str) -> DataFrame:
     return dealt.withColumn("doc", F.concat_ws("-", "_bucket", F.floor(place / DOCUMENT_ROWS))).drop("_key", "_n", "_bucket")
 
 
+def _name(key: str) -> Column:
+    """The file of a key's document doc: FOLDERS folders, however many keys there are."""
+    return F.concat(F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("string"), F.lit("/"), F.coalesce(F.col(key).cast("string"), F.lit("none")), F.lit("."), "doc", F.lit(".json"))
+
+
 @query("SELECT c_custkey id, c_name AS name, c_nationkey team, n_name team_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def scan_json_entities(s, d):
     """Documents of a nation's customers, each with its own lookup array."""
     c = t(s, d, "customer").join(t(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     docs = _documents(c, "n_nationkey", "c_custkey").groupBy("n_nationkey", "n_name", "doc").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("team"))).alias("elements"))
-    docs = docs.select("elements", F.array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("teams"), F.col("n_nationkey").alias("part"), "doc")
+    docs = docs.select("n_nationkey", "doc", F.to_json(F.struct("elements", F.array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("teams"))).alias("document"))
     path = scratch(s, "entities")
-    # A document per file, as captures have it.
-    docs.write.partitionBy("part", "doc").json(path)
+    captures.write_documents(s, docs.select(_name("n_nationkey").alias("name"), "document"), path)
     schema = "elements array<struct<id: bigint, name: string, team: int>>, teams array<struct<id: int, name: string>>"
     return readers.scan_json_entities(s, path, schema, "elements", [("teams", "id", "team", {"name": "team_name"})])
 
@@ -48,12 +53,12 @@ def scan_json_fixtures(s, d):
 
 @query("SELECT user_id file_id, event_id, value, TRUE AS file_id_matches FROM events", "value")
 def scan_json_histories(s, d):
-    """Files of a user's history rows; the folder of each file names the user."""
+    """Files of a user's history rows, named by the user, in a fixed number of folders."""
     path = scratch(s, "histories")
     e = _documents(t(s, d, "events"), "user_id", "event_id").groupBy("user_id", "doc").agg(F.collect_list(F.struct(F.col("user_id").alias("element"), "event_id", "value")).alias("history"))
-    e.select("history", F.col("user_id").alias("part"), "doc").write.partitionBy("part", "doc").json(path)
+    captures.write_documents(s, e.select(_name("user_id").alias("name"), F.to_json(F.struct("history")).alias("document")), path)
     schema = "history array<struct<element: bigint, event_id: bigint, value: double>>"
-    return readers.scan_json_histories(s, path, schema, file_id=r"part=([0-9]+)/").select("file_id", "event_id", "value", "file_id_matches")
+    return readers.scan_json_histories(s, path, schema, file_id=r"/([0-9]+)\.[^/]*$").select("file_id", "event_id", "value", "file_id_matches")
 
 
 #: So many ids in a row stand in one file.

@@ -1,4 +1,4 @@
-"""xz-compressed captures as a Spark data source: a file .../YYYY/MM/DD/HHMM.json.xz for each row that is written."""
+"""Documents as a Spark data source: a file for each row that is written, compressed where its name ends in .xz."""
 
 from __future__ import annotations
 
@@ -6,62 +6,56 @@ import lzma
 import posixpath
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
 from panelyard.sources.files import store
 
-NAME = "xz_captures"
-SCHEMA = "captured_at timestamp_ntz, part string, document string"
+NAME = "named_documents"
+SCHEMA = "name string, document string"
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+class DocumentWriter(DataSourceWriter):
+    """A task writes each document under a name of its own and then gives it its final one.
 
-
-class CaptureWriter(DataSourceWriter):
-    """Tasks write under names of their own; the driver gives the files of the attempts that counted their final names.
-
-    A row's final name is made from captured_at and part, so a job that is run again writes the same files.
+    So a file is whole or isn't there, and tasks or jobs that run again write the same files; nothing passes through the driver.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path.rstrip("/")
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         system, root = store(self.path)
-        files = []
+        staging, made = posixpath.join(root, "_staging"), set()
+        system.create_dir(staging)
         for row in rows:
-            at = posixpath.join(root, row.part or "", row.captured_at.strftime("%Y/%m/%d/%H%M.json.xz"))
-            mine = posixpath.join(root, "_staging", uuid.uuid4().hex)
-            system.create_dir(posixpath.dirname(mine))
+            mine, at, body = posixpath.join(staging, uuid.uuid4().hex), posixpath.join(root, row.name), row.document.encode()
             with system.open_output_stream(mine, compression=None) as out:
-                out.write(lzma.compress(row.document.encode()))
-            files.append((mine, at))
-        return Written(files)
+                out.write(lzma.compress(body) if row.name.endswith(".xz") else body)
+            if (folder := posixpath.dirname(at)) not in made:
+                system.create_dir(folder)
+                made.add(folder)
+            system.move(mine, at)
+        return WriterCommitMessage()
 
-    def commit(self, messages: list[Written | None]) -> None:
-        system, root = store(self.path)
-        for message in messages:
-            for mine, at in message.files if message else ():
-                system.create_dir(posixpath.dirname(at))
-                system.move(mine, at)
-        self._clear(system, root)
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
 
-    def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*store(self.path))
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
 
-    def _clear(self, system, root: str) -> None:
+    def _clear(self) -> None:
+        system, root = store(self.path)
+        system.create_dir(root)
         staging = posixpath.join(root, "_staging")
         if system.get_file_info(staging).type.name == "Directory":
             system.delete_dir(staging)
 
 
-class Captures(DataSource):
+class Documents(DataSource):
     @classmethod
     def name(cls) -> str:
         return NAME
@@ -69,11 +63,17 @@ class Captures(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def writer(self, schema: StructType, overwrite: bool) -> CaptureWriter:
-        return CaptureWriter(self.options["path"])
+    def writer(self, schema: StructType, overwrite: bool) -> DocumentWriter:
+        return DocumentWriter(self.options["path"])
+
+
+def write_documents(spark: SparkSession, documents: DataFrame, path: str) -> None:
+    """Writes documents(name, document): a file for each row, under path."""
+    spark.dataSource.register(Documents)
+    documents.select("name", "document").write.format(NAME).mode("append").option("path", path).save()
 
 
 def write_xz_snapshots(spark: SparkSession, captures: DataFrame, path: str) -> None:
-    """Writes captures(captured_at, part, document): a compressed file for each row, below the folder part if there is one."""
-    spark.dataSource.register(Captures)
-    captures.selectExpr("cast(captured_at as timestamp_ntz) captured_at", "part", "document").write.format(NAME).mode("append").option("path", path).save()
+    """Writes captures(captured_at, part, document) as .../YYYY/MM/DD/HHMM.json.xz, below the folder part if there is one."""
+    name = F.concat(F.concat_ws("/", "part", F.date_format("captured_at", "yyyy/MM/dd/HHmm")), F.lit(".json.xz"))
+    write_documents(spark, captures.select(name.alias("name"), "document"), path)

@@ -21,7 +21,7 @@ def scan_json_entities(spark: SparkSession, path: str | Sequence[str], schema: S
 
     lookups: (array, id field of it, id column of the rows, {its field: new name}).
     """
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     doc = doc.withColumn("_file", F.col("_metadata.file_path"))
     rows = doc.select("_file", F.explode(array).alias("_r")).select("_file", "_r.*")
     for name, their_id, own_id, fields in lookups:
@@ -43,7 +43,7 @@ def scan_json_histories(spark: SparkSession, path: str, schema: StructType | str
 
     file_id finds the id in a file's path, for other layouts than <id>.json.
     """
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     own = F.regexp_extract("_metadata.file_path", file_id, 1).try_cast("bigint")
     rows = doc.select(own.alias("file_id"), F.explode(array).alias("_r")).select("file_id", "_r.*")
     return rows.withColumn("file_id_matches", F.col("file_id").eqNullSafe(F.col(id_field)))

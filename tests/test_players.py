@@ -99,3 +99,40 @@ def test_digests_do_not_depend_on_order(spark):
     one = P.input_digests({"x": df})
     assert one == P.input_digests({"x": df.repartition(3, "s")}) and one != P.input_digests({"x": df.distinct()})
     assert P.input_digests({"x": df.limit(0)}) != one
+
+
+def test_backtest_states_and_bands(spark, tables):
+    from panelyard.plans import evaluation as E
+
+    rows = P.fixture_predictions(P.build_features(**tables), F.lit("digest")).where("target_gameweek = 5")
+    played = spark.createDataFrame([(1, 70, 1, 0, 8, "s", 5), (1, 20, 0, 1, 3, "s", 5), (2, 0, 0, 0, 0, "s", 5), (4, 90, 1, 1, 9, "s", 5)], "player_id long, minutes int, goals long, assists long, total_points long, season string, target_gameweek int")
+    by = {r.player_id: r for r in E.observations(rows, E.outcomes(played, ("season", "target_gameweek"))).collect()}
+    states = {i: (r.actual_state, r.prediction_state, r.expected_minutes_band, r.availability_band) for i, r in by.items()}
+    assert states == {
+        1: ("actual_available", "valid_prediction", "60-89", "available"), 2: ("actual_zero_minutes", "incomplete_attacking_rate", "0", "available"), 3: ("missing_or_corrupt_actual", "missing_expected_minutes", "unknown", "available"),
+        4: ("verified_blank", "verified_blank", "0", "available"), 5: ("missing_or_corrupt_actual", "valid_prediction", "0", "unavailable_or_suspended"), 6: ("missing_or_corrupt_actual", "valid_prediction", "0", "unavailable_or_suspended"), 7: ("missing_or_corrupt_actual", "valid_prediction", "60-89", "doubtful_or_chance_limited"),
+    }
+    assert (by[1].actual_modeled_points, by[1].actual_total_points, by[1].actual_fixture_count, by[1].prior_sample_band) == (2 + 1 + 6 + 3, 11.0, 2, "2-3_prior_GWs")
+    assert (by[4].actual_minutes, by[4].actual_fixture_count, by[4].gameweek_points) == (0.0, 0, 0.0) and by[3].actual_minutes is None
+    assert by[2].prior_sample_band == "no_usable_prior_attacking_sample" and by[5].prior_sample_band == "1_prior_GW"
+
+
+def test_evaluation_by_hand(spark, tables):
+    from panelyard.plans import evaluation as E
+
+    rows = P.period_predictions(P.fixture_predictions(P.build_features(**tables), F.lit("d")).where("target_gameweek = 5"))
+    played = spark.createDataFrame([(1, 70, 1, 0, 8), (2, 0, 0, 0, 0), (5, 10, 0, 0, 1), (99, 90, 2, 0, 12)], "player_id long, minutes int, goals long, assists long, total_points long")
+    base = spark.createDataFrame([(1, 5.0, 2.0, None), (5, 3.0, None, None)], "player_id long, next_estimate double, previous_gameweek_points double, average_prior_points double")
+    people = E.player_evaluation(rows, E.outcomes(played), base)
+    by = {r.player_id: r for r in people.collect()}
+    assert len(by) == 8 and by[1].actual_modeled_points == 2 + 6 and by[4].actual_total_points == 0.0 and by[3].actual_minutes is None
+    assert (by[99].gameweek_points, by[99].actual_minutes, by[99].actual_modeled_points) == (None, 90.0, None)  # played, was never forecast
+    out = {(r.target_name, r.predictor, r.group_type, r.group_value): r for r in E.evaluation(people, 2).collect()}
+    whole = out["full_points", "projection", "overall", "all"]
+    assert (whole.total_rows, whole.predictions, whole.actuals, whole.evaluated, whole.missing_predictions) == (8, 6, 5, 4, 2)
+    assert whole.actual_top == [1, 5] and whole.overlap_pct == whole.overlap * 50.0
+    other = out["full_points", "next_estimate", "overall", "all"]
+    assert (other.evaluated, other.bias, other.spearman, other.predicted_top) == (2, pytest.approx(-0.5), pytest.approx(1.0), [1, 5])
+    assert out["full_points", "average_prior_points", "overall", "all"].mae is None
+    assert not [k for k in out if k[1] != "projection" and k[2] in ("actual_minutes", "low_sample")]
+    assert out["modeled_points", "projection", "actual_minutes", "0 minutes"].total_rows == 2
