@@ -69,10 +69,10 @@ def union_diagnostic_groups(s, d):
     return rows.groupBy(F.col("scope").alias("name"), "group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def except_universe(s, d):
-    """Customers without a pending order."""
-    return t(s, d, "customer").select("c_custkey").subtract(t(s, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+    """Customers without an order of any status."""
+    return t(s, d, "customer").select("c_custkey").subtract(t(s, d, "orders").select("o_custkey"))
 
 
 RANKS = """SELECT *, rank() OVER (PARTITION BY {0} ORDER BY predicted) + (count(*) OVER (PARTITION BY {0}, predicted) - 1) / 2.0 rx, rank() OVER (PARTITION BY {0} ORDER BY actual) + (count(*) OVER (PARTITION BY {0}, actual) - 1) / 2.0 ry FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL"""

@@ -65,3 +65,11 @@ def test_json_documents_are_bounded(spark, events, folder, monkeypatch, most):
     assert got == [(i, f"c{i}", i % 2, "AB"[i % 2]) for i in range(40)]
     sizes = [len(json.loads(line)["elements"]) for p in Path(where).glob("entities-*/**/*.json") for line in p.read_text().splitlines()]
     assert sum(sizes) == 40 and max(sizes) <= most
+
+
+def test_orders_of_any_status_take_a_customer_out(spark, tmp_path):
+    from panelyard.queries import aggregates
+
+    spark.range(1, 5).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, "O"), (2, "F"), (3, "P")], "o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r[0] for r in aggregates.except_universe(spark, str(tmp_path)).collect()] == [4]
