@@ -107,8 +107,14 @@ def observations(fixtures: DataFrame, actual: DataFrame) -> DataFrame:
     n, minutes = F.count_if(has), F.when(has, F.col("expected_minutes"))
     keys = ["season", "target_gameweek", "player_id"]
     more = fixtures.groupBy(*keys).agg(F.when(n == 0, 0.0).when(F.count(minutes) == n, F.sum(minutes)).alias("known_expected_minutes"), F.min("availability_status").alias("availability_status"), F.min("chance_of_playing_next_round").alias("chance_of_playing_next_round"))
+    return period_observations(period_predictions(fixtures).join(more, keys), actual)
+
+
+def period_observations(predictions: DataFrame, actual: DataFrame) -> DataFrame:
+    """observations() from what period_projections() gives."""
+    keys = ["season", "target_gameweek", "player_id"]
     found = actual.select(*keys, "realized_fixture_count", *[F.col(c).cast("double").alias(f"_{c}") for c in ("minutes", "appearance_points", "goals", "assists", "total_points")])
-    rows = period_predictions(fixtures).join(more, keys).join(found, keys, "left")
+    rows = predictions.join(found, keys, "left")
     kind = F.lit(None).cast("string")
     for position, own in POSITIONS.items():
         kind = F.when(F.col("position") == position, own).otherwise(kind)

@@ -9,6 +9,7 @@ from panelyard.functions import expressions as X
 from panelyard.operators import asof, joins, ranks
 from panelyard.operators.experiments import FACTOR_MAX, FACTOR_MIN, LEAST_MATCHES, ROLLING_MATCHES
 from panelyard.operators.metrics import pearson_by_group
+from panelyard.plans.player_features import target_sides
 
 #: The candidates and the factor that each one applies.
 CANDIDATES = {"F0": None, "F1": "factor_gc", "F2": "factor_xgc"}
@@ -29,11 +30,12 @@ def opponent_contexts(matches: DataFrame, targets: DataFrame) -> DataFrame:
     """season, target_gameweek, team, matches, raw_factor_*, factor_* and neutral_reason of every team that has played before a target.
 
     A team's rate is that of its last ROLLING_MATCHES matches of earlier periods, the league's that of all of them. targets: season,
-    target_gameweek; matches are met by every later target, of which there are few.
+    target_gameweek. Of a team's period only its last ROLLING_MATCHES matches can be among them, and only these meet the targets.
     """
     rows = defended(matches)
     due = F.broadcast(targets.select("season", "target_gameweek").distinct())  # a row per target
-    seen = rows.join(due, "season").where("gameweek_id < target_gameweek")
+    latest = asof.last_k(rows, ["season", "team", "gameweek_id"], [F.desc("fixture_id")], ROLLING_MATCHES).drop("rank")
+    seen = latest.join(due, "season").where("gameweek_id < target_gameweek")
     last = asof.last_k(seen, ["season", "target_gameweek", "team"], [F.desc("gameweek_id"), F.desc("fixture_id")], ROLLING_MATCHES)
     own = last.groupBy("season", "target_gameweek", "team").agg(F.count(F.lit(1)).alias("matches"), *[F.avg(F.col(c).cast("double")).alias(c) for c in ("gc", "xgc")])
     by_period = rows.groupBy("season", "gameweek_id").agg(F.count(F.lit(1)).alias("n"), F.sum("gc").alias("gc"), F.sum("xgc").alias("xgc"))
@@ -78,6 +80,42 @@ def candidate_periods(fixtures: DataFrame) -> DataFrame:
     )
 
 
+def period_factors(fixtures: DataFrame, targets: DataFrame, contexts: DataFrame) -> DataFrame:
+    """season, target_gameweek, team_id and _f: for each candidate how many of a team's fixtures of a target have a factor, their factors' sum, least and most.
+
+    contexts: what opponent_contexts() gives. Fixtures are summed up here, by team, before they meet the players.
+    """
+    due = F.broadcast(targets.select("season", "target_gameweek").distinct())  # a row per target
+    sides = target_sides(fixtures).select("season", "target_gameweek", F.col("_team").alias("team_id"), "target_opponent_team_id").join(due, ["season", "target_gameweek"], "left_semi")
+    at = contexts.select("season", "target_gameweek", F.col("team").alias("target_opponent_team_id"), "factor_gc", "factor_xgc")
+    rows = sides.join(at, ["season", "target_gameweek", "target_opponent_team_id"], "left")
+    stats = []
+    for name, f in CANDIDATES.items():
+        x = F.lit(1.0) if f is None else F.col(f)
+        stats.append(F.struct(F.lit(name).alias("candidate"), F.count(x).alias("known"), F.sum(x).alias("total"), F.min(x).alias("least"), F.max(x).alias("most")))
+    return rows.groupBy("season", "target_gameweek", "team_id").agg(F.array(*stats).alias("_f"))
+
+
+def period_candidates(predictions: DataFrame, factors: DataFrame) -> DataFrame:
+    """candidate_periods() from rows that each stand for all fixtures of a player's period (fixture_predictions() of period_features()) and period_factors().
+
+    A part of a projection is the same in each of a player's fixtures but for the factor, so it is multiplied by the factors'
+    sum; players never meet the fixtures themselves.
+    """
+    none = F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(0).cast("bigint").alias("known"), *[F.lit(None).cast("double").alias(k) for k in ("total", "least", "most")]) for c in CANDIDATES])
+    rows = predictions.join(factors, ["season", "target_gameweek", "team_id"], "left").withColumn("_c", F.explode(F.coalesce("_f", none)))
+    n, known = F.col("target_fixture_count"), F.col("_c.known") == F.col("target_fixture_count")
+    times = lambda c, k: F.when(n == 0, 0.0).otherwise(F.col(c) * k)
+    total = F.when(known, F.col("_c.total"))
+    goal, assist, appearance = F.col("goal_points") * total, F.col("assist_points") * total, F.col("appearance_points") * n
+    points = F.when(known, appearance + F.coalesce(goal, F.lit(0.0)) + F.coalesce(assist, F.lit(0.0)))
+    blank = lambda v: F.when(n == 0, 0.0).otherwise(v)
+    return rows.select(
+        "season", "_c.candidate", "target_gameweek", "player_id", "position", n.alias("fixture_count"), times("expected_minutes", n).alias("expected_minutes"), times("appearance_points", n).alias("appearance"), blank(goal).alias("goal"), blank(assist).alias("assist"), blank(goal + assist).alias("attacking"), blank(points).alias("points"),
+        ((n == 0) | (appearance.isNotNull() & goal.isNotNull() & assist.isNotNull())).alias("complete"), F.col("_c.least").alias("least_factor"), F.col("_c.most").alias("most_factor"), (n != 1).alias("rearrangement_risk"),
+    )
+
+
 def factor_correlation(contexts: DataFrame) -> DataFrame:
     """One row: pairs, and the Pearson and Spearman correlation of the two clipped factors."""
     pearson = pearson_by_group(contexts, "factor_gc", "factor_xgc", [])

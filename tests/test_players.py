@@ -136,3 +136,23 @@ def test_evaluation_by_hand(spark, tables):
     assert out["full_points", "average_prior_points", "overall", "all"].mae is None
     assert not [k for k in out if k[1] != "projection" and k[2] in ("actual_minutes", "low_sample")]
     assert out["modeled_points", "projection", "actual_minutes", "0 minutes"].total_rows == 2
+
+
+def test_fixtures_are_joined_last(tables):
+    plan = P.build_features(**tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_team" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_keys_are_those_of_the_feature_rows(features, tables):
+    keys = P.feature_keys(tables["players"], tables["fixtures"], tables["contexts"]).collect()
+    plain = lambda rows: sorted((r.player_id, r.target_gameweek, r.target_fixture_id or 0) for r in rows)
+    assert plain(keys) == plain(features)
+
+
+def test_periods_without_fixture_rows_are_those_with_them(tables):
+    one = P.fixture_predictions(P.period_features(**tables), F.lit("d"))
+    assert one.count() == tables["players"].count() * tables["contexts"].count()
+    want = P.period_predictions(P.fixture_predictions(P.build_features(**tables), F.lit("d")))
+    got = P.period_projections(one).select(want.columns)
+    near = lambda df: {(r.player_id, r.target_gameweek): [pytest.approx(v) if isinstance(v, float) else v for v in r] for r in df.collect()}
+    assert near(got) == {(r.player_id, r.target_gameweek): list(r) for r in want.collect()}
