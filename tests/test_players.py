@@ -156,3 +156,9 @@ def test_periods_without_fixture_rows_are_those_with_them(tables):
     got = P.period_projections(one).select(want.columns)
     near = lambda df: {(r.player_id, r.target_gameweek): [pytest.approx(v) if isinstance(v, float) else v for v in r] for r in df.collect()}
     assert near(got) == {(r.player_id, r.target_gameweek): list(r) for r in want.collect()}
+
+
+def test_predictions_with_fixtures_are_those_of_feature_rows(tables):
+    want = P.fixture_predictions(P.build_features(**tables), F.lit("d"))
+    got = P.predictions_with_fixtures(P.fixture_predictions(P.period_features(**tables), F.lit("d")), tables["fixtures"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
