@@ -158,6 +158,13 @@ def test_periods_without_fixture_rows_are_those_with_them(tables):
     assert near(got) == {(r.player_id, r.target_gameweek): list(r) for r in want.collect()}
 
 
+def test_parts_are_multiplied_before_they_are_divided(tables):
+    """x * m / 90, as the SQL has it; x * (m / 90) is another double for many values, which moves them over a band's edge."""
+    rows = P.fixture_predictions(P.period_features(**tables).withColumns({"prior_xg_per_90": F.lit(0.3), "previous_gw_minutes": F.lit(33).cast("bigint"), "previous_gameweek_has_data": F.lit(True), "availability_status": F.lit("a"), "chance_of_playing_next_round": F.lit(None).cast("int")}), F.lit("d"))
+    assert 0.3 * 33 / 90 != 0.3 * (33 / 90)
+    assert {r.expected_goals for r in rows.collect()} == {0.3 * 33 / 90}
+
+
 def test_predictions_with_fixtures_are_those_of_feature_rows(tables):
     want = P.fixture_predictions(P.build_features(**tables), F.lit("d"))
     got = P.predictions_with_fixtures(P.fixture_predictions(P.period_features(**tables), F.lit("d")), tables["fixtures"])
