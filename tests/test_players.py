@@ -165,6 +165,20 @@ def test_parts_are_multiplied_before_they_are_divided(tables):
     assert {r.expected_goals for r in rows.collect()} == {0.3 * 33 / 90}
 
 
+def test_candidates_of_periods_without_fixture_rows(spark, tables):
+    from panelyard.plans import opponent as O
+
+    # Team 30 has no context: its opponents' factor is unknown.
+    contexts = spark.createDataFrame([("s", gw, team, gc, xgc) for gw in (5, 6) for team, gc, xgc in ((10, 1.25, 0.8), (20, 0.75, 1.1), (90, 1.0, 0.9))], "season string, target_gameweek int, team long, factor_gc double, factor_xgc double")
+    want = O.candidate_periods(O.candidate_fixtures(P.fixture_predictions(P.build_features(**tables), F.lit("d")), contexts))
+    one = P.fixture_predictions(P.period_features(**tables), F.lit("d"))
+    got = O.period_candidates(one, O.period_factors(tables["fixtures"], tables["contexts"], contexts)).select(want.columns)
+    key = lambda r: (r.player_id, r.target_gameweek, r.candidate)
+    wanted = {key(r): list(r) for r in want.collect()}
+    assert {key(r): [pytest.approx(v) if isinstance(v, float) else v for v in r] for r in got.collect()} == wanted
+    assert len({r[-3] for r in wanted.values()}) > 3 and any(r[5] == 2 for r in wanted.values())
+
+
 def test_predictions_with_fixtures_are_those_of_feature_rows(tables):
     want = P.fixture_predictions(P.build_features(**tables), F.lit("d"))
     got = P.predictions_with_fixtures(P.fixture_predictions(P.period_features(**tables), F.lit("d")), tables["fixtures"])
