@@ -183,3 +183,17 @@ def test_predictions_with_fixtures_are_those_of_feature_rows(tables):
     want = P.fixture_predictions(P.build_features(**tables), F.lit("d"))
     got = P.predictions_with_fixtures(P.fixture_predictions(P.period_features(**tables), F.lit("d")), tables["fixtures"])
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_keys_are_dealt_to_all_partitions_by_constant_seasons_too(tables):
+    one = {k: df.withColumn("season", F.lit("s")) for k, df in tables.items() if k != "history"}
+    assert P.feature_keys(**one).rdd.getNumPartitions() == 4
+
+
+def test_keys_hold_their_canonical_json(tables):
+    from panelyard.sources.sinks import canonical_json, content_digest, json_digest
+
+    columns = ["player_id", "target_fixture_id", "target_gameweek"]
+    keys = P.feature_keys(tables["players"], tables["fixtures"], tables["contexts"])
+    assert keys.where(F.col("key") != canonical_json(columns)).count() == 0 and keys.where("target_fixture_id is null").count() > 0
+    assert keys.agg(json_digest(F.col("key"))).first() == keys.agg(content_digest(columns)).first()
