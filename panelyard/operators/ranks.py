@@ -116,6 +116,29 @@ def spearman_by_group(df: DataFrame, x: str, y: str, by: Sequence[str], name: st
     return sums.select(*by, "pairs", value.alias(name))
 
 
+def spearman_against(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
+    """by, pairs and <x>_spearman for each of xs (doubles, like y): spearman_by_group() of each with y, over rows of which all are known.
+
+    All columns are ranked in one sort, and y once for all of xs.
+    """
+    columns = [*xs, y]
+    known = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+    pairs = written(known.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("_m")), "pairs")
+    values = pairs.select(*by, "_m", F.explode(F.array(*[F.struct(F.lit(c).alias("_which"), F.col(c).alias("_v")) for c in columns])).alias("_x")).select(*by, "_m", "_x.*")
+    # Ranks less their mean, (total + 1) / 2.
+    ranked = value_ranks(values, [*by, "_which"], "_v", "_m").withColumn("_rank", F.col("before") + (F.col("n") - F.col("total")) / 2.0)
+    both = pairs
+    for c in columns:
+        both = matched(both, ranked.where(F.col("_which") == c).select(*by, F.col("_v").alias(c), F.col("_rank").alias(f"_rank_{c}")), [*by, c])
+    m, b, n = F.col("_m"), F.col(f"_rank_{y}"), F.sum("_m")
+    out = []
+    for x in xs:
+        a = F.col(f"_rank_{x}")
+        aa, bb = F.sum(m * a * a), F.sum(m * b * b)
+        out.append(F.when((n > 1) & (aa > 0) & (bb > 0), F.sum(m * a * b) / F.sqrt(aa * bb)).alias(f"{x}_spearman"))
+    return both.groupBy(*by).agg(n.alias("pairs"), *out)
+
+
 def top_n_overlap(df: DataFrame, predicted: str, actual: str, key: str, by: Sequence[str], ns: Sequence[int] = (10, 25, 50), strict: bool = True) -> DataFrame:
     """How many of the N highest predicted are among the N highest actual rows; ties by key, which names a row of its group.
 

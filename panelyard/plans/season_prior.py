@@ -104,8 +104,7 @@ def common_metrics(rows: DataFrame) -> DataFrame:
         cols += [F.avg(F.abs(e)).alias(f"{side}_mae"), F.sqrt(F.avg(e * e)).alias(f"{side}_rmse"), F.avg(e).alias(f"{side}_bias")]
     by = ["scope", "component"]
     out = long.groupBy(*by).agg(*cols)
-    for side in ("c0", "c1"):
-        out = out.join(ranks.spearman_by_group(long, side, "actual", by, f"{side}_spearman").drop("pairs"), by, "left")
+    out = out.join(ranks.spearman_against(long, ["c0", "c1"], "actual", by).drop("pairs"), by, "left")
     fall = lambda m: F.try_divide((F.col(f"c0_{m}") - F.col(f"c1_{m}")) * 100.0, F.nullif(F.col(f"c0_{m}"), F.lit(0.0)))
     return out.withColumns({"mae_improvement": fall("mae"), "rmse_improvement": fall("rmse"), "absolute_bias_increase": F.abs("c1_bias") - F.abs("c0_bias"), "spearman_change": F.col("c1_spearman") - F.col("c0_spearman")})
 

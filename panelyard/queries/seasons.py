@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.plans import season_prior as S
 from panelyard.queries.base import panel, query, sql
+from panelyard.scratch import written
 
 LAST_DAY = 12
 
@@ -38,10 +39,11 @@ def _reasoned(s, d) -> DataFrame:
 
 
 def _candidates(s, d) -> DataFrame:
+    """Written once, since metrics, ranks and coverage each read them."""
     periods = panel(s, d).where(F.col("period") > LAST_DAY).groupBy(F.col("entity").alias("player_id"), (F.col("period") - LAST_DAY).alias("period")).agg(
         F.sum("minutes").alias("minutes"), F.sum(F.coalesce("xg", F.lit(0.0))).alias("xg"), F.sum(F.coalesce("xa", F.lit(0.0))).alias("xa"), F.sum("starts").alias("goals"), F.count_if(F.col("event_type") == "click").alias("assists")
     )
-    return S.candidates(periods, _reasoned(s, d))
+    return written(S.candidates(periods, _reasoned(s, d)), "candidates")
 
 
 REASONED = f""", cur AS (SELECT player_id, class, class_count, CASE WHEN player_id % 29 = 3 THEN NULL WHEN player_id % 31 = 7 THEN player_id - 1 ELSE player_id END code FROM (SELECT entity player_id, min(class) AS class, count(DISTINCT CASE WHEN entity % 53 = 6 AND period > 20 THEN 'GK' ELSE class END) class_count FROM panel WHERE period > {LAST_DAY} GROUP BY 1)),

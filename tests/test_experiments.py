@@ -103,3 +103,10 @@ def test_what_comes_later_changes_no_projection(spark):
     assert plain == run([(1, 6, 90, 99.0, 99.0, 9, 9)]) and plain[1] == (None, None)
     own, lent = 0.3 * 90 / 60, 90 * (0.3 + 450 * 0.4 / 90) / 510
     assert plain[2][0] == pytest.approx(2 + own * 60 / 90 * 5 + 0.2 * 90 / 60 * 60 / 90 * 3) and plain[2][1] == pytest.approx(2 + lent * 60 / 90 * 5 + 90 * (0.2 + 450 * 0.2 / 90) / 510 * 60 / 90 * 3)
+
+
+def test_candidates_of_the_season_prior_are_worked_out_once(spark):
+    from panelyard import queries
+
+    plan = queries.queries()["gate_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "user_id" not in plan  # events are read while the candidates are written, never again

@@ -126,3 +126,15 @@ def test_a_group_of_a_million_rows_is_spread(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(max(p) < 0.2 * n for p in pieces) and len(pieces) == 2
     assert all("_part" in line for line in plan.splitlines() if "Window [" in line and "_before" in line)
+
+
+def test_several_correlations_with_one_column_are_those_of_each(spark):
+    rows = [(g, float(i * 7 % 5), float(i * 11 % 13), float(i * 3 % 4)) for g in ("a", "b") for i in range(40)] + [("c", 1.0, 2.0, 1.0), ("c", 1.0, 3.0, 2.0), ("d", 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, z double, y double")
+    got = {r.g: (r.pairs, r.x_spearman, r.z_spearman) for r in ranks.spearman_against(df, ["x", "z"], "y", ["g"]).collect()}
+    both = df.where("z is not null")
+    of = lambda c: {r.g: (r.pairs, r.spearman) for r in ranks.spearman_by_group(both, c, "y", ["g"]).collect()}
+    x, z = of("x"), of("z")
+    assert set(got) == set(x) == {"a", "b", "c"} and got["c"][1] is None
+    for g, (n, a, b) in got.items():
+        assert (n, a, b) == (x[g][0], x[g][1] if x[g][1] is None else pytest.approx(x[g][1]), pytest.approx(z[g][1]))
