@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelyard.functions import expressions as X
 from panelyard.operators import ranks
 from panelyard.plans.player_features import POSITIONS, period_predictions
+from panelyard.scratch import written
 
 #: What is forecast, and who forecasts it: (target, predictor, its column, the actual's column).
 INPUTS = (
@@ -72,9 +73,10 @@ def groups() -> dict[str, Column]:
 def evaluation(rows: DataFrame, top_n: int = 10) -> DataFrame:
     """Metrics of each target, predictor and group; Spearman, top lists and their overlap where the group is everybody.
 
-    The rows travel once for all groups; ranks are those of operators.ranks, which hold no group in one task.
+    The rows travel once for all groups; ranks are those of operators.ranks, which hold no group in one task. What rows come
+    from is worked out once, for metrics, ranks and top lists together.
     """
-    inputs = metric_inputs(rows)
+    inputs = metric_inputs(written(rows, "evaluated"))
     tags = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("group_type"), v.alias("group_value")) for k, v in groups().items()]), lambda x: x["group_value"].isNotNull()))
     long = inputs.select("target_name", "predictor", "prediction", "actual", tags.alias("_t")).select("*", "_t.*").drop("_t")
     by = ["target_name", "predictor", "group_type", "group_value"]

@@ -197,3 +197,10 @@ def test_keys_hold_their_canonical_json(tables):
     keys = P.feature_keys(tables["players"], tables["fixtures"], tables["contexts"])
     assert keys.where(F.col("key") != canonical_json(columns)).count() == 0 and keys.where("target_fixture_id is null").count() > 0
     assert keys.agg(json_digest(F.col("key"))).first() == keys.agg(content_digest(columns)).first()
+
+
+def test_evaluations_work_their_rows_out_once(spark):
+    from panelyard import queries
+
+    plan = queries.queries()["evaluate_forecast"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "user_id" not in plan  # events are read while the rows are written, never again
