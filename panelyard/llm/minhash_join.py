@@ -262,21 +262,21 @@ def held_together(close: np.ndarray) -> list[np.ndarray]:
 
 
 def confirmed_edges(clusters: DataFrame, k: int, threshold: float) -> DataFrame:
-    """a, b: a spanning forest of each cluster's links, for clusters(texts: array of set_key, text)."""
+    """a, b: the classes that a spanning forest of each cluster's links joins, for clusters(texts: array of cls, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = lists(batch.column(0))
-            keys, texts = values.field("set_key"), values.field("text")
+            classes, texts = values.field("cls"), values.field("text")
             left, right = [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 sets = [shingle_set(texts[int(i)].as_py(), k) for i in range(a, b)]
                 for i, j in forest(linked(sets, threshold)):
-                    left.append(keys[int(a + i)].as_py())
-                    right.append(keys[int(a + j)].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                    left.append(classes[int(a + i)].as_py())
+                    right.append(classes[int(a + j)].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return clusters.mapInArrow(run, "a binary, b binary")
+    return clusters.mapInArrow(run, "a bigint, b bigint")
 
 
 def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -319,12 +319,12 @@ def around_pivots(parts: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def linked_by_differences(groups: DataFrame, threshold: float) -> DataFrame:
-    """a, b: a spanning forest of the links between classes, for groups(members: array of set_key, cls, size, apart) of one pivot each."""
+    """a, b: the classes that a spanning forest of the links between them joins, for groups(members: array of cls, size, apart) of one pivot each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = lists(batch.column(0))
-            keys, apart = values.field("set_key"), values.field("apart")
+            apart = values.field("apart")
             classes, sizes = (values.field(f).to_numpy(zero_copy_only=False) for f in ("cls", "size"))
             left, right = [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -334,18 +334,18 @@ def linked_by_differences(groups: DataFrame, threshold: float) -> DataFrame:
                 ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))
                 sets = np.split(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
                 for i, j in forest(linked(sets, threshold, sizes[a:b]) & (cls[:, None] != cls[None, :])):
-                    left.append(keys[int(a + i)].as_py())
-                    right.append(keys[int(a + j)].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                    left.append(int(cls[i]))
+                    right.append(int(cls[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a binary, b binary")
+    return groups.mapInArrow(run, "a bigint, b bigint")
 
 
 class Texts:
     """The documents' table, from which a set's text is fetched when links are to be confirmed."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, k: int, threshold: float, id_col: str, text_col: str):
-        self.docs, self.sets, self.k, self.threshold, self.id_col, self.text_col = docs, sets, k, threshold, id_col, text_col
+    def __init__(self, docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str):
+        self.docs, self.k, self.threshold, self.id_col, self.text_col = docs, k, threshold, id_col, text_col
 
     def of(self, ids: DataFrame) -> DataFrame:
         """set_key, text: one text for each set in ids(set_key, rep). Found by id; the text's own set decides, so ids may repeat or be null."""
@@ -357,30 +357,23 @@ class Texts:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["set_key", "text"])
 
         picked = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).cast("string").alias("text"))
-        picked = picked.join(ids.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+        picked = picked.join(ids.select("rep"), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
         found = picked.select("text").mapInArrow(run, "set_key binary, text string")
         return found.join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
-    def wanted(self, clusters: DataFrame) -> DataFrame:
-        """set_key, rep, weight (written) of the sets in clusters(set_key, ...)."""
-        return written(clusters.select("set_key").distinct().join(self.sets.select("set_key", "rep", "weight"), "set_key"), "wanted")
-
-    def links(self, clusters: DataFrame) -> DataFrame:
-        """a, b (written): confirmed links inside clusters(c, set_key), a spanning forest of each."""
-        ids = self.wanted(clusters)
-        cut = cut_to_size(clusters.join(ids.select("set_key", "weight"), "set_key"))
-        gathered = cut.join(self.of(ids), "set_key").groupBy("c").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("texts")
+    def links(self, clusters: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b (written): the classes joined by confirmed links inside clusters(c, set_key), for sets(set_key, rep, weight, cls)."""
+        ids = written(sets.select("set_key", "rep", "weight", "cls").join(clusters.select("set_key"), "set_key", "left_semi"), "wanted")
+        cut = cut_to_size(clusters.join(ids.select("set_key", "weight", "cls"), "set_key"))
+        gathered = cut.join(self.of(ids), "set_key").groupBy("c").agg(F.collect_list(F.struct("cls", "text")).alias("texts")).select("texts")
         links = written(confirmed_edges(gathered, self.k, self.threshold).distinct(), "links")
         dropped(ids)
         return links
 
     def around(self, parts: DataFrame) -> DataFrame:
-        """set_key, pivot, link, whole, size, apart (written) for parts(c, pivot, set_key), in which each part holds its pivot: see around_pivots()."""
-        ids = self.wanted(parts)
-        gathered = parts.join(self.of(ids), "set_key").groupBy("c", "pivot").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("pivot", "texts")
-        out = written(around_pivots(gathered, self.k, self.threshold), "around")
-        dropped(ids)
-        return out
+        """set_key, pivot, link, whole, size, apart (written) for parts(c, pivot, set_key, rep), in which each part holds its pivot: see around_pivots()."""
+        gathered = parts.drop("rep").join(self.of(parts), "set_key").groupBy("c", "pivot").agg(F.collect_list(F.struct("set_key", "text")).alias("texts")).select("pivot", "texts")
+        return written(around_pivots(gathered, self.k, self.threshold), "around")
 
 
 def cut_to_size(wanted: DataFrame) -> DataFrame:
@@ -402,57 +395,88 @@ def pivot_links(texts: Texts, sets: DataFrame) -> tuple[list[DataFrame], DataFra
     The sets that agree in a band of the sketch show a group. Its pivot is the member found in the most and largest of
     them, which is near the middle; a member takes the best pivot of its bands, and the members of a pivot are compared
     with it, and with one another, in parts of LEAF or of bounded size. Members without a link look for other pivots in
-    the next round. A member is one row a round and band, however large its groups are.
+    the next round, unless nothing was linked in this one. A member is one row a round and band, however large its groups are.
     """
-    links, first, rest = [], None, sets.select("set_key", "sketch", "weight")
+    links, first, rest = [], None, sets.select("set_key", "rep", "weight", "sketch")
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sketch", F.lit(b * BAND + i)) for i in range(BAND)]) for b in range(BANDS)])
     for _ in range(PIVOT_ROUNDS):
-        rows = rest.select("set_key", "weight", F.explode(bands).alias("band"))
+        rows = rest.select("set_key", "rep", "weight", F.explode(bands).alias("band"))
+        # Small tables are written where they are joined: Spark knows how few rows they have and needn't shuffle the others.
         large = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF), "bands")
         total = large.agg(F.sum("n")).first()[0]
         if not total:
             dropped(large)
             break
-        member = written(keyed_join(rows, large, "band", "set_key", total), "members")
-        score = member.groupBy("set_key").agg(F.sum("n").alias("score"))
-        top = member.join(score, "set_key").groupBy("band").agg(F.max(F.struct("score", F.xxhash64("set_key").alias("h"), "set_key")).alias("top"), F.count(F.lit(1)).alias("n"))
-        best = keyed_join(member.drop("n"), top, "band", "set_key", total).groupBy("set_key").agg(F.max("top").alias("top"), F.first("weight").alias("weight"))
-        best = written(best.select("set_key", "weight", F.col("top.set_key").alias("pivot")), "pivots")
-        sizes = best.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("all"))
-        parts = F.greatest(F.ceil(F.col("n") / LEAF), F.ceil(2 * F.col("all") / CLUSTER_SIZE))
-        dealt = keyed_join(best, sizes, "pivot", "set_key", best.count())
-        dealt = dealt.select(F.xxhash64("pivot", F.pmod(F.xxhash64("set_key", F.lit("part")), parts)).alias("c"), "pivot", "set_key")
-        dealt = written(dealt.union(dealt.select("c", "pivot", F.col("pivot").alias("set_key"))).distinct(), "parts")
+        member = keyed_join(rows, large, "band", "set_key", total).groupBy("set_key")
+        member = written(member.agg(F.first("rep").alias("rep"), F.first("weight").alias("weight"), F.sum("n").alias("score"), F.collect_list("band").alias("bands")), "members")
+        rows = member.select("set_key", "rep", "weight", "score", F.explode("bands").alias("band"))
+        top = rows.groupBy("band").agg(F.max(F.struct("score", F.xxhash64("set_key").alias("h"), "set_key", "rep")).alias("top"), F.count(F.lit(1)).alias("n"))
+        top = written(top, "tops")
+        best = keyed_join(rows.drop("score"), top, "band", "set_key", total).groupBy("set_key").agg(F.max("top").alias("top"), F.first("rep").alias("rep"), F.first("weight").alias("weight"))
+        best = written(best.select("set_key", "rep", "weight", F.col("top.set_key").alias("pivot"), F.col("top.rep").alias("pivot_rep")), "pivots")
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(2 * F.sum("weight") / CLUSTER_SIZE))
+        sizes = written(best.groupBy("pivot").agg(F.first("pivot_rep").alias("pivot_rep"), F.count(F.lit(1)).alias("n"), parts.alias("parts")), "sizes")
+        members = sizes.agg(F.sum("n")).first()[0]
+        dealt = keyed_join(best.where("set_key <> pivot").drop("pivot_rep"), sizes.drop("pivot_rep"), "pivot", "set_key", members)
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set_key", F.lit("part")), "parts")).select("part", "pivot", "set_key", "rep")
+        own = sizes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "pivot", F.col("pivot").alias("set_key"), F.col("pivot_rep").alias("rep"))
+        dealt = written(dealt.union(own).select(F.xxhash64("pivot", "part").alias("c"), "pivot", "set_key", "rep"), "parts")
         found = texts.around(dealt)
         first = first or found
         links.append(found.where("link is not null").select(F.col("set_key").alias("a"), F.col("link").alias("b")))
-        ends = links[-1].select(F.col("a").alias("set_key")).union(links[-1].select("b")).distinct()
-        # Keys are written first: Spark knows how few they are and needn't shuffle all sketches.
-        rest = written(best.select("set_key", "weight").join(ends, "set_key", "left_anti"), "rest").join(sets.select("set_key", "sketch"), "set_key")
-        dropped(large, member, best, dealt)
+        ends = links[-1].select(F.col("a").alias("set_key")).union(links[-1].select("b"))
+        left = written(best.select("set_key", "rep", "weight").join(ends, "set_key", "left_anti"), "rest")
+        dropped(large, member, top, best, sizes, dealt)
+        if left.count() == members:  # nothing was linked: another round would have the same bands, pivots and parts
+            break
+        rest = left.join(sets.select("set_key", "sketch"), "set_key")
     return links, first
 
 
-def settled(state: DataFrame, by: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """(small, groups, rest) of nodes state(path, set_key, by, ...): small ones, the groups for those where one value of by leaves few others, the rest.
+def classed(sets: DataFrame, links: list[DataFrame], found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets with cls and grp (written), a, b: links between classes), for links and found as pivot_links() gives them.
+
+    In a part, all that links to a set is linked to it directly or has the same link, so a link's end is the name of a
+    class. A set with several links, such as a pivot that links to another one, takes the least name, and the
+    names are linked; sets without a link are classes of their own. So classes need no rounds of connected components, only
+    these links and those found later do.
+    """
+    own, name = F.xxhash64("set_key"), lambda c: F.xxhash64(c)
+    ends, none = union(links), F.lit(None).cast("long")
+    rows = ends.select(F.col("a").alias("set_key"), name("b").alias("at"), none.alias("grp")).union(ends.select("b", name("b"), none))
+    rows = rows.union(found.where("apart is not null").select("set_key", none, name("pivot"))).union(found.select("pivot", none, name("pivot")))
+    classes = written(rows.groupBy("set_key").agg(F.array_sort(F.collect_set("at")).alias("names"), F.min("grp").alias("grp")), "classes")
+    several = classes.where(F.size("names") > 1).select(F.get("names", F.lit(0)).alias("b"), F.explode(F.slice("names", 2, F.size("names"))).alias("a"))
+    several = written(several.distinct(), "several")
+    least = several.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("least"))
+    out = sets.join(classes, "set_key", "left").withColumns({"cls": F.coalesce(F.get("names", F.lit(0)), own), "grp": F.coalesce("grp", own)}).drop("names")
+    out = out.join(least, "cls", "left").withColumn("cls", F.coalesce("least", "cls")).drop("least")
+    return written(out, "ready"), several
+
+
+def settled(state: DataFrame, by: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """(groups, rest) of nodes state(path, set_key, by, ...): small ones and the groups for those where one value of by leaves few others; the rest, if there are large nodes.
 
     Nodes with one value of by, which need no comparison, are left out.
     """
     mixed = state.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi").select("path", "n")
     mixed = written(mixed, "paths")
-    total = mixed.agg(F.sum("n")).first()[0] or 0
-    state = written(keyed_join(state, mixed, "path", "set_key", total), "nodes")
+    total, most = mixed.agg(F.sum("n"), F.max("n")).first()
+    state = written(keyed_join(state, mixed, "path", "set_key", total or 0), "nodes")
     dropped(mixed)
+    small = state.where(F.col("n") <= LEAF).select("path", "set_key")
+    if (most or 0) <= LEAF:
+        return [small], None
     large = state.where(F.col("n") > LEAF)
     sizes = large.groupBy("path", by).agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(by, "c").alias("most"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
     sizes = written(sizes, "large")
     large = keyed_join(large.drop("n"), sizes, "path", "set_key", total)
     few = F.col("others") <= BLOCK // 2
-    return state.where(F.col("n") <= LEAF).select("path", "set_key"), against_blocks(large.where(few), by), large.where(~few)
+    return [small, against_blocks(large.where(few), by)], large.where(~few)
 
 
 def differing(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b (written): links between documents of one pivot's group, which join all that its links join, for found as around_pivots() gives it.
+    """a, b (written): links between classes of documents of one pivot's group, which join all that its links join, for found as around_pivots() gives it.
 
     Let x have no link to the pivot and y link to x. Then at least threshold / (1 + threshold) of y's differences are x's
     as well. So with the commonest differences last, one of those before y's last that many, less one, is among them: its
@@ -475,10 +499,10 @@ def differing(found: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     some = written(some.where("p > 0 and n > 1 and (linked > 0 or p > 1)").select("token", "n", "linked"), "tokens")
     total = some.agg(F.sum("n")).first()[0] or 0
     rows = keyed_join(rows, some, "token", "set_key", total).where("prefix or whole and linked > 0").select(F.col("token").alias("path"), "set_key", "cls")
-    small, groups, rest = settled(rows, "cls")
-    nodes = distinct_nodes([small, groups, block_pairs(rest)]).withColumnRenamed("path", "c")
+    groups, rest = settled(rows, "cls")
+    nodes = distinct_nodes(groups if rest is None else [*groups, block_pairs(rest)]).withColumnRenamed("path", "c")
     nodes = written(nodes.join(docs.withColumn("weight", F.size("apart").cast("long")).drop("whole"), "set_key"), "compared")
-    gathered = cut_to_size(nodes).groupBy("c").agg(F.collect_list(F.struct("set_key", "cls", "size", "apart")).alias("members")).select("members")
+    gathered = cut_to_size(nodes).groupBy("c").agg(F.collect_list(F.struct("cls", "size", "apart")).alias("members")).select("members")
     links = written(linked_by_differences(gathered, threshold).distinct(), "links")
     dropped(nodes, docs)
     return links
@@ -500,8 +524,10 @@ def grown(sets: DataFrame, trees: range, threshold: float) -> tuple[list[DataFra
     state = branch(branch(sets.select("set_key", "sketch", "grp", F.explode(roots).alias("path"), F.lit(0).cast("long").alias("used")), threshold), threshold)
     state, groups, deep, depth = state.select("path", "used", "set_key", "grp"), [], None, 2
     while True:
-        small, few, rest = settled(state, "grp")
-        groups += [small, few]
+        own, rest = settled(state, "grp")
+        groups += own
+        if rest is None:
+            return groups, depth, deep
         if depth == MAX_DEPTH:
             groups.append(block_pairs(rest))
             return groups, depth, deep
@@ -547,20 +573,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     documents that went there.
     """
     all_docs = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"), F.first("sketch").alias("sketch"))
+    sets = all_docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     sets = written(sets, "sets")
-    texts = Texts(docs, sets, shingle, threshold, id_col, text_col)
+    texts = Texts(docs, shingle, threshold, id_col, text_col)
     own = F.xxhash64("set_key")
-    edges, found = pivot_links(texts, sets)
-    ready = sets.select("set_key", "sketch", own.alias("cls"), own.alias("grp"))
+    links, found = pivot_links(texts, sets)
+    ready, edges = sets.withColumns({"cls": own, "grp": own}), []
     if found is not None:
-        member = connected_components(union(edges)).select(F.col("node").alias("set_key"), F.xxhash64("component").alias("_cls"))
-        pivot = found.where("apart is not null").select("set_key", F.xxhash64("pivot").alias("_grp"))
-        pivot = pivot.union(found.select(F.col("pivot").alias("set_key"), F.xxhash64("pivot")).distinct()).groupBy("set_key").agg(F.min("_grp").alias("_grp"))
-        classes = written(member.join(pivot, "set_key", "full"), "classes")
-        ready = sets.select("set_key", "sketch").join(classes, "set_key", "left").select("set_key", "sketch", F.coalesce("_cls", own).alias("cls"), F.coalesce("_grp", own).alias("grp"))
-        ready = written(ready, "ready")
-        edges.append(differing(found, ready, threshold))
+        ready, several = classed(sets, links, found)
+        edges = [several, differing(found, ready, threshold)]
     groups, depth, deep = grown(ready, range(trees), threshold)
     if deep is not None and (wanted := trees_for(depth, threshold)) > trees:
         groups += grown(ready.join(deep, "set_key", "left_semi"), range(trees, wanted), threshold)[0]
@@ -568,13 +589,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     gathered = gathered.groupBy("path").agg(F.collect_list(F.struct("set_key", "sketch", "cls", "grp")).alias("members")).select("members")
     clusters = candidate_clusters(gathered, threshold).groupBy("cluster").agg(F.count(F.lit(1)).alias("times"))
     clusters = written(clusters.select(F.monotonically_increasing_id().alias("c"), "cluster"), "clusters")
-    edges.append(texts.links(clusters.select("c", F.explode("cluster").alias("set_key"))))
-    member = connected_components(union(edges).distinct()).join(sets.select(F.col("set_key").alias("node"), "rep"), "node")
-    low = lowest(member, "rep").withColumnRenamed("node", "set_key")
-    low = sets.select("set_key", "rep").join(low, "set_key", "left").select("set_key", F.coalesce("low", "rep").alias("low"))
-    copies = all_docs.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("n"))
+    edges.append(texts.links(clusters.select("c", F.explode("cluster").alias("set_key")), ready))
+    classes = ready.groupBy("cls").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"))
+    member = connected_components(union(edges)).join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    classes = classes.join(lowest(member, "rep").withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("low", "rep").alias("low"))
+    low = keyed_join(ready.select("set_key", "cls", "copies"), classes, "cls", "set_key", sets.count()).select("set_key", F.col("copies").alias("n"), "low")
     some = all_docs.select("id", "n_shingles", "set_key").where("set_key is not null")
-    out = keyed_join(some, low.join(copies, "set_key"), "set_key", "id", all_docs.count()).select("id", "n_shingles", "low")
+    out = keyed_join(some, low, "set_key", "id", all_docs.count()).select("id", "n_shingles", "low")
     out = out.union(all_docs.where("set_key is null").select("id", "n_shingles", F.col("id").alias("low")))
     component = F.col("low")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

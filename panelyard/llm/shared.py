@@ -101,28 +101,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds. A node's neighbours are never gathered: each star is an
     aggregate, which Spark begins before the shuffle, and a join in which a hub's edges are dealt over many tasks.
+    Rounds end when there are only stars: every node has one edge, to a smaller one that has none.
     Self loops and nulls are ignored, repeated edges count once, an empty table gives an empty table.
     """
 
-    def put(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def put(df: DataFrame) -> tuple[DataFrame, int, int]:
         table = written(df, "stars")
-        return table, tuple(table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        ends = table.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(table.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        rows, unsettled = ends.agg(F.sum("up"), F.count_if(F.col("up") + F.col("down") > 1)).first()
+        return table, rows or 0, unsettled
 
     apart = edges.where(F.col("a") != F.col("b"))
-    e, mark = put(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e, rows, unsettled = put(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
-        if not mark[0]:
+        if not unsettled:
             break
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        large = keyed_join(both.where("b > a"), low.where("n > 0"), "a", "b", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        up = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        low = e.union(up).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = keyed_join(up, low.where("n > 0"), "a", "b", rows).select(F.col("b").alias("a"), F.col("m").alias("b"))  # as many as edges
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = keyed_join(large, low, "a", "b", mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, last = e, mark
-        e, mark = put(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        small = keyed_join(large, low, "a", "b", rows).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = e
+        e, rows, unsettled = put(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         dropped(old)
-        if mark == last:
-            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))

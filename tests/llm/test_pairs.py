@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.llm import minhash_join
+from panelyard.llm import minhash_join, shared
 from panelyard.llm.embedding_join import near_vectors
 from panelyard.llm.shared import connected_components
 
@@ -37,6 +37,15 @@ def test_components(spark):
     assert connected_components(df.where("a < 0")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    put, write = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name: put.append(name) or write(df, name))
+    df = spark.createDataFrame([(i, i // 50 * 50) for i in range(200)] + [(7, 0)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == {i: i // 50 * 50 for i in range(200)}
+    assert put == ["stars"]
+
+
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("links", T.StringType()), T.StructField("rep", T.LongType())])
 
 
@@ -134,6 +143,18 @@ def test_dense_nodes_are_compared_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in minhash_join.similar_documents(df, 3, 0.85).collect()} == {0}
 
 
+def test_pivots_that_link_nothing_are_looked_for_once(spark, monkeypatch):
+    """Sets of which all share the same three quarters: bands show groups, but no two sets are linked."""
+    monkeypatch.setattr(minhash_join, "LEAF", 5)
+    calls, around = [], minhash_join.Texts.around
+    monkeypatch.setattr(minhash_join.Texts, "around", lambda self, parts: calls.append(1) or around(self, parts))
+    texts = [" ".join([f"w{j}" for j in range(90)] + [f"v{i}x{j}" for j in range(30)]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[3]])), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_join.similar_documents(df, 3, 0.85).collect()}
+    assert got == {i: i for i in range(60)} | {60: 3}
+    assert len(calls) == 1
+
+
 def test_chosen_path_join_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_join.similar_documents(df).count() == 0
