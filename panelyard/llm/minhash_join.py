@@ -9,7 +9,8 @@ that need their texts, and links are confirmed on full shingle sets.
 Only components are wanted, so large groups of near copies are linked to a pivot each first, by confirmed links. What is
 left inside such a group is found by differences from the pivot: a document that doesn't link to the pivot can only
 link to one with which it shares a good part of that one's difference, so the rarest differences find them all. Trees then need no comparison inside a group: in
-a large node whose commonest group leaves few others, these are compared with blocks of that group. So rows grow with
+a large node whose commonest group leaves few others, these are compared with blocks of that group; a node of a block's size
+is compared as it is. So rows grow with
 documents, not with pairs. What is still large and mixed in the deepest level is compared exactly, block against block.
 """
 
@@ -455,9 +456,10 @@ def classed(sets: DataFrame, links: list[DataFrame], found: DataFrame) -> tuple[
 
 
 def settled(state: DataFrame, by: str) -> tuple[list[DataFrame], DataFrame | None]:
-    """(groups, rest) of nodes state(path, set_key, by, ...): small ones and the groups for those where one value of by leaves few others; the rest, if there are large nodes.
+    """(groups, rest) of nodes state(path, set_key, by, ...): small ones and the groups for those where one value of by leaves few others; the rest, if there are such nodes.
 
-    Nodes with one value of by, which need no comparison, are left out.
+    Nodes with one value of by, which need no comparison, are left out. Nodes of up to BLOCK are one group, whatever they
+    hold: to branch them further would only give more nodes, and call for more trees, to find the same links.
     """
     mixed = state.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi").select("path", "n")
     mixed = written(mixed, "paths")
@@ -471,8 +473,9 @@ def settled(state: DataFrame, by: str) -> tuple[list[DataFrame], DataFrame | Non
     sizes = large.groupBy("path", by).agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(by, "c").alias("most"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
     sizes = written(sizes, "large")
     large = keyed_join(large.drop("n"), sizes, "path", "set_key", total)
-    few = F.col("others") <= BLOCK // 2
-    return [small, against_blocks(large.where(few), by)], large.where(~few)
+    whole = (F.col("others") <= BLOCK // 2) | (F.col("n") <= BLOCK)
+    more = sizes.agg(F.count_if(~whole)).first()[0]
+    return [small, against_blocks(large.where(whole), by)], large.where(~whole) if more else None
 
 
 def differing(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -541,7 +544,7 @@ def grown(sets: DataFrame, trees: range, threshold: float) -> tuple[list[DataFra
 
 
 def against_blocks(large: DataFrame, by: str) -> DataFrame:
-    """path, set_key of groups of a block of a node's documents with its commonest value of by and all its others, BLOCK / 2 at most."""
+    """path, set_key of groups of a block of a node's documents with its commonest value of by and all its others: BLOCK / 2 at most, or all of a node of one block."""
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("set_key"), blocks)
     all_blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)

@@ -155,6 +155,20 @@ def test_pivots_that_link_nothing_are_looked_for_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_mixed_nodes_of_a_block_are_compared_at_once(spark, monkeypatch):
+    """Sets that share a passage and little else, above LEAF and below BLOCK: no deeper level and no more trees, and the links among them are found."""
+    monkeypatch.setattr(minhash_join, "LEAF", 20)
+    monkeypatch.setattr(minhash_join, "BLOCK", 200)
+    names, write = [], minhash_join.written
+    monkeypatch.setattr(minhash_join, "written", lambda df, name: names.append(name) or write(df, name))
+    texts = [" ".join([f"w{j}" for j in range(90)] + [f"v{i}x{j}" for j in range(60)]) for i in range(80)]
+    texts += [f"{texts[i]} more" for i in range(0, 80, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_join.similar_documents(df, 3, 0.85).collect()}
+    assert got == {i: i for i in range(80)} | {80 + i: 7 * i for i in range(12)}
+    assert "large" in names and "deep" not in names
+
+
 def test_chosen_path_join_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_join.similar_documents(df).count() == 0
