@@ -132,6 +132,8 @@ def minute_band(x: Column) -> Column:
 PRIOR_MINUTE_BANDS = ((1, "0"), (91, "1-90"), (271, "91-270"), (451, "271-450"), (901, "451-900"))
 RAW_SCORE_BANDS = ((1.0, "0-<1"), (2.0, "1-<2"), (3.0, "2-<3"), (4.0, "3-<4"), (5.0, "4-<5"), (7.0, "5-<7"))
 RATE_TIERS = ((0.25, "0-<0.25"), (0.50, "0.25-<0.50"), (0.75, "0.50-<0.75"))
+#: Fixed value: digits of a score or rate that are held to an edge; sums of doubles in another order differ far behind them.
+EDGE_PLACES = 8
 
 
 def prior_minutes_band(minutes: Column) -> Column:
@@ -139,11 +141,11 @@ def prior_minutes_band(minutes: Column) -> Column:
 
 
 def raw_score_band(x: Column) -> Column:
-    return bands(x, RAW_SCORE_BANDS, "7+", "unknown")
+    return bands(F.round(x, EDGE_PLACES), RAW_SCORE_BANDS, "7+", "unknown")
 
 
 def rate_tier(x: Column) -> Column:
-    return bands(x, RATE_TIERS, "0.75+", "unknown")
+    return bands(F.round(x, EDGE_PLACES), RATE_TIERS, "0.75+", "unknown")
 
 
 def prior_sample_band(has_rate: Column, periods: Column) -> Column:

@@ -73,3 +73,15 @@ def test_orders_of_any_status_take_a_customer_out(spark, tmp_path):
     spark.range(1, 5).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(1, "O"), (2, "F"), (3, "P")], "o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     assert [r[0] for r in aggregates.except_universe(spark, str(tmp_path)).collect()] == [4]
+
+
+def test_a_sum_on_the_edge_of_a_band_is_in_the_upper_one(spark, events):
+    """10 / 20 is a rate of 0.5 and 1 + 3 a score of 4, whatever the doubles 1.4 + 0.4 and 0.7 + 0.6 lack of their sums."""
+    from panelyard.queries import players
+
+    d = events([(2, "2024-01-01 00:00:00", 1, "click", 14.0), (2, "2024-01-01 01:00:00", 2, "purchase", 4.0), (6, "2024-01-18 00:00:00", 3, "click", 7.0), (6, "2024-01-19 00:00:00", 4, "click", 6.0)])
+    game = spark.createDataFrame([(1, 42, 1.0, "2001-01-20 00:00:00")], "o_orderkey long, o_custkey long, o_totalprice double, at string")
+    game.select("o_orderkey", "o_custkey", "o_totalprice", F.col("at").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{d}/orders.parquet")
+    got = {(r.kind, r.band): r.n for r in players.band_labels(spark, d).collect()}
+    assert got["rate_tier", "0.50-<0.75"] == 6 and ("rate_tier", "0.25-<0.50") not in got
+    assert got["raw_score", "4-<5"] == 1 and ("raw_score", "3-<4") not in got
